@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
