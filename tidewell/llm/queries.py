@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import id_column
 from .decontaminate import decontaminate
 from .suffix_dedup import dedup_substrings
+from .superkmers import dedup_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(id_column(), "n_words", "n_removed", "kept_sha256")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(id_column(), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
@@ -36,6 +42,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op6_superkmers": op6_superkmers,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
