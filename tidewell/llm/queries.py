@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import id_column
 from .decontaminate import decontaminate
+from .langid import fit as fit_langid
+from .langid import identify, training_rows
 from .suffix_dedup import dedup_substrings
 from .superkmers import dedup_windows
 
@@ -30,6 +32,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_langid(training_rows(docs))
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+        F.col("_lang").alias("lang_pred"),
+        F.col("_score").alias("score"),
+    )
+
+
 def op6_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(id_column(), "n_words", "n_removed", "kept_sha256")
@@ -42,6 +55,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_langid": op4_langid,
     "op6_superkmers": op6_superkmers,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
