@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import crf_quality
 from .common import id_column
 from .decontaminate import decontaminate
 from .langid import fit as fit_langid
@@ -48,6 +49,17 @@ def op6_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_column(), "n_words", "n_removed", "kept_sha256")
 
 
+def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = crf_quality.fit(crf_quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    return crf_quality.score(docs, model).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(id_column(), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
@@ -57,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_langid": op4_langid,
     "op6_superkmers": op6_superkmers,
+    "op9_crf_quality": op9_crf_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
