@@ -14,6 +14,7 @@ from .langid import fit as fit_langid
 from .langid import identify, training_rows
 from .suffix_dedup import dedup_substrings
 from .superkmers import dedup_windows
+from .topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(id_column(), "n_words", "n_removed", "kept_sha256")
@@ -68,9 +73,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_langid": op4_langid,
+    "op5_topk": op5_topk,
     "op6_superkmers": op6_superkmers,
     "op9_crf_quality": op9_crf_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_topk": """
+with e as (
+  select vec_id, min(list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  group by vec_id
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
+  from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+""",
+}
