@@ -15,6 +15,7 @@ from .langid import identify, training_rows
 from .suffix_dedup import dedup_substrings
 from .superkmers import dedup_windows
 from .topk import top_k
+from .warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op6_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_column(), "n_words", "n_removed", "kept_sha256")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = crf_quality.fit(crf_quality.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_topk": op5_topk,
     "op6_superkmers": op6_superkmers,
+    "op8_warc": op8_warc,
     "op9_crf_quality": op9_crf_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
