@@ -15,6 +15,7 @@ from .langid import identify, training_rows
 from .suffix_dedup import dedup_substrings
 from .superkmers import dedup_windows
 from .topk import top_k
+from .url_filter import filter_urls, host_of
 from .warc import round_trip
 
 
@@ -55,6 +56,37 @@ def op6_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_column(), "n_words", "n_removed", "kept_sha256")
 
 
+#: First day of the year in which op7's captures are dated, in seconds; a day and a year.
+DAY0, DAY, YEAR = 1_704_067_200, 86_400, 365 * 86_400
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` has no fetch times and there is no list: both follow from ids and host names by
+    rules.  Captures are spread over a year; about half of the hosts are listed for some weeks
+    (some again later), the others' `/en/` paths for good, and parent domains for 20 days."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", DAY0 + F.pmod(F.col("page_id") * 7919, F.lit(YEAR)))
+    hosts = pages.select(host_of(F.col("url")).alias("h")).where("h <> ''").distinct()
+    number = F.ascii("h") * 31 + F.length("h") * 7 + F.ascii(F.substring("h", 2, 1))
+    hosts = hosts.withColumn("c", number.cast("long"))
+    parents = hosts.select(F.regexp_replace("h", r"^[^.]*\.", "").alias("h")).where("h <> ''").distinct().withColumn("c", number.cast("long"))
+
+    def entry(source: DataFrame, kind: str, key: F.Column, action: str, day: F.Column, when: F.Column) -> DataFrame:
+        return source.where(when).select(F.lit(kind).alias("kind"), key.alias("key"), F.lit(action).alias("action"), (DAY0 + day * DAY).alias("ts"))
+
+    c, h = F.col("c"), F.col("h")
+    even = c % 2 == 0
+    entries = (
+        entry(hosts, "host", h, "add", c % 180, even)
+        .union(entry(hosts, "host", h, "remove", c % 180 + 30 + c % 90, even))
+        .union(entry(hosts, "host", h, "add", c % 180 + 200, even & (c % 3 == 0)))
+        .union(entry(hosts, "prefix", F.concat(h, F.lit("/en/")), "add", c % 120, ~even))
+        .union(entry(parents, "domain", h, "add", c % 250, F.lit(True)))
+        .union(entry(parents, "domain", h, "remove", c % 250 + 20, F.lit(True)))
+    )
+    return filter_urls(captures, entries).select("page_id", "url", "fetched_at", "n_rules", "blocked")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -81,12 +113,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_topk": op5_topk,
     "op6_superkmers": op6_superkmers,
+    "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
     "op9_crf_quality": op9_crf_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_url_filter": r"""
+with p as (
+  select page_id, url, 1704067200 + (page_id * 7919) % 31536000 as fetched_at,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) as host,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) as path
+  from pages
+), hosts as (
+  select h, cast(ascii(h) * 31 + length(h) * 7 + ascii(substring(h, 2, 1)) as bigint) as c
+  from (select distinct host as h from p where host <> '')
+), parents as (
+  select h, cast(ascii(h) * 31 + length(h) * 7 + ascii(substring(h, 2, 1)) as bigint) as c
+  from (select distinct regexp_replace(h, '^[^.]*\.', '') as h from hosts) where h <> ''
+), e as (
+  select 'host' as kind, h as k, true as adds, c % 180 as day from hosts where c % 2 = 0
+  union all select 'host', h, false, c % 180 + 30 + c % 90 from hosts where c % 2 = 0
+  union all select 'host', h, true, c % 180 + 200 from hosts where c % 2 = 0 and c % 3 = 0
+  union all select 'prefix', h || '/en/', true, c % 120 from hosts where c % 2 <> 0
+  union all select 'domain', h, true, c % 250 from parents
+  union all select 'domain', h, false, c % 250 + 20 from parents
+), one as (
+  select kind, k, day, bool_and(adds) as adds from e group by kind, k, day
+), spells as (
+  select kind, k, adds, 1704067200 + day * 86400 as since,
+         lead(1704067200 + day * 86400) over (partition by kind, k order by day) as until
+  from one
+), hits as (
+  select p.page_id, count(distinct (s.kind, s.k)) as n
+  from p join spells s on s.adds and p.fetched_at >= s.since and (s.until is null or p.fetched_at < s.until)
+   and ((s.kind = 'host' and p.host = s.k) or (s.kind = 'domain' and (p.host = s.k or ends_with(p.host, '.' || s.k)))
+        or (s.kind = 'prefix' and starts_with(p.host || p.path, s.k)))
+  where p.host <> '' group by p.page_id
+)
+select p.page_id, p.url, cast(p.fetched_at as bigint) as fetched_at, cast(coalesce(n, 0) as bigint) as n_rules, coalesce(n, 0) > 0 as blocked
+from p left join hits using (page_id)
+""",
     "op5_topk": """
 with e as (
   select vec_id, min(list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))) as v
