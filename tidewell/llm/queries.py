@@ -12,6 +12,7 @@ from .common import id_column
 from .decontaminate import decontaminate
 from .langid import fit as fit_langid
 from .langid import identify, training_rows
+from .mixing import TARGETS, label_domains, mix_domains
 from .suffix_dedup import dedup_substrings
 from .superkmers import dedup_windows
 from .topk import top_k
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    labels = label_domains(table(spark, sf_dir, "labels"))
+    return mix_domains(docs, labels, TARGETS, keep=("doc_id", "source")).drop("_d", "_t")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -109,6 +116,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
     "op4_langid": op4_langid,
     "op5_topk": op5_topk,
