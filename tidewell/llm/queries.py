@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import crf_quality
 from .common import id_column
 from .decontaminate import decontaminate
+from .jaccard import component_ids
 from .langid import fit as fit_langid
 from .langid import identify, training_rows
 from .mixing import TARGETS, label_domains, mix_domains
@@ -43,6 +44,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90, den=100)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_langid(training_rows(docs))
@@ -118,6 +123,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
+    "op3_jaccard": op3_jaccard,
     "op4_langid": op4_langid,
     "op5_topk": op5_topk,
     "op6_superkmers": op6_superkmers,
