@@ -6,7 +6,9 @@ predicts for every document its posterior share of each domain.  With x[i, k] =
 document i times its share of domain k, nonnegative rates r are sought whose expected totals
 E[k] = sum of r[i] * x[i, k] match the targets T[k] = weight[k] * budget in the least squares
 sense.  Rates start at 1 and take projected gradient steps r <- max(0, r - x . g) with
-g = M (E - T); M is the inverse of the domains' second moments, which makes a step of 1 safe.
+g = M (E - T); M is the inverse of the second moments of x over the documents whose rate is
+above 0, so a step would meet the targets if no further rate fell to 0.  If the distance to
+the targets grows, M is taken over all documents, which makes a step of 1 safe.
 
 A step needs the K totals alone: a rate is a formula over x and the gradients so far, so an
 iteration is one aggregation over the small table of x, and no rates are stored or collected.
@@ -27,7 +29,7 @@ from .common import checkpointed, doc_key
 
 MAX_DOCS, MAX_WORDS = 10_000, 20_000
 SMOOTH = 0.5
-MAX_STEPS, TOLERANCE = 40, 1e-7
+MAX_STEPS, TOLERANCE = 24, 1e-6
 
 
 def tokens_of(text: Column) -> Column:
@@ -91,23 +93,34 @@ def solve(x: DataFrame, weights: list[float], budget: float | None = None, max_s
     """The gradients of the projected steps.  budget: tokens wanted in all, by default those there are."""
     k = len(weights)
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    row = x.agg(*[F.sum(f"x{j}") for j in range(k)], *[F.sum(F.col(f"x{a}") * F.col(f"x{b}")) for a, b in pairs]).first()
-    if row[0] is None:
+
+    def totals(gradients: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Expected totals, and the second moments of x over the rates above 0."""
+        rated = x.select(*[f"x{j}" for j in range(k)], rate_of(gradients).alias("_rate"))
+        on = F.when(F.col("_rate") > 0, 1.0).otherwise(0.0)
+        row = rated.agg(*[F.sum(F.col(f"x{j}") * F.col("_rate")) for j in range(k)], *[F.sum(F.col(f"x{a}") * F.col(f"x{b}") * on) for a, b in pairs]).first()
+        if row[0] is None:
+            return None
+        moments = np.zeros((k, k))
+        for (a, b), v in zip(pairs, row[k:], strict=True):
+            moments[a, b] = moments[b, a] = float(v)
+        return np.array([float(v) for v in row[:k]]), moments
+
+    begun = totals([])
+    if begun is None:
         return []
-    now = np.array([float(v) for v in row[:k]])
-    moments = np.zeros((k, k))
-    for (a, b), v in zip(pairs, row[k:], strict=True):
-        moments[a, b] = moments[b, a] = float(v)
+    now, everywhere = begun
     share = np.array(weights, float) / max(sum(weights), 1e-300)
     target = share * (now.sum() if budget is None else budget)
-    inverse = np.linalg.pinv(moments + np.eye(k) * (1e-12 * np.trace(moments) + 1e-300))
     gradients: list[np.ndarray] = []
+    moments, distance = everywhere, np.inf
     for _ in range(max_steps):
-        if np.abs(now - target).max() <= tolerance * max(target.sum(), 1.0):
+        last, distance = distance, float(np.abs(now - target).max())
+        if distance <= tolerance * max(target.sum(), 1.0):
             break
-        gradients.append(inverse @ (now - target))
-        row = x.agg(*[F.sum(F.col(f"x{j}") * rate_of(gradients)) for j in range(k)]).first()
-        now = np.array([float(v) for v in row])
+        used = moments if distance < last else everywhere
+        gradients.append(np.linalg.pinv(used + np.eye(k) * (1e-12 * np.trace(used) + 1e-300)) @ (now - target))
+        now, moments = totals(gradients)
     return gradients
 
 
