@@ -32,7 +32,7 @@ from .suffix_dedup import _keys, dealt, names128
 WINDOW, GRAM = 20, 4
 #: b1, b2: the bucket.  packed: the words of windows first..last, null if the bucket is one window's
 #: or the row is only a mark.  first..last: window numbers (by first word).
-ROWS = "b1 long, b2 long, u1 long, u2 long, _d long, _t int, first int, last int, packed string, mark boolean"
+ROWS = "b1 long, b2 long, _d long, _t int, first int, last int, packed string, mark boolean"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
@@ -78,11 +78,24 @@ def _packets(window: int, gram: int):
             # a repeated row's windows are its own: marked only if another position comes before
             leader = np.maximum.accumulate(np.where(~same, np.arange(len(same)), 0))
             mark = same & ~((d[doc] == d[doc[leader]]) & (t[doc] == t[doc[leader]]) & (low == low[leader]))
-            keep = ~here
-            strings = pa.array([None if m or h else packed[s][0][packed[s][1][w] : packed[s][1][w + 1]].tobytes().decode() for m, h, s, w in zip(mark[keep].tolist(), is_hot[keep].tolist(), source[keep].tolist(), within[keep].tolist(), strict=True)], pa.string())
-            root[mark] = rank[mark] ^ np.stack([low[mark] * 2654435761, d[doc[mark]]], 1)
-            doc, columns = doc[keep], [root[keep, 0], root[keep, 1], rank[keep, 0], rank[keep, 1]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(d[doc]), pa.array(t[doc]), pa.array(low[keep].astype(np.int32)), pa.array(high[keep].astype(np.int32)), strings, pa.array(mark[keep])], names=NAMES)
+            # marked windows only pass through: spans of a document that touch become one
+            k = np.flatnonzero(mark & ~here)
+            shift = doc[k] << 32
+            low_m, high_m = covered(shift + low[k], shift + high[k] + 1)
+            own = low_m >> 32
+            keep = np.flatnonzero(~here & ~mark)
+            strings = [None if h else packed[s][0][packed[s][1][w] : packed[s][1][w + 1]].tobytes().decode() for h, s, w in zip(is_hot[keep].tolist(), source[keep].tolist(), within[keep].tolist(), strict=True)]
+            doc = np.r_[doc[keep], own]
+            columns = (
+                np.r_[root[keep, 0], d[own] * 2654435761],
+                np.r_[root[keep, 1], np.zeros(len(own), np.int64)],
+                d[doc],
+                t[doc],
+                np.r_[low[keep], low_m & 0xFFFFFFFF].astype(np.int32),
+                np.r_[high[keep], (high_m & 0xFFFFFFFF) - 1].astype(np.int32),
+            )
+            is_mark = np.r_[np.zeros(len(keep), bool), np.ones(len(own), bool)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(strings + [None] * len(own), pa.string()), pa.array(is_mark)], names=NAMES)
 
     return run
 
@@ -107,7 +120,7 @@ def _bucket(window: int):
     """Sorts each bucket's windows; yields the windows that also start earlier."""
 
     def marks(rows: list[tuple]) -> tuple[list, list, list, list]:
-        """rows: (u1, u2, d, t, first, last, packed) of one bucket, sorted; returns spans to remove."""
+        """rows: (d, t, first, last, packed) of one bucket, sorted by content; returns spans to remove."""
         out: tuple[list, list, list, list] = ([], [], [], [])
 
         def add(d, t, first, last):
@@ -116,9 +129,9 @@ def _bucket(window: int):
 
         distinct, lead = [], None
         for r in rows:
-            if lead is not None and r[:2] == lead[:2]:
-                if r[2:5] != lead[2:5]:
-                    add(*r[2:6])
+            if lead is not None and r[4] == lead[4]:
+                if r[:3] != lead[:3]:
+                    add(*r[:4])
             else:
                 lead = r
                 distinct.append(r)
@@ -126,7 +139,7 @@ def _bucket(window: int):
         if len(distinct) > 1:
             seen: dict[str, tuple] = {}
             # positions in order: the first window of each content stays
-            for _, _, d, t, first, last, packed in sorted(distinct, key=lambda r: r[2:5]):
+            for d, t, first, last, packed in sorted(distinct, key=lambda r: r[:3]):
                 words = packed.split(" ")
                 for p in range(last - first + 1):
                     at = (d, t, first + p)
@@ -138,14 +151,14 @@ def _bucket(window: int):
         held: list[tuple] = []
         bucket: tuple | None = None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(10)]
+            columns = [batch.column(k).to_pylist() for k in range(len(NAMES))]
             ready: tuple[list, list, list, list] = ([], [], [], [])
 
             def take(found):
                 for x, y in zip(ready, found, strict=True):  # noqa: B023
                     x.extend(y)
 
-            for b1, b2, u1, u2, d, t, first, last, packed, mark in zip(*columns, strict=True):
+            for b1, b2, d, t, first, last, packed, mark in zip(*columns, strict=True):
                 if mark:
                     take(([d], [t], [first], [last]))
                     continue
@@ -154,10 +167,10 @@ def _bucket(window: int):
                         take(marks(held))
                     bucket, held = (b1, b2), []
                 if packed is None and held:  # a bucket of one window: only its first row is kept
-                    if held[0][2:5] != (d, t, first):
+                    if held[0][:3] != (d, t, first):
                         take(([d], [t], [first], [last]))
                     continue
-                held.append((u1, u2, d, t, first, last, packed))
+                held.append((d, t, first, last, packed))
             if ready[0]:
                 yield result(ready)
         if held:
@@ -210,7 +223,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     base = dealt(docs)
     need = repeated_grams(docs, window, gram, words=True)
     rows = base.join(need, ["_d", "_t"]).select(*base.columns, "grams", "heavy").mapInArrow(_packets(window, gram), ROWS)
-    buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "u1", "u2", "_d", "_t", "first")
+    buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "packed", "_d", "_t", "first")
     marked = buckets.mapInArrow(_bucket(window), "_d long, _t int, first int, last int")
     spans = marked.groupBy("_d", "_t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     found = base.join(spans, ["_d", "_t"], "left").select(*base.columns, "spans")
