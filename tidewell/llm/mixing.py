@@ -6,9 +6,10 @@ predicts for every document its posterior share of each domain.  With x[i, k] =
 document i times its share of domain k, nonnegative rates r are sought whose expected totals
 E[k] = sum of r[i] * x[i, k] match the targets T[k] = weight[k] * budget in the least squares
 sense.  Rates start at 1 and take projected gradient steps r <- max(0, r - x . g) with
-g = M (E - T); M is the inverse of the second moments of x over the documents whose rate is
-above 0, so a step would meet the targets if no further rate fell to 0.  If the distance to
-the targets grows, M is taken over all documents, which makes a step of 1 safe.
+g = M (E - T).  With M the inverse of the second moments of x over all documents a step of 1
+never goes uphill in (E - T) . M (E - T).  A bolder M, over the documents whose rate is above
+0, would meet the targets if no further rate fell to 0; such a step is kept if it gains a
+tenth at least, and no longer tried after two that do not.
 
 A step needs the K totals alone: a rate is a formula over x and the gradients so far, so an
 iteration is one aggregation over the small table of x, and no rates are stored or collected.
@@ -113,14 +114,24 @@ def solve(x: DataFrame, weights: list[float], budget: float | None = None, max_s
     share = np.array(weights, float) / max(sum(weights), 1e-300)
     target = share * (now.sum() if budget is None else budget)
     gradients: list[np.ndarray] = []
-    moments, distance = everywhere, np.inf
+    ridge = lambda m: np.linalg.pinv(m + np.eye(k) * (1e-12 * np.trace(m) + 1e-300))
+    safe, moments, failed = ridge(everywhere), everywhere, 0
+    height = lambda v: float((v - target) @ safe @ (v - target))
     for _ in range(max_steps):
-        last, distance = distance, float(np.abs(now - target).max())
-        if distance <= tolerance * max(target.sum(), 1.0):
+        if np.abs(now - target).max() <= tolerance * max(target.sum(), 1.0):
             break
-        used = moments if distance < last else everywhere
-        gradients.append(np.linalg.pinv(used + np.eye(k) * (1e-12 * np.trace(used) + 1e-300)) @ (now - target))
+        if failed < 2 and len(gradients):
+            bold = [*gradients, ridge(moments) @ (now - target)]
+            there = totals(bold)
+            if height(there[0]) <= 0.9 * height(now):
+                gradients, (now, moments) = bold, there
+                continue
+            failed += 1
+        before = height(now)
+        gradients.append(safe @ (now - target))
         now, moments = totals(gradients)
+        if height(now) > (1 - 1e-6) * before:  # as near as nonnegative rates come
+            break
     return gradients
 
 
