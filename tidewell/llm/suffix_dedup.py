@@ -62,9 +62,9 @@ def _rows(first, second, d, t, place, low, high, state) -> pa.RecordBatch:
 
 def _settled(d, t, low, high) -> pa.RecordBatch:
     """Rows of settled spans; their ranks only spread them over the tasks."""
-    key = np.stack([low.astype(np.int64) * 2654435761 + d, d], 1)
     zero = np.zeros(len(low), np.int64)
-    return _rows(key, key, d, t, zero, low, high, zero + DONE)
+    none = np.stack([zero, zero], 1)
+    return _rows(np.stack([d * 2654435761, zero], 1), none, d, t, zero, low, high, zero + DONE)
 
 
 def _keys(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +110,10 @@ def _run_rows(length: int, gram: int):
             rest = ~send
             yield _rows(root[send], rank[send], d[doc[send]], t[doc[send]], at[send], s1[send], s2[send], state[send])
             if rest.any():
-                yield _settled(d[doc[rest]], t[doc[rest]], s1[rest], s2[rest] + length)
+                shift = doc[rest] << 32
+                lo, hi = covered(shift + s1[rest], shift + s2[rest] + length)
+                own = lo >> 32
+                yield _settled(d[own], t[own], lo & 0xFFFFFFFF, hi & 0xFFFFFFFF)
 
     return run
 
