@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import chain
-from tidewell.sources import generator, messages
+from tidewell.sources import checkpoint, generator, messages, spool
 from tidewell.sources.rpc import ChainSource, Client, Page, fetched
 from tidewell.streaming import sinks
 
@@ -119,3 +119,20 @@ def test_envelopes_and_upserts(spark, tmp_path):
     assert sorted(tuple(r) for r in table.read().collect()) == [(1, 9, 2, False), (2, 1, 0, True)]
     last = sinks.keep_last(rows.withColumn("n", F.monotonically_increasing_id()), ["win_idx", "head", "tail"], "n")
     assert sorted((r.win_idx, r.open_win) for r in last.collect()) == [(0, False), (1, True)]
+
+
+def test_checkpoint_file(tmp_path):
+    path = str(tmp_path / "ck")
+    assert checkpoint.load(path) is None
+    assert [checkpoint.parse(t) for t in ("", " \n", "7", "7\n", " 7 \n 0xab \n")] == [None, None, None, None, (7, "0xab")]
+    with pytest.raises(ValueError):
+        checkpoint.parse("x\n0xab")
+    checkpoint.save(path, 9, "0xcd")
+    assert checkpoint.load(path) == (9, "0xcd")
+
+
+def test_spool(spark, tmp_path):
+    whole = spool.packed(0, 5, b"{}") + spool.packed(1, 2**40, b"")
+    (tmp_path / "a.spool").write_bytes(whole + spool.packed(0, 6, b"lost")[:-1])
+    (tmp_path / "b.spool").write_bytes(b"")
+    assert sorted(tuple(r) for r in spool.read(spark, str(tmp_path)).collect()) == [(0, 5, bytearray(b"{}")), (1, 2**40, bytearray())]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import encoding as E
 from tidewell.operators import chain, dictionary, graph
 from tidewell.plans import windows
-from tidewell.sources import fixture
+from tidewell.sources import fixture, generator, messages
 from tidewell.streaming import sinks
 
 CADENCE = (5, 20, 100, 500)
@@ -184,6 +184,60 @@ def start_height_tail_only(spark, d):
     return chain.start_height(_blocks(spark, d), -1)
 
 
+@query("select cast(43 as bigint) as start, 'resume' as mode")
+def start_height_resume(spark, d):
+    """The checkpoint's hash, read from the table, is written in upper case and without prefix."""
+    blocks = _blocks(spark, d)
+    text = chain.by_number(blocks, 42).first()["hash"][2:].upper()
+    return chain.start_height(blocks, 86_400, (42, text))
+
+
+@query("select number, n_tx from blocks")
+def tx_per_block(spark, d):
+    return _flat(spark, d).groupBy("number").agg(F.count("*").alias("n_tx"))
+
+
+@query(", ck as (select number, case when number % 3 = 0 then hash else upper(substr(hash, 3)) || '0' end as claimed from blocks) select number from ck where number % 3 = 0")
+def checkpoint_validation(spark, d):
+    """Which of many checkpoints (height, hash) agree with the chain."""
+    blocks = _blocks(spark, d)
+    claims = blocks.select("number", F.when(F.col("number") % 3 == 0, F.upper(F.substring("hash", 3, 64))).otherwise(F.concat(F.upper(F.substring("hash", 3, 64)), F.lit("0"))).alias("claimed"))
+    return claims.join(blocks.select("number", "hash"), "number").where(E.equal_hex(F.col("claimed"), F.col("hash"))).select("number")
+
+
+@query("select number, ts + case when number > 100 then 1 else 0 end as ts from blocks where number <= 200")
+def append_replayed(spark, d):
+    """Heights 51 to 200 arrive again with other times; the first block of a height stays."""
+    blocks = _blocks(spark, d).select("number", "ts")
+    return chain.append(blocks.where("number <= 100"), blocks.where("number between 51 and 200").withColumn("ts", F.col("ts") + 1))
+
+
+@query("select number from blocks where number % 10 = 0")
+def broken_links(spark, d):
+    """Heights whose parent hash is not that of the block before; every tenth is made wrong."""
+    blocks = _blocks(spark, d)
+    parents = blocks.select((F.col("number") + 1).alias("number"), F.col("hash").alias("p"))
+    linked = blocks.join(parents, "number", "left").withColumn("parent_hash", F.when(F.col("number") % 10 == 0, F.lit("0x")).otherwise(F.col("p")))
+    return chain.linked(linked)
+
+
+@query("select from_id, to_id, count(*) as n, min(idx) as first_idx, max(idx) as last_idx from enc group by 1, 2")
+def edge_totals(spark, d):
+    return _events(spark, d).groupBy("from_id", "to_id").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
+@query("select number, ts, n_tx from blocks where n_tx > 0 and ts >= 1704067200")
+def block_messages(spark, d):
+    """Blocks as JSON messages and back, among messages that are no blocks."""
+    listed = _flat(spark, d).groupBy("number", "ts").agg(
+        F.collect_list(F.struct(F.lit(None).cast("string").alias("hash"), F.struct(F.col("sender").alias("from"), F.col("receiver").alias("to"), "token", "amount", F.col("ts").alias("timestamp")).alias("tx_body"), F.col("number").alias("block_num"))).alias("txs")
+    )
+    header = F.struct("number", F.lit("").alias("parent_hash"), F.col("ts").alias("timestamp"), F.lit("").alias("tx_root"))
+    sent = messages.encode(listed.select(header.alias("header"), F.lit("").alias("hash"), "txs")).select(F.col("key").cast("long").alias("offset"), "value")
+    noise = sent.select("offset", F.concat(F.lit("{"), "value").alias("value")).where("offset % 4 = 0")
+    return messages.block_rows(messages.decode(sent.union(noise))).select("number", "ts", "n_tx")
+
+
 @query("select number, ts, n_tx from blocks where number <= 120")
 def truncate_after(spark, d):
     return chain.truncate_after(_blocks(spark, d), 120).select("number", "ts", "n_tx")
@@ -402,6 +456,15 @@ def strong_components(spark, d):
 QUERIES["strong_components"] = strong_components
 
 
+def synthetic_transfers(spark, d):
+    """Generated transfers: drawn from hashes DuckDB does not have, so there is no SQL; tests check them."""
+    blocks = generator.schedule(spark, 1_704_067_200, 500, 600)
+    return generator.transfers(blocks, 5000, seed=42)
+
+
+QUERIES["synthetic_transfers"] = synthetic_transfers
+
+
 @query("select tok as token, cast(sum(amount) as bigint) as amount, count(*) as n from tx group by tok")
 def amount_by_token(spark, d):
     """Not an operator of the reference: a plain aggregation for comparison."""
