@@ -253,11 +253,11 @@ def warm_up_schedule(spark, d):
     return chain.warm_up(_blocks(spark, d), 1_706_700_000, 86_400 * 40, 600)
 
 
-@query("select b.number, a.hash as parent_hash from blocks b left join blocks a on a.number = b.number - 1 where b.number % 7 = 0")
+@query("select b.number, a.hash as parent_hash from blocks b left join blocks a on a.number = b.number - 1")
 def parent_lookup(spark, d):
     b = _blocks(spark, d)
     parents = b.select((F.col("number") + 1).alias("number"), F.col("hash").alias("parent_hash"))
-    return b.select("number").join(parents, "number", "left").where("number % 7 = 0")
+    return b.select("number").join(parents, "number", "left")
 
 
 @query("select idx, number, ts, '0x' || src as sender, '0x' || dst as receiver, tok as token, amount from tx")
@@ -401,19 +401,19 @@ def window_edges_at_ticks(spark, d):
     return graph.edge_counts(_ticks(spark, d), _events(spark, d))
 
 
-@query("select cast(win_idx as integer) as win_idx, head, from_id, to_id, list(idx order by idx) as evidence from wev where win_idx >= 2 group by 1, 2, 3, 4")
+@query("select cast(win_idx as integer) as win_idx, head, from_id, to_id, list(idx order by idx) as evidence from wev group by 1, 2, 3, 4")
 def edge_evidence(spark, d):
-    return graph.evidence(_ticks(spark, d).where("win_idx >= 2"), _events(spark, d))
+    return graph.evidence(_ticks(spark, d), _events(spark, d))
 
 
-@query("select cast(win_idx as integer) as win_idx, head, from_id as node, list_sort(list(distinct to_id)) as neighbours from wev where win_idx >= 2 group by 1, 2, 3")
+@query("select cast(win_idx as integer) as win_idx, head, from_id as node, list_sort(list(distinct to_id)) as neighbours from wev group by 1, 2, 3")
 def adjacency(spark, d):
-    return graph.adjacency(_ticks(spark, d).where("win_idx >= 2"), _events(spark, d))
+    return graph.adjacency(_ticks(spark, d), _events(spark, d))
 
 
-@query("select cast(win_idx as integer) as win_idx, head, to_id as node, list_sort(list(distinct from_id)) as neighbours from wev where win_idx >= 2 group by 1, 2, 3")
+@query("select cast(win_idx as integer) as win_idx, head, to_id as node, list_sort(list(distinct from_id)) as neighbours from wev group by 1, 2, 3")
 def reverse_adjacency(spark, d):
-    return graph.adjacency(_ticks(spark, d).where("win_idx >= 2"), _events(spark, d), reverse=True)
+    return graph.adjacency(_ticks(spark, d), _events(spark, d), reverse=True)
 
 
 DEGREES = ", deg as (select win_idx, head, node, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree from (select win_idx, head, from_id as node, 1 as o, 0 as i from wev union all select win_idx, head, to_id, 0, 1 from wev) group by 1, 2, 3)"
