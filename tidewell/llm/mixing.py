@@ -65,20 +65,18 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_docs: int =
 def memberships(docs: DataFrame, model: DataFrame, prior: list[float], max_words: int = MAX_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`_d`, `_t`, the `keep` columns, `n_tokens` and `x0`, `x1`, ... (expected tokens by domain)."""
     k = len(prior)
-    rows = docs.select(*doc_key(), F.struct(*keep).alias("_keep"), F.monotonically_increasing_id().alias("_row"), tokens_of(F.col("text").cast("string")).alias("_words"))
-    rows = rows.select("_d", "_t", "_keep", "_row", F.explode_outer("_words").alias("word"))
-    met = rows.join(F.broadcast(model.limit(max_words)), "word", "left")
-    out = met.groupBy("_row").agg(
-        F.first("_d").alias("_d"),
-        F.first("_t").alias("_t"),
-        F.first("_keep").alias("_keep"),
-        F.count(F.when(F.col("word") != "", 1)).alias("n_tokens"),
+    rows = docs.select(*doc_key(), *keep, F.monotonically_increasing_id().alias("_row"), tokens_of(F.col("text").cast("string")).alias("_words"))
+    rows = rows.select("_d", "_t", *keep, "_row", F.explode_outer("_words").alias("_word"))
+    met = rows.join(F.broadcast(model.limit(max_words)), F.col("_word") == F.col("word"), "left")
+    # all that is kept is in the key: sums alone are aggregated by hash, without a sort
+    out = met.groupBy("_row", "_d", "_t", *keep).agg(
+        F.count(F.when(F.col("_word") != "", 1)).alias("n_tokens"),
         *[(F.coalesce(F.sum(f"w{j}"), F.lit(0.0)) + F.lit(prior[j])).alias(f"s{j}") for j in range(k)],
     )
     best = F.greatest(*[F.col(f"s{j}") for j in range(k)]) if k > 1 else F.col("s0")
     odds = [F.exp(F.col(f"s{j}") - best) for j in range(k)]
     whole = sum(odds[1:], odds[0])
-    return out.select("_d", "_t", "_keep.*", "n_tokens", *[(F.col("n_tokens") * odds[j] / whole).alias(f"x{j}") for j in range(k)])
+    return out.select("_d", "_t", *keep, "n_tokens", *[(F.col("n_tokens") * odds[j] / whole).alias(f"x{j}") for j in range(k)])
 
 
 def rate_of(gradients: list[np.ndarray]) -> Column:
