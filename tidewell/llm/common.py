@@ -76,7 +76,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """A dictionary that is empty again in the worker it is sent to."""
+
+    def __reduce__(self):
+        return (_Cache, ())
+
+
+_POWERS: dict[str, np.ndarray] = _Cache()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +144,21 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def in_parts(function, limit: int = 8 << 20):
+    """A mapInArrow function that gets batches of at most `limit` bytes of `text` (or one row):
+    Spark's batches are bounded by rows, and what a task holds beside them should be as well."""
+
+    def run(batches):
+        def parts():
+            for batch in batches:
+                for a, b in chunks(text_buffer(batch.column("text"))[1], limit):
+                    yield batch.slice(a, b - a)
+
+        yield from function(parts())
+
+    return run
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the index of the first word of each document.
 

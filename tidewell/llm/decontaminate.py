@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, chunks, covered, lower_ascii, ragged, text_buffer, word_names, word_spans
+from .common import checkpointed, chunks, covered, in_parts, lower_ascii, ragged, text_buffer, word_names, word_spans
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE_EVERY = 8
 MAX_BENCHMARK_BYTES = 32 << 20
 
@@ -284,14 +284,17 @@ def decontaminate(
     plain = T.StructType([f for f in docs.schema.fields if f.name not in {"_starts", "_ends", "_items", "_n_words", "_n_hit", "_clean", "_items_sha256"}])
     df = docs.select(*plain.fieldNames(), *(F.lit(None).cast(f.dataType).alias(f.name) for f in spans))
     schema = T.StructType(plain.fields + spans)
-    for k in range(slices):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
-        found = phrases([(r.i, r.t) for r in part.collect()], window)
-        df = df.mapInArrow(_searched(spark.sparkContext.broadcast(found), shard_bytes), schema)
-        if k + 1 < slices:
-            df = checkpointed(df)
     more = [T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_clean", T.StringType()), T.StructField("_items_sha256", T.StringType())]
-    return df.mapInArrow(_finished, T.StructType(schema.fields + more))
+
+    def searched(k: int):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
+        return _searched(spark.sparkContext.broadcast(phrases([(r.i, r.t) for r in part.collect()], window)), shard_bytes)
+
+    for k in range(slices - 1):
+        df = checkpointed(df.mapInArrow(in_parts(searched(k)), schema))
+    last = searched(slices - 1)
+    # the last search and the merging share one Python worker
+    return df.mapInArrow(in_parts(lambda batches: _finished(last(batches))), T.StructType(schema.fields + more))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
