@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_symbols, chunks, keyed, mix, not_space, ragged, running, sliding_min, span, text_buffer, word_names, word_spans
+from .common import byte_symbols, chunks, in_parts, keyed, mix, not_space, ragged, running, sliding_min, span, text_buffer, word_names, word_spans
 
 #: Grams seen more often than this take the path that never gathers a gram's runs in one task.
 HEAVY = 5000
@@ -75,7 +75,7 @@ def _gram_rows(length: int, gram: int, words: bool):
 def repeated_grams(docs: DataFrame, length: int, gram: int, words: bool, heavy: int = HEAVY) -> DataFrame:
     """`_d`, `_t`, `grams` and `heavy`: the names of each document's grams that stand in more
     than one run of the corpus, those over `heavy` runs apart."""
-    rows = keyed(docs).mapInArrow(_gram_rows(length, gram, words), "_d long, _t int, gram long, n int")
+    rows = keyed(docs).mapInArrow(in_parts(_gram_rows(length, gram, words)), "_d long, _t int, gram long, n int")
     often = rows.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram", (F.col("all") > heavy).alias("hot"))
     found = rows.select("_d", "_t", "gram").join(often, "gram")
     return found.groupBy("_d", "_t").agg(

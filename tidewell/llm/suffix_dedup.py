@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, covered, doc_key, ragged, text_buffer
+from .common import chunks, covered, doc_key, in_parts, ragged, text_buffer
 from .minimisers import list_values, member, minimiser_runs, repeated_grams, symbols_of
 
 LENGTH, GRAM, BLOCK = 200, 32, 16
@@ -256,10 +256,10 @@ def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, gram:
     """`_d`, `_t`, `items`: byte spans (low, high) of each document that other positions repeat."""
     columns = base.columns
     need = repeated_grams(docs, length, gram, words=False)
-    rows = base.join(need, ["_d", "_t"]).select(*columns, "grams", "heavy").mapInArrow(_run_rows(length, gram), ROWS)
+    rows = base.join(need, ["_d", "_t"]).select(*columns, "grams", "heavy").mapInArrow(in_parts(_run_rows(length, gram)), ROWS)
     for width in (block, 1):
         items = by_document(ranked(rows, length))
-        rows = base.join(items, ["_d", "_t"]).select(*columns, "items").mapInArrow(_block_rows(length, gram, width), ROWS)
+        rows = base.join(items, ["_d", "_t"]).select(*columns, "items").mapInArrow(in_parts(_block_rows(length, gram, width)), ROWS)
     return by_document(ranked(rows, length, last=True))
 
 
@@ -304,7 +304,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     spans = repeated_spans(docs, base, length, gram, block)
     found = base.join(spans, ["_d", "_t"], "left").select(*base.columns, "items")
     kind = base.schema["_rest"].dataType.simpleString() if "_rest" in base.columns else ""
-    return found.mapInArrow(_cut, "_d long, _t int, " + (f"_rest {kind}, " if kind else "") + "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string")
+    return found.mapInArrow(in_parts(_cut), "_d long, _t int, " + (f"_rest {kind}, " if kind else "") + "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, covered, not_space, ragged, text_buffer, word_spans
+from .common import chunks, covered, in_parts, not_space, ragged, text_buffer, word_spans
 from .minimisers import list_values, member, minimiser_runs, repeated_grams, symbols_of
 from .suffix_dedup import _keys, dealt, names128
 
@@ -222,10 +222,10 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     `starts` and `ends` (removed word runs) and `_kept` (kept words, one space between)."""
     base = dealt(docs)
     need = repeated_grams(docs, window, gram, words=True)
-    rows = base.join(need, ["_d", "_t"]).select(*base.columns, "grams", "heavy").mapInArrow(_packets(window, gram), ROWS)
+    rows = base.join(need, ["_d", "_t"]).select(*base.columns, "grams", "heavy").mapInArrow(in_parts(_packets(window, gram)), ROWS)
     buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "packed", "_d", "_t", "first")
     marked = buckets.mapInArrow(_bucket(window), "_d long, _t int, first int, last int")
     spans = marked.groupBy("_d", "_t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     found = base.join(spans, ["_d", "_t"], "left").select(*base.columns, "spans")
     kind = base.schema["_rest"].dataType.simpleString() if "_rest" in base.columns else ""
-    return found.mapInArrow(_kept(window), "_d long, _t int, " + (f"_rest {kind}, " if kind else "") + "n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _kept string")
+    return found.mapInArrow(in_parts(_kept(window)), "_d long, _t int, " + (f"_rest {kind}, " if kind else "") + "n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _kept string")
