@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix, ragged, running, span, text_buffer
+from .common import chunks, in_parts, mix, ragged, running, span, text_buffer
 
 LONGEST = 4
 MAX_DOCS = 20_000
-MAX_ENTRIES = 300_000
+MAX_ENTRIES = 100_000
 UNKNOWN = "und"
 
 
@@ -54,9 +54,11 @@ class Words:
             return mix(span(self.sums, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
     def grams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(which of `words`, name) of each character n-gram, with one edge on either side."""
-        begin = self.starts[words] - 1
-        count = np.maximum(self.ends[words] - self.starts[words] + 3 - n, 0)
+        """(which of `words`, name) of each character n-gram; from two characters on a word has
+        an edge on either side."""
+        edge = int(n > 1)
+        begin = self.starts[words] - edge
+        count = np.maximum(self.ends[words] - self.starts[words] + 2 * edge + 1 - n, 0)
         at = ragged(begin, count)
         return np.repeat(np.arange(len(words)), count), self.named(at, at + n)
 
@@ -91,7 +93,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
     total = rows.count()
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_docs / total))
-    counted = rows.mapInArrow(_counted, "lang string, n int, name long, c long").groupBy("n", "name", "lang").agg(F.sum("c").alias("c"))
+    counted = rows.mapInArrow(in_parts(_counted), "lang string, n int, name long, c long").groupBy("n", "name", "lang").agg(F.sum("c").alias("c"))
     kept = counted.orderBy(F.desc("c"), "n", "name", "lang").limit(max_entries).toPandas()
     langs = sorted(kept["lang"].unique())
     model: dict = {"langs": langs, "tables": []}
@@ -170,7 +172,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of `docs` (it needs `text`), `_lang` and `_score`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType(docs.schema.fields + [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_predicted(held), schema)
+    return docs.mapInArrow(in_parts(_predicted(held)), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
