@@ -157,9 +157,11 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, chun
     first = min(sizes)
 
     def met(q: DataFrame, c: DataFrame) -> DataFrame:
-        c = c.select("vec_id", "v", "g", "p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
         q = q.select(*(F.col(x).alias(x) for x in ("vec_id", "v", "floor", "g", "p", "b")))
-        c = c.select(*(F.col(x).alias(x) for x in c.columns))
+        # a chunk goes to the blocks that still have a query for it
+        wanted = q.select(*(F.col(x).alias(x) for x in ("g", "p", "b"))).distinct()
+        c = c.select("vec_id", "v", "g", "p").join(wanted, ["g", "p"])
+        c = c.select(*(F.col(x).alias(x) for x in ("vec_id", "v", "g", "p", "b")))
         pair = q.groupBy("g", "p", "b").cogroup(c.groupBy("g", "p", "b"))
         return pair.applyInArrow(_retrieve(k), "query_id long, vec_id long, score long")
 
