@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, not_space, text_buffer, word_names, word_spans
+from .common import chunks, in_parts, not_space, text_buffer, word_names, word_spans
 
 MAX_DOCS = 6_000
 STEPS = 120
@@ -202,4 +202,4 @@ def _scored(model_b):
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of `docs` (it needs `text`) and `_score`, the document's quality."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scored(held), T.StructType(docs.schema.fields + [T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(in_parts(_scored(held)), T.StructType(docs.schema.fields + [T.StructField("_score", T.DoubleType())]))
