@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, doc_key, keyed, lower_ascii, mix, not_space, ragged, running, span, text_buffer, word_names, word_spans
+from .common import checkpointed, chunks, doc_key, in_parts, keyed, lower_ascii, mix, not_space, ragged, running, span, text_buffer, word_names, word_spans
 from .components import Forest, components
 from .suffix_dedup import _keys
 
@@ -340,18 +340,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     texts = keyed(docs)
-    classes = checkpointed(texts.mapInArrow(_classes(n), "_d long, _t int, node long, n long"))
-    sampled = texts.mapInArrow(_sampled(n), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_IN_SAMPLE)
+    classes = checkpointed(texts.mapInArrow(in_parts(_classes(n)), "_d long, _t int, node long, n long"))
+    sampled = texts.mapInArrow(in_parts(_sampled(n)), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_IN_SAMPLE)
     heavy = sampled.orderBy(F.desc("c"), "token").limit(max_heavy).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
     heavy_b = spark.sparkContext.broadcast(np.sort(heavy) if len(heavy) else np.zeros(1, np.uint64))
-    keys = texts.mapInArrow(_key_rows(n, num, den, heavy_b), "key long, node long")
+    keys = texts.mapInArrow(in_parts(_key_rows(n, num, den, heavy_b)), "key long, node long")
     links = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_first_links, "a long, b long")
     near = components(links)
     one = classes.where("node is not null").groupBy("node").agg(F.min(F.struct("_d", "_t")).alias("rep"), F.first("n").alias("n"))
     home = checkpointed(near.join(one, "node").select("root", "node", "rep._d", "rep._t", "n"))
     parts = home.groupBy("root").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("parts"))
     chosen = home.join(parts, "root").select("root", "node", "_d", "_t", "parts")
-    sets = texts.join(chosen, ["_d", "_t"]).select("root", "node", "parts", "text").mapInArrow(_packed_sets(n), "root long, node long, parts int, packed binary")
+    sets = texts.join(chosen, ["_d", "_t"]).select("root", "node", "parts", "text").mapInArrow(in_parts(_packed_sets(n)), "root long, node long, parts int, packed binary")
     spot = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     sets = sets.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sets = sets.select("root", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "node", (F.col("spot") > F.col("other")).cast("int").alias("side"), "packed")
