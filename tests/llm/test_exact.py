@@ -53,6 +53,40 @@ def test_suffix_dedup_keeps_columns_and_characters(spark):
     assert got == {1: ("", 0), 2: ("x", 1), 3: ("clean", 5), 4: (None, None)} or got[4] in ((None, None), ("", None))
 
 
+def same_hash(spark):
+    """Two texts of which Spark's 32-bit hash is equal, one much longer than the other."""
+    text = F.concat(F.lit("ab "), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, F.lit(" tail " * 60)).otherwise(F.lit("")))
+    rows = spark.range(600_000).select(text.alias("text"), (F.col("id") % 2).alias("odd"))
+    pair = rows.groupBy(F.hash("text")).agg(F.max(F.when(F.col("odd") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("odd") == 1, F.col("text"))).alias("b"))
+    return tuple(pair.where("a is not null and b is not null").first()[1:])
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_one_hash_are_two_documents(spark, doc_id):
+    a, b = same_hash(spark)
+    df = brute.frame(spark, [(doc_id, a), (doc_id, b), (8, a)])
+    want = brute.substrings([("a", a), ("b", b), (8, a)])
+    got = suffix_dedup.dedup_substrings(df).collect()
+    assert sorted((r.n_bytes, r.n_removed, len(r.starts), r.kept_sha256) for r in got) == sorted(want.values())
+    want = brute.windows([(1, a), (2, b), (8, a)])
+    got = superkmers.dedup_windows(df).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == sorted(v[:2] for v in want.values())
+    got = jaccard.component_ids(df).collect()
+    assert sorted(r.n_shingles for r in got) == sorted(len(brute.shingles(t, 5)) for t in (a, a, b))
+
+
+def test_copies_without_id_are_documents(spark):
+    """Copies under a null id repeat each other; rows that repeat an id do not."""
+    text, other = ROWS[0][1] + " " + "x y z " * 70, " ".join(map(str, range(90)))
+    df = brute.frame(spark, [(None, text)] * 3 + [(1, other), (1, other), (None, "short"), (None, "short")], extra=True)
+    size = len(text.encode())
+    got = [(r.n_bytes, r.n_removed, r._clean) for r in suffix_dedup.dedup_substrings(df).collect()]
+    assert sorted(got) == sorted([(size, size, "")] * 3 + [(len(other), 0, other)] * 2 + [(5, 0, "short")] * 2)
+    words, first = len(text.split()), brute.windows([(None, text)])[None]
+    got = [(r.n_words, r.n_removed) for r in superkmers.dedup_windows(df).collect()]
+    assert sorted(got) == sorted([first[:2], (words, words), (words, words), (90, 0), (90, 0), (1, 0), (1, 0)])
+
+
 def test_suffix_dedup_of_parts(spark):
     rng = random.Random(9)
     rows = [(k, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 90)))) for k in range(40)]

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
+KEY = ["_d", "_t", "_u"]
 CHUNK_BYTES = 1 << 20
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -44,19 +45,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def doc_key() -> list[Column]:
-    """`_d`, `_t`: what tells documents apart.
+    """`_d`, `_t`, `_u`: what tells documents apart; `_t` and `_u` name the text by 128 bits.
 
     A null doc_id counts as the smallest id.  Rows with equal doc_id and equal text are one
     document (each row gets its result); rows with equal doc_id and other text are others.
+    Rows without doc_id share a key if their text is equal, but are documents of their own:
+    `copy_number` and `copies` tell an operator that compares documents how many there are.
     """
     return [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"),
-        F.hash(F.col("text")).alias("_t"),
+        F.xxhash64(F.col("text")).alias("_t"),
+        F.xxhash64(F.lit(1), F.col("text")).alias("_u"),
     ]
 
 
+def copies() -> Column:
+    """How many documents without id have the row's text; 1 for rows with an id."""
+    return F.when(F.col("_d") == NULL_ID, F.count(F.lit(1)).over(Window.partitionBy(*KEY))).otherwise(F.lit(1)).alias("_copies")
+
+
+def copy_number() -> Column:
+    """1, 2, ... for the documents without id that have the same text; 1 for rows with an id."""
+    so_far = Window.partitionBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.when(F.col("_d") == NULL_ID, F.count(F.lit(1)).over(so_far)).otherwise(F.lit(1)).alias("_copies")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """`_d`, `_t` and `text` of every row, whatever other columns there are."""
+    """The key and `text` of every row, whatever other columns there are."""
     return docs.select(*doc_key(), F.col("text").cast("string").alias("text"))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, doc_key, in_parts, keyed, lower_ascii, mix, not_space, ragged, running, span, text_buffer, word_names, word_spans
+from .common import KEY, checkpointed, chunks, doc_key, in_parts, keyed, lower_ascii, mix, not_space, ragged, running, span, text_buffer, word_names, word_spans
 from .components import Forest, components
 from .suffix_dedup import _keys
 
@@ -142,11 +142,11 @@ def _sets_of(batch, n: int):
 def _classes(n: int):
     def run(batches):
         for batch in batches:
-            d, t = _keys(batch)
+            d, t, u = _keys(batch)
             for a, flat, at in _sets_of(batch, n):
                 size, names = np.diff(at), set_names(flat, at)
                 end = a + len(size)
-                yield pa.RecordBatch.from_arrays([pa.array(d[a:end]), pa.array(t[a:end]), pa.array(names.view(np.int64), mask=size == 0), pa.array(size.astype(np.int64))], names=["_d", "_t", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[a:end]), pa.array(t[a:end]), pa.array(u[a:end]), pa.array(names.view(np.int64), mask=size == 0), pa.array(size.astype(np.int64))], names=[*KEY, "node", "n"])
 
     return run
 
@@ -334,30 +334,30 @@ def _packed_sets(n: int):
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = CHUNK_TOKENS, max_heavy: int = MAX_HEAVY) -> DataFrame:
-    """`_d`, `_t`, `n` (shingles), `node` (set name, null if empty) and `root` (component) of every document.
+    """`_d`, `_t`, `_u`, `n` (shingles), `node` (set name, null if empty) and `root` (component) of every document.
 
     Two documents are linked if den * |intersection| >= num * |union| of their n-word shingles.
     """
     spark = docs.sparkSession
     texts = keyed(docs)
-    classes = checkpointed(texts.mapInArrow(in_parts(_classes(n)), "_d long, _t int, node long, n long"))
+    classes = checkpointed(texts.mapInArrow(in_parts(_classes(n)), "_d long, _t long, _u long, node long, n long"))
     sampled = texts.mapInArrow(in_parts(_sampled(n)), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_IN_SAMPLE)
     heavy = sampled.orderBy(F.desc("c"), "token").limit(max_heavy).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
     heavy_b = spark.sparkContext.broadcast(np.sort(heavy) if len(heavy) else np.zeros(1, np.uint64))
     keys = texts.mapInArrow(in_parts(_key_rows(n, num, den, heavy_b)), "key long, node long")
     links = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_first_links, "a long, b long")
     near = components(links)
-    one = classes.where("node is not null").groupBy("node").agg(F.min(F.struct("_d", "_t")).alias("rep"), F.first("n").alias("n"))
-    home = checkpointed(near.join(one, "node").select("root", "node", "rep._d", "rep._t", "n"))
+    one = classes.where("node is not null").groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("n"))
+    home = checkpointed(near.join(one, "node").select("root", "node", "rep._d", "rep._t", "rep._u", "n"))
     parts = home.groupBy("root").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("parts"))
-    chosen = home.join(parts, "root").select("root", "node", "_d", "_t", "parts")
-    sets = texts.join(chosen, ["_d", "_t"]).select("root", "node", "parts", "text").mapInArrow(in_parts(_packed_sets(n)), "root long, node long, parts int, packed binary")
+    chosen = home.join(parts, "root").select("root", "node", *KEY, "parts")
+    sets = texts.join(chosen, KEY).select("root", "node", "parts", "text").mapInArrow(in_parts(_packed_sets(n)), "root long, node long, parts int, packed binary")
     spot = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     sets = sets.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sets = sets.select("root", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "node", (F.col("spot") > F.col("other")).cast("int").alias("side"), "packed")
     met = sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     found = components(met.mapInArrow(_joined(num, den), "a long, b long"))
-    return classes.join(found, "node", "left").select("_d", "_t", "n", "node", F.coalesce("root", "node").alias("root"))
+    return classes.join(found, "node", "left").select(*KEY, "n", "node", F.coalesce("root", "node").alias("root"))
 
 
 def component_ids(docs: DataFrame, **options) -> DataFrame:
@@ -372,6 +372,6 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without those that another document of their component stands for:
     the one with the smallest doc_id stays (as often as its row is repeated)."""
     found = jaccard_components(docs, **options)
-    least = found.where("root is not null").groupBy("root").agg(F.min(F.struct("_d", "_t")).alias("keep"))
-    kept = least.select("keep._d", "keep._t").union(found.where("root is null").select("_d", "_t")).distinct()
-    return docs.select("*", *doc_key()).join(kept, ["_d", "_t"]).select(*docs.columns)
+    least = found.where("root is not null").groupBy("root").agg(F.min(F.struct(*KEY)).alias("keep"))
+    kept = least.select("keep.*").union(found.where("root is null").select(*KEY)).distinct()
+    return docs.select("*", *doc_key()).join(kept, KEY).select(*docs.columns)

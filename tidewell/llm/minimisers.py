@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_symbols, chunks, in_parts, keyed, mix, not_space, ragged, running, sliding_min, span, text_buffer, word_names, word_spans
+from .common import KEY, byte_symbols, chunks, in_parts, keyed, mix, not_space, ragged, running, sliding_min, span, text_buffer, word_names, word_spans
 
 #: Grams seen more often than this take the path that never gathers a gram's runs in one task.
 HEAVY = 5000
@@ -57,7 +57,7 @@ def _gram_rows(length: int, gram: int, words: bool):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            d, t = batch.column("_d").to_numpy(zero_copy_only=False), batch.column("_t").to_numpy(zero_copy_only=False)
+            d, t, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in KEY)
             for a, b in chunks(offsets):
                 symbols, first, _, _ = symbols_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 doc, _, _, _, name = minimiser_runs(symbols, first, length, gram)
@@ -67,18 +67,18 @@ def _gram_rows(length: int, gram: int, words: bool):
                 doc, name = doc[order], name[order]
                 head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])])
                 count = np.minimum(np.diff(np.r_[head, len(doc)]), 2).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(d[a + doc[head]]), pa.array(t[a + doc[head]]), pa.array(name[head].view(np.int64)), pa.array(count)], names=["_d", "_t", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[a + doc[head]]), pa.array(t[a + doc[head]]), pa.array(u[a + doc[head]]), pa.array(name[head].view(np.int64)), pa.array(count)], names=[*KEY, "gram", "n"])
 
     return run
 
 
 def repeated_grams(docs: DataFrame, length: int, gram: int, words: bool, heavy: int = HEAVY) -> DataFrame:
-    """`_d`, `_t`, `grams` and `heavy`: the names of each document's grams that stand in more
+    """`_d`, `_t`, `_u`, `grams` and `heavy`: the names of each document's grams that stand in more
     than one run of the corpus, those over `heavy` runs apart."""
-    rows = keyed(docs).mapInArrow(in_parts(_gram_rows(length, gram, words)), "_d long, _t int, gram long, n int")
+    rows = keyed(docs).mapInArrow(in_parts(_gram_rows(length, gram, words)), "_d long, _t long, _u long, gram long, n int")
     often = rows.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram", (F.col("all") > heavy).alias("hot"))
-    found = rows.select("_d", "_t", "gram").join(often, "gram")
-    return found.groupBy("_d", "_t").agg(
+    found = rows.select(*KEY, "gram").join(often, "gram")
+    return found.groupBy(*KEY).agg(
         F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("grams"),
         F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("heavy"),
     )

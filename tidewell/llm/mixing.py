@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, doc_key
+from .common import KEY, checkpointed, doc_key
 
 MAX_DOCS, MAX_WORDS = 10_000, 20_000
 SMOOTH = 0.5
@@ -63,20 +63,20 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_docs: int =
 
 
 def memberships(docs: DataFrame, model: DataFrame, prior: list[float], max_words: int = MAX_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`_d`, `_t`, the `keep` columns, `n_tokens` and `x0`, `x1`, ... (expected tokens by domain)."""
+    """The key, the `keep` columns, `n_tokens` and `x0`, `x1`, ... (expected tokens by domain)."""
     k = len(prior)
     rows = docs.select(*doc_key(), *keep, F.monotonically_increasing_id().alias("_row"), tokens_of(F.col("text").cast("string")).alias("_words"))
-    rows = rows.select("_d", "_t", *keep, "_row", F.explode_outer("_words").alias("_word"))
+    rows = rows.select(*KEY, *keep, "_row", F.explode_outer("_words").alias("_word"))
     met = rows.join(F.broadcast(model.limit(max_words)), F.col("_word") == F.col("word"), "left")
     # all that is kept is in the key: sums alone are aggregated by hash, without a sort
-    out = met.groupBy("_row", "_d", "_t", *keep).agg(
+    out = met.groupBy("_row", *KEY, *keep).agg(
         F.count(F.when(F.col("_word") != "", 1)).alias("n_tokens"),
         *[(F.coalesce(F.sum(f"w{j}"), F.lit(0.0)) + F.lit(prior[j])).alias(f"s{j}") for j in range(k)],
     )
     best = F.greatest(*[F.col(f"s{j}") for j in range(k)]) if k > 1 else F.col("s0")
     odds = [F.exp(F.col(f"s{j}") - best) for j in range(k)]
     whole = sum(odds[1:], odds[0])
-    return out.select("_d", "_t", *keep, "n_tokens", *[(F.col("n_tokens") * odds[j] / whole).alias(f"x{j}") for j in range(k)])
+    return out.select(*KEY, *keep, "n_tokens", *[(F.col("n_tokens") * odds[j] / whole).alias(f"x{j}") for j in range(k)])
 
 
 def rate_of(gradients: list[np.ndarray]) -> Column:
@@ -134,13 +134,13 @@ def solve(x: DataFrame, weights: list[float], budget: float | None = None, max_s
 
 
 def mix_domains(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, keep: tuple[str, ...] = ("doc_id",), max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
-    """`_d`, `_t`, the `keep` columns, `n_tokens`, `p_<domain>` (posteriors) and `rate` of every document."""
+    """The key, the `keep` columns, `n_tokens`, `p_<domain>` (posteriors) and `rate` of every document."""
     domains = sorted(weights)
     model, prior = fit(docs, labels, domains, max_docs, max_words)
     x = checkpointed(memberships(docs, model, prior, max_words, keep))
     gradients = solve(x, [weights[d] for d in domains], budget)
     share = [F.when(F.col("n_tokens") > 0, F.col(f"x{j}") / F.col("n_tokens")).otherwise(F.lit(float(np.exp(prior[j]) / np.exp(prior).sum()))) for j in range(len(domains))]
-    return x.select("_d", "_t", *keep, "n_tokens", *[share[j].alias(f"p_{d}") for j, d in enumerate(domains)], rate_of(gradients).alias("rate"))
+    return x.select(*KEY, *keep, "n_tokens", *[share[j].alias(f"p_{d}") for j, d in enumerate(domains)], rate_of(gradients).alias("rate"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -157,6 +157,6 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     """`docs` with `n_tokens`, the posteriors and `rate` beside its own columns."""
     found = mix_domains(docs, labels, weights or TARGETS).drop("doc_id")
     clash = {c.lower() for c in docs.columns}
-    new = [c for c in found.columns if c not in ("_d", "_t")]
-    found = found.groupBy("_d", "_t").agg(*[F.first(c).alias(c if c.lower() not in clash else f"mix_{c}") for c in new])
-    return docs.select("*", *doc_key()).join(found, ["_d", "_t"], "left").drop("_d", "_t")
+    new = [c for c in found.columns if c not in KEY]
+    found = found.groupBy(*KEY).agg(*[F.first(c).alias(c if c.lower() not in clash else f"mix_{c}") for c in new])
+    return docs.select("*", *doc_key()).join(found, KEY, "left").drop(*KEY)

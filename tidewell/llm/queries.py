@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf_quality
-from .common import id_column
+from .common import KEY, id_column
 from .decontaminate import decontaminate
 from .jaccard import component_ids
 from .langid import fit as fit_langid
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     labels = label_domains(table(spark, sf_dir, "labels"))
-    return mix_domains(docs, labels, TARGETS, keep=("doc_id", "source")).drop("_d", "_t")
+    return mix_domains(docs, labels, TARGETS, keep=("doc_id", "source")).drop(*KEY)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

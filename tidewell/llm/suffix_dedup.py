@@ -21,7 +21,8 @@ the name of the longer string.
 
 Cases: null text is empty; texts under the length have no windows; a document may repeat
 its own strings; rows that repeat a doc_id with its text are one document (a position is
-not its own repetition) and each get the result; an empty table gives an empty result;
+not its own repetition) and each get the result; rows without doc_id are documents of
+their own, so copies among them are repetitions; an empty table gives an empty result;
 other columns, whatever their names, are carried in `_rest`.
 """
 
@@ -35,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, covered, doc_key, in_parts, ragged, text_buffer
+from .common import KEY, chunks, copies, covered, doc_key, in_parts, ragged, text_buffer
 from .minimisers import list_values, member, minimiser_runs, repeated_grams, symbols_of
 
 LENGTH, GRAM, BLOCK = 200, 32, 16
-ROWS = "k1 long, k2 long, u1 long, u2 long, _d long, _t int, place int, low int, high int, state int"
-ITEMS = "_d long, _t int, place int, low int, high int, state int"
+ROWS = "k1 long, k2 long, u1 long, u2 long, _d long, _t long, _u long, place int, low int, high int, state int"
+ITEMS = "_d long, _t long, _u long, place int, low int, high int, state int"
 #: States of a row: settled span [low, high); to be compared; compared without a prunable first rank.
 DONE, OPEN, HOT = 0, 1, 2
 
@@ -55,20 +56,20 @@ def names128(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.n
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def _rows(first, second, d, t, place, low, high, state) -> pa.RecordBatch:
-    columns = [first[:, 0], first[:, 1], second[:, 0], second[:, 1], d, t, place.astype(np.int32), low.astype(np.int32), high.astype(np.int32), state.astype(np.int32)]
+def _rows(first, second, d, t, u, place, low, high, state) -> pa.RecordBatch:
+    columns = [first[:, 0], first[:, 1], second[:, 0], second[:, 1], d, t, u, place.astype(np.int32), low.astype(np.int32), high.astype(np.int32), state.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in ROWS.split(", ")])
 
 
-def _settled(d, t, low, high) -> pa.RecordBatch:
+def _settled(d, t, u, low, high) -> pa.RecordBatch:
     """Rows of settled spans; their ranks only spread them over the tasks."""
     zero = np.zeros(len(low), np.int64)
     none = np.stack([zero, zero], 1)
-    return _rows(np.stack([d * 2654435761, zero], 1), none, d, t, zero, low, high, zero + DONE)
+    return _rows(np.stack([d * 2654435761, zero], 1), none, d, t, u, zero, low, high, zero + DONE)
 
 
-def _keys(batch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("_d").to_numpy(zero_copy_only=False), batch.column("_t").to_numpy(zero_copy_only=False)
+def _keys(batch) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in KEY)
 
 
 def _run_rows(length: int, gram: int):
@@ -78,7 +79,7 @@ def _run_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            d, t = _keys(batch)
+            d, t, u = _keys(batch)
             light, hot = (list_values(batch.column(c)) for c in ("grams", "heavy"))
             found = []
             for a, b in chunks(offsets):
@@ -96,10 +97,10 @@ def _run_rows(length: int, gram: int):
             if not found:
                 continue
             root, rank, doc, at, s1, s2, state = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((s1, t[doc], d[doc], rank[:, 1], rank[:, 0]))
+            order = np.lexsort((s1, u[doc], t[doc], d[doc], rank[:, 1], rank[:, 0]))
             root, rank, doc, at, s1, s2, state = (x[order] for x in (root, rank, doc, at, s1, s2, state))
             same = (rank[1:] == rank[:-1]).all(1)
-            again = same & (d[doc[1:]] == d[doc[:-1]]) & (t[doc[1:]] == t[doc[:-1]]) & (s1[1:] == s1[:-1])
+            again = same & (d[doc[1:]] == d[doc[:-1]]) & (t[doc[1:]] == t[doc[:-1]]) & (u[doc[1:]] == u[doc[:-1]]) & (s1[1:] == s1[:-1])
             keep = np.r_[True, ~again]
             root, rank, doc, at, s1, s2, state = (x[keep] for x in (root, rank, doc, at, s1, s2, state))
             same = (rank[1:] == rank[:-1]).all(1)
@@ -108,12 +109,12 @@ def _run_rows(length: int, gram: int):
             # of equal runs two go on, so that each meets another wherever the rest may be
             send = lone | head | np.r_[False, head[:-1] & same]
             rest = ~send
-            yield _rows(root[send], rank[send], d[doc[send]], t[doc[send]], at[send], s1[send], s2[send], state[send])
+            yield _rows(root[send], rank[send], d[doc[send]], t[doc[send]], u[doc[send]], at[send], s1[send], s2[send], state[send])
             if rest.any():
                 shift = doc[rest] << 32
                 lo, hi = covered(shift + s1[rest], shift + s2[rest] + length)
                 own = lo >> 32
-                yield _settled(d[own], t[own], lo & 0xFFFFFFFF, hi & 0xFFFFFFFF)
+                yield _settled(d[own], t[own], u[own], lo & 0xFFFFFFFF, hi & 0xFFFFFFFF)
 
     return run
 
@@ -135,7 +136,7 @@ def _block_rows(length: int, gram: int, block: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            d, t = _keys(batch)
+            d, t, u = _keys(batch)
             doc, place, low, high, state = _item_arrays(batch)
             size, base = offsets[doc + 1] - offsets[doc], offsets[doc]
             done = state == DONE
@@ -143,7 +144,7 @@ def _block_rows(length: int, gram: int, block: int):
                 shift = doc[done] << 32
                 lo, hi = covered(shift + low[done], shift + high[done])
                 own = lo >> 32
-                yield _settled(d[own], t[own], lo & 0xFFFFFFFF, hi & 0xFFFFFFFF)
+                yield _settled(d[own], t[own], u[own], lo & 0xFFFFFFFF, hi & 0xFFFFFFFF)
             todo = ~done
             if not todo.any():
                 continue
@@ -163,10 +164,10 @@ def _block_rows(length: int, gram: int, block: int):
                 wide = names128(data, root + np.maximum(begin, 0), root + np.minimum(stop, size[pick]), each)
                 # a block that would cross the document's end equals no other
                 own = doc[pick]
-                second = np.stack([np.where(inside, wide[:, 0], d[own] * 2654435761 + t[own]), np.where(inside, wide[:, 1], ~(at * 65536 + each))], 1)
+                second = np.stack([np.where(inside, wide[:, 0], (d[own] * 2654435761 + t[own]) ^ u[own]), np.where(inside, wide[:, 1], ~(at * 65536 + each))], 1)
                 hot = state[pick] == HOT
                 first = np.where(hot[:, None], second, first)
-            yield _rows(first, second, d[doc[pick]], t[doc[pick]], at, np.maximum(begin, low[pick]) if block > 1 else begin, np.minimum(at - d1, high[pick]), state[pick])
+            yield _rows(first, second, d[doc[pick]], t[doc[pick]], u[doc[pick]], at, np.maximum(begin, low[pick]) if block > 1 else begin, np.minimum(at - d1, high[pick]), state[pick])
 
     return run
 
@@ -202,14 +203,14 @@ def _compare(length: int, last: bool):
             return None
         state = np.r_[np.full(settled.sum(), DONE), a["state"][stays]].astype(np.int32)
         high = a["high"][pick] + np.where(np.r_[~done[settled], np.zeros(stays.sum(), bool)], length, 0)
-        columns = [a["_d"][pick], a["_t"][pick], a["place"][pick], a["low"][pick], high.astype(np.int32), state]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_d", "_t", "place", "low", "high", "state"])
+        columns = [*(a[c][pick] for c in KEY), a["place"][pick], a["low"][pick], high.astype(np.int32), state]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*KEY, "place", "low", "high", "state"])
 
     def unique(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
             return table
         same = np.ones(table.num_rows - 1, bool)
-        for name in ("k1", "k2", "u1", "u2", "_d", "_t", "place", "low", "high", "state"):
+        for name in ("k1", "k2", "u1", "u2", *KEY, "place", "low", "high", "state"):
             x = table.column(name).to_numpy()
             same &= x[1:] == x[:-1]
         return table.filter(pa.array(np.r_[True, ~same])) if same.any() else table
@@ -237,74 +238,81 @@ def _compare(length: int, last: bool):
 
 def ranked(rows: DataFrame, length: int, last: bool = False) -> DataFrame:
     """One round: rows sorted by rank pair and position, then compared with their neighbours."""
-    dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "u1", "u2", "_d", "_t", "place", "low", "high")
+    dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "u1", "u2", *KEY, "place", "low", "high")
     return dealt.mapInArrow(_compare(length, last), ITEMS)
 
 
 def by_document(items: DataFrame) -> DataFrame:
-    return items.groupBy("_d", "_t").agg(F.collect_list(F.struct("place", "low", "high", "state")).alias("items"))
+    return items.groupBy(*KEY).agg(F.collect_list(F.struct("place", "low", "high", "state")).alias("items"))
 
 
 def dealt(docs: DataFrame) -> DataFrame:
     """Documents by key, with the other columns in `_rest`; one exchange that all rounds read."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     more = [F.struct(*rest).alias("_rest")] if rest else []
-    return docs.select(*doc_key(), F.col("text").cast("string").alias("text"), *more).repartition("_d", "_t")
+    return docs.select(*doc_key(), F.col("text").cast("string").alias("text"), *more).repartition(*KEY)
 
 
 def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """`_d`, `_t`, `items`: byte spans (low, high) of each document that other positions repeat."""
+    """`_d`, `_t`, `_u`, `items`: byte spans (low, high) of each document that other positions repeat."""
     columns = base.columns
     need = repeated_grams(docs, length, gram, words=False)
-    rows = base.join(need, ["_d", "_t"]).select(*columns, "grams", "heavy").mapInArrow(in_parts(_run_rows(length, gram)), ROWS)
+    rows = base.join(need, KEY).select(*columns, "grams", "heavy").mapInArrow(in_parts(_run_rows(length, gram)), ROWS)
     for width in (block, 1):
         items = by_document(ranked(rows, length))
-        rows = base.join(items, ["_d", "_t"]).select(*columns, "items").mapInArrow(in_parts(_block_rows(length, gram, width)), ROWS)
+        rows = base.join(items, KEY).select(*columns, "items").mapInArrow(in_parts(_block_rows(length, gram, width)), ROWS)
     return by_document(ranked(rows, length, last=True))
 
 
-def _cut(batches):
+def _cut(length: int):
     """Removes settled spans; `_clean` only loses whole characters."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        texts = batch.column("text")
-        doc, _, low, high, _ = _item_arrays(batch)
-        cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        out: list[list] = [[], [], [], [], [], []]
-        for k in range(batch.num_rows):
-            raw = data[offsets[k] : offsets[k + 1]]
-            s, e = covered(low[cut[k] : cut[k + 1]], high[cut[k] : cut[k + 1]])
-            if len(s):
-                keep = np.ones(len(raw) + 1, np.int8)
-                keep[ragged(s, e - s)] = 0
-                kept = raw[keep[:-1] == 1].tobytes()
-                lead = (raw & 0xC0) != 0x80
-                # a character goes only if all its bytes go
-                gone = np.maximum.reduceat(keep[:-1], np.flatnonzero(lead)) == 0
-                clean = raw[~np.repeat(gone, np.diff(np.r_[np.flatnonzero(lead), len(raw)]))].tobytes().decode()
-            else:
-                kept, clean = raw.tobytes(), texts[k].as_py()
-            out[0].append(len(raw))
-            out[1].append(len(raw) - len(kept))
-            out[2].append(hashlib.sha256(kept).hexdigest())
-            out[3].append(s.tolist())
-            out[4].append(e.tolist())
-            out[5].append(clean)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-        names = ("n_bytes", "n_removed", "kept_sha256", "starts", "ends", "_clean")
-        more = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "items")}
-        yield pa.RecordBatch.from_pydict(more | {n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            texts = batch.column("text")
+            doc, _, low, high, _ = _item_arrays(batch)
+            copy = batch.column("_copies").to_numpy(zero_copy_only=False)
+            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            out: list[list] = [[], [], [], [], [], []]
+            for k in range(batch.num_rows):
+                raw = data[offsets[k] : offsets[k + 1]]
+                s, e = covered(low[cut[k] : cut[k + 1]], high[cut[k] : cut[k + 1]])
+                if copy[k] > 1 and len(raw) >= length:  # every string of it stands in its copies
+                    s, e = np.array([0]), np.array([len(raw)])
+                if len(s):
+                    keep = np.ones(len(raw) + 1, np.int8)
+                    keep[ragged(s, e - s)] = 0
+                    kept = raw[keep[:-1] == 1].tobytes()
+                    lead = (raw & 0xC0) != 0x80
+                    # a character goes only if all its bytes go
+                    gone = np.maximum.reduceat(keep[:-1], np.flatnonzero(lead)) == 0
+                    clean = raw[~np.repeat(gone, np.diff(np.r_[np.flatnonzero(lead), len(raw)]))].tobytes().decode()
+                else:
+                    kept, clean = raw.tobytes(), texts[k].as_py()
+                out[0].append(len(raw))
+                out[1].append(len(raw) - len(kept))
+                out[2].append(hashlib.sha256(kept).hexdigest())
+                out[3].append(s.tolist())
+                out[4].append(e.tolist())
+                out[5].append(clean)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
+            names = ("n_bytes", "n_removed", "kept_sha256", "starts", "ends", "_clean")
+            more = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "items", "_copies")}
+            yield pa.RecordBatch.from_pydict(more | {n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """`_d`, `_t` (the document's key), `_rest` (other columns, if any), `n_bytes`, `n_removed`,
+    """`_d`, `_t`, `_u` (the document's key), `_rest` (other columns, if any), `n_bytes`, `n_removed`,
     `kept_sha256`, `starts` and `ends` (maximal removed byte runs) and `_clean` (text without
     the characters that lie in them wholly) of every document."""
     base = dealt(docs)
     spans = repeated_spans(docs, base, length, gram, block)
-    found = base.join(spans, ["_d", "_t"], "left").select(*base.columns, "items")
+    found = base.join(spans, KEY, "left").select(*base.columns, "items", copies())
     kind = base.schema["_rest"].dataType.simpleString() if "_rest" in base.columns else ""
-    return found.mapInArrow(in_parts(_cut), "_d long, _t int, " + (f"_rest {kind}, " if kind else "") + "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string")
+    return found.mapInArrow(in_parts(_cut(length)), "_d long, _t long, _u long, " + (f"_rest {kind}, " if kind else "") + "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

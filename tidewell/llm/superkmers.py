@@ -13,7 +13,7 @@ there, and no group is gathered.  Copies within one batch are sent once.
 
 Cases: null and empty texts and texts of fewer words keep everything; a window may repeat
 in its own document; rows that repeat a doc_id with its text are one document and each get
-the result; a null doc_id comes before all others; an empty table gives an empty result.
+the result; rows without doc_id are documents of their own and come before all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, covered, in_parts, not_space, ragged, text_buffer, word_spans
+from .common import KEY, chunks, copy_number, covered, in_parts, not_space, ragged, text_buffer, word_spans
 from .minimisers import list_values, member, minimiser_runs, repeated_grams, symbols_of
 from .suffix_dedup import _keys, dealt, names128
 
 WINDOW, GRAM = 20, 4
 #: b1, b2: the bucket.  packed: the words of windows first..last, null if the bucket is one window's
 #: or the row is only a mark.  first..last: window numbers (by first word).
-ROWS = "b1 long, b2 long, _d long, _t int, first int, last int, packed string, mark boolean"
+ROWS = "b1 long, b2 long, _d long, _t long, _u long, first int, last int, packed string, mark boolean"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
@@ -42,7 +42,7 @@ def _packets(window: int, gram: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            d, t = _keys(batch)
+            d, t, u = _keys(batch)
             light, hot = (list_values(batch.column(c)) for c in ("grams", "heavy"))
             found, packed = [], []
             for a, b in chunks(offsets):
@@ -71,13 +71,13 @@ def _packets(window: int, gram: int):
             root, rank, doc, low, high, is_hot = (np.concatenate(x) for x in zip(*found, strict=True))
             source = np.concatenate([np.full(len(f[2]), k) for k, f in enumerate(found)])
             within = np.concatenate([np.arange(len(f[2])) for f in found])
-            order = np.lexsort((low, t[doc], d[doc], rank[:, 1], rank[:, 0]))
+            order = np.lexsort((low, u[doc], t[doc], d[doc], rank[:, 1], rank[:, 0]))
             root, rank, doc, low, high, is_hot, source, within = (x[order] for x in (root, rank, doc, low, high, is_hot, source, within))
             same = np.r_[False, (rank[1:] == rank[:-1]).all(1)]
-            here = np.r_[False, (d[doc[1:]] == d[doc[:-1]]) & (t[doc[1:]] == t[doc[:-1]]) & (low[1:] == low[:-1])] & same
+            here = np.r_[False, (d[doc[1:]] == d[doc[:-1]]) & (t[doc[1:]] == t[doc[:-1]]) & (u[doc[1:]] == u[doc[:-1]]) & (low[1:] == low[:-1])] & same
             # a repeated row's windows are its own: marked only if another position comes before
             leader = np.maximum.accumulate(np.where(~same, np.arange(len(same)), 0))
-            mark = same & ~((d[doc] == d[doc[leader]]) & (t[doc] == t[doc[leader]]) & (low == low[leader]))
+            mark = same & ~((d[doc] == d[doc[leader]]) & (t[doc] == t[doc[leader]]) & (u[doc] == u[doc[leader]]) & (low == low[leader]))
             # marked windows only pass through: spans of a document that touch become one
             k = np.flatnonzero(mark & ~here)
             shift = doc[k] << 32
@@ -91,6 +91,7 @@ def _packets(window: int, gram: int):
                 np.r_[root[keep, 1], np.zeros(len(own), np.int64)],
                 d[doc],
                 t[doc],
+                u[doc],
                 np.r_[low[keep], low_m & 0xFFFFFFFF].astype(np.int32),
                 np.r_[high[keep], (high_m & 0xFFFFFFFF) - 1].astype(np.int32),
             )
@@ -119,19 +120,19 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarr
 def _bucket(window: int):
     """Sorts each bucket's windows; yields the windows that also start earlier."""
 
-    def marks(rows: list[tuple]) -> tuple[list, list, list, list]:
-        """rows: (d, t, first, last, packed) of one bucket, sorted by content; returns spans to remove."""
-        out: tuple[list, list, list, list] = ([], [], [], [])
+    def marks(rows: list[tuple]) -> tuple[list, ...]:
+        """rows: (d, t, u, first, last, packed) of one bucket, sorted by content; returns spans to remove."""
+        out: tuple[list, ...] = ([], [], [], [], [])
 
-        def add(d, t, first, last):
-            for x, y in zip(out, (d, t, first, last), strict=True):
+        def add(*span):
+            for x, y in zip(out, span, strict=True):
                 x.append(y)
 
         distinct, lead = [], None
         for r in rows:
-            if lead is not None and r[4] == lead[4]:
-                if r[:3] != lead[:3]:
-                    add(*r[:4])
+            if lead is not None and r[5] == lead[5]:
+                if r[:4] != lead[:4]:
+                    add(*r[:5])
             else:
                 lead = r
                 distinct.append(r)
@@ -139,12 +140,12 @@ def _bucket(window: int):
         if len(distinct) > 1:
             seen: dict[str, tuple] = {}
             # positions in order: the first window of each content stays
-            for d, t, first, last, packed in sorted(distinct, key=lambda r: r[:3]):
+            for d, t, u, first, last, packed in sorted(distinct, key=lambda r: r[:4]):
                 words = packed.split(" ")
                 for p in range(last - first + 1):
-                    at = (d, t, first + p)
+                    at = (d, t, u, first + p)
                     if seen.setdefault(" ".join(words[p : p + window]), at) != at:
-                        add(d, t, first + p, first + p)
+                        add(d, t, u, first + p, first + p)
         return out
 
     def run(batches):
@@ -152,25 +153,25 @@ def _bucket(window: int):
         bucket: tuple | None = None
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(len(NAMES))]
-            ready: tuple[list, list, list, list] = ([], [], [], [])
+            ready: tuple[list, ...] = ([], [], [], [], [])
 
             def take(found):
                 for x, y in zip(ready, found, strict=True):  # noqa: B023
                     x.extend(y)
 
-            for b1, b2, d, t, first, last, packed, mark in zip(*columns, strict=True):
+            for b1, b2, d, t, u, first, last, packed, mark in zip(*columns, strict=True):
                 if mark:
-                    take(([d], [t], [first], [last]))
+                    take(([d], [t], [u], [first], [last]))
                     continue
                 if (b1, b2) != bucket:
                     if held:
                         take(marks(held))
                     bucket, held = (b1, b2), []
                 if packed is None and held:  # a bucket of one window: only its first row is kept
-                    if held[0][:3] != (d, t, first):
-                        take(([d], [t], [first], [last]))
+                    if held[0][:4] != (d, t, u, first):
+                        take(([d], [t], [u], [first], [last]))
                     continue
-                held.append((d, t, first, last, packed))
+                held.append((d, t, u, first, last, packed))
             if ready[0]:
                 yield result(ready)
         if held:
@@ -179,7 +180,7 @@ def _bucket(window: int):
                 yield result(out)
 
     def result(found):
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["_d", "_t", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[*KEY, "first", "last"])
 
     return run
 
@@ -196,6 +197,7 @@ def _kept(window: int):
             at = spans.offsets.to_numpy().astype(np.int64)
             at = at - at[0]
             flat = spans.flatten()
+            copy = batch.column("_copies").to_numpy(zero_copy_only=False)
             first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
             out: list[list] = [[], [], [], [], [], []]
             for a, b in chunks(offsets):
@@ -204,6 +206,8 @@ def _kept(window: int):
                 for k in range(a, b):
                     s, e = starts[begin[k - a] : begin[k - a + 1]], ends[begin[k - a] : begin[k - a + 1]]
                     x, y = covered(first[at[k] : at[k + 1]], last[at[k] : at[k + 1]] + window)
+                    if copy[k] > 1 and len(s) >= window:  # all its windows stand in the first copy
+                        x, y = np.array([0]), np.array([len(s)])
                     keep = np.ones(len(s), bool)
                     keep[ragged(x, y - x)] = False
                     kept = spaced(part, s[keep], e[keep])[0].tobytes()[:-1]
@@ -211,21 +215,21 @@ def _kept(window: int):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
             names = ("n_words", "n_removed", "kept_sha256", "starts", "ends", "_kept")
-            more = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans")}
+            more = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans", "_copies")}
             yield pa.RecordBatch.from_pydict(more | {n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
 
     return run
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """`_d`, `_t`, `_rest` (other columns, if any), `n_words`, `n_removed`, `kept_sha256`,
+    """`_d`, `_t`, `_u` (the document's key), `_rest` (other columns, if any), `n_words`, `n_removed`, `kept_sha256`,
     `starts` and `ends` (removed word runs) and `_kept` (kept words, one space between)."""
     base = dealt(docs)
     need = repeated_grams(docs, window, gram, words=True)
-    rows = base.join(need, ["_d", "_t"]).select(*base.columns, "grams", "heavy").mapInArrow(in_parts(_packets(window, gram)), ROWS)
-    buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "packed", "_d", "_t", "first")
-    marked = buckets.mapInArrow(_bucket(window), "_d long, _t int, first int, last int")
-    spans = marked.groupBy("_d", "_t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    found = base.join(spans, ["_d", "_t"], "left").select(*base.columns, "spans")
+    rows = base.join(need, KEY).select(*base.columns, "grams", "heavy").mapInArrow(in_parts(_packets(window, gram)), ROWS)
+    buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "packed", *KEY, "first")
+    marked = buckets.mapInArrow(_bucket(window), "_d long, _t long, _u long, first int, last int")
+    spans = marked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    found = base.join(spans, KEY, "left").select(*base.columns, "spans", copy_number())
     kind = base.schema["_rest"].dataType.simpleString() if "_rest" in base.columns else ""
-    return found.mapInArrow(in_parts(_kept(window)), "_d long, _t int, " + (f"_rest {kind}, " if kind else "") + "n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _kept string")
+    return found.mapInArrow(in_parts(_kept(window)), "_d long, _t long, _u long, " + (f"_rest {kind}, " if kind else "") + "n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _kept string")
