@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewell.llm import jaccard, suffix_dedup, superkmers
+from tidewell.llm import jaccard, minimisers, suffix_dedup, superkmers
 from tidewell.llm.common import sliding_min
 from tidewell.llm.components import components
 from tidewell.llm.decontaminate import FMIndex, decontaminate, decontaminated
@@ -104,6 +105,18 @@ def test_superkmers(spark, monkeypatch, heavy, extra):
     assert dict(got) == brute.windows(rows)
 
 
+def test_heavy_counts_every_run(spark):
+    """A gram with many runs in one document is hot, as one with a run in many documents is."""
+    rng = random.Random(6)
+    text = " ".join("a b c d e f g h i j k l m n o p q r s t u v w x y z " + " ".join(rng.choice("efghijkl") + str(rng.randrange(99)) for _ in range(20)) for _ in range(400))
+    docs = brute.frame(spark, [(1, text)])
+    one = superkmers.repeated_grams(docs, 20, 4, True, heavy=30).where("_d = 1").first()
+    runs = minimisers.minimiser_runs(*minimisers.symbols_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), True)[:2], 20, 4)[4]
+    values, count = np.unique(runs.view(np.int64), return_counts=True)
+    assert (count > 30).any()
+    assert sorted(one.heavy) == values[count > 30].tolist()
+
+
 def test_superkmers_of_few_words(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40)))) for k in range(30)]

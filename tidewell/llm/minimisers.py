@@ -66,7 +66,7 @@ def _gram_rows(length: int, gram: int, words: bool):
                 order = np.lexsort((name, doc))
                 doc, name = doc[order], name[order]
                 head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])])
-                count = np.minimum(np.diff(np.r_[head, len(doc)]), 2).astype(np.int32)
+                count = np.diff(np.r_[head, len(doc)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(d[a + doc[head]]), pa.array(t[a + doc[head]]), pa.array(u[a + doc[head]]), pa.array(name[head].view(np.int64)), pa.array(count)], names=[*KEY, "gram", "n"])
 
     return run
