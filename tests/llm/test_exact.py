@@ -152,6 +152,14 @@ def test_one_document_of_each_group_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, (size, root) in want.items() if not size or least[root] == i}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Copies without id and repeated rows too; rows without words stay."""
+    rows = [(None, "a b c d e f g")] * 3 + [(1, "a b c d e f g"), (2, "h i j k l m")] + [(2, "h i j k l m")] + [(3, "h i j k l m"), (None, " \n\x0b"), (None, None), (4, ""), (4, "")]
+    kept = jaccard.representatives(brute.frame(spark, rows, extra=True).repartition(3))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, "a b c d e f g"), (2, "h i j k l m"), *rows[-4:]], key=str)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}

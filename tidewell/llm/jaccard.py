@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, checkpointed, chunks, doc_key, in_parts, keyed, lower_ascii, mix, not_space, ragged, running, span, text_buffer, word_names, word_spans
@@ -370,8 +370,12 @@ def component_ids(docs: DataFrame, **options) -> DataFrame:
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without those that another document of their component stands for:
-    the one with the smallest doc_id stays (as often as its row is repeated)."""
+    one row with the smallest doc_id stays, also of repeated rows and of copies without id."""
     found = jaccard_components(docs, **options)
     least = found.where("root is not null").groupBy("root").agg(F.min(F.struct(*KEY)).alias("keep"))
-    kept = least.select("keep.*").union(found.where("root is null").select(*KEY)).distinct()
-    return docs.select("*", *doc_key()).join(kept, KEY).select(*docs.columns)
+    # rows without words are in no component and stay; rows of one key differ in other columns alone
+    worded = F.coalesce(F.col("text").cast("string").rlike("[^ \\x09-\\x0d]"), F.lit(False))
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    turn = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.xxhash64(*rest) if rest else F.lit(0)))
+    rows = docs.where(worded).select("*", *doc_key()).join(least.select("keep.*"), KEY)
+    return rows.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns).union(docs.where(~worded))
