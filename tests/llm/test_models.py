@@ -40,6 +40,21 @@ def test_langid_learns_and_backs_off(spark):
     assert sum(got[100 + i][0] == lang for i, _, lang in spoken(1)) == 60
 
 
+def test_langid_of_a_small_language(spark):
+    """A language of one row in a table of another keeps its words, and counts of shared n-grams."""
+    rng = random.Random(3)
+    big = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)), "aa") for k in range(80)]
+    rows = [*big, (900, "zuzu wowo zuzu wowo abc", "zz"), (901, "12", "yy")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_entries=300)
+    assert model["langs"] == ["aa", "zz"]
+    got = {r.doc_id: r._lang for r in langid.identify(brute.frame(spark, [(1, "wowo"), (2, "zuzuzu"), (3, big[0][1])]), model).collect()}
+    assert got == {1: "zz", 2: "zz", 3: "aa"}
+    names, score = model["tables"][1]
+    assert len(names) == 8 + 4 and len(score) == 12
+    sizes = [len(names) for names, _ in model["tables"]]
+    assert 300 <= sum(sizes) <= 400
+
+
 def test_langid_without_teachers(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(none)

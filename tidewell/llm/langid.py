@@ -6,8 +6,10 @@ a word never seen falls back to its 4-grams, then 3-grams, 2-grams and single ch
 until one length holds an n-gram that is known, and scores by their mean.  Scores are
 normalised over the languages and summed over all words of the text.
 
-The model is fitted on at most `max_docs` labelled rows, chosen by a hash, and keeps the
-`max_entries` most frequent words and n-grams, so its size has a bound; both are parameters.
+The model is fitted on at most about `max_docs` labelled rows, chosen by a hash.  Every language
+chooses about its `max_entries` most frequent words and n-grams, so a large one takes no place
+from a small one, and what one language chose is counted in all.  Both are parameters, and the
+model has at most `max_entries` rows for each language.
 
 Cases: null text and text without letters give `und` with score 0; a text whose characters
 are all unknown gets equal shares; rows with null lang teach nothing; without any training
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, in_parts, mix, ragged, running, span, text_buffer
+from .common import checkpointed, chunks, in_parts, mix, ragged, running, span, text_buffer
 
 LONGEST = 4
 MAX_DOCS = 20_000
@@ -87,6 +89,17 @@ def _counted(batches):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), pa.string()), pa.array(np.full(len(v), n, np.int32)), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "name", "c"])
 
 
+def cut(sizes, most: int) -> tuple[int, int, int]:
+    """(count, length, share of 2**30) of the last (count, length) rows that fit in `most`: large
+    counts first, words before n-grams and short ones before long.  sizes: how many there are."""
+    left = most
+    for c, n, rows in sizes.sort_values(["c", "n"], ascending=[False, True])[["c", "n", "rows"]].itertuples(index=False):
+        if rows > left:
+            return int(c), int(n), (1 << 30) * left // int(rows)
+        left -= rows
+    return 0, 0, 0
+
+
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_ENTRIES) -> dict:
     """The model from rows of `text` and `lang`: at most about `max_docs` of them."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -94,14 +107,24 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_docs / total))
     counted = rows.mapInArrow(in_parts(_counted), "lang string, n int, name long, c long").groupBy("n", "name", "lang").agg(F.sum("c").alias("c"))
-    kept = counted.orderBy(F.desc("c"), "n", "name", "lang").limit(max_entries).toPandas()
-    langs = sorted(kept["lang"].unique())
+    counted = checkpointed(counted)
+    sizes = counted.groupBy("lang", "c", "n").agg(F.count("*").alias("rows")).toPandas()
+    langs = sorted(sizes["lang"].unique())
+    if not langs:
+        return {"langs": [], "tables": [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1)}
+    cuts = labelled.sparkSession.createDataFrame([(x, k, *cut(sizes[sizes["lang"] == x], max_entries)) for k, x in enumerate(langs)], "lang string, k int, least long, longest int, share long")
+    # of the rows at the cut a share goes on, chosen by a hash, so that no task sorts a language
+    level = (F.col("c") == F.col("least")) & (F.col("n") == F.col("longest"))
+    above = (F.col("c") > F.col("least")) | ((F.col("c") == F.col("least")) & (F.col("n") < F.col("longest")))
+    chosen = above | (level & (F.pmod(F.xxhash64("name"), F.lit(1 << 30)) < F.col("share")))
+    by_name = counted.join(F.broadcast(cuts), "lang").groupBy("n", "name").agg(F.max(chosen).alias("chosen"), F.collect_list(F.struct("k", "c")).alias("all"))
+    kept = by_name.where("chosen").select("n", "name", F.inline("all")).toPandas()
     model: dict = {"langs": langs, "tables": []}
     for n in range(LONGEST + 1):
         part = kept[kept["n"] == n]
         names, at = np.unique(part["name"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
         count = np.zeros((len(names), len(langs)))
-        np.add.at(count, (at, part["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int)), part["c"].to_numpy(float))
+        np.add.at(count, (at, part["k"].to_numpy(int)), part["c"].to_numpy(float))
         score = np.log((count + 0.2) / (count.sum(0) + 0.2 * max(1, len(names))))
         score -= np.log(np.exp(score - score.max(1, keepdims=True)).sum(1, keepdims=True)) + score.max(1, keepdims=True) if len(names) else 0
         model["tables"].append((names, score))
