@@ -55,6 +55,15 @@ def test_langid_of_a_small_language(spark):
     assert 300 <= sum(sizes) <= 400
 
 
+def test_langid_of_signs_beyond_the_bmp(spark):
+    """Emoji are no letters, U+10400 and U+20000 are."""
+    model = langid.fit(spark.createDataFrame(spoken(), "doc_id long, text string, lang string"))
+    odd = [(1, "\U0001f600 \U0001f601"), (2, "\U0001f600 oui \U0001f600"), (3, "\U00010400"), (4, "\U00020000")]
+    got = {r.doc_id: (r._lang, r._score) for r in langid.identify(brute.frame(spark, odd), model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "fr"
+    assert got[3][1] == got[4][1] == pytest.approx(1 / 3)
+
+
 def test_langid_without_teachers(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(none)

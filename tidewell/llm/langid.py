@@ -33,8 +33,8 @@ UNKNOWN = "und"
 
 
 def letters() -> np.ndarray:
-    """Flags of letters by code point; index 65536 stands for everything beyond."""
-    return np.fromiter((chr(k).isalpha() for k in range(65537)), bool, 65537)
+    """Flags of letters by code point, up to 65535."""
+    return np.fromiter((chr(k).isalpha() for k in range(65536)), bool, 65536)
 
 
 class Words:
@@ -43,7 +43,11 @@ class Words:
     def __init__(self, texts: list[str], is_letter: np.ndarray) -> None:
         low = [t.lower() for t in texts]
         code = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "replace"), np.uint32)
-        inside = is_letter[np.minimum(code, 65536)]
+        inside = is_letter[np.minimum(code, 65535)]
+        beyond = np.flatnonzero(code > 65535)
+        if len(beyond):
+            values, back = np.unique(code[beyond], return_inverse=True)
+            inside[beyond] = np.array([chr(k).isalpha() for k in values.tolist()])[back]
         edge = np.diff(inside.astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         first = np.cumsum([1, *(len(t) + 1 for t in low)])
