@@ -99,6 +99,17 @@ def test_appended_heights_keep_their_first_block(spark):
     assert sorted((r.number, r.ts) for r in b.collect()) == [(1, 1), (2, 2), (3, 9)]
 
 
+def test_gap_index(spark):
+    old, new = table(spark, [1, 2, 9]), table(spark, [1, 2, 5, 20, 21, 40]).where("number > 2")
+    events = chain.gap_events(old, new, 3)
+    assert sorted(tuple(r) for r in events.collect()) == [(20, 4), (40, 6)]
+    assert chain.gap_events(old, new, 0).count() == 0
+    grown = chain.append(old, new)
+    assert tuple(chain.seek_gap(events, grown, 20, 3).first()) == (20, 4)
+    assert tuple(chain.seek_gap(events, grown, 21, 3).first()) == (40, 6)
+    assert chain.seek_gap(events, grown.where("number <> 5"), 21, 3).count() == 0
+
+
 def test_warm_up(spark):
     got = lambda times, *a: [(r.number, r.ts) for r in chain.warm_up(table(spark, times), *a).orderBy("number").collect()]
     assert got([], 100, 10, 2) == [(1, 90), (2, 92), (3, 94), (4, 96)]
@@ -137,3 +148,11 @@ def test_strong_components(spark, tmp_path):
     want = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
     got = graph.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long"), str(tmp_path))
     assert {r.node: r.component for r in got.collect()} == want
+
+
+def test_strong_components_of_long_paths(spark):
+    """A path of 120 hops, a cycle of 60 nodes, a lone node with an edge to itself, and nothing."""
+    edges = [(k, k + 1) for k in range(120)] + [(1000 + k, 1000 + (k + 1) % 60) for k in range(60)] + [(5, 1007), (7777, 7777)]
+    got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r.node: r.component for r in got.collect()} == {k: k for k in range(121)} | {1000 + k: 1000 for k in range(60)} | {7777: 7777}
+    assert graph.strong_components(spark.createDataFrame([], "src long, dst long")).count() == 0

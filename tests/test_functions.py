@@ -47,6 +47,14 @@ def test_builder(spark):
     assert one(spark, E.be64(F.col("n")), n=-1) == "F" * 16
 
 
+def test_numbers_and_shards_of_bytes(spark):
+    for n in (0, 1, -1, 2**63 - 1, -(2**63), 7 << 40):
+        assert one(spark, E.be64_value(F.col("h")), h=(n % 2**64).to_bytes(8, "big").hex()) == n
+    assert one(spark, E.be64_value(F.col("h")), h="00") is None
+    for text, h in (("", 0x811C9DC5), ("a", 0xE40C292C), ("foobar", 0xBF9CF968)):
+        assert one(spark, E.fnv32a(F.col("h")), h=text.encode().hex()) == h
+
+
 def test_epochs(spark):
     unit = lambda s: one(spark, E.epoch_unit(F.col("s")), s=s)
     assert [unit(s) for s in ("1700000000", "1700000000000", "1700000000000000", "1700000000000000000", "17.5", "-12345678901", "x", "1" * 20)] == ["seconds", "milliseconds", "microseconds", "nanoseconds", "seconds", "milliseconds", None, "seconds"]

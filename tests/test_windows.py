@@ -67,6 +67,24 @@ def test_batch_equals_model(spark, steps):
     assert got == sorted(model(rows, widths, cadence))
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(chains, st.integers(1, 900), st.sets(st.integers(0, 59)))
+def test_batch_equals_fold_from_any_height_and_with_holes(spark, steps, start, holes):
+    """A replay: heights begin anywhere, some are missing, and transfers were counted from elsewhere."""
+    ts, rows = 86_000, []
+    for k, (gap, n) in enumerate(steps):
+        ts += gap * 50
+        if k not in holes:
+            rows.append((start + k, ts, n, 7 * k, 7 * k))
+    widths, cadence = (60, 500, 3000), (1, 2, 3)
+    fold, want = WindowFold(widths, cadence), []
+    for number, t, n, *_ in rows:
+        want += fold.step(number, t, n)
+    df = spark.createDataFrame(rows, "number long, ts long, n_tx long, head long, rel long")
+    assert sorted(tuple(r) for r in ticks(df, cadence, widths).collect()) == sorted(want)
+    assert gate(df, widths).first().open_at == (min(t[0] for t in want) if want else None)
+
+
 def test_window_is_closed_and_gate_needs_a_lost_block(spark):
     rows = [(0, 0), (60, 2), (121, 1)]
     got = {(r.number, r.win_idx): r.tail for r in moves(table(spark, rows), (60,)).collect()}

@@ -57,6 +57,26 @@ def be64(value: Column) -> Column:
     return F.lpad(F.hex(value.cast("long")), 16, "0")
 
 
+def be64_value(hex_digits: Column) -> Column:
+    """The number in 16 hex digits of 8 big-endian bytes; null unless there are 8 bytes."""
+    digits = F.when(F.regexp_like(hex_digits, F.lit("^[0-9a-fA-F]{16}$")), hex_digits)
+    high, low = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long"), F.conv(F.substring(digits, 9, 8), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def fnv32a(hex_digits: Column) -> Column:
+    """The 32-bit FNV-1a hash of bytes given as hex digits, as a whole number from 0 to 2**32 - 1."""
+    count = (F.length(hex_digits) / 2).cast("int")
+    places = F.filter(F.sequence(F.lit(0), count), lambda k: k < count)
+    byte = lambda k: F.conv(F.substring(hex_digits, k * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    return F.aggregate(places, F.lit(0x811C9DC5).cast("long"), lambda h, k: (h.bitwiseXOR(byte(k)) * F.lit(0x01000193).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+
+def shard(hex_digits: Column, parts: int) -> Column:
+    """Which of `parts` shards of a dictionary holds the key of these bytes."""
+    return (fnv32a(hex_digits) % parts).cast("int")
+
+
 def be32(value: Column) -> Column:
     return F.lpad(F.hex(value.cast("long")), 8, "0")
 

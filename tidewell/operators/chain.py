@@ -28,9 +28,15 @@ def by_number(blocks: DataFrame, number: int) -> DataFrame:
     return blocks.where(F.col("number") == number)
 
 
+def canonical_hash(text: str) -> str:
+    """A hash as tables hold it, `0x` and lower case: a literal that reaches the scan as a filter."""
+    bare = text.strip().lower()
+    return bare if bare.startswith("0x") else f"0x{bare}"
+
+
 def by_hash(blocks: DataFrame, text: str) -> DataFrame:
     """The block with this hash, given with or without 0x and in any case."""
-    return blocks.where(E.equal_hex(F.col("hash"), F.lit(text)))
+    return blocks.where(F.col("hash") == canonical_hash(text))
 
 
 def at_or_after(blocks: DataFrame, ts: int) -> DataFrame:
@@ -146,7 +152,8 @@ def truncate_after(blocks: DataFrame, keep: int) -> DataFrame:
 
 
 def replay_since(blocks: DataFrame, now: int, seconds: int = 86_400) -> DataFrame:
-    """Blocks of the last `seconds`, as a cold start replays them."""
+    """Blocks of the last `seconds`, as a cold start replays them; windows over them count from the
+    first of them (`windows.moves` and `windows.indexed` number the blocks they are given)."""
     return blocks.where(F.col("ts") >= now - seconds)
 
 
@@ -155,6 +162,24 @@ def append(blocks: DataFrame, new: DataFrame) -> DataFrame:
     return blocks.unionByName(new.join(blocks.select("number"), "number", "left_anti").select(*blocks.columns))
 
 
+def gap_events(blocks: DataFrame, new: DataFrame, gap_seconds: int) -> DataFrame:
+    """`end_ts`, `number` of the gaps that appending `new` adds to the index: appended blocks more
+    than `gap_seconds` after the block one height below, which may be old or new.  With a rule of
+    0 or less there is no index; the first height ends no gap."""
+    added = new.join(blocks.select("number"), "number", "left_anti").select("number", "ts")
+    before = blocks.select("number", "ts").unionByName(added).select((F.col("number") + 1).alias("number"), F.col("ts").alias("prev_ts"))
+    far = added.join(before, "number").where((F.col("number") > 1) & (F.col("ts") - F.col("prev_ts") > gap_seconds))
+    return far.where(F.lit(gap_seconds > 0)).select(F.col("ts").alias("end_ts"), "number")
+
+
+def seek_gap(events: DataFrame, blocks: DataFrame, target: int, gap_seconds: int) -> DataFrame:
+    """`end_ts`, `number` of the first indexed gap that ends at `target` or later and that the chain
+    still holds: an index entry whose block or predecessor has changed is passed over."""
+    real = gaps(blocks, gap_seconds).select("number", "end_ts")
+    first = events.where(F.col("end_ts") >= target).join(real, ["number", "end_ts"]).agg(F.min(F.struct("end_ts", "number")).alias("g"))
+    return first.where("g is not null").select("g.end_ts", "g.number")
+
+
 def linked(blocks: DataFrame) -> DataFrame:
     """Heights whose `parent_hash` is not the hash of the block before."""
     before = blocks.select((F.col("number") + 1).alias("number"), F.col("hash").alias("_before"))

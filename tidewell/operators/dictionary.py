@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import encoding as E
 from tidewell.plans.prefix import with_prefix
+from tidewell.sources.store import stored
 
 RANGE = 1 << 20
 
@@ -41,17 +42,20 @@ def clean(flat: DataFrame, drop_bad_address: bool = True, drop_no_token: bool =
 
 
 def numbered(seen: DataFrame, name: str) -> DataFrame:
-    """`name`, `id`: dense ids of distinct names by their least `first`."""
-    first = seen.groupBy(name).agg(F.min("first").alias("first"))
+    """`name`, `id`: dense ids of distinct names by their least `first`.
+
+    The names and their first sight are written once: numbering reads them twice.
+    """
+    first = stored(seen.groupBy(name).agg(F.min("first").alias("first")))
     return with_prefix(first, "first", {"id": F.lit(1)}, day=RANGE).select(name, "id", "first")
 
 
 def address_ids(flat: DataFrame, drop_bad_address: bool = True) -> DataFrame:
     """`addr`, `id`.  The sender is seen before the receiver; a bad sender hides the receiver."""
     c = clean(flat, drop_bad_address=False)
-    src = c.where("src is not null").select(F.col("src").alias("addr"), (F.col("idx") * 2).alias("first"))
-    dst = c.where("dst is not null" + (" and src is not null" if drop_bad_address else "")).select(F.col("dst").alias("addr"), (F.col("idx") * 2 + 1).alias("first"))
-    return numbered(src.union(dst), "addr").select("addr", "id")
+    shown = F.when(F.col("src").isNotNull(), F.col("dst")) if drop_bad_address else F.col("dst")
+    ends = F.array(F.struct(F.col("src").alias("addr"), (F.col("idx") * 2).alias("first")), F.struct(shown.alias("addr"), (F.col("idx") * 2 + 1).alias("first")))
+    return numbered(c.select(F.inline(ends)).where("addr is not null"), "addr").select("addr", "id")
 
 
 def token_ids(flat: DataFrame, drop_bad_address: bool = True) -> DataFrame:

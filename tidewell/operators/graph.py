@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.plans.prefix import with_prefix
+from tidewell.sources.store import drop, scratch, stored
 
 SPAN = 256
 
@@ -59,48 +58,67 @@ def active_edges(events: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
     seen = events.select("from_id", "to_id", "ts").distinct()
     line = Window.partitionBy("from_id", "to_id").orderBy("ts")
     around = seen.withColumns({"before": F.lag("ts").over(line), "after": F.lead("ts").over(line)})
-    begins = around.where(F.col("before").isNull() | (F.col("ts") - F.col("before") > width)).select(F.col("ts").alias("t"), F.lit(1).alias("v"))
-    ends = around.where(F.col("after").isNull() | (F.col("after") - F.col("ts") > width)).select((F.col("ts") + width + 1).alias("t"), F.lit(-1).alias("v"))
-    marks = blocks.select(F.col("ts").alias("t"), F.lit(0).alias("v"))
-    change = begins.union(ends).union(marks).groupBy("t").agg(F.sum("v").alias("v"))
-    return with_prefix(change, "t", {"n_edges": F.col("v")}).join(blocks.select(F.col("ts").alias("t")), "t").select(F.col("t").alias("ts"), "n_edges")
-
+    begins = F.when(F.col("before").isNull() | (F.col("ts") - F.col("before") > width), F.struct(F.col("ts").alias("t"), F.lit(1).alias("v"), F.lit(False).alias("b")))
+    ends = F.when(F.col("after").isNull() | (F.col("after") - F.col("ts") > width), F.struct((F.col("ts") + width + 1).alias("t"), F.lit(-1).alias("v"), F.lit(False).alias("b")))
+    marks = around.select(F.inline(F.array_compact(F.array(begins, ends)))).union(blocks.select(F.col("ts").alias("t"), F.lit(0).alias("v"), F.lit(True).alias("b")))
+    change = stored(marks.groupBy("t").agg(F.sum("v").alias("v"), F.max("b").alias("b")))
+    return with_prefix(change, "t", {"n_edges": F.col("v")}).where("b").select(F.col("t").alias("ts"), "n_edges")
 
-def _stored(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
 
+def _reached(nodes: DataFrame, along: DataFrame, folder: str) -> DataFrame:
+    """`node`, `p`, `root`: the node of least priority among those from which each can be reached.
 
-def strong_components(edges: DataFrame, folder: str, max_rounds: int = 200) -> DataFrame:
-    """`node`, `component`: strongly connected components of edges (`src`, `dst`).
-
-    Colouring: the smallest id that reaches a node is its colour; within a colour, the nodes
-    that reach the colour's own node are its component and leave.  Tables go to `folder`.
+    Every round looks at the neighbours' roots and then at the roots of those roots, so with
+    priorities drawn at random the stretch of a path that is known grows by a factor a round.
+    """
+    now = stored(nodes.select("node", "p", F.col("node").alias("root")), folder)
+    seen = None
+    while True:
+        sent = along.join(now.select(F.col("node").alias("src"), "p", "root"), "src").select(F.col("dst").alias("node"), "p", "root")
+        least = F.min(F.struct("p", "root")).alias("m")
+        near = now.union(sent).groupBy("node").agg(least).select("node", "m.p", "m.root")
+        far = now.select(F.col("node").alias("root"), F.col("p").alias("p2"), F.col("root").alias("root2"))
+        # the priority of a root's root is never above the root's own
+        new = stored(near.join(far, "root").select("node", F.col("p2").alias("p"), F.col("root2").alias("root")), folder)
+        total = new.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]  # no priority ever rises
+        if total == seen:
+            return new
+        now, seen = new, total
+
+
+def strong_components(edges: DataFrame, folder: str | None = None) -> DataFrame:
+    """`node`, `component` (its smallest node): strongly connected components of edges (`src`, `dst`).
+
+    Nodes get random priorities.  The least node that reaches a node and the least one it
+    reaches are the same within a component; where they are one node, it is in the component of
+    both, which leaves.  Edges between nodes that differ in them are in no cycle and go.  Paths
+    are cut at random places in every round, so rounds grow with the logarithm of the longest
+    one; each ends with at least the component of the least node.  Tables go to `folder`.
     """
-    e = _stored(edges.select("src", "dst").where("src <> dst").distinct(), folder)
-    nodes = _stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), folder)
-    done = nodes.select("node", F.col("node").alias("component")).where("false")
-
-    def spread(start: DataFrame, along: DataFrame) -> DataFrame:
-        """Smallest value that reaches each node along the edges (src -> dst)."""
-        now = _stored(start, folder)
-        for _ in range(max_rounds):
-            sent = along.join(now, along.src == now.node).select(F.col("dst").alias("node"), "value")
-            new = _stored(now.union(sent).groupBy("node").agg(F.min("value").alias("value")), folder)
-            if not new.exceptAll(now).limit(1).count():
-                return new
-            now = new
-        raise RuntimeError("components did not settle")
-
-    while nodes.limit(1).count():
-        colour = spread(nodes.withColumn("value", F.col("node")), e)
-        c = colour.withColumnRenamed("value", "colour")
-        same = e.join(c.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(c.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
-        back = _stored(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), folder)
-        reached = spread(c.where("node = colour").select("node", F.col("colour").alias("value")), back)
-        found = reached.select("node", F.col("value").alias("component"))
-        done = _stored(done.union(found), folder)
-        nodes = _stored(nodes.join(done.select("node"), "node", "left_anti"), folder)
-        e = _stored(e.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), folder)
-    return done
+    spark = edges.sparkSession
+    own, folder = folder is None, folder or scratch(spark, "scc")
+    ends = edges.select("src", "dst").distinct()
+    nodes = stored(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), folder)
+    e = stored(ends.where("src <> dst"), folder)
+    done: list[DataFrame] = []
+    turn = 0
+    while not e.isEmpty():
+        turn += 1
+        live = stored(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.xxhash64("node", F.lit(turn)).alias("p")), folder)
+        ahead = _reached(live, e, folder)
+        back = _reached(live, e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), folder)
+        both = stored(ahead.select("node", F.col("root").alias("f")).join(back.select("node", F.col("root").alias("b")), "node"), folder)
+        done.append(both.where("f = b").select("node", F.col("f").alias("root")))
+        open_ = both.where("f <> b")
+        kept = e.join(open_.select(F.col("node").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1")), "src")
+        kept = kept.join(open_.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2")), "dst")
+        e = stored(kept.where("f1 = f2 and b1 = b2").select("src", "dst"), folder)
+    found = nodes.select("node", F.col("node").alias("root")).where("false")
+    for part in done:
+        found = found.union(part)
+    least = found.groupBy("root").agg(F.min("node").alias("component"))
+    out = nodes.join(found.join(least, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    if own:
+        out = stored(out)
+        drop(spark, folder)
+    return out

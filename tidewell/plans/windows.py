@@ -1,9 +1,9 @@
 """The core query: four trailing windows over blocks, a gate, and every-N ticks.
 
 A window holds the blocks with ts >= now - width (closed).  `head` counts the transfers up to
-the block, `tail` those before the window's first block.  The gate opens for all windows at
-the first block for which the longest window has lost a block; from there every N-th block
-of a window is a tick.
+the block, `tail` those before the window's first block, both from the first block of the
+input.  The gate opens for all windows at the first block for which the longest window has
+lost a block of the input; from there every N-th block of a window is a tick.
 """
 
 from __future__ import annotations
@@ -11,36 +11,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.plans.prefix import trailing
+from tidewell.plans.prefix import trailing, with_prefix
 
 WIDTHS = (60, 300, 3600, 86_400)
 CADENCE = (50, 200, 1000, 5000)
 DEFAULT_EVERY = 200
 
 
+def indexed(blocks: DataFrame) -> DataFrame:
+    """`number`, `ts`, `at` (place in the input, from 1), `head` and `rel`: all counted from the first
+    block of the input, whatever its height, as a reader that starts there counts them."""
+    counted = with_prefix(blocks.select("number", "ts", "n_tx"), "ts", {"at": F.lit(1), "head": F.col("n_tx")})
+    return counted.select("number", "ts", "at", "head", (F.col("head") - F.col("n_tx")).alias("rel"))
+
+
+def opened(blocks: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """One row, `since`: the longest window has lost the input's first block in blocks later than this."""
+    return blocks.agg((F.min("ts") + max(widths)).alias("since"))
+
+
 def moves(blocks: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """`number`, `ts`, `win_idx`, `head`, `tail`, `open_win` for every block and window."""
-    frames = {f"_tail{k}": ("rel", w) for k, w in enumerate(widths)} | {"_first": ("number", max(widths))}
-    framed = trailing(blocks.select("number", "ts", "head", "rel"), "ts", frames)
+    """`number`, `ts`, `at`, `win_idx`, `head`, `tail`, `open_win` for every block and window."""
+    framed = trailing(indexed(blocks), "ts", {f"_tail{k}": ("rel", w) for k, w in enumerate(widths)})
+    framed = framed.join(F.broadcast(opened(blocks, widths)))
     windows = F.array(*[F.struct(F.lit(k).alias("win_idx"), F.col(f"_tail{k}").alias("tail")) for k in range(len(widths))])
-    return framed.select("number", "ts", "head", (F.col("_first") > 1).alias("open_win"), F.explode(windows).alias("w")).select("number", "ts", "w.win_idx", "head", "w.tail", "open_win")
+    out = framed.select("number", "ts", "at", "head", (F.col("ts") > F.col("since")).alias("open_win"), F.explode(windows).alias("w"))
+    return out.select("number", "ts", "at", "w.win_idx", "head", "w.tail", "open_win")
 
 
 def gate(blocks: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """One row: `open_at`, the first block for which the longest window lost one (null: never)."""
-    first = trailing(blocks.select("number", "ts"), "ts", {"_first": ("number", max(widths))})
-    return first.agg(F.min(F.when(F.col("_first") > 1, F.col("number"))).alias("open_at"))
+    """One row: `open_at`, the height of the first block for which the longest window lost one (null: never)."""
+    later = blocks.select("number", "ts").join(F.broadcast(opened(blocks, widths)))
+    return later.agg(F.min_by("number", F.when(F.col("ts") > F.col("since"), F.col("ts"))).alias("open_at"))
 
 
 def ticks(blocks: DataFrame, cadence: tuple[int, ...] = CADENCE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """`win_idx`, `head`, `tail`, `open_win` of every tick.  A cadence of 0 or less means 200.
+    """`number`, `win_idx`, `head`, `tail`, `open_win` of every tick.  A cadence of 0 or less means 200.
 
-    Heights have no holes, so a block's place behind the gate is the difference of heights and
-    needs no window.
+    Blocks are counted, not heights: a height that is missing moves no window.
     """
     every = F.element_at(F.array(*[F.lit(c if c > 0 else DEFAULT_EVERY) for c in cadence]), F.col("win_idx") + 1)
-    m = moves(blocks, widths)
-    opened = m.where("open_win").agg(F.min("number").alias("open_at"))
-    gated = m.join(F.broadcast(opened), F.col("number") >= F.col("open_at"))
-    place = F.col("number") - F.col("open_at") + 1
-    return gated.where(place % every == 0).select("number", "win_idx", "head", "tail", "open_win")
+    before = blocks.join(F.broadcast(opened(blocks, widths))).agg(F.count(F.when(F.col("ts") <= F.col("since"), 1)).alias("before"))
+    gated = moves(blocks, widths).where("open_win").join(F.broadcast(before))
+    return gated.where((F.col("at") - F.col("before")) % every == 0).select("number", "win_idx", "head", "tail", "open_win")

@@ -1,7 +1,8 @@
 """Registered queries of the transfer engine and their DuckDB equivalents.
 
 All read the whole `events` table through the derivation in `sources.fixture`.  Cadences are
-5 / 20 / 100 / 500 moves, so that every window ticks on the test tables.
+5 / 20 / 100 / 500 moves, so that every window ticks on the test tables; `win_ticks_default` has
+the engine's own.  Graph queries write the flattened transfers once and read them from there.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from tidewell.functions import encoding as E
 from tidewell.operators import chain, dictionary, graph
 from tidewell.plans import windows
 from tidewell.sources import fixture, generator, messages
+from tidewell.sources.store import stored
 from tidewell.streaming import sinks
 
 CADENCE = (5, 20, 100, 500)
@@ -90,12 +92,19 @@ def _flat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    flat = _flat(spark, d)
+    flat = stored(_flat(spark, d))
     return dictionary.encoded(flat, dictionary.address_ids(flat), dictionary.token_ids(flat))
 
 
 def _ticks(spark: SparkSession, d: str) -> DataFrame:
-    return windows.ticks(_blocks(spark, d), CADENCE)
+    return windows.ticks(stored(_blocks(spark, d)), CADENCE)
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The chain's second half, with a hole at every seventh height."""
+    blocks = stored(_blocks(spark, d))
+    top = blocks.agg(F.max("number").alias("top"))
+    return stored(blocks.join(F.broadcast(top)).where("number > top div 2 and number % 7 <> 3").drop("top"))
 
 
 @query("select number as head_num, hash as head_hash, ts as head_timestamp, false as empty from blocks order by number desc limit 1")
@@ -112,7 +121,7 @@ def block_by_number(spark, d):
 def block_by_hash(spark, d):
     import hashlib
 
-    blocks = _blocks(spark, d)
+    blocks = stored(_blocks(spark, d))
     ts = chain.by_number(blocks, 42).first()["ts"]
     text = "  0x" + hashlib.sha256((42).to_bytes(8, "big") + ts.to_bytes(8, "big")).hexdigest().upper()
     return chain.by_hash(blocks, text).select("number", "ts", "n_tx", "hash")
@@ -205,11 +214,40 @@ def checkpoint_validation(spark, d):
     return claims.join(blocks.select("number", "hash"), "number").where(E.equal_hex(F.col("claimed"), F.col("hash"))).select("number")
 
 
-@query("select number, ts + case when number > 100 then 1 else 0 end as ts from blocks where number <= 200")
+HALVES = ", h as (select max(number) // 2 as half, max(number) // 4 as quarter from blocks)"
+
+
+def _halves(spark, d):
+    """The chain's first half, and all after its first quarter with other times."""
+    blocks = stored(_blocks(spark, d))
+    both = blocks.join(F.broadcast(blocks.agg(F.expr("max(number) div 2").alias("half"), F.expr("max(number) div 4").alias("quarter"))))
+    old, new = both.where("number <= half"), both.where("number > quarter")
+    return old.select("number", "ts"), new.select("number", (F.col("ts") + F.col("number") % 5 * 200).alias("ts"))
+
+
+@query(HALVES + " select number, ts + case when number > half then number % 5 * 200 else 0 end as ts from blocks, h")
 def append_replayed(spark, d):
-    """Heights 51 to 200 arrive again with other times; the first block of a height stays."""
-    blocks = _blocks(spark, d).select("number", "ts")
-    return chain.append(blocks.where("number <= 100"), blocks.where("number between 51 and 200").withColumn("ts", F.col("ts") + 1))
+    """The heights after the first quarter arrive again; the first block of a height stays."""
+    return chain.append(*_halves(spark, d))
+
+
+APPENDED = HALVES + """, a as (select number, ts + case when number > half then number % 5 * 200 else 0 end as ts, number > half as fresh from blocks, h)
+, g as (select number, ts, fresh, ts - lag(ts) over (order by number) as s from a)"""
+
+
+@query(APPENDED + " select ts as end_ts, number from g where fresh and s > 700")
+def append_gap_events(spark, d):
+    """What the append adds to the gap index."""
+    return chain.gap_events(*_halves(spark, d), 700)
+
+
+@query(APPENDED + " select ts as end_ts, number from g where fresh and s > 700 and ts >= 1706400000 order by ts limit 1")
+def gap_seek(spark, d):
+    """The first indexed gap from a time on; the index also holds entries the chain no longer has."""
+    old, new = _halves(spark, d)
+    index = chain.gap_events(old, new, 700)
+    stale = index.select((F.col("end_ts") - 1).alias("end_ts"), "number")
+    return chain.seek_gap(index.union(stale), stored(chain.append(old, new)), 1_706_400_000, 700)
 
 
 @query("select number from blocks where number % 10 = 0")
@@ -309,7 +347,7 @@ def encoded_events(spark, d):
 
 @query("select idx, '0x' || src as sender, '0x' || dst as receiver, tok as token from tx")
 def decoded_events(spark, d):
-    flat = _flat(spark, d)
+    flat = stored(_flat(spark, d))
     a, t = dictionary.address_ids(flat), dictionary.token_ids(flat)
     return dictionary.decoded(dictionary.encoded(flat, a, t), a, t).select("idx", "sender", "receiver", "token")
 
@@ -361,9 +399,36 @@ def hash_parse(spark, d):
     return _blocks(spark, d).select("number", F.lower(F.hex(E.parse_hash32(text))).alias("digits"))
 
 
+@query("""select number, case when number % 3 = 0 then null else hash end as text,
+ case when number % 4 = 0 then '0x' || repeat('0', 64) when number % 4 = 1 then null else hash end as or_zero,
+ case when number % 4 = 0 then true when number % 4 = 1 then null else false end as is_zero from blocks""")
+def hash_text(spark, d):
+    """32 bytes as text (other lengths are none), and null, broken and whole texts with zero for null."""
+    raw = F.unhex(F.substring("hash", 3, 64))
+    cut = F.when(F.col("number") % 3 == 0, F.substring(raw, 1, 31)).otherwise(raw)
+    given = F.when(F.col("number") % 4 == 1, F.substring("hash", 1, 9)).when(F.col("number") % 4 != 0, F.col("hash"))
+    found = E.hash32_or_zero(given)
+    return _blocks(spark, d).select("number", E.to_hex32(cut).alias("text"), E.to_hex32(found).alias("or_zero"), E.is_zero(found).alias("is_zero"))
+
+
+@query("select number, case when number % 5 = 0 then null else number * 1000003 - ts * 7 end as value, (ts % 256) << 56 | number as wide from blocks where ts % 256 < 128 union all select number, case when number % 5 = 0 then null else number * 1000003 - ts * 7 end, -(((255 - ts % 256) << 56 | (72057594037927935 - number)) + 1) from blocks where ts % 256 >= 128")
+def be64_round_trip(spark, d):
+    """Eight big-endian bytes back to numbers, negative ones too; fewer bytes are none."""
+    digits = E.be64(F.col("number") * 1_000_003 - F.col("ts") * 7)
+    wide = F.concat(F.lpad(F.hex(F.col("ts") % 256), 2, "0"), F.lpad(F.hex("number"), 14, "0"))
+    short = F.when(F.col("number") % 5 == 0, F.substring(digits, 1, 14)).otherwise(digits)
+    return _blocks(spark, d).select("number", E.be64_value(short).alias("value"), E.be64_value(wide).alias("wide"))
+
+
+@query("""select a as addr, cast(list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(range(20), lambda i: cast('0x' || substr(a, cast(i as integer) * 2 + 1, 2) as bigint))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 64 as integer) as shard from addr""")
+def address_shard(spark, d):
+    """The dictionary shard of every address, by the FNV-1a hash of its bytes."""
+    return dictionary.address_ids(_flat(spark, d)).select("addr", E.shard(F.col("addr"), 64).alias("shard"))
+
+
 @query("select number, ts, cast(win_idx as integer) as win_idx, head, tail, open_win from moves")
 def window_moves(spark, d):
-    return windows.moves(_blocks(spark, d))
+    return windows.moves(stored(_blocks(spark, d))).drop("at")
 
 
 @query("select min(number) as open_at from mv where open_win")
@@ -376,6 +441,45 @@ def win_ticks(spark, d):
     return _ticks(spark, d)
 
 
+@query("select number, cast(win_idx as integer) as win_idx, head, tail, open_win from gated where place % case win_idx when 0 then 50 when 1 then 200 when 2 then 1000 else 5000 end = 0")
+def win_ticks_default(spark, d):
+    return windows.ticks(stored(_blocks(spark, d)))
+
+
+REPLAY = """
+, rb as (select number, ts, row_number() over (order by ts) as nth, cast(sum(n_tx) over (order by ts rows unbounded preceding) as bigint) as head, n_tx
+  from blocks where number > (select max(number) // 2 from blocks) and number % 7 <> 3
+), rmv as (
+  select number, ts, nth, head,
+         min(head - n_tx) over (order by ts range between 60 preceding and current row) as t0,
+         min(head - n_tx) over (order by ts range between 300 preceding and current row) as t1,
+         min(head - n_tx) over (order by ts range between 3600 preceding and current row) as t2,
+         min(head - n_tx) over (order by ts range between 86400 preceding and current row) as t3,
+         min(nth) over (order by ts range between 86400 preceding and current row) > 1 as open_win from rb
+), rmoves as (
+  select number, nth, 0 as win_idx, head, t0 as tail, open_win from rmv union all select number, nth, 1, head, t1, open_win from rmv
+  union all select number, nth, 2, head, t2, open_win from rmv union all select number, nth, 3, head, t3, open_win from rmv
+)"""
+
+
+@query(REPLAY + """ select number, cast(win_idx as integer) as win_idx, head, tail, open_win from
+ (select *, row_number() over (partition by win_idx order by nth) as place from rmoves where nth >= (select min(nth) from rmv where open_win))
+ where place % case win_idx when 0 then 5 when 1 then 20 when 2 then 100 else 500 end = 0""")
+def win_ticks_replay(spark, d):
+    """Ticks of a replay that begins in the middle of the chain and lacks heights."""
+    return windows.ticks(_replayed(spark, d), CADENCE)
+
+
+@query(REPLAY + " select min(number) as open_at from rmv where open_win")
+def window_gate_replay(spark, d):
+    return windows.gate(_replayed(spark, d))
+
+
+@query(REPLAY + " select number, cast(win_idx as integer) as win_idx, head, tail, open_win from rmoves")
+def window_moves_replay(spark, d):
+    return windows.moves(_replayed(spark, d)).drop("ts", "at")
+
+
 @query("""select number, 'win_tick' as type, '{"win_idx":' || win_idx || ',"head":' || head || ',"tail":' || tail || ',"open_win":' || open_win || '}' as data from ticks""")
 def tick_envelope(spark, d):
     return sinks.envelope(_ticks(spark, d), "win_tick", ["win_idx", "head", "tail", "open_win"], keep=["number"])
@@ -440,29 +544,103 @@ def active_edges(spark, d):
     return graph.active_edges(_events(spark, d), _blocks(spark, d), 3600)
 
 
+@query("""
+, link as (select distinct from_id as a, to_id as b from enc where to_id % 3 <> 0 or from_id < to_id)
+, reach as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a)
+, node as (select a as n from link union select b from link)
+select n as node, least(n, coalesce((select min(r.b) from reach r join reach q on q.a = r.b and q.b = r.a where r.a = n), n)) as component from node""")
 def strong_components(spark, d):
-    """Iterative, so there is no SQL; tests hold it against plain Python."""
-    import uuid
+    """Of the edges, without those that lead to a third of the nodes from later ones."""
+    edges = _events(spark, d).where("to_id % 3 <> 0 or from_id < to_id")
+    return graph.strong_components(edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
+
+
+ORACLE["strong_components"] = ORACLE["strong_components"].replace("with ev as", "with recursive ev as", 1)
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
 
-        base = tempfile.mkdtemp(prefix="tidewell-")
-    edges = _events(spark, d).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    return graph.strong_components(edges, f"{base.rstrip('/')}/scc-{uuid.uuid4().hex}")
+def _drawn(name: str, *at: str) -> str:
+    """DuckDB's form of `generator.draw`."""
+    text = " || ':' || ".join([f"'{generator.stream_seed(42, name)}'", *[f"cast({c} as varchar)" for c in at]])
+    return f"cast('0x' || substr(sha256({text}), 1, 13) as bigint)"
 
 
-QUERIES["strong_components"] = strong_components
+def _addressed(k: str) -> str:
+    return f"'0x' || substr(sha256('{generator.stream_seed(42, 'addr')}:' || cast({k} as varchar)), 1, 40)"
 
 
+@query(f"""--alone
+with b as (select i + 1 as number, 1704067200 + i * 600 as ts from range(500) r(i)),
+t as (select number, ts, unnest(range(1, {_drawn('tx_count', 'number')} % 50 + 51)) as pos0 from b),
+p as (select number, ts, pos0 - 1 as pos from t),
+x as (select *, {_drawn('from', 'number', 'pos')} % 5000 as src, {_drawn('to', 'number', 'pos')} % 4999 as hop from p)
+select number, ts, pos, {_addressed('src')} as sender,
+  {_addressed(f"case when {_drawn('choose', 'number', 'pos')} / 4503599627370496.0 < 0.1 then src else (src + 1 + hop) % 5000 end")} as receiver,
+  'MOCK' as token, {_drawn('amount', 'number', 'pos')} % 1000 + 1 as amount, {_drawn('nonce', 'number', 'pos')} as nonce from x""")
 def synthetic_transfers(spark, d):
-    """Generated transfers: drawn from hashes DuckDB does not have, so there is no SQL; tests check them."""
+    """Generated transfers of 500 blocks."""
     blocks = generator.schedule(spark, 1_704_067_200, 500, 600)
     return generator.transfers(blocks, 5000, seed=42)
 
 
-QUERIES["synthetic_transfers"] = synthetic_transfers
+@query(f"--alone\nselect i as k, {_addressed('i')} as addr from range(5000) r(i)")
+def synthetic_addresses(spark, d):
+    return generator.addresses(spark, 5000, seed=42)
+
+
+@query(f"""--alone
+with b as (select i + 1 as number, 1704067200 + i * 600 as ts from range(200) r(i))
+select number, ts, {_drawn('tx_count', 'number')} % 50 + 50 as n_tx from b""")
+def synthetic_blocks(spark, d):
+    """Mined blocks as on the wire, by the count of transfers the header's root stands for."""
+    blocks = generator.schedule(spark, 1_704_067_200, 200, 600)
+    mined = generator.block_messages(blocks, generator.transfers(blocks, 5000, seed=42), seed=42)
+    return mined.select("number", "ts", F.size("txs").cast("long").alias("n_tx"))
+
+
+@query("select number % 8 as partition, min(number) as offset from blocks where number % 8 <> 5 group by 1")
+def first_offsets(spark, d):
+    """The first offset seen of each partition."""
+    raw = _blocks(spark, d).select((F.col("number") % 8).alias("partition"), F.col("number").alias("offset"))
+    return messages.first_seen(raw.where("partition <> 5"))
+
+
+@query("select number, ts, n_tx from blocks where number >= (select max(number) // 3 from blocks)")
+def offset_base(spark, d):
+    """Messages below the base offset are left out, whatever they hold."""
+    blocks = stored(_blocks(spark, d))
+    base = blocks.agg(F.expr("max(number) div 3")).first()[0]
+    txs = F.to_json(F.transform(F.sequence(F.lit(1), F.col("n_tx")), lambda k: F.struct(F.lit("").alias("hash"))))
+    value = F.concat(F.lit('{"header":{"number":'), "number", F.lit(',"timestamp":'), "ts", F.lit('},"hash":"","txs":'), txs, F.lit("}"))
+    sent = blocks.select(F.col("number").alias("offset"), F.when(F.col("number") % 2 == 0, value).when(F.col("number") < base, F.lit("{")).otherwise(value).alias("value"))
+    return messages.block_rows(messages.decode(sent, base)).select("number", "ts", "n_tx")
+
+
+@query("select idx, tok from tx where idx % 4 <> 0")
+def token_filter(spark, d):
+    """Transfers without a token are dropped on request: blank ones and missing ones."""
+    flat = _flat(spark, d)
+    k = F.col("idx") % 8
+    messy = flat.withColumn("token", F.when(k == 0, F.lit(" \t")).when(k == 4, F.lit(None)).otherwise(F.concat(F.lit(" "), "token")))
+    return dictionary.clean(messy, drop_no_token=True).select("idx", "tok")
+
+
+@query("select idx, number, ts, '0x' || src as sender, '0x' || dst as receiver, tok as token, amount from tx")
+def json_flatten(spark, d):
+    """Transfers out of the blocks' JSON messages, numbered on from `rel`."""
+    flat = stored(_flat(spark, d))
+    body = F.struct(F.col("sender").alias("from"), F.col("receiver").alias("to"), "token", "amount", F.col("ts").alias("timestamp"))
+    listed = flat.groupBy("number", "ts").agg(F.min("idx").alias("rel"), F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(F.lit("").alias("hash"), body.alias("tx_body"), F.col("number").alias("block_num")).alias("tx")))), lambda x: x["tx"]).alias("txs"))
+    header = F.struct("number", F.lit("").alias("parent_hash"), F.col("ts").alias("timestamp"), F.lit("").alias("tx_root"))
+    sent = listed.select("rel", "number", F.to_json(F.struct(header.alias("header"), F.lit("").alias("hash"), "txs")).alias("value"))
+    read = messages.decode(sent.select(F.col("number").alias("offset"), "value")).select("block.*").join(sent.select("number", "rel"), F.col("header.number") == F.col("number")).select("header", "txs", "rel")
+    return dictionary.flatten_json(read).select("idx", "number", "ts", "sender", "receiver", "token", "amount")
+
+
+@query("select count(*) as n, count(distinct src || dst) as n_edges, count(distinct src) as n_from, count(distinct tok) as n_token from tx")
+def hash_ids(spark, d):
+    """Ids without a dictionary: as many of them as there are names."""
+    e = dictionary.hash_ids(_flat(spark, d))
+    return e.agg(F.count("*").alias("n"), F.countDistinct("from_id", "to_id").alias("n_edges"), F.countDistinct("from_id").alias("n_from"), F.countDistinct("token_id").alias("n_token"))
 
 
 @query("select tok as token, cast(sum(amount) as bigint) as amount, count(*) as n from tx group by tok")
@@ -477,14 +655,16 @@ with e as (select event_id, epoch_us(ts) as us from events), t as (
   when 3 then cast(us as varchar) || '000' else cast(us // 1000000 as varchar) || '.5' end as s, us from e)
 select event_id, s as text, case event_id % 5 when 1 then 'milliseconds' when 2 then 'microseconds' when 3 then 'nanoseconds' else 'seconds' end as unit,
   strftime(make_timestamp((us // 1000000) * 1000000), '%Y-%m-%d %H:%M:%S') as utc,
-  strftime(make_timestamp((us // 1000000) * 1000000 + 28800000000), '%Y-%m-%d %H:%M:%S') as at_0800 from t""")
+  strftime(make_timestamp((us // 1000000) * 1000000 + 28800000000), '%Y-%m-%d %H:%M:%S') as at_0800,
+  strftime(make_timestamp((us // 1000000) * 1000000 - 19800000000), '%Y-%m-%d %H:%M:%S') as at_0530,
+  strftime(make_timestamp((us // 1000000) * 1000000 + 32400000000), '%Y-%m-%d %H:%M:%S') as tokyo from t""")
 def ts_unit_inference(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     sec, k = F.floor(F.col("us") / 1_000_000).cast("string"), F.col("event_id") % 5
     text = F.when(k == 0, sec).when(k == 1, F.floor(F.col("us") / 1000).cast("string")).when(k == 2, F.col("us").cast("string")).when(k == 3, F.concat(F.col("us").cast("string"), F.lit("000"))).otherwise(F.concat(sec, F.lit(".5")))
     t = e.select("event_id", text.alias("text"))
     seconds = E.epoch_seconds(F.col("text"))
-    return t.select("event_id", "text", E.epoch_unit(F.col("text")).alias("unit"), E.epoch_text(seconds, E.zone(F.lit("UTC"))).alias("utc"), E.epoch_text(seconds, E.zone(F.lit("+0800"))).alias("at_0800"))
+    return t.select("event_id", "text", E.epoch_unit(F.col("text")).alias("unit"), E.epoch_text(seconds, E.zone(F.lit("UTC"))).alias("utc"), E.epoch_text(seconds, E.zone(F.lit("+0800"))).alias("at_0800"), E.epoch_text(seconds, E.zone(F.lit("-05:30"))).alias("at_0530"), E.epoch_text(seconds, E.zone(F.lit("Asia/Tokyo"))).alias("tokyo"))
 
 
 @query("""--alone

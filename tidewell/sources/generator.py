@@ -1,7 +1,7 @@
 """Synthetic chains: addresses, transfers and blocks, the same for the same seed.
 
-Every draw is a hash of (seed of a named stream, position), so any partition can make its
-rows alone and a repeated task makes the same rows.
+Every draw is a SHA-256 of (seed of a named stream, position), so any partition can make its
+rows alone, a repeated task makes the same rows, and any SQL engine can check them.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ def stream_seed(base: int, name: str) -> int:
 
 
 def draw(base: int, name: str, *at: Column) -> Column:
-    """A number from 0 to 2**53 - 1 for a position of a named stream."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(stream_seed(base, name)), *at), 11)
+    """A number from 0 to 2**52 - 1 for a position of a named stream."""
+    text = F.concat_ws(":", F.lit(str(stream_seed(base, name))), *[c.cast("string") for c in at])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long")
 
 
 def address(seed: int, k: Column) -> Column:
@@ -49,7 +50,7 @@ def transfers(blocks: DataFrame, n_addresses: int, seed: int = 1, self_loops: fl
     at = (F.col("number"), F.col("pos"))
     src = draw(seed, "from", *at) % n_addresses
     other = (src + 1 + draw(seed, "to", *at) % max(1, n_addresses - 1)) % n_addresses
-    looped = draw(seed, "choose", *at) / float(2**53) < self_loops
+    looped = draw(seed, "choose", *at) / float(2**52) < self_loops
     return rows.select(
         "number", "ts", "pos",
         address(seed, src).alias("sender"),
