@@ -7,35 +7,26 @@ fingerprints taken from a running sum, so no Python loop runs over words or byte
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.store import shared_dir
+
 NULL_ID = -(2**63)
 KEY = ["_d", "_t", "_u"]
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 # ---------------------------------------------------------------- Spark side
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back; cuts the lineage."""
     folder = shared_dir(df.sparkSession)
@@ -70,6 +61,29 @@ def copy_number() -> Column:
     return F.when(F.col("_d") == NULL_ID, F.count(F.lit(1)).over(so_far)).otherwise(F.lit(1)).alias("_copies")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or the first of `_name`, `__name`, ... that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def rest_of(docs: DataFrame, *own: str) -> list[Column]:
+    """The columns other than `own` in one struct `_rest` (none if there are no others), where no
+    name of theirs can meet one of an operator's."""
+    rest = [c for c in docs.columns if c not in own]
+    return [F.struct(*[F.col(quoted(c)).alias(c) for c in rest]).alias("_rest")] if rest else []
+
+
+def from_rest(name: str) -> Column:
+    return F.col("_rest").getField(name).alias(name)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """The key and `text` of every row, whatever other columns there are."""
     return docs.select(*doc_key(), F.col("text").cast("string").alias("text"))
@@ -159,14 +173,40 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def in_parts(function, limit: int = 8 << 20):
-    """A mapInArrow function that gets batches of at most `limit` bytes of `text` (or one row):
-    Spark's batches are bounded by rows, and what a task holds beside them should be as well."""
+def released() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, beside others."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """`df.mapInArrow` with bounded memory: the session's Arrow batches hold at most `BATCH_BYTES`
+    (or one row; a lower bound of the session stays), and a task gives back what it held."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int((conf.get(name) or "0").rstrip("bB") or 0) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
+def in_parts(function: Callable, limit: int | None = None) -> Callable:
+    """A mapInArrow function that gets batches of at most `limit` bytes of `text` (or one row): a
+    batch's bound counts all its columns, and its last row may be long."""
 
     def run(batches):
         def parts():
             for batch in batches:
-                for a, b in chunks(text_buffer(batch.column("text"))[1], limit):
+                for a, b in chunks(text_buffer(batch.column("text"))[1], limit or BATCH_BYTES):
                     yield batch.slice(a, b - a)
 
         yield from function(parts())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, in_parts, not_space, text_buffer, word_names, word_spans
+from .common import chunks, fresh, in_arrow, in_parts, not_space, text_buffer, word_names, word_spans
 
 MAX_DOCS = 6_000
 STEPS = 120
@@ -187,19 +187,20 @@ def fit(labelled: DataFrame, steps: int = STEPS) -> dict:
     return train(got["text"].tolist(), got["quality"].tolist(), steps)
 
 
-def _scored(model_b):
+def _scored(model_b, name: str):
     def run(batches):
         model = model_b.value
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             out = [document_scores(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-            columns = {c: batch.column(c) for c in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(columns | {"_score": pa.array(np.concatenate(out) if out else np.zeros(0))})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, name])
 
     return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of `docs` (it needs `text`) and `_score`, the document's quality."""
+    """All columns of `docs` (it needs `text`) and `_score`, the document's quality (with more
+    underscores in front if `docs` has such a column)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(in_parts(_scored(held)), T.StructType(docs.schema.fields + [T.StructField("_score", T.DoubleType())]))
+    name = fresh(docs.columns, "_score")
+    return in_arrow(docs, in_parts(_scored(held, name)), T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))

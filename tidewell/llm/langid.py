@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, chunks, in_parts, mix, ragged, running, span, text_buffer
+from .common import checkpointed, chunks, fresh, in_arrow, in_parts, mix, quoted, ragged, running, span, text_buffer
 
 LONGEST = 4
+SMOOTH = 0.2
 MAX_DOCS = 20_000
 MAX_ENTRIES = 100_000
 UNKNOWN = "und"
@@ -110,9 +111,9 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
     total = rows.count()
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_docs / total))
-    counted = rows.mapInArrow(in_parts(_counted), "lang string, n int, name long, c long").groupBy("n", "name", "lang").agg(F.sum("c").alias("c"))
+    counted = in_arrow(rows, in_parts(_counted), "lang string, n int, name long, c long").groupBy("n", "name", "lang").agg(F.sum("c").alias("c"))
     counted = checkpointed(counted)
-    sizes = counted.groupBy("lang", "c", "n").agg(F.count("*").alias("rows")).toPandas()
+    sizes = counted.groupBy("lang", "c", "n").agg(F.count("*").alias("rows")).toArrow().to_pandas()
     langs = sorted(sizes["lang"].unique())
     if not langs:
         return {"langs": [], "tables": [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1)}
@@ -122,19 +123,27 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
     above = (F.col("c") > F.col("least")) | ((F.col("c") == F.col("least")) & (F.col("n") < F.col("longest")))
     chosen = above | (level & (F.pmod(F.xxhash64("name"), F.lit(1 << 30)) < F.col("share")))
     by_name = counted.join(F.broadcast(cuts), "lang").groupBy("n", "name").agg(F.max(chosen).alias("chosen"), F.collect_list(F.struct("k", "c")).alias("all"))
-    kept = by_name.where("chosen").select("n", "name", F.inline("all")).toPandas()
+    by_name = by_name.where("chosen").select("n", "name", F.inline("all"))
+    kept = {c: x.to_numpy() for c, x in zip(("n", "name", "k", "c"), by_name.toArrow().combine_chunks().columns, strict=True)}
     model: dict = {"langs": langs, "tables": []}
     for n in range(LONGEST + 1):
-        part = kept[kept["n"] == n]
-        names, at = np.unique(part["name"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        part = kept["n"] == n
+        names, at = np.unique(kept["name"][part].view(np.uint64), return_inverse=True)
         count = np.zeros((len(names), len(langs)))
-        np.add.at(count, (at, part["k"].to_numpy(int)), part["c"].to_numpy(float))
-        score = np.log((count + 0.2) / (count.sum(0) + 0.2 * max(1, len(names))))
-        score -= np.log(np.exp(score - score.max(1, keepdims=True)).sum(1, keepdims=True)) + score.max(1, keepdims=True) if len(names) else 0
-        model["tables"].append((names, score))
+        np.add.at(count, (at, kept["k"][part]), kept["c"][part])
+        model["tables"].append((names, relative_scores(count)))
     return model
 
 
+def relative_scores(count: np.ndarray) -> np.ndarray:
+    """Log frequency of each name (row) in each language, relative to the sum over the languages."""
+    if not len(count):
+        return count
+    score = np.log((count + SMOOTH) / (count.sum(0) + SMOOTH * len(count)))
+    top = score.max(1, keepdims=True)
+    return score - top - np.log(np.exp(score - top).sum(1, keepdims=True))
+
+
 def looked_up(table: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each name is known, and its row."""
     have = table[0]
@@ -165,7 +174,7 @@ def word_scores(model: dict, words: Words, chosen: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _predicted(model_b):
+def _predicted(model_b, names: tuple[str, str]):
     def run(batches):
         model, is_letter = model_b.value, letters()
         langs = model["langs"]
@@ -189,17 +198,23 @@ def _predicted(model_b):
                 part = odds.max(1) / odds.sum(1)
                 best += [langs[k] if s else UNKNOWN for k, s in zip(top.tolist(), some.tolist(), strict=True)]
                 share += np.where(some, part, 0.0).tolist()
-            columns = {c: batch.column(c) for c in batch.schema.names} | {"_lang": pa.array(best, pa.string()), "_score": pa.array(share, pa.float64())}
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[*batch.schema.names, *names])
 
     return run
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of `docs` (it needs `text`), `_lang` and `_score`."""
+    """All columns of `docs` (it needs `text`), `_lang` and `_score` (see `added`)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType(docs.schema.fields + [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(in_parts(_predicted(held)), schema)
+    names = added(docs)
+    schema = T.StructType(docs.schema.fields + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return in_arrow(docs, in_parts(_predicted(held, names)), schema)
+
+
+def added(docs: DataFrame) -> tuple[str, str]:
+    """The names of the columns that `identify` adds: `_lang` and `_score`, with more underscores
+    in front if `docs` has such a column."""
+    return fresh(docs.columns, "_lang"), fresh(docs.columns, "_score")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -209,5 +224,5 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The rows of `docs` whose language is told with a score of `least` or more."""
-    found = identify(docs, fit(training_rows(docs), **options))
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    found, (lang, score) = identify(docs, fit(training_rows(docs), **options)), added(docs)
+    return found.where((F.col(quoted(lang)) != UNKNOWN) & (F.col(quoted(score)) >= least)).drop(lang, score)

@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import KEY, chunks, copies, covered, doc_key, in_parts, ragged, text_buffer
+from .common import KEY, chunks, copies, covered, doc_key, from_rest, in_arrow, in_parts, ragged, rest_of, text_buffer
 from .minimisers import list_values, member, minimiser_runs, repeated_grams, symbols_of
 
 LENGTH, GRAM, BLOCK = 200, 32, 16
@@ -239,7 +240,7 @@ def _compare(length: int, last: bool):
 def ranked(rows: DataFrame, length: int, last: bool = False) -> DataFrame:
     """One round: rows sorted by rank pair and position, then compared with their neighbours."""
     dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "u1", "u2", *KEY, "place", "low", "high")
-    return dealt.mapInArrow(_compare(length, last), ITEMS)
+    return in_arrow(dealt, _compare(length, last), ITEMS)
 
 
 def by_document(items: DataFrame) -> DataFrame:
@@ -248,19 +249,22 @@ def by_document(items: DataFrame) -> DataFrame:
 
 def dealt(docs: DataFrame) -> DataFrame:
     """Documents by key, with the other columns in `_rest`; one exchange that all rounds read."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    more = [F.struct(*rest).alias("_rest")] if rest else []
-    return docs.select(*doc_key(), F.col("text").cast("string").alias("text"), *more).repartition(*KEY)
+    return docs.select(*doc_key(), F.col("text").cast("string").alias("text"), *rest_of(docs, "doc_id", "text")).repartition(*KEY)
+
+
+def extended(base: DataFrame, more: str) -> T.StructType:
+    """The fields of `base` but its text, and those of a DDL text."""
+    return T.StructType([f for f in base.schema.fields if f.name != "text"] + T.StructType.fromDDL(more).fields)
 
 
 def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """`_d`, `_t`, `_u`, `items`: byte spans (low, high) of each document that other positions repeat."""
-    columns = base.columns
+    columns = base.columns  # all of them, so that every round reads the same exchange
     need = repeated_grams(docs, length, gram, words=False)
-    rows = base.join(need, KEY).select(*columns, "grams", "heavy").mapInArrow(in_parts(_run_rows(length, gram)), ROWS)
+    rows = in_arrow(base.join(need, KEY).select(*columns, "grams", "heavy"), in_parts(_run_rows(length, gram)), ROWS)
     for width in (block, 1):
         items = by_document(ranked(rows, length))
-        rows = base.join(items, KEY).select(*columns, "items").mapInArrow(in_parts(_block_rows(length, gram, width)), ROWS)
+        rows = in_arrow(base.join(items, KEY).select(*columns, "items"), in_parts(_block_rows(length, gram, width)), ROWS)
     return by_document(ranked(rows, length, last=True))
 
 
@@ -311,8 +315,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     base = dealt(docs)
     spans = repeated_spans(docs, base, length, gram, block)
     found = base.join(spans, KEY, "left").select(*base.columns, "items", copies())
-    kind = base.schema["_rest"].dataType.simpleString() if "_rest" in base.columns else ""
-    return found.mapInArrow(in_parts(_cut(length)), "_d long, _t long, _u long, " + (f"_rest {kind}, " if kind else "") + "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string")
+    return in_arrow(found, in_parts(_cut(length)), extended(base, "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -321,5 +324,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     changed = F.col("n_removed") > 0
     new = {"doc_id": F.when(F.col("_d") != F.lit(-(2**63)), F.col("_d")), "text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("_rest.n_chars"))
-    return out.select(*(new[c].alias(c) if c in new else F.col("_rest").getField(c).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("_rest").getField("n_chars"))
+    return out.select(*(new[c].alias(c) if c in new else from_rest(c) for c in docs.columns))

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, chunks, copy_number, covered, in_parts, not_space, ragged, text_buffer, word_spans
+from .common import KEY, chunks, copy_number, covered, in_arrow, in_parts, not_space, ragged, text_buffer, word_spans
 from .minimisers import list_values, member, minimiser_runs, repeated_grams, symbols_of
-from .suffix_dedup import _keys, dealt, names128
+from .suffix_dedup import _keys, dealt, extended, names128
 
 WINDOW, GRAM = 20, 4
 #: b1, b2: the bucket.  packed: the words of windows first..last, null if the bucket is one window's
@@ -226,10 +226,9 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     `starts` and `ends` (removed word runs) and `_kept` (kept words, one space between)."""
     base = dealt(docs)
     need = repeated_grams(docs, window, gram, words=True)
-    rows = base.join(need, KEY).select(*base.columns, "grams", "heavy").mapInArrow(in_parts(_packets(window, gram)), ROWS)
+    rows = in_arrow(base.join(need, KEY).select(*base.columns, "grams", "heavy"), in_parts(_packets(window, gram)), ROWS)
     buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "packed", *KEY, "first")
-    marked = buckets.mapInArrow(_bucket(window), "_d long, _t long, _u long, first int, last int")
+    marked = in_arrow(buckets, _bucket(window), "_d long, _t long, _u long, first int, last int")
     spans = marked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     found = base.join(spans, KEY, "left").select(*base.columns, "spans", copy_number())
-    kind = base.schema["_rest"].dataType.simpleString() if "_rest" in base.columns else ""
-    return found.mapInArrow(in_parts(_kept(window)), "_d long, _t long, _u long, " + (f"_rest {kind}, " if kind else "") + "n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _kept string")
+    return in_arrow(found, in_parts(_kept(window)), extended(base, "n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _kept string"))
