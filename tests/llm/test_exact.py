@@ -24,7 +24,7 @@ def test_fm_index_finds_every_place(body, phrase):
 
     symbols = np.array([*body, 0], np.int64)
     index = FMIndex(symbols, sample_every=3)
-    low, high = index.search(np.array([phrase], np.int64), np.array([len(phrase)]))
+    low, high = index.search(np.array([9, *phrase], np.int64), np.array([1]), np.array([len(phrase)]))
     got = sorted(index.locate(np.arange(low[0], high[0])).tolist())
     assert got == [p for p in range(len(body)) if body[p : p + len(phrase)] == phrase]
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, chunks, covered, in_parts, lower_ascii, ragged, text_buffer, word_names, word_spans
+from .common import checkpointed, chunks, covered, fresh, from_rest, in_arrow, in_parts, lower_ascii, ragged, rest_of, text_buffer, word_names, word_spans
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -41,37 +41,68 @@ def word_bytes() -> np.ndarray:
     return flags
 
 
-def phrases(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict:
-    """Distinct phrases as rows of word numbers, the vocabulary's names, and who holds each."""
-    column = pa.array([t or "" for _, t in items], pa.string())
-    data, offsets = text_buffer(column)
-    data = lower_ascii()[data]
-    starts, ends, first = word_spans(data, offsets, word_bytes())
-    names = word_names(data, starts, ends)
-    vocab, ids = np.unique(names, return_inverse=True)
-    held: dict[tuple[int, ...], set[int]] = {}
-    labels = sorted({"null" if i is None else str(i) for i, _ in items})
+def phrases(items: pa.Table, window: int = WINDOW) -> dict:
+    """The distinct phrases of rows (item id, text, both strings): where each begins in the items'
+    words and its length, the vocabulary's names, and who holds each."""
+    data, offsets = text_buffer(items.column(1))
+    names, words, flags, table = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], word_bytes(), lower_ascii()
+    for a, b in chunks(offsets):
+        part = table[data[offsets[a] : offsets[b]]]
+        starts, ends, first = word_spans(part, offsets[a : b + 1] - offsets[a], flags)
+        names.append(word_names(part, starts, ends))
+        words.append(np.diff(first))
+    names = np.concatenate(names)
+    vocab = np.unique(names)
+    tokens, size = (np.searchsorted(vocab, names) + 1).astype(np.int32), np.concatenate(words)
+    del names, data
+    called = ["null" if x is None else x for x in items.column(0).to_pylist()]
+    labels = sorted(set(called))
     number = {x: k for k, x in enumerate(labels)}
-    for k, (item, _) in enumerate(items):
-        own = tuple((ids[first[k] : first[k + 1]] + 1).tolist())
-        for p in range(max(1, len(own) - window + 1) if own else 0):
-            held.setdefault(own[p : p + window], set()).add(number["null" if item is None else str(item)])
-    rows = sorted(held)
-    table = np.zeros((len(rows), window), np.int64)
-    length = np.array([len(r) for r in rows], np.int64)
-    for k, r in enumerate(rows):
-        table[k, window - len(r) :] = r
-    holders = [sorted(held[r]) for r in rows]
+    count = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+    start = ragged(np.cumsum(size) - size, count).astype(np.int32)
+    length = np.repeat(np.minimum(size, window), count).astype(np.int32)
+    item = np.repeat(np.array([number[x] for x in called], np.int32), count)
+    last = len(tokens) - 1
+    name = length.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(window):
+            name *= np.uint64(0x9FB21C651E98DF25)
+            name ^= np.where(length > k, tokens[np.minimum(start + k, last)], 0).astype(np.uint64)
+            name ^= name >> np.uint64(29)
+    # by name, then by item: of each phrase and item one row stays
+    order = np.argsort(name, kind="stable")
+    start, length, item, name = start[order], length[order], item[order], name[order]
+    del order
+    head = changes(tokens, start, length, window)
+    if (head[1:] & (name[1:] == name[:-1])).any():  # different phrases of one name: sort by the words themselves
+        order = np.lexsort([item, *(np.where(length > k, tokens[np.minimum(start + k, last)], 0) for k in range(window)), length])
+        start, length, item = start[order], length[order], item[order]
+        head = changes(tokens, start, length, window)
+    del name
+    phrase = (np.cumsum(head) - 1).astype(np.int32)
+    own = np.r_[True, (phrase[1:] != phrase[:-1]) | (item[1:] != item[:-1])] if len(phrase) else head
     return {
         "vocab": vocab,
-        "table": table,
-        "length": length,
-        "holder_at": np.cumsum([0, *map(len, holders)]),
-        "holders": np.array([x for h in holders for x in h], np.int64),
+        "tokens": tokens,
+        "start": start[head].astype(np.int64),
+        "length": length[head].astype(np.int64),
+        "holder_at": np.r_[0, np.cumsum(np.bincount(phrase[own], minlength=int(head.sum())))],
+        "holders": item[own].astype(np.int64),
         "labels": labels,
     }
 
 
+def changes(tokens: np.ndarray, start: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """Which phrases differ from the one before."""
+    if not len(start):
+        return np.zeros(0, bool)
+    other = length[1:] != length[:-1]
+    for k in range(window):
+        word = tokens[np.minimum(start + k, len(tokens) - 1)]
+        other |= (word[1:] != word[:-1]) & (length[1:] > k)
+    return np.r_[True, other]
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, one bit vector with running counts for each bit."""
 
@@ -129,21 +160,25 @@ class FMIndex:
         self.sample_rank = np.concatenate([[0], np.cumsum(taken)])
         del self.suffix
 
-    def search(self, table: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals [low, high) of each right-aligned phrase, found back to front."""
-        low = np.zeros(len(table), np.int64)
-        high = np.full(len(table), len(self.bwt), np.int64)
+    def search(self, tokens: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row intervals [low, high) of the phrases tokens[start : start + length], found back to front."""
+        low, high = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         top = len(self.before) - 2
-        for step in range(table.shape[1]):
-            symbol = table[:, table.shape[1] - 1 - step]
-            on = np.flatnonzero((step < length) & (high > low))
+        # the rows of the last symbol are known without a rank
+        last = tokens[start + length - 1]
+        on = np.flatnonzero(last < top)
+        low[on], high[on] = self.before[last[on]], self.before[last[on] + 1]
+        on = on[high[on] > low[on]]
+        for step in range(1, int(length.max(initial=0))):
+            on = on[step < length[on]]
             if not len(on):
                 break
-            s = symbol[on]
+            s = tokens[start[on] + length[on] - 1 - step].astype(np.int64)
             known = s < top
             s = np.where(known, s, 0)
             low[on] = np.where(known, self.before[s] + self.tree.rank(s, low[on]), 0)
             high[on] = np.where(known, self.before[s] + self.tree.rank(s, high[on]), 0)
+            on = on[high[on] > low[on]]
         return low, np.maximum(high, low)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -161,7 +196,7 @@ class FMIndex:
 def occurrences(names: np.ndarray, first: np.ndarray, found: dict) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, word index) of every occurrence in the shard.  first: word index by document."""
     none = np.zeros(0, np.int64)
-    if not len(names) or not len(found["table"]):
+    if not len(names) or not len(found["start"]):
         return none, none
     vocab = found["vocab"]
     at = np.minimum(np.searchsorted(vocab, names), len(vocab) - 1)
@@ -181,7 +216,7 @@ def occurrences(names: np.ndarray, first: np.ndarray, found: dict) -> tuple[np.n
     symbols = symbol[np.minimum(place, len(symbol) - 1)]
     symbols[last] = 0
     index = FMIndex(symbols)
-    low, high = index.search(found["table"], found["length"])
+    low, high = index.search(found["tokens"], found["start"], found["length"])
     hit = np.flatnonzero(high > low)
     rows = ragged(low[hit], high[hit] - low[hit])
     return np.repeat(hit, high[hit] - low[hit]), place[index.locate(rows)]
@@ -266,39 +301,44 @@ def _finished(batches):
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def decontaminate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    max_benchmark_bytes: int = MAX_BENCHMARK_BYTES,
-    shard_bytes: int = SHARD_BYTES,
-) -> DataFrame:
-    """All columns of `docs` (it needs `text`) and, for each document: `_starts`, `_ends`
-    (byte spans to remove, merged and sorted), `_items` (ids of the items found), `_n_words`,
-    `_n_hit` (words inside spans), `_items_sha256`, `_clean` (text without the spans)."""
+SPANS = "_starts array<long>, _ends array<long>, _items array<string>"
+COUNTS = "_n_words long, _n_hit long, _clean string, _items_sha256 string"
+NEW = ("_starts", "_ends", "_items", "_n_words", "_n_hit", "_clean", "_items_sha256")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """`text`, `_rest` (the other columns of `docs`, if any) and the columns NEW of every document."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = max(1, -(-total // max_benchmark_bytes))
-    spans = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("_starts", "_ends")] + [T.StructField("_items", T.ArrayType(T.StringType()))]
-    plain = T.StructType([f for f in docs.schema.fields if f.name not in {"_starts", "_ends", "_items", "_n_words", "_n_hit", "_clean", "_items_sha256"}])
-    df = docs.select(*plain.fieldNames(), *(F.lit(None).cast(f.dataType).alias(f.name) for f in spans))
-    schema = T.StructType(plain.fields + spans)
-    more = [T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_clean", T.StringType()), T.StructField("_items_sha256", T.StringType())]
+    spans = T.StructType.fromDDL(SPANS).fields
+    df = docs.select(F.col("text").cast("string").alias("text"), *rest_of(docs, "text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in spans))
 
     def searched(k: int):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
-        return _searched(spark.sparkContext.broadcast(phrases([(r.i, r.t) for r in part.collect()], window)), shard_bytes)
+        return _searched(spark.sparkContext.broadcast(phrases(part.toArrow(), window)), shard_bytes)
 
     for k in range(slices - 1):
-        df = checkpointed(df.mapInArrow(in_parts(searched(k)), schema))
+        df = checkpointed(in_arrow(df, in_parts(searched(k)), df.schema))
     last = searched(slices - 1)
     # the last search and the merging share one Python worker
-    return df.mapInArrow(in_parts(lambda batches: _finished(last(batches))), T.StructType(schema.fields + more))
+    return in_arrow(df, in_parts(lambda batches: _finished(last(batches))), T.StructType(df.schema.fields + T.StructType.fromDDL(COUNTS).fields))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """All columns of `docs` (it needs `text`) and, for each document: `_starts`, `_ends`
+    (byte spans to remove, merged and sorted), `_items` (ids of the items found), `_n_words`,
+    `_n_hit` (words inside spans), `_items_sha256`, `_clean` (text without the spans).  Where
+    `docs` has a column of such a name, the new one gets more underscores in front."""
+    found = hits(docs, benchmark, **options)
+    return found.select(*(F.col("text") if c == "text" else from_rest(c) for c in docs.columns), *(F.col(c).alias(fresh(docs.columns, c)) for c in NEW))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` with the same columns, the hit spans cut from `text` and `n_chars` counted anew."""
-    out = decontaminate(docs, benchmark, **options)
-    new = {"text": F.col("_clean"), "n_chars": F.when(F.col("_n_hit") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns))
+    out = hits(docs, benchmark, **options)
+    new = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_n_hit") > 0, F.length("_clean").cast("long")).otherwise(F.col("_rest").getField("n_chars"))
+    return out.select(*(new[c].alias(c) if c in new else from_rest(c) for c in docs.columns))
