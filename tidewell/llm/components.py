@@ -17,13 +17,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """`node` and `root` (the smallest node of its component) of every node in edges (a, b)."""
     e = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct()
     e, before = checkpointed(e), None
+
+    def least() -> DataFrame:
+        """The smallest neighbour of the nodes that have a smaller one.  Written, so that the join
+        that follows can be split where a node has very many neighbours."""
+        return checkpointed(e.groupBy("x").agg(F.min("y").alias("m")))
+
     for _ in range(max_rounds):
-        both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        e = checkpointed(small.union(least.select("x", F.col("m").alias("y"))).distinct())
+        # a node's larger neighbours go to its smallest one; a node without smaller ones keeps them
+        m = least().select(F.col("x").alias("y"), "m")
+        e = checkpointed(e.join(m, "y", "left").select("x", F.coalesce("m", "y").alias("y")).distinct())
+        # so do its smaller neighbours and the node itself
+        m = least()
+        small = e.join(m, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        e = checkpointed(small.union(m.select("x", F.col("m").alias("y"))).distinct())
         row = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)))).first()
         if tuple(row) == before:
             break

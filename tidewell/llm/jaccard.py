@@ -15,9 +15,14 @@ Joining: the sets of a candidate component meet in one task.  A signature tree h
 every node, the OR of its sets' token bitmaps and its range of sizes.  Two nodes are
 traversed together and dropped as soon as the largest possible overlap is too small, or when
 all their sets are already in one component; what is left at the leaves is counted exactly.
-A component of more than `chunk_tokens` shingles is cut by a hash into chunks, and every pair
-of chunks is a task of its own, so no task gathers it whole.  Links of all tasks are then
-closed to components.
+A node is traversed with itself before its pairs, so a group of near copies becomes one
+component from the leaves up, and all but one pair of its nodes are dropped unseen.
+
+A component of more than `chunk_tokens` shingles is cut by a hash into chunks, so no task
+gathers it whole.  First each chunk meets itself and the first chunk; that alone joins a group
+of near copies.  The sets that are then outside the largest component found, if any, are cut
+into chunks in turn, and each of these meets every chunk of the whole.  Links of all tasks
+are closed to components.
 
 Cases: a text of fewer words than a shingle is one shingle, the whole sequence; null and
 empty texts have none and link with nothing; repeated rows are one document; equal texts are
@@ -31,15 +36,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, checkpointed, chunks, doc_key, in_parts, keyed, lower_ascii, mix, not_space, ragged, running, span, text_buffer, word_names, word_spans
+from .common import KEY, checkpointed, chunks, doc_key, in_arrow, in_parts, keyed, lower_ascii, mix, not_space, quoted, ragged, running, span, text_buffer, word_names, word_spans
 from .components import Forest, components
 from .suffix_dedup import _keys
 
 SAMPLE, HEAVY_IN_SAMPLE, MAX_HEAVY = 32, 2, 1 << 20
-CHUNK_TOKENS = 6_000_000
+CHUNK_TOKENS = 2_000_000
 LEAF, FANOUT = 16, 8
 
 
@@ -187,11 +192,38 @@ def _key_rows(n: int, num: int, den: int, heavy_b):
                     place = np.minimum(np.searchsorted(table, flat[maybe]), len(table) - 1)
                     heavy[maybe] = table[place] == flat[maybe]
                 key, owner = part_keys(flat, at, use, heavy, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(names[owner].view(np.int64))], names=["key", "node"])
+                key, node = combined(key.view(np.int64), names[owner].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
     return run
 
 
+def combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (key, node) that join the same nodes and hold every key once: the nodes of a key are
+    represented by the first, and the groups this makes get a key of their own.  So a key that
+    very many sets share costs the shuffle one row a chunk, and near copies one row each."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    head = np.r_[True, key[1:] != key[:-1]]
+    lead = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+    on = lead != node
+    if not on.any():
+        return key, node
+    ids, root = closed(lead[on], node[on])
+    own = (mix(root.view(np.uint64) ^ np.uint64(0xA24BAED4963EE407)) ^ mix(ids.max(initial=0).view(np.uint64) + np.uint64(len(ids)))).view(np.int64)
+    return np.r_[key[head], own], np.r_[node[head], ids]
+
+
+def closed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links a - b, and the smallest node of each one's component."""
+    pairs = np.unique(np.stack([a, b], 1), axis=0)
+    ids, flat = np.unique(pairs, return_inverse=True)
+    forest = Forest(len(ids))
+    for x, y in flat.reshape(-1, 2).tolist():
+        forest.join(x, y)
+    return ids, ids[np.array([forest.find(k) for k in range(len(ids))])]
+
+
 def _first_links(batches):
     """Rows sorted by key: each set is linked to the first of its key; within a batch the links
     are closed, so what goes on is one link for each set and component."""
@@ -209,14 +241,9 @@ def _first_links(batches):
         on = lead != nodes
         if not on.any():
             continue
-        pairs = np.unique(np.stack([lead[on], nodes[on]], 1), axis=0)
-        ids, flat = np.unique(pairs, return_inverse=True)
-        forest = Forest(len(ids))
-        for x, y in flat.reshape(-1, 2).tolist():
-            forest.join(x, y)
-        root = np.array([forest.find(k) for k in range(len(ids))])
-        own = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[root[own]]), pa.array(ids[own])], names=["a", "b"])
+        ids, root = closed(lead[on], nodes[on])
+        own = root != ids
+        yield pa.RecordBatch.from_arrays([pa.array(root[own]), pa.array(ids[own])], names=["a", "b"])
 
 
 class SignatureTree:
@@ -240,6 +267,23 @@ class SignatureTree:
             cut = np.arange(0, len(b), width)
             self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(sp, cut)))
             width = FANOUT
+        #: Nodes whose sets were seen to be in one component (they stay so).
+        self.joined: list[set[int]] = [set() for _ in self.levels]
+
+    def first(self, level: int, k: int) -> int:
+        """The member that stands first below a node."""
+        return self.members[k * (LEAF * FANOUT ** (level - 1) if level else 1)]
+
+    def is_joined(self, level: int, k: int, forest: Forest) -> bool:
+        """Whether all sets below a node are in one component."""
+        if not level or k in self.joined[level]:
+            return True
+        root = forest.find(self.first(level, k))
+        for c in self.children(level, k):
+            if not self.is_joined(level - 1, c, forest) or forest.find(self.first(level - 1, c)) != root:
+                return False
+        self.joined[level].add(k)
+        return True
 
     def children(self, level: int, k: int) -> range:
         width = LEAF if level == 1 else FANOUT
@@ -261,6 +305,9 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, forest: Forest, num: int,
     stack = [(top_a, 0, top_b, 0)]
     while stack:
         la, ka, lb, kb = stack.pop()
+        if a.is_joined(la, ka, forest) and b.is_joined(lb, kb, forest) and forest.find(a.first(la, ka)) == forest.find(b.first(lb, kb)):
+            continue
+        inner = []
         rows_a = np.array(a.children(la, ka)) if la else np.array([ka])
         rows_b = np.array(b.children(lb, kb)) if lb else np.array([kb])
         next_a, next_b = max(la - 1, 0), max(lb - 1, 0)
@@ -270,7 +317,7 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, forest: Forest, num: int,
             if same and next_a == next_b and x > y:
                 continue
             if next_a or next_b:
-                stack.append((next_a, x, next_b, y))
+                (inner if same and next_a == next_b and x == y else stack).append((next_a, x, next_b, y))
                 continue
             if same and x == y:
                 continue
@@ -282,34 +329,45 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, forest: Forest, num: int,
             if den * both >= num * (len(s) + len(t) - both):
                 forest.join(p, q)
                 found.append((p, q))
+        stack += inner
     return found
 
 
 def _joined(num: int, den: int):
-    """Streams (root, i, j) groups of sets; yields the links of each."""
+    """Streams (root, i, j) groups of sets; yields the links of each.  Sets of side 1 meet each
+    other, unless they are known to have done so, and those of side 0; a group with side 0 alone
+    meets itself.  Sets with the same `known` component count as joined."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         nodes = sorted({r[3] for r in rows})
         number = {x: k for k, x in enumerate(nodes)}
         sides: list[dict[int, np.ndarray]] = [{}, {}]
-        for _, i, j, node, side, packed in rows:
-            sides[0 if i == j else side][node] = np.frombuffer(packed, np.uint64)
+        forest, first, inside = Forest(len(nodes)), {}, True
+        for _, _, _, node, side, known, packed in rows:
+            sides[side][node] = np.frombuffer(packed, np.uint64)
+            if known is not None:
+                inside = False
+                forest.join(first.setdefault(known, number[node]), number[node])
         longest = max(len(s) for side in sides for s in side.values())
         words = min(128, 1 << max(2, (4 * longest // 64).bit_length()))
         trees = [SignatureTree(list(s.values()), [number[x] for x in s], words) for s in sides if s]
-        forest = Forest(len(nodes))
-        found = dual_traversal(trees[0], trees[-1], forest, num, den) if len(trees) == 2 or rows[0][1] == rows[0][2] else []
+        found = []
+        if inside:
+            found += dual_traversal(trees[-1], trees[-1], forest, num, den)
+        if len(trees) == 2:
+            found += dual_traversal(trees[0], trees[1], forest, num, den)
         return [(nodes[x], nodes[y]) for x, y in found]
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if held and row[:3] != held[0][:3]:
                     out += links(held)
                     held = []
-                held.append(row)
+                if not held or row[3:5] != held[-1][3:5]:  # copies of a text come once
+                    held.append(row)
             if out:
                 yield pairs(out)
         if held and (out := links(held)):
@@ -324,15 +382,60 @@ def _joined(num: int, den: int):
 def _packed_sets(n: int):
     def run(batches):
         for batch in batches:
-            root, node, parts = (batch.column(c).to_numpy() for c in ("root", "node", "parts"))
+            root, node, parts, known = (batch.column(c) for c in ("root", "node", "parts", "known"))
             for a, flat, at in _sets_of(batch, n):
-                own = [flat[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)]
-                end = a + len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(root[a:end]), pa.array(node[a:end]), pa.array(parts[a:end]), pa.array(own, pa.binary())], names=["root", "node", "parts", "packed"])
+                # rows without id repeat a key: of copies in a chunk one goes on
+                _, one = np.unique(node.to_numpy()[a : a + len(at) - 1], return_index=True)
+                own = [flat[at[k] : at[k + 1]].tobytes() for k in one.tolist()]
+                pick = pa.array(a + one)
+                yield pa.RecordBatch.from_arrays([root.take(pick), node.take(pick), parts.take(pick), known.take(pick), pa.array(own, pa.binary())], names=["root", "node", "parts", "known", "packed"])
 
     return run
 
 
+PACKED = "root long, node long, parts int, known long, packed binary"
+MET = ("root", "i", "j", "node", "side", "known", "packed")
+
+
+def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    met = sets.select(*MET).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node", "side")
+    return checkpointed(in_arrow(met, _joined(num, den), "a long, b long"))
+
+
+def verified(texts: DataFrame, home: DataFrame, n: int, num: int, den: int, chunk_tokens: int) -> DataFrame:
+    """Links (a, b) between sets, enough to join all that are linked.  home: the candidates, with
+    `root`, `node`, the key of a document that has the set, and `n`."""
+
+    def packed(chosen: DataFrame) -> DataFrame:
+        rows = texts.join(chosen.select("root", "node", "known", *KEY, "parts"), KEY)
+        return in_arrow(rows.select("root", "node", "parts", "known", "text"), in_parts(_packed_sets(n)), PACKED)
+
+    def spot(parts: str, salt: int = 0):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
+
+    parts = checkpointed(home.groupBy("root").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("parts")))
+    chosen = home.join(parts, "root").withColumn("known", F.lit(None).cast("long"))
+    sets = packed(chosen).withColumn("at", spot("parts"))
+    others = F.when(F.col("at") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("at"))
+    links = _links(sets.withColumn("j", F.explode(others)).withColumns({"i": F.lit(0), "side": (F.col("at") > 0).cast("int")}), num, den)
+    cut = parts.where("parts > 1")
+    if cut.isEmpty():
+        return links
+    # what the largest component found in a candidate of several chunks leaves out meets all of it
+    found = components(links)
+    now = home.join(cut, "root").join(found.withColumnRenamed("root", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    now = checkpointed(now.select("root", "node", *KEY, "n", "parts", "known"))
+    largest = now.groupBy("root", "known").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("known", F.struct("c", "known")).alias("most"))
+    left = now.join(largest, "root").where("known <> most").groupBy("root").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("more"), F.first("most").alias("most"))
+    left = checkpointed(left)
+    if left.isEmpty():
+        return links
+    again = packed(now.join(left, "root")).join(left, "root").withColumns({"at": spot("parts"), "far": spot("more", 1)})
+    here = again.withColumns({"side": F.lit(0), "i": F.col("at"), "j": F.explode(F.sequence(F.lit(0), F.col("more") - 1))})
+    there = again.where("known <> most").withColumns({"side": F.lit(1), "j": F.col("far"), "i": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    return links.union(_links(here.select(*MET).union(there.select(*MET)), num, den))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = CHUNK_TOKENS, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """`_d`, `_t`, `_u`, `n` (shingles), `node` (set name, null if empty) and `root` (component) of every document.
 
@@ -340,23 +443,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     texts = keyed(docs)
-    classes = checkpointed(texts.mapInArrow(in_parts(_classes(n)), "_d long, _t long, _u long, node long, n long"))
-    sampled = texts.mapInArrow(in_parts(_sampled(n)), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_IN_SAMPLE)
-    heavy = sampled.orderBy(F.desc("c"), "token").limit(max_heavy).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+    classes = checkpointed(in_arrow(texts, in_parts(_classes(n)), "_d long, _t long, _u long, node long, n long"))
+    sampled = in_arrow(texts, in_parts(_sampled(n)), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_IN_SAMPLE)
+    heavy = sampled.orderBy(F.desc("c"), "token").limit(max_heavy).select("token").toArrow().column(0).to_numpy().view(np.uint64)
     heavy_b = spark.sparkContext.broadcast(np.sort(heavy) if len(heavy) else np.zeros(1, np.uint64))
-    keys = texts.mapInArrow(in_parts(_key_rows(n, num, den, heavy_b)), "key long, node long")
-    links = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_first_links, "a long, b long")
+    keys = in_arrow(texts, in_parts(_key_rows(n, num, den, heavy_b)), "key long, node long")
+    links = in_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), _first_links, "a long, b long")
     near = components(links)
     one = classes.where("node is not null").groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("n"))
     home = checkpointed(near.join(one, "node").select("root", "node", "rep._d", "rep._t", "rep._u", "n"))
-    parts = home.groupBy("root").agg(F.ceil(F.sum("n") / chunk_tokens).cast("int").alias("parts"))
-    chosen = home.join(parts, "root").select("root", "node", *KEY, "parts")
-    sets = texts.join(chosen, KEY).select("root", "node", "parts", "text").mapInArrow(in_parts(_packed_sets(n)), "root long, node long, parts int, packed binary")
-    spot = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    sets = sets.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sets = sets.select("root", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "node", (F.col("spot") > F.col("other")).cast("int").alias("side"), "packed")
-    met = sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    found = components(met.mapInArrow(_joined(num, den), "a long, b long"))
+    found = components(verified(texts, home, n, num, den, chunk_tokens))
+    heavy_b.destroy()
     return classes.join(found, "node", "left").select(*KEY, "n", "node", F.coalesce("root", "node").alias("root"))
 
 
@@ -364,7 +461,8 @@ def component_ids(docs: DataFrame, **options) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` of every row of `docs`."""
     found = jaccard_components(docs, **options)
     id_ = F.when(F.col("_d") != F.lit(-(2**63)), F.col("_d"))
-    least = found.where("root is not null").groupBy("root").agg(F.min(id_).alias("least"))
+    # written, so that a component of very many rows can be split where it is joined
+    least = checkpointed(found.where("root is not null").groupBy("root").agg(F.min(id_).alias("least")))
     return found.join(least, "root", "left").select(id_.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("least")).otherwise(id_).alias("component_id"))
 
 
@@ -374,8 +472,9 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     found = jaccard_components(docs, **options)
     least = found.where("root is not null").groupBy("root").agg(F.min(F.struct(*KEY)).alias("keep"))
     # rows without words are in no component and stay; rows of one key differ in other columns alone
-    worded = F.coalesce(F.col("text").cast("string").rlike("[^ \\x09-\\x0d]"), F.lit(False))
-    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    turn = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.xxhash64(*rest) if rest else F.lit(0)))
-    rows = docs.where(worded).select("*", *doc_key()).join(least.select("keep.*"), KEY)
-    return rows.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns).union(docs.where(~worded))
+    worded = F.coalesce(F.col("text").cast("string").rlike("[^ \\x09-\\x0d]"), F.lit(False)).alias("_worded")
+    rows = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("_row"), *doc_key(), worded)
+    # of rows with one key the least stays; they meet where they are read, before any shuffle
+    lone = rows.where("_worded").groupBy(*KEY).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    chosen = lone.join(least.select("keep.*"), KEY)
+    return chosen.select("_row").union(rows.where("not _worded").select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
