@@ -181,17 +181,14 @@ def test_mixing_of_nothing(spark):
 
 
 def nearest(vectors, queries, k):
-    usable = {}
-    for i, v in vectors:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = [math.floor(64 * x) for x in v]
-        usable[i] = min(usable.get(i, w), w)
+    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in queries(usable):
-        scored = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=False)), i) for i, v in usable.items() if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
-    return sorted(out)
+    for at, (q, v) in enumerate(usable):
+        if q is None or not queries(q):
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i is None, i) for n, (i, w) in enumerate(usable) if n != at)
+        out += [(q, r + 1, i, -s) for r, (s, _, i) in enumerate(scored[:k])]
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("spread", [0.0, 3.0])
@@ -201,10 +198,16 @@ def test_topk(spark, spread):
     for i in range(300):
         size = math.exp(rng.gauss(0, spread))
         rows.append((i, [size * rng.gauss(0, 1) for _ in range(8)]))
-    rows += [(300, rows[0][1]), (301, rows[0][1]), (302, [0.0] * 8), (320, [0.0] * 8), (340, None), (341, [1.0, None]), (342, [float("nan")] * 8), (343, [float("inf")] * 8), (None, [1.0] * 8), (20, rows[20][1]), (344, [2.0, 1.0])]
+    rows += [(300, rows[0][1]), (301, rows[0][1]), (302, [0.0] * 8), (320, [0.0] * 8), (340, None), (341, [1.0, None]), (342, [float("nan")] * 8), (343, [float("inf")] * 8), (None, [1.0] * 8), (None, [9.0] * 8), (20, rows[20][1]), (40, rows[7][1]), (41, rows[8][1]), (41, rows[41][1]), (344, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = topk.top_k(df, k=7, chunk=40, block=5)
-    assert sorted(tuple(r) for r in got.collect()) == nearest(rows, lambda u: [q for q in u if q % 20 == 0], 7)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == nearest(rows, lambda q: q % 20 == 0, 7)
+    # the same vectors asked from outside leave out the rows of their id
+    few = df.where("vec_id in (3, 5, 20)")
+    by_id = {q: [r.vec_id for r in got.orderBy("rank").collect() if r.query_id == q] for q in (3, 5)} if (got := topk.top_k(df, few, k=7, chunk=40, block=2)) else {}
+    want = nearest([r for r in rows if r[0] is not None], lambda q: q in (3, 5), 8)
+    for q, found in by_id.items():
+        assert len(found) == 7 and q not in found and set(found[:3]) <= {w[2] for w in want if w[0] == q} | {None}
 
 
 def test_topk_prunes_by_coordinates_exactly(spark):
@@ -212,7 +215,7 @@ def test_topk_prunes_by_coordinates_exactly(spark):
     centre = rng.normal(size=6) * 100
     c = np.floor(np.vstack([centre + rng.normal(size=(60, 6)) * 3, rng.normal(size=(300, 6)) * 100])).astype(np.int64)
     ids, floors = np.arange(len(c)), np.array([np.sort(c[0] @ c[1:].T)[-5]], float)
-    i, j, s = topk.best(np.array([0]), c[:1], floors, ids, c, 5)
+    i, j, s = topk.best(np.array([0]), c[:1], floors, ids, ids, c, 5)
     want = sorted(((-int(c[0] @ c[k]), k) for k in range(1, len(c))))[:5]
     assert [(-int(x), int(y)) for x, y in zip(s, j, strict=True)] == want
 

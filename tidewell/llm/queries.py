@@ -171,17 +171,15 @@ from p left join hits using (page_id)
 """,
     "op5_topk": """
 with e as (
-  select vec_id, min(list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))) as v
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
   from embeddings
-  where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-  group by vec_id
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.r, q.vec_id as query_id, c.vec_id,
          cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
-  from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+  from e q join e c on q.r <> c.r where q.vec_id % 20 = 0
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+  select query_id, cast(row_number() over (partition by r order by score desc, vec_id nulls last) as integer) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 20
 """,

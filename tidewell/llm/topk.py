@@ -1,48 +1,51 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are grouped by vector length; a group is split by a hash of the id into chunks of
-about `CHUNK` vectors, so equal lengths never make one large chunk.  Queries go in blocks.
+Candidates are grouped by vector length in at most `GROUPS` levels, cut at quantiles; a level is
+split by a hash into chunks of about `CHUNK` vectors, so equal lengths never make one large
+chunk.  Queries go in blocks.
 
 1. Every query meets one chunk of the longest vectors; its k-th score there is a floor.
-2. A chunk is sent to a query's block only if |query| * (longest of the chunk) reaches the
-   floor.  In the task the local cosine threshold, floor / (|query| * longest), chooses the
-   pruning: if it is high, coordinate pruning (a candidate's share on the query's strongest
-   coordinates must lie in the interval the threshold allows), else length pruning (only
-   the candidates long enough, a prefix in length order).
+2. Levels follow from long to short, each round twice as many as all before it, and the floors
+   rise between rounds.  A chunk is sent to a query's block only if |query| * (longest of the
+   level) reaches the floor.  In the task the local cosine threshold, floor / (|query| *
+   longest), chooses the pruning: if it is high, coordinate pruning (a candidate's share on the
+   query's strongest coordinates must lie in the interval the threshold allows), else length
+   pruning (only the candidates long enough, a prefix in length order).
 3. The survivors' integer products are computed exactly, and those that reach the floor are
    merged; ties go to the smaller id.
 
 Components are floor(64 * x).  Bounds carry a slack against rounding, products do not: they
 are computed in doubles while all sums stay below 2**53, in Python integers beyond.
 
-Cases: vectors that are null or hold null or non-finite components take no part, nor do rows
-without id; of several vectors of one id the smallest counts, so repeated rows count once;
-shorter vectors are continued with zeros; fewer than k candidates are all returned; an empty
-table gives an empty result.
+Cases: vectors that are null or hold null or non-finite components take no part; every other row
+is a candidate, rows without id too (they come last in ties) and rows that repeat an id, with
+the same vector or another; a query leaves out its own row only, and a query whose id is
+repeated is answered for each of its rows; shorter vectors are continued with zeros; fewer than
+k candidates are all returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 K, SCALE, EVERY = 20, 64, 20
-CHUNK, BLOCK, GROUPS = 4096, 1024, 32
+CHUNK, BLOCK, GROUPS = 4096, 1024, 1024
+LAST_ID = 2**63 - 1
 #: Local cosine thresholds from which single coordinates prune more than lengths do.
 COORDINATE_FROM = 0.8
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
-    """`vec_id`, `v` (integer components) and `len2` (squared length) of the usable rows."""
+    """`row`, `vec_id`, `v` (integer components) and `len2` (squared length) of the usable rows."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    usable = F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~F.exists("e", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    usable = F.col("e").isNotNull() & ~F.exists("e", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     v = x.where(usable).select("vec_id", F.transform("e", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
-    v = v.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return v.withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+    return v.withColumn("row", F.monotonically_increasing_id()).withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -67,10 +70,11 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((a.astype(object) @ b.astype(object).T).astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best(q_ids, q, floors, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's best k candidates that reach its floor."""
+def best(q_own, q, floors, c_own, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of each query's best k candidates that reach its floor.
+    A candidate with the query's `own` value is its own row."""
     order = np.argsort(-(c.astype(float) ** 2).sum(1), kind="stable")
-    c_ids, c = c_ids[order], c[order]
+    c_own, c_ids, c = c_own[order], c_ids[order], c[order]
     c_len = np.sqrt((c.astype(float) ** 2).sum(1))
     q_len = np.sqrt((q.astype(float) ** 2).sum(1))
     slack = 1 - 1e-9
@@ -84,7 +88,7 @@ def best(q_ids, q, floors, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np
     out: list[tuple] = []
 
     def keep(i: int, rows: np.ndarray, scores: np.ndarray) -> None:
-        use = np.flatnonzero((scores >= floors[i]) & (c_ids[rows] != q_ids[i]))
+        use = np.flatnonzero((scores >= floors[i]) & (c_own[rows] != q_own[i]))
         if len(use) > k:
             least = np.partition(scores[use], len(use) - k)[len(use) - k]
             use = use[scores[use] >= least]
@@ -121,61 +125,77 @@ def best(q_ids, q, floors, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _retrieve(k: int):
     def run(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        ids, other = queries.column("vec_id").to_numpy(), candidates.column("vec_id").to_numpy()
         width = 1
         for t in (queries, candidates):
             if t.num_rows:
                 width = max(width, int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max(initial=0)))
         q, c = (matrix(t.column("v"), width) if t.num_rows else np.zeros((0, width), np.int64) for t in (queries, candidates))
-        i, j, s = best(ids, q, queries.column("floor").to_numpy().astype(float), other, c, k)
-        return pa.table({"query_id": pa.array(ids[i], pa.int64()), "vec_id": pa.array(other[j], pa.int64()), "score": pa.array(s, pa.int64())})
+        ids = candidates.column("vec_id").combine_chunks()
+        i, j, s = best(queries.column("own").to_numpy(), q, queries.column("floor").to_numpy().astype(float), candidates.column("own").to_numpy(), ids.fill_null(LAST_ID).to_numpy(), c, k)
+        return pa.table({"row": queries.column("row").take(pa.array(i)), "query_id": queries.column("vec_id").take(pa.array(i)), "vec_id": ids.take(pa.array(j)), "score": pa.array(s, pa.int64())})
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+FOUND = "row long, query_id long, vec_id long, score long"
+
+
+def best_first(found: DataFrame) -> Column:
+    return F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, chunk: int = CHUNK, block: int = BLOCK, groups: int = GROUPS) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score`: the best `k` rows of `vectors` for each query.
 
-    queries: rows of `vec_id` and `embedding`; by default the rows whose id is divisible by 20.
+    queries: rows of `vec_id` and `embedding`, which leave out the rows of their id; by default
+    the rows whose id is divisible by 20, which leave out themselves.
     """
     spark = vectors.sparkSession
     all_ = checkpointed(scaled(vectors))
-    asked = scaled(queries) if queries is not None else all_.where(F.col("vec_id") % EVERY == 0)
+    if queries is None:
+        all_ = all_.withColumn("own", F.col("row"))
+        asked = all_.where(F.col("vec_id") % EVERY == 0)
+    else:
+        all_ = all_.withColumn("own", F.coalesce("vec_id", F.lit(LAST_ID)))
+        asked = checkpointed(scaled(queries)).withColumn("own", F.coalesce("vec_id", F.lit(LAST_ID - 1)))
     total, n_queries = all_.count(), asked.count()
-    empty = "query_id long, rank int, vec_id long, score long"
     if not total or not n_queries:
-        return spark.createDataFrame([], empty)
-    groups = max(1, min(GROUPS, total // chunk))
-    bounds = all_.select(F.percentile_approx("len2", [g / groups for g in range(1, groups)] or [0.5], 10_000)).first()[0] if groups > 1 else []
-    group = sum([(F.col("len2") < F.lit(b)).cast("int") for b in sorted(set(bounds))], F.lit(0))
-    grouped = all_.withColumn("g", group)
-    sizes = {r.g: r["count"] for r in grouped.groupBy("g").count().collect()}
-    parts = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, max(1, -(-n // chunk)))])
-    placed = grouped.withColumn("p", F.pmod(F.xxhash64("vec_id"), parts[F.col("g")]).cast("int"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    groups = max(1, min(groups, total // chunk))
+    bounds = sorted(set(all_.select(F.percentile_approx("len2", [g / groups for g in range(1, groups)], 10_000)).first()[0])) if groups > 1 else []
+    level = F.size(F.filter(F.lit(bounds), lambda b: F.col("len2") < b)) if bounds else F.lit(0)
+    graded = all_.withColumn("g", level)
+    # a row for each level, the longest first: its number, its chunks, its longest vector
+    levels = [(r.g, max(1, -(-r.n // chunk)), r.m) for r in graded.groupBy("g").agg(F.count("*").alias("n"), F.sqrt(F.max("len2")).alias("m")).orderBy("g").collect()]
+    table = F.broadcast(spark.createDataFrame(levels, "g int, n int, m double"))
+    placed = graded.join(table, "g").withColumn("p", F.pmod(F.xxhash64("row"), F.col("n")).cast("int")).select("row", "own", "vec_id", "v", "g", "p")
     blocks = max(1, -(-n_queries // block))
-    asked = asked.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    first = min(sizes)
+    asked = asked.withColumn("b", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int"))
 
     def met(q: DataFrame, c: DataFrame) -> DataFrame:
-        q = q.select(*(F.col(x).alias(x) for x in ("vec_id", "v", "floor", "g", "p", "b")))
-        # a chunk goes to the blocks that still have a query for it
-        wanted = q.select(*(F.col(x).alias(x) for x in ("g", "p", "b"))).distinct()
-        c = c.select("vec_id", "v", "g", "p").join(wanted, ["g", "p"])
-        c = c.select(*(F.col(x).alias(x) for x in ("vec_id", "v", "g", "p", "b")))
+        # both sides come from one table: their columns are named anew
+        q, c = (x.select(*[F.col(n).alias(n) for n in names]) for x, names in ((q, ("row", "own", "vec_id", "v", "floor", "g", "p", "b")), (c, ("own", "vec_id", "v", "g", "p", "b"))))
         pair = q.groupBy("g", "p", "b").cogroup(c.groupBy("g", "p", "b"))
-        return pair.applyInArrow(_retrieve(k), "query_id long, vec_id long, score long")
-
-    seeds = asked.withColumns({"floor": F.lit(float("-inf")), "g": F.lit(first), "p": F.lit(0)})
-    start = checkpointed(met(seeds, placed.where((F.col("g") == first) & (F.col("p") == 0))))
-    floor = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    # chunks of one group share its longest length, so the plan needs `groups` figures, not one for each chunk
-    longest = {r.g: r.m for r in grouped.groupBy("g").agg(F.sqrt(F.max("len2")).alias("m")).collect()}
-    chunks = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(max(1, -(-n // chunk))).alias("n"), F.lit(float(longest[g])).alias("m")) for g, n in sorted(sizes.items())])
-    wide = asked.join(floor.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    wide = wide.select("vec_id", "v", "len2", "floor", "b", F.explode(chunks).alias("c"))
-    wide = wide.where((F.col("floor") <= 0) | (F.sqrt("len2") * F.col("c.m") * (1 + 1e-9) >= F.col("floor")))
-    wide = wide.select("vec_id", "v", "floor", "b", F.col("c.g").alias("g"), F.explode(F.sequence(F.lit(0), F.col("c.n") - 1)).alias("p"))
-    wide = wide.where((F.col("g") != first) | (F.col("p") != 0))
-    rest = met(wide, placed.where((F.col("g") != first) | (F.col("p") != 0)))
-    ranked = start.union(rest).withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return pair.applyInArrow(_retrieve(k), FOUND)
+
+    lowest, first = F.lit(float("-inf")), levels[0][0]
+    longest = placed.where((F.col("g") == first) & (F.col("p") == 0))
+    seeds = asked.withColumns({"floor": lowest, "g": F.lit(first), "p": F.lit(0)})
+    now = checkpointed(met(seeds, longest.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))))
+    at = 0
+    while at < len(levels):
+        part = levels[at : at + max(1, 2 * at)]
+        at += len(part)
+        own = [x[0] for x in part]
+        floor = now.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(lowest).alias("floor"))
+        wide = asked.join(floor, "row", "left").withColumn("floor", F.coalesce("floor", lowest))
+        array = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(n).alias("n"), F.lit(float(m)).alias("m")) for g, n, m in part])
+        # a chunk goes to the blocks that still have a query for it
+        reached = F.filter(array, lambda x: (F.col("floor") <= 0) | (F.sqrt("len2") * x["m"] * (1 + 1e-9) >= F.col("floor")))
+        wide = wide.select("row", "own", "vec_id", "v", "floor", "b", F.explode(reached).alias("x")).select("row", "own", "vec_id", "v", "floor", "b", F.col("x.g").alias("g"), F.explode(F.sequence(F.lit(0), F.col("x.n") - 1)).alias("p"))
+        wide = wide.where((F.col("g") != first) | (F.col("p") != 0))
+        wanted = wide.select(*[F.col(n).alias(n) for n in ("g", "p", "b")]).distinct()
+        there = placed.where(F.col("g").isin(own)).join(wanted, ["g", "p"])
+        merged = now.union(met(wide, there))
+        now = checkpointed(merged.withColumn("rank", best_first(merged)).where(F.col("rank") <= k).drop("rank"))
+    return now.withColumn("rank", best_first(now)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
