@@ -252,10 +252,25 @@ def test_archives_round_trip(spark, monkeypatch):
     keys = [warc.sort_key(tuple(r)) for r in got]
     assert keys == sorted(keys)
     # merging in passes gives the same order
-    folder = f"{warc.shared_dir(spark)}/warc-passes"
+    folder = warc.scratch(spark, "passes")
     archives = warc.write_archives(pages, folder, archive_bytes=700)
-    assert archives.count() > 3
-    assert [warc.sort_key(tuple(r))[:3] for r in warc.read_archives(archives, folder, fan_in=2).collect()] == [k[:3] for k in keys]
+    assert archives.count() > 30
+    assert [warc.sort_key(tuple(r))[:3] for r in warc.read_archives(archives, folder, fan_in=4).collect()] == [k[:3] for k in keys]
+    # record ids are unique, and a revisit's URL and date are those of its response
+    fs, root = warc.opened(folder)
+    ids, dated, referred = [], set(), set()
+    for r in archives.collect():
+        with fs.open_input_stream(r.file, compression=None) as stream:
+            for _, _, raw in warc.members(stream):
+                fields = dict(x.split(": ", 1) for x in raw.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+                ids.append(fields["WARC-Record-ID"])
+                place = (fields.get("WARC-Target-URI"), fields["WARC-Date"], fields.get(warc.PAGE))
+                if fields["WARC-Type"] == "response":
+                    dated.add(place)
+                else:
+                    referred.add((fields.get("WARC-Refers-To-Target-URI"), fields["WARC-Refers-To-Date"], fields[warc.REFERS]))
+    assert len(set(ids)) == len(ids) == len(rows)
+    assert referred and referred <= dated
 
 
 def test_small_payloads_are_responses(spark):

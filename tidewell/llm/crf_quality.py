@@ -3,8 +3,9 @@
 Each line is good or bad.  Its features are shares of character classes, word lengths,
 repetition inside the line and of earlier lines, and the same of the line before and after.
 Neighbouring labels are tied by a 2 x 2 transition table.  Training maximises the labels'
-conditional likelihood (the lines of a labelled document carry its label) on at most
-`max_docs` labelled rows chosen by a hash; the bound is a parameter.  Scoring runs the
+conditional likelihood (the lines of a labelled document carry its label) on about `max_docs`
+labelled rows and `max_bytes` of text at most, chosen by a hash of the id; both bounds are
+parameters, and a text of more than a hundredth of `max_bytes` teaches nothing.  Scoring runs the
 forward-backward recursions over every line of the whole text and takes the mean marginal
 of `good`, weighted by the lines' lengths.
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import chunks, fresh, in_arrow, in_parts, not_space, text_buffer, word_names, word_spans
 
-MAX_DOCS = 6_000
+MAX_DOCS, MAX_BYTES = 6_000, 32 << 20
 STEPS = 120
 #: Character classes; shares of each are features: lower, upper, digit, space, end marks,
 #: pipes, other signs, bytes beyond ASCII.
@@ -132,9 +133,10 @@ def document_scores(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.nd
     return np.clip(np.where(total > 0, out, model["share"]), 0.0, 1.0)
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS) -> dict:
-    """Weights by Adam ascent of the conditional log-likelihood, documents weighted by 1/lines."""
-    data, offsets = text_buffer(pa.array(texts, pa.string()))
+def train(texts, labels: list[int], steps: int = STEPS) -> dict:
+    """Weights by Adam ascent of the lines' mean conditional log-likelihood.  texts: an Arrow
+    column, or a list of texts."""
+    data, offsets = text_buffer(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
     parts, sizes = [], [0]
     for a, b in chunks(offsets):
         x, _, first = line_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -168,23 +170,28 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> dict:
     return {"mean": mean, "scale": scale, "weights": weights, "pair": pair, "share": min(max(share, 0.0), 1.0)}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """`text` and `quality` of labelled documents that may teach (crc32 of the id leaves another
-    remainder than 1): at most about `max_docs`, chosen by a hash of the id, so the labels that
-    are broadcast have that bound.  Of several labels of an id the lowest counts."""
+    remainder than 1): about `max_docs` labels, which bounds what is broadcast, and of their rows
+    (an id may be repeated) a share that holds about `max_bytes` of text, both chosen by a hash.
+    Of several labels of an id the lowest counts."""
     own = labels.select(F.col("doc_id").cast("long").alias("_l"), F.col("quality").cast("int").alias("quality"))
     own = own.where("_l is not null and quality in (0, 1)").where(F.crc32(F.col("_l").cast("string")) % 3 != 1).groupBy("_l").agg(F.min("quality").alias("quality"))
     total = own.count()
     if total > max_docs:
         own = own.where(F.pmod(F.xxhash64("_l"), F.lit(1 << 30)) < int((1 << 30) * max_docs / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(own), F.col("doc_id") == F.col("_l")).select("text", "quality")
+    found = texts.join(F.broadcast(own), F.col("doc_id") == F.col("_l")).where(F.octet_length("text") <= max_bytes // 100)
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        found = found.where(F.pmod(F.xxhash64("_l", "text"), F.lit(1 << 30)) < int((1 << 30) * max_bytes / size))
+    return found.select("text", "quality")
 
 
 def fit(labelled: DataFrame, steps: int = STEPS) -> dict:
     """The model from rows of `text` and `quality` (0 or 1), which the caller has bounded."""
-    got = labelled.orderBy(F.xxhash64("text"), "quality").toPandas()
-    return train(got["text"].tolist(), got["quality"].tolist(), steps)
+    got = labelled.orderBy(F.xxhash64("text"), "quality").toArrow()
+    return train(got.column("text"), got.column("quality").to_pylist(), steps)
 
 
 def _scored(model_b, name: str):

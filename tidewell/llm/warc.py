@@ -2,17 +2,21 @@
 
 Writing: payload digests are counted in Spark; of equal payloads the smallest page_id is a
 response, the others are revisits that name it.  Each task writes gzip archives (a member
-for each record) of at most `ARCHIVE_BYTES` into the shared folder.
+for each record) of at most `ARCHIVE_BYTES` into the shared folder.  The html meets only the
+table of payloads that repeat, which is written first, so that Spark can split a payload of
+very many pages over tasks.  Record ids are fresh; a revisit names its response by URL and date
+as the format asks, and pages by fields of its own.
 
 Reading: each task reads one archive from start to end, sorts its captures by URL key,
-timestamp and page_id and writes them as a run.  Runs are merged k ways by a loser tree:
-ranges of the whole key (not of the URL alone, so a hot URL is cut like any other) are dealt
-to tasks, and each merges its slice of every run.  More than `FAN_IN` runs are merged in
-passes.  The result, range after range, is the global history in order.
+timestamp and page_id and writes them as a run of batches.  What lies where is a table: a row
+for each batch, with its first and last key.  Groups of `FAN_IN` runs are cut at every
+`FAN_IN`-th first key (of the whole key, not of the URL alone, so a hot URL is cut like any
+other), and each range is a task that merges its part of every run by a loser tree, one batch
+of each run in memory.  Passes go on until one group is left, whose ranges, one after the
+other, are the global history in order.
 
 A file's name holds a fresh token and only the files of finished tasks are listed, so lost
-or repeated attempts leave no trace in the result.  The driver keeps one small row for each
-archive and run (a run is an archive's index), no captures.
+or repeated attempts leave no trace in the result.  The driver keeps counts, no rows.
 
 Cases: null html is an empty payload; a null url has key `-`; pages without a `date` column
 are dated by their id; a null page_id is a response only if no equal payload has an id, and
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,32 +37,30 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from tidewell.sources.store import scratch
+
+from .common import checkpointed, in_arrow
 
 ARCHIVE_BYTES = 32 << 20
-FAN_IN = 128
-RUN_ROWS = 4096
+FAN_IN = 64
+RUN_ROWS = 1024
 EPOCH = 1_704_067_200
 CAPTURE = "urlkey string, ts long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long"
 FIELDS = [x.split()[0] for x in CAPTURE.split(", ")]
 ARROW = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in CAPTURE.split(", "))])
-#: High half of record ids; the low half is the page_id.  The second marks a null page_id.
-OWN, NO_ID = 0x7469646577656C31, 0x7469646577656C30
+#: Extension fields: the page's id, and that of the response a revisit refers to.
+PAGE, REFERS = "Tidewell-Page-ID", "Tidewell-Refers-To-Page-ID"
 NULL_LAST = 2**63
+#: A capture's whole key; pages without id come last.
+KEY = "key struct<urlkey:string, ts:bigint, no_page:int, page_id:bigint, file:string, offset:bigint>"
+#: The table of batches: the run, the file and place of a batch, its rows, its first and last key.
+INDEX = f"run string, file string, k int, rows long, {KEY.replace('key ', 'head ', 1)}, {KEY.replace('key ', 'tail ', 1)}"
 
-
-def record_id(page_id: int | None) -> str:
-    high, low = (NO_ID, 0) if page_id is None else (OWN, page_id & (2**64 - 1))
-    return f"<urn:uuid:{uuid.UUID(int=high << 64 | low)}>"
-
-
-def page_of(record: str) -> int | None:
-    value = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int
-    low = value & (2**64 - 1)
-    return None if value >> 64 == NO_ID else low - (2**64 if low >> 63 else 0)
+KEY_ARROW = pa.struct([("urlkey", pa.string()), ("ts", pa.int64()), ("no_page", pa.int32()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
+INDEX_ARROW = pa.schema([("run", pa.string()), ("file", pa.string()), ("k", pa.int32()), ("rows", pa.int64()), ("head", KEY_ARROW), ("tail", KEY_ARROW)])
 
 
 def url_key(url: str | None) -> str:
@@ -89,14 +92,24 @@ def seconds_of(text: str) -> int:
     return int((datetime.datetime.strptime(text, "%Y-%m-%dT%H:%M:%SZ") - datetime.datetime(1970, 1, 1)).total_seconds())
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers: int | None, revisit: bool, ts: int) -> bytes:
-    """One record; a revisit holds the HTTP header (with the payload's length) alone."""
+def target(url: str) -> str:
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers: tuple | None, ts: int) -> bytes:
+    """One record.  refers: (page_id, url, ts) of the response if it is a revisit, which holds the
+    HTTP header (with the payload's length) alone."""
+    revisit = refers is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {stamp(ts)}", f"WARC-Payload-Digest: sha1:{sha}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {stamp(ts)}", f"WARC-Payload-Digest: sha1:{sha}"]
+    if page_id is not None:
+        head.append(f"{PAGE}: {page_id}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        head.append(f"WARC-Target-URI: {target(url)}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {stamp(refers[2])}", f"{REFERS}: {refers[0]}"]
+        if refers[1] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {target(refers[1])}")
     body = http if revisit else http + payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -136,9 +149,9 @@ def parsed(raw: bytes) -> dict:
     return {
         "urlkey": url_key(fields.get("WARC-Target-URI")),
         "ts": seconds_of(fields["WARC-Date"]),
-        "page_id": page_of(fields["WARC-Record-ID"]),
+        "page_id": int(fields[PAGE]) if PAGE in fields else None,
         "record_type": fields["WARC-Type"],
-        "refers_to": page_of(fields["WARC-Refers-To"]) if revisit else None,
+        "refers_to": int(fields[REFERS]) if revisit else None,
         "payload_bytes": stated,
         "payload_digest": sha,
     }
@@ -153,14 +166,14 @@ def _writer(folder: str, limit: int):
         fs, root = opened(folder)
         sink, name, size, count = None, "", 0, 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers", "revisit", "ts")]
-            for page_id, url, html, refers, revisit, ts in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers", "ts")]
+            for page_id, url, html, refers, ts in zip(*columns, strict=True):
                 if sink is None:
                     name = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     sink, size, count = fs.open_output_stream(name, compression=None), 0, 0
                 payload = (html or "").encode()
                 packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-                packed = packer.compress(record(page_id, url, payload, digest(payload), refers, revisit, ts)) + packer.flush()
+                packed = packer.compress(record(page_id, url, payload, digest(payload), refers and tuple(refers.values()), ts)) + packer.flush()
                 sink.write(packed)
                 size += len(packed)
                 count += 1
@@ -185,11 +198,15 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, archive_
         F.coalesce(date, F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 30))).alias("ts"),
     )
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("refers"))
-    typed = rows.join(first, "sha").withColumn("revisit", F.col("refers").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers")) & (F.coalesce(F.octet_length("html"), F.lit(0)) >= min_revisit))
+    # of the rows with the least page_id the one with the least date and URL is referred to
+    own = F.struct("page_id", "ts", "url")
+    again = rows.groupBy("sha").agg(F.min(F.when(F.col("page_id").isNotNull(), own)).alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
+    again = checkpointed(again.select("sha", F.struct(F.col("least.page_id").alias("page_id"), F.col("least.url").alias("url"), F.col("least.ts").alias("ts")).alias("first")))
+    is_revisit = ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.coalesce(F.octet_length("html"), F.lit(0)) >= min_revisit)
+    typed = rows.join(again, "sha", "left").withColumn("refers", F.when(F.col("first").isNotNull() & is_revisit, F.col("first")))
     fs, root = opened(folder)
     fs.create_dir(root, recursive=True)
-    return checkpointed(typed.select("page_id", "url", "html", "refers", "revisit", "ts").mapInArrow(_writer(folder, archive_bytes), "file string, records long, bytes long"))
+    return checkpointed(in_arrow(typed.select("page_id", "url", "html", "refers", "ts"), _writer(folder, archive_bytes), "file string, records long, bytes long"))
 
 
 def sort_key(row: tuple) -> tuple:
@@ -198,7 +215,7 @@ def sort_key(row: tuple) -> tuple:
 
 
 def _runs(folder: str):
-    """Reads archives, one run for each; yields the run's file and the first key of each batch."""
+    """Reads archives, one run for each; yields the run's rows of the table of batches."""
 
     def run(batches):
         fs, root = opened(folder)
@@ -209,20 +226,32 @@ def _runs(folder: str):
                     for at, size, raw in members(stream):
                         rows.append((*parsed(raw).values(), file.rpartition("/")[2], at, size))
                 rows.sort(key=sort_key)
-                yield written(fs, root, iter(rows))
+                yield written(fs, root, file, iter(rows))
 
     return run
 
 
-def written(fs, root: str, rows: Iterator[tuple]) -> pa.RecordBatch:
-    """Sorted rows as a run of Arrow batches."""
-    name, heads, count = f"{root}/{uuid.uuid4().hex}.run", [], 0
-    with fs.open_output_stream(name, compression=None) as sink, pa.ipc.new_file(sink, ARROW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        while part := [r for _, r in zip(range(RUN_ROWS), rows, strict=False)]:
-            heads.append(sort_key(part[0]))
-            count += len(part)
-            out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), ARROW, strict=True)], schema=ARROW))
-    return pa.RecordBatch.from_pydict({"run": [name], "rows": pa.array([count], pa.int64()), "heads": pa.array([[repr(h) for h in heads]], pa.list_(pa.string()))})
+def struct_key(row: tuple) -> dict:
+    return {"urlkey": row[0], "ts": row[1], "no_page": int(row[2] is None), "page_id": row[2], "file": row[7], "offset": row[8]}
+
+
+def tuple_key(k: dict | None) -> tuple | None:
+    """As `sort_key`, from the struct of the table of batches."""
+    return k and (k["urlkey"], k["ts"], NULL_LAST if k["no_page"] else k["page_id"], k["file"], k["offset"])
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
+def written(fs, root: str, run: str, rows: Iterator[tuple]) -> pa.RecordBatch:
+    """Sorted rows as a file of Arrow batches, which is (a part of) a run."""
+    name, out = f"{root}/{uuid.uuid4().hex}.run", []
+    with fs.open_output_stream(name, compression=None) as sink, pa.ipc.new_file(sink, ARROW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+        while part := list(itertools.islice(rows, RUN_ROWS)):
+            out.append({"run": run, "file": name, "k": len(out), "rows": len(part), "head": struct_key(part[0]), "tail": struct_key(part[-1])})
+            file.write_batch(as_batch(part))
+    return pa.RecordBatch.from_pylist(out, schema=INDEX_ARROW)
 
 
 class LoserTree:
@@ -264,80 +293,92 @@ class LoserTree:
             self._play(winner)
 
 
-def slice_of(fs, name: str, heads: list[tuple], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
-    """Rows of a run with low <= key < high; only the batches that can hold them are read."""
-    with fs.open_input_file(name) as source:
-        reader = pa.ipc.open_file(source)
-        for k in range(reader.num_record_batches):
-            if high is not None and heads[k] >= high:
-                return
-            if low is not None and k + 1 < len(heads) and heads[k + 1] <= low:
-                continue
-            for row in zip(*(c.to_pylist() for c in reader.get_batch(k).columns), strict=True):
-                key = sort_key(row)
-                if high is not None and key >= high:
-                    return
-                if low is None or key >= low:
-                    yield row
+def slice_of(fs, batches: list[dict], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """Rows with low <= key < high of some batches of one run, in order, a batch at a time."""
+    batches = sorted(batches, key=lambda x: tuple_key(x["head"]))
+    for file, part in itertools.groupby(batches, key=lambda x: x["file"]):
+        with fs.open_input_file(file) as source:
+            reader = pa.ipc.open_file(source)
+            for one in part:
+                for row in zip(*(c.to_pylist() for c in reader.get_batch(one["k"]).columns), strict=True):
+                    key = sort_key(row)
+                    if high is not None and key >= high:
+                        return
+                    if low is None or key >= low:
+                        yield row
+
+
+def merged(fs, work: dict) -> Iterator[tuple]:
+    """The rows of one range, from its batches of all runs of the group."""
+    by_run: dict[str, list[dict]] = {}
+    for x in work["batches"]:
+        by_run.setdefault(x["run"], []).append(x)
+    return iter(LoserTree([slice_of(fs, by_run[r], tuple_key(work["low"]), tuple_key(work["high"])) for r in sorted(by_run)]))
 
 
-def _merge(folder: str, runs: list[tuple[str, list[tuple]]], bounds: list[tuple]):
+def _merge(folder: str):
+    """The last pass: yields the captures."""
+
     def run(batches):
         fs, _ = opened(folder)
         for batch in batches:
-            for k in batch.column("id").to_pylist():
-                low, high = bounds[k - 1] if k else None, bounds[k] if k < len(bounds) else None
-                part: list[tuple] = []
-                for row in LoserTree([slice_of(fs, name, heads, low, high) for name, heads in runs]):
-                    part.append(row)
-                    if len(part) == RUN_ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), ARROW, strict=True)], schema=ARROW)
-                        part = []
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), ARROW, strict=True)], schema=ARROW)
+            for work in batch.to_pylist():
+                rows = merged(fs, work)
+                while part := list(itertools.islice(rows, RUN_ROWS)):
+                    yield as_batch(part)
 
     return run
 
 
-def _merge_group(folder: str, groups: list[list[tuple[str, list[tuple]]]]):
+def _merge_again(folder: str):
+    """A pass before the last: a range becomes a part of the group's run."""
+
     def run(batches):
         fs, root = opened(folder)
         for batch in batches:
-            for k in batch.column("id").to_pylist():
-                yield written(fs, root, iter(LoserTree([slice_of(fs, name, heads, None, None) for name, heads in groups[k]])))
+            for work in batch.to_pylist():
+                yield written(fs, root, f"group-{work['group']}", merged(fs, work))
 
     return run
 
 
-RUN = "run string, rows long, heads array<string>"
-
-
-def listed(runs: DataFrame) -> list[tuple[str, list[tuple], int]]:
-    import ast
-
-    return sorted((r.run, [ast.literal_eval(h) for h in r.heads], r.rows) for r in runs.collect())
+def ranges(index: DataFrame, fan_in: int) -> DataFrame:
+    """`group`, `r`, `low`, `high` (null: open), `batches`: the merges of one pass.  A group has at most
+    `fan_in` runs, a range as many first keys; a range's batches are those and at most one of
+    each run that reaches into it from before."""
+    runs = index.select("run").distinct().withColumn("group", F.floor((F.row_number().over(Window.orderBy("run")) - 1) / fan_in))
+    b = index.join(runs, "run").withColumn("id", F.struct("file", "k"))
+    # first and last keys in one order; at equal keys the first come first
+    ends = b.select("group", "id", F.explode(F.array(F.struct(F.col("head").alias("key"), F.lit(0).alias("last")), F.struct(F.col("tail").alias("key"), F.lit(1).alias("last")))).alias("e"))
+    so_far = Window.partitionBy("group").orderBy("e.key", "e.last", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ends.withColumn("r", F.floor((F.sum(1 - F.col("e.last")).over(so_far) - 1) / fan_in))
+    reach = placed.groupBy("group", "id").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
+    lows = placed.where("e.last = 0").groupBy("group", "r").agg(F.min("e.key").alias("low"))
+    lows = lows.withColumn("high", F.lead("low").over(Window.partitionBy("group").orderBy("r"))).withColumn("low", F.when(F.col("r") > 0, F.col("low")))
+    work = b.join(reach, ["group", "id"]).withColumn("r", F.explode(F.sequence("r0", "r1")))
+    work = work.groupBy("group", "r").agg(F.collect_list(F.struct("run", "file", "k", "head")).alias("batches"))
+    return work.join(lows, ["group", "r"]).select("group", "r", "low", "high", "batches")
 
 
 def read_archives(archives: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
     """Every capture in the archives, ordered by URL key, timestamp and page_id."""
     spark = archives.sparkSession
-    files = [r.file for r in archives.select("file").distinct().collect()]
-    if not files:
+    files = archives.select("file").distinct()
+    count = files.count()
+    if not count:
         return spark.createDataFrame([], CAPTURE)
-    one_each = spark.createDataFrame([(f,) for f in sorted(files)], "file string").repartition(min(len(files), 10_000))
-    runs = listed(checkpointed(one_each.mapInArrow(_runs(folder), RUN)))
-    while len(runs) > fan_in:
-        groups = [[x[:2] for x in runs[k : k + fan_in]] for k in range(0, len(runs), fan_in)]
-        runs = listed(checkpointed(spark.range(0, len(groups), 1, len(groups)).mapInArrow(_merge_group(folder, groups), RUN)))
-    # ranges of about eight batches between evenly spaced batch heads
-    heads = sorted(h for _, hs, _ in runs for h in hs)
-    parts = max(1, min(len(heads), sum(n for _, _, n in runs) // (2 * RUN_ROWS), 4096))
-    bounds = sorted({heads[k * len(heads) // parts] for k in range(1, parts)})
-    n = len(bounds) + 1
-    return spark.range(0, n, 1, n).mapInArrow(_merge(folder, [x[:2] for x in runs], bounds), CAPTURE)
+    index = checkpointed(in_arrow(files.repartition(min(count, 10_000)), _runs(folder), INDEX))
+    while True:
+        n_runs, n_batches = index.agg(F.count_distinct("run"), F.count("*")).first()
+        work = checkpointed(ranges(index, fan_in))
+        tasks = max(1, min(10_000, n_batches // fan_in + 1))
+        if n_runs <= fan_in:
+            ordered = work.repartitionByRange(tasks, "r").sortWithinPartitions("r")
+            return in_arrow(ordered, _merge(folder), CAPTURE)
+        index = checkpointed(in_arrow(work.repartition(tasks, "group", "r"), _merge_again(folder), INDEX))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Writes the pages as WARC archives and returns the merged history read back from them."""
-    folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, **options), folder)
