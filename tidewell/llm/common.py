@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.sources.store import shared_dir
+from tidewell.sources.store import stored
 
 NULL_ID = -(2**63)
 KEY = ["_d", "_t", "_u"]
@@ -27,12 +27,13 @@ SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # ---------------------------------------------------------------- Spark side
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read back; cuts the lineage."""
-    folder = shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def checkpointed(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """`df` written to the shared folder as a table and read back; cuts the lineage.
+
+    A table, not `DataFrame.checkpoint`: that keeps its plan's size estimate, which a join
+    multiplies, so in a loop it grows to numbers of millions of digits and fills the driver.
+    """
+    return stored(df, folder)
 
 
 def doc_key() -> list[Column]:

@@ -10,27 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from tidewell.sources.store import drop, scratch, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """`node` and `root` (the smallest node of its component) of every node in edges (a, b)."""
+    spark = edges.sparkSession
+    folder = scratch(spark, "components")
     e = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct()
-    e, before = checkpointed(e), None
+    e, before, old = stored(e, f"{folder}/0"), None, f"{folder}/0"
 
-    def least() -> DataFrame:
+    def least(at: str) -> DataFrame:
         """The smallest neighbour of the nodes that have a smaller one.  Written, so that the join
         that follows can be split where a node has very many neighbours."""
-        return checkpointed(e.groupBy("x").agg(F.min("y").alias("m")))
+        return stored(e.groupBy("x").agg(F.min("y").alias("m")), at)
 
-    for _ in range(max_rounds):
+    for turn in range(1, max_rounds + 1):
+        at = f"{folder}/{turn}"
         # a node's larger neighbours go to its smallest one; a node without smaller ones keeps them
-        m = least().select(F.col("x").alias("y"), "m")
-        e = checkpointed(e.join(m, "y", "left").select("x", F.coalesce("m", "y").alias("y")).distinct())
+        m = least(f"{at}-a").select(F.col("x").alias("y"), "m")
+        e = stored(e.join(m, "y", "left").select("x", F.coalesce("m", "y").alias("y")).distinct(), f"{at}-b")
         # so do its smaller neighbours and the node itself
-        m = least()
+        m = least(f"{at}-c")
         small = e.join(m, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        e = checkpointed(small.union(m.select("x", F.col("m").alias("y"))).distinct())
+        e = stored(small.union(m.select("x", F.col("m").alias("y"))).distinct(), at)
+        for used in (old, f"{at}-a", f"{at}-b", f"{at}-c"):
+            drop(spark, used)
+        old = at
         row = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)))).first()
         if tuple(row) == before:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fresh, in_arrow, in_parts, not_space, text_buffer, word_names, word_spans
+from .common import chunks, fresh, in_arrow, in_parts, not_space, released, text_buffer, word_names, word_spans
 
 MAX_DOCS, MAX_BYTES = 6_000, 32 << 20
 STEPS = 120
@@ -191,7 +191,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
 def fit(labelled: DataFrame, steps: int = STEPS) -> dict:
     """The model from rows of `text` and `quality` (0 or 1), which the caller has bounded."""
     got = labelled.orderBy(F.xxhash64("text"), "quality").toArrow()
-    return train(got.column("text"), got.column("quality").to_pylist(), steps)
+    model = train(got.column("text"), got.column("quality").to_pylist(), steps)
+    del got
+    released()
+    return model
 
 
 def _scored(model_b, name: str):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, chunks, covered, fresh, from_rest, in_arrow, in_parts, lower_ascii, ragged, rest_of, text_buffer, word_names, word_spans
+from .common import checkpointed, chunks, covered, fresh, from_rest, in_arrow, in_parts, lower_ascii, ragged, released, rest_of, text_buffer, word_names, word_spans
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -317,7 +317,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchm
 
     def searched(k: int):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
-        return _searched(spark.sparkContext.broadcast(phrases(part.toArrow(), window)), shard_bytes)
+        held = spark.sparkContext.broadcast(phrases(part.toArrow(), window))
+        released()
+        return _searched(held, shard_bytes)
 
     for k in range(slices - 1):
         df = checkpointed(in_arrow(df, in_parts(searched(k)), df.schema))

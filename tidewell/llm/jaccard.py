@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, checkpointed, chunks, doc_key, in_arrow, in_parts, keyed, lower_ascii, mix, not_space, quoted, ragged, running, span, text_buffer, word_names, word_spans
+from .common import KEY, checkpointed, chunks, doc_key, in_arrow, in_parts, keyed, lower_ascii, mix, not_space, quoted, ragged, released, running, span, text_buffer, word_names, word_spans
 from .components import Forest, components
 from .suffix_dedup import _keys
 
@@ -447,6 +447,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     sampled = in_arrow(texts, in_parts(_sampled(n)), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_IN_SAMPLE)
     heavy = sampled.orderBy(F.desc("c"), "token").limit(max_heavy).select("token").toArrow().column(0).to_numpy().view(np.uint64)
     heavy_b = spark.sparkContext.broadcast(np.sort(heavy) if len(heavy) else np.zeros(1, np.uint64))
+    del heavy
+    released()
     keys = in_arrow(texts, in_parts(_key_rows(n, num, den, heavy_b)), "key long, node long")
     links = in_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), _first_links, "a long, b long")
     near = components(links)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, chunks, fresh, in_arrow, in_parts, mix, quoted, ragged, running, span, text_buffer
+from .common import checkpointed, chunks, fresh, in_arrow, in_parts, mix, quoted, ragged, released, running, span, text_buffer
 
 LONGEST = 4
 SMOOTH = 0.2
@@ -132,6 +132,8 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
         count = np.zeros((len(names), len(langs)))
         np.add.at(count, (at, kept["k"][part]), kept["c"][part])
         model["tables"].append((names, relative_scores(count)))
+    del kept
+    released()
     return model
 
 
