@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import encoding as E
 from tidewell.sources.generator import stream_seed
-from tidewell.sources.retry import Policy, call
+from tidewell.sources.retry import call, pauses
 
 
 def one(spark, column, **values):
@@ -72,20 +72,23 @@ def test_seeds_differ_by_name():
 
 
 def test_retry_pauses_double_up_to_a_limit():
-    pauses, tries = [], []
+    waited, slept, tries = [], [], []
 
     def fails():
         tries.append(1)
         raise OSError
 
     try:
-        call(Policy(attempts=5, base=1, most=5, on_retry=lambda n, p, e: pauses.append(p)), fails, sleep=lambda s: None)
+        call(fails, pauses(5, 1, 5), on_retry=lambda n, p, e: waited.append((n, p)), sleep=slept.append)
     except OSError:
         pass
-    assert (pauses, len(tries)) == ([1, 2, 4, 5], 5)
+    assert (waited, slept, len(tries)) == ([(1, 1), (2, 2), (3, 4), (4, 5)], [1, 2, 4, 5], 5)
     tries.clear()
-    try:
-        call(Policy(attempts=5, again=lambda e: False), fails, sleep=lambda s: None)
-    except OSError:
-        pass
-    assert len(tries) == 1
+    for waits, again in ((pauses(5), lambda e: False), (pauses(1), lambda e: True), (pauses(0), lambda e: True)):
+        try:
+            call(fails, waits, again, sleep=slept.append)
+        except OSError:
+            pass
+    assert len(tries) == 3 and len(slept) == 4
+    assert all(0.1 <= w <= 0.3 for w in pauses(2, 0, 0, 0.2))
+    assert call(lambda: 7, pauses(3)) == 7

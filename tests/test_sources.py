@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import chain
-from tidewell.sources import checkpoint, generator, messages, spool
+from tidewell.sources import checkpoint, generator, messages, miner, spool
 from tidewell.sources.rpc import ChainSource, Client, Page, fetched
-from tidewell.streaming import sinks
+from tidewell.streaming import jdbc, sinks
 
 
 @pytest.fixture(scope="module")
@@ -111,16 +111,97 @@ def test_envelopes_and_upserts(spark, tmp_path):
     odd = spark.createDataFrame([('{"type":"other","data":{}}',), ("{",), ('{"type":"win_tick","data":{"head":"x"}}',), ('{"type":"win_tick","data":{"head":3}}',)], "value string")
     assert sorted(tuple(r) for r in sinks.demux(sent.union(odd)).collect()) == [(0, 3, 0, False), (0, 5, 1, True)]
     table = sinks.TickTable(spark, str(tmp_path / "t"))
+    table.ensure_schema()
     assert table.read().count() == 0
     table.upsert(rows.filter("win_idx = 1"))
     again = spark.createDataFrame([(1, 9, 2, False), (2, 1, 0, True)], rows.schema)
+    want = [(1, 9, 2, False), (2, 1, 0, True)]
     for _ in range(2):
-        table.upsert(again)
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 9, 2, False), (2, 1, 0, True)]
+        table.upsert(again, 1)
+    assert [n for _, n in table.batches()] == ["batch-0", "batch-1"]
+    assert sorted(tuple(r) for r in table.read().collect()) == want
+    # a batch that is there is not written again, before a compaction and after it
+    other = spark.createDataFrame([(1, 9, 2, True)], rows.schema)
+    table.upsert(other, 1)
+    table.compact()
+    table.upsert(other, 0)
+    assert [n for _, n in table.batches()] == ["base-1"]
+    assert sorted(tuple(r) for r in table.read().collect()) == want
+    # of one key in a batch the last by `seq` counts
+    twice = spark.createDataFrame([(1, 9, 2, True, 7), (1, 9, 2, False, 3)], "win_idx int, head long, tail long, open_win boolean, seq long")
+    table.upsert(twice.repartition(3), 2, seq="seq")
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 9, 2, True), (2, 1, 0, True)]
+    assert table.rows().where("ts is null").count() == 0
     last = sinks.keep_last(rows.withColumn("n", F.monotonically_increasing_id()), ["win_idx", "head", "tail"], "n")
     assert sorted((r.win_idx, r.open_win) for r in last.collect()) == [(0, False), (1, True)]
 
 
+def test_ticks_in_a_database(spark):
+    ticks = jdbc.JdbcTicks(spark, "jdbc:derby:memory:ticks;create=true")
+    for _ in range(2):
+        ticks.ensure_schema()
+    rows = spark.createDataFrame([(0, 5, 1, True, 2), (0, 5, 1, False, 1), (1, 9, 2, True, 3)], "win_idx int, head long, tail long, open_win boolean, seq long")
+    ticks.upsert(rows.repartition(2), "seq")
+    before = {r.WIN_IDX: r.TS for r in ticks.read().collect()}
+    for _ in range(2):
+        ticks.upsert(spark.createDataFrame([(1, 9, 2, False), (2, 7, 0, True)], "win_idx int, head long, tail long, open_win boolean"))
+    got = sorted((r.WIN_IDX, r.HEAD, r.TAIL, r.OPENWIN) for r in ticks.read().collect())
+    assert got == [(0, 5, 1, True), (1, 9, 2, False), (2, 7, 0, True)]
+    after = {r.WIN_IDX: r.TS for r in ticks.read().collect()}
+    assert after[0] == before[0] and after[1] > before[1]
+
+
+def test_database_addresses(monkeypatch):
+    assert jdbc.options("postgres://u:p%40ss@db:5433/web?sslmode=disable") == {"url": "jdbc:postgresql://db:5433/web?sslmode=disable", "driver": "org.postgresql.Driver", "numPartitions": "8", "user": "u", "password": "p@ss"}
+    monkeypatch.setenv("PG_DSN", "postgresql://db/x")
+    assert jdbc.options()["url"] == "jdbc:postgresql://db:5432/x"
+    monkeypatch.delenv("PG_DSN")
+    for bad in (None, " ", "mysql://db/x", "postgres://db"):
+        with pytest.raises(ValueError):
+            jdbc.options(bad)
+
+
+def test_spool_writer(spark, tmp_path):
+    path = tmp_path / "own.spool"
+    with spool.Spool(str(path)) as out:
+        out.append(0, 5, b"{}")
+        out.append(1, -1, b"")
+    path.write_bytes(path.read_bytes() + spool.packed(0, 6, b"cut")[:-1])
+    with spool.Spool(str(path)) as out:
+        out.append(0, 7, b"after")
+    assert list(spool.records(path.read_bytes())) == [(0, 5, b"{}"), (1, -1, b""), (0, 7, b"after")]
+
+
+def test_miner_never_goes_back():
+    now = iter([100.0, 100.2, 101.5, 90.0, 90.5, 91.5, 300.0])
+    reader = miner.MinerReader({"tick": "1", "head": "7", "ts": "99"}, clock=lambda: next(now))
+    at, got = reader.initialOffset(), []
+    for _ in range(7):
+        rows, end = reader.read(at)
+        rows = list(rows)
+        assert rows == list(reader.readBetweenOffsets(at, end))
+        got, at = got + rows, end
+    assert got == [(8, 100), (9, 101), (10, 102), (11, 103), (12, 300)]
+
+
+def test_miner_as_a_stream(spark, tmp_path):
+    spark.dataSource.register(miner.MinerSource)
+    blocks = spark.readStream.format("chain_miner").options(tick=0.2).load()
+    txs = generator.transfers(blocks, 50, seed=2).select("number", "ts", "pos", "sender")
+    q = txs.writeStream.format("memory").queryName("mined").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        for _ in range(100):
+            if q.lastProgress and spark.table("mined").select("number").distinct().count() >= 3:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    got = spark.table("mined").groupBy("number").agg(F.min("ts").alias("ts"), F.max("ts").alias("last"), F.count("*").alias("n")).orderBy("number").collect()
+    assert [r.number for r in got] == list(range(1, len(got) + 1)) and len(got) >= 3
+    assert all(r.ts == r.last and 50 <= r.n <= 99 for r in got)
+    assert all(a.ts < b.ts for a, b in zip(got, got[1:], strict=False))
+
+
 def test_checkpoint_file(tmp_path):
     path = str(tmp_path / "ck")
     assert checkpoint.load(path) is None

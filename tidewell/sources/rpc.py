@@ -18,7 +18,7 @@ from urllib.request import ProxyHandler, build_opener
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from tidewell.sources.retry import Policy, call
+from tidewell.sources.retry import call, pauses
 
 SCHEMA = "number long, ts long, hash string, parent_hash string, n_tx long, txs string"
 MAX_PAGE = 2000
@@ -27,9 +27,8 @@ MAX_PAGE = 2000
 class Client:
     """Head, lower bound, ranges and single blocks of a chain server."""
 
-    def __init__(self, url: str, timeout: float = 10.0, policy: Policy | None = None) -> None:
-        self.url, self.timeout = url.rstrip("/"), timeout
-        self.policy = policy or Policy(attempts=5, jitter=0.1)
+    def __init__(self, url: str, timeout: float = 10.0, attempts: int = 5, jitter: float = 0.1) -> None:
+        self.url, self.timeout, self.attempts, self.jitter = url.rstrip("/"), timeout, attempts, jitter
 
     def get(self, path: str, **params: Any) -> dict:
         query = f"?{urlencode(params)}" if params else ""
@@ -38,7 +37,7 @@ class Client:
             with build_opener(ProxyHandler({})).open(f"{self.url}{path}{query}", timeout=self.timeout) as answer:
                 return json.load(answer)
 
-        return call(self.policy, once)
+        return call(once, pauses(self.attempts, jitter=self.jitter))
 
     def head(self) -> dict:
         return self.get("/chain/head")

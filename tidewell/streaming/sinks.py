@@ -41,46 +41,86 @@ def keep_last(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 class TickTable:
-    """A keyed Parquet table: `upsert` is idempotent, versions are swapped by one small file.
+    """A keyed table of ticks as a log of batches: `upsert` writes its batch alone.
 
-    Each batch writes a new version (old rows without the batch's keys, and the batch), then
-    names it in `CURRENT`; a batch that fails leaves the table as it was, and is run again.
+    A batch's folder appears under its number by a rename when it is complete, so a batch that
+    is run again changes nothing, and one that fails leaves nothing.  A reader keeps the last row
+    of each key: that of the latest batch, within a batch the last by `seq`.  `compact` folds the
+    log into one folder and deletes what that replaces.  One writer at a time.
     """
 
     KEY = ("win_idx", "head", "tail")
+    SCHEMA = T.StructType([*TICK.fields, T.StructField("seq", T.LongType()), T.StructField("ts", T.TimestampType())])
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _file(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        path, fs = self._file("CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()["value"]
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._at = lambda name: hadoop.Path(f"{self.path}/{name}" if name else self.path)
+        self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[tuple[int, str]]:
+        """(batch, folder) of the last compaction and all batches after it; of a batch and a
+        compaction up to it the compaction counts."""
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at(""))]
+        found = sorted((int(n.partition("-")[2]), n) for n in names if n.startswith(("base-", "batch-")))
+        base = max((k for k, n in found if n.startswith("base-")), default=-1)
+        return [(k, n) for k, n in found if k > base or n == f"base-{k}"]
+
+    def ensure_schema(self) -> None:
+        """Makes the table's folder, if it is not there."""
+        self._fs.mkdirs(self._at(""))
+
+    def _log(self) -> DataFrame:
+        out = self.spark.createDataFrame([], self.SCHEMA).withColumn("batch", F.lit(0).cast("long"))
+        for k, name in self.batches():
+            out = out.union(self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{name}").withColumn("batch", F.lit(k).cast("long")))
+        return out.withColumn("last", F.struct("batch", "seq"))
+
+    def rows(self) -> DataFrame:
+        """One row for each key, with `ts`, the time of its last upsert."""
+        return keep_last(self._log(), list(self.KEY), "last").drop("last", "batch", "seq")
 
     def read(self) -> DataFrame:
-        now = self.current()
-        if now is None:
-            return self.spark.createDataFrame([], TICK)
-        return self.spark.read.schema(TICK).parquet(f"{self.path}/{now}")
-
-    def upsert(self, batch: DataFrame) -> None:
-        rows = batch.select("win_idx", "head", "tail", "open_win")
-        rows = rows.groupBy(*self.KEY).agg(F.last("open_win").alias("open_win"))
-        merged = self.read().join(rows, list(self.KEY), "left_anti").unionByName(rows)
-        version = f"v-{uuid.uuid4().hex}"
-        merged.write.parquet(f"{self.path}/{version}")
-        path, fs = self._file("CURRENT")
-        out = fs.create(path, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-
-
-def upsert_into(table: TickTable) -> Callable[[DataFrame, int], None]:
+        return self.rows().select("win_idx", "head", "tail", "open_win")
+
+    def _publish(self, rows: DataFrame, name: str) -> None:
+        part = f"_part-{uuid.uuid4().hex}"
+        rows.select(*self.SCHEMA.fieldNames()).write.parquet(f"{self.path}/{part}")
+        if self._fs.exists(self._at(name)) or not self._fs.rename(self._at(part), self._at(name)):
+            self._fs.delete(self._at(part), True)
+
+    def upsert(self, batch: DataFrame, number: int | None = None, seq: str | None = None) -> None:
+        """Inserts the batch's keys, or updates them.  number: the batch's (by default the next one);
+        one that is there already is not written again.  seq: a column that orders rows of one
+        key, by default their order in the batch's partitions."""
+        done = [k for k, _ in self.batches()]
+        if number is None:
+            number = max(done, default=-1) + 1
+        elif number in done or number <= max((k for k, n in self.batches() if n.startswith("base-")), default=-1):
+            return
+        order = F.col(seq).cast("long") if seq else F.monotonically_increasing_id()
+        rows = keep_last(batch.select(*self.KEY, "open_win", order.alias("seq")), list(self.KEY), "seq")
+        self._publish(rows.withColumn("ts", F.current_timestamp()), f"batch-{number}")
+
+    def compact(self) -> None:
+        """Folds all batches into one folder; readers that began before must be done."""
+        old = self.batches()
+        if len(old) < 2:
+            return
+        last = old[-1][0]
+        self._publish(keep_last(self._log(), list(self.KEY), "last").drop("last", "batch"), f"base-{last}")
+        for _, name in old:
+            self._fs.delete(self._at(name), True)
+
+
+def upsert_into(table: TickTable, compact_every: int = 100) -> Callable[[DataFrame, int], None]:
     """For `writeStream.foreachBatch`."""
-    return lambda batch, _: table.upsert(batch)
+
+    def run(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, number)
+        if number % compact_every == compact_every - 1:
+            table.compact()
+
+    return run

@@ -40,6 +40,15 @@ class WindowFold:
         return (self.head, self.last, self.moves, self.dropped, *self.tails)
 
     def step(self, number: int, ts: int, n_tx: int) -> list[tuple[int, int, int, int, bool]]:
+        """The ticks of a block: its moves, counted from the gate on."""
+        moves = self.move(number, ts, n_tx)
+        if not moves or not (moves[0][4] or self.moves):
+            return []
+        self.moves += 1
+        return [m for m, every in zip(moves, self.cadence, strict=True) if self.moves % every == 0]
+
+    def move(self, number: int, ts: int, n_tx: int) -> list[tuple[int, int, int, int, bool]]:
+        """The new bounds of every window; none for a height that was there."""
         if number <= self.last:
             return []
         self.last = number
@@ -53,11 +62,7 @@ class WindowFold:
             self.tails[k] = at
         widest = max(range(len(self.widths)), key=lambda k: self.widths[k])
         opened = self.tails[widest] != 0
-        out = []
-        if opened or self.moves:
-            self.moves += 1
-            out = [(number, k, self.head, self.kept[self.tails[k] - self.dropped][1], opened) for k, every in enumerate(self.cadence) if self.moves % every == 0]
-        return out
+        return [(number, k, self.head, self.kept[at - self.dropped][1], opened) for k, at in enumerate(self.tails)]
 
     def prune(self) -> None:
         """Forgets the blocks before every window's tail."""
@@ -67,8 +72,8 @@ class WindowFold:
 
 
 class TickProcessor(StatefulProcessor):
-    def __init__(self, widths: tuple[int, ...] = WIDTHS, cadence: tuple[int, ...] = CADENCE) -> None:
-        self.widths, self.cadence = widths, cadence
+    def __init__(self, widths: tuple[int, ...] = WIDTHS, cadence: tuple[int, ...] = CADENCE, every_move: bool = False) -> None:
+        self.widths, self.cadence, self.every_move = widths, cadence, every_move
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         names = ["head", "last", "moves", "dropped", *(f"t{k}" for k in range(len(self.widths)))]
@@ -80,7 +85,8 @@ class TickProcessor(StatefulProcessor):
         if self.totals.exists():
             fold.load(tuple(map(int, self.totals.get())), [(int(a), int(b)) for a, b in self.blocks.get()])
         batch = pd.concat(list(rows)).sort_values(["offset"], kind="stable")
-        out = [t for number, ts, n in zip(batch["number"], batch["ts"], batch["n_tx"], strict=True) for t in fold.step(int(number), int(ts), int(n))]
+        taken = fold.move if self.every_move else fold.step
+        out = [t for number, ts, n in zip(batch["number"], batch["ts"], batch["n_tx"], strict=True) for t in taken(int(number), int(ts), int(n))]
         fold.prune()
         self.totals.update(fold.state())
         self.blocks.put(fold.kept)
@@ -93,5 +99,15 @@ class TickProcessor(StatefulProcessor):
 
 def live_ticks(blocks: DataFrame, widths: tuple[int, ...] = WIDTHS, cadence: tuple[int, ...] = CADENCE) -> DataFrame:
     """Ticks of a stream of `offset`, `number`, `ts`, `n_tx`; needs the RocksDB state store."""
+    return _folded(blocks, TickProcessor(widths, cadence))
+
+
+def live_moves(blocks: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """The bounds of every window after every block, before the gate opens too (`open_win` tells);
+    the moves of `streaming.graph`."""
+    return _folded(blocks, TickProcessor(widths, (1,) * len(widths), every_move=True))
+
+
+def _folded(blocks: DataFrame, processor: TickProcessor) -> DataFrame:
     keyed = blocks.select(F.lit(0).alias("chain"), "offset", "number", "ts", "n_tx")
-    return keyed.groupBy("chain").transformWithStateInPandas(TickProcessor(widths, cadence), OUT, "Append", "None")
+    return keyed.groupBy("chain").transformWithStateInPandas(processor, OUT, "Append", "None")
