@@ -40,6 +40,59 @@ def test_langid_learns_and_backs_off(spark):
     assert sum(got[100 + i][0] == lang for i, _, lang in spoken(1)) == 60
 
 
+def plain_backoff(rows, texts):
+    """Word-first backoff in plain Python: (language, share of its probability) of each text."""
+
+    def words(text):
+        return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+    def grams(word, n):
+        padded = word if n == 1 else f"|{word}|"
+        return [padded[k : k + n] for k in range(len(padded) - n + 1)]
+
+    langs = sorted({lang for _, t, lang in rows if t and lang and words(t)})
+    tables = [{} for _ in range(5)]
+    for k, lang in enumerate(langs):
+        own = [w for _, t, x in rows if x == lang for w in words(t or "")]
+        for w in own:
+            tables[0].setdefault(w, [0] * len(langs))[k] += 1
+        for w in set(own):
+            for n in range(1, 5):
+                for g in grams(w, n):
+                    tables[n].setdefault(g, [0] * len(langs))[k] += 1
+    for table in tables:
+        sums = [sum(c[k] for c in table.values()) + 0.2 * len(table) for k in range(len(langs))]
+        for name, counts in table.items():
+            p = [(c + 0.2) / s for c, s in zip(counts, sums, strict=True)]
+            table[name] = [math.log(x / sum(p)) for x in p]
+    out = []
+    for text in texts:
+        total = [0.0] * len(langs)
+        for w in words(text or ""):
+            scores = [[0.0] * len(langs)]
+            for n in (0, 4, 3, 2, 1):
+                found = [tables[n][g] for g in (grams(w, n) if n else [w]) if g in tables[n]]
+                if found:
+                    scores = found
+                    break
+            total = [a + sum(s[k] for s in scores) / len(scores) for k, a in enumerate(total)]
+        best = max(total)
+        out.append(("und", 0.0) if not words(text or "") else (langs[total.index(best)], 1 / sum(math.exp(x - best) for x in total)))
+    return out
+
+
+def test_langid_equals_plain_backoff(spark):
+    rng = random.Random(12)
+    rows = [*spoken(4, 40), (900, None, "en"), (901, "the THE", None), (902, "Straße İstanbul 𐐀𐐁", "de"), (903, "12", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    letters = "thewandiquéлтоßзxœ𐐁 '-3"
+    texts = [None, "", "😀 7", *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(200)), *(t for _, t, _ in spoken(5, 20))]
+    got = {r.doc_id: (r._lang, r._score) for r in langid.identify(brute.frame(spark, list(enumerate(texts))), model).collect()}
+    for k, (lang, score) in enumerate(plain_backoff(rows, texts)):
+        assert got[k][1] == pytest.approx(score, abs=1e-9), texts[k]
+        assert got[k][0] == lang or score < 0.5 + 1e-9, texts[k]
+
+
 def test_langid_of_a_small_language(spark):
     """A language of one row in a table of another keeps its words, and counts of shared n-grams."""
     rng = random.Random(3)
@@ -102,6 +155,71 @@ def test_marginals_equal_enumeration():
     assert np.allclose(good, want) and np.allclose(both, counts)
 
 
+def plain_lines(text):
+    """The features of each line that is not empty, and its length in bytes, in plain Python."""
+    out, seen = [], set()
+    for line in (x for x in text.encode().split(b"\n") if x):
+        n = len(line)
+
+        def share(test, line=line, n=n):
+            return sum(test(b) for b in line) / n
+
+        space, marks = b" \t\r\x0b\x0c", b"!,.?"
+        lower, upper, digit = (lambda b: 97 <= b <= 122), (lambda b: 65 <= b <= 90), (lambda b: 48 <= b <= 57)
+        other = lambda b: b < 128 and not (lower(b) or upper(b) or digit(b) or b in space or b in marks or b == 124)
+        classes = [share(lower), share(upper), share(digit), share(lambda b: b in space), share(lambda b: b in marks), share(lambda b: b == 124), share(other), share(lambda b: b >= 128)]
+        words = line.translate(bytes.maketrans(space, b" " * 5)).split(b" ")
+        words = [w for w in words if w]
+        k = max(1, len(words))
+        signed = sum(w[-1] == 124 or other(w[-1]) for w in words)
+        out.append(([*classes, len(set(words)) / k, min(n / k / 10, 3), math.log1p(k) / 5, sum(len(w) > 20 for w in words) / k, signed / k, float(line in seen), float(n < 30)], n))
+        seen.add(line)
+    return out
+
+
+def test_quality_features_and_scores_equal_plain_ones(spark):
+    rng = random.Random(5)
+    texts = ["", "\n\n", "one", "a|b |c\n\n \n|", "Ünï 12 3.\nÜnï 12 3.\nx" + "y" * 25]
+    texts += ["".join(rng.choice("ab C1.,|-é \t\n") for _ in range(rng.randrange(200))) for _ in range(30)]
+    data, offsets = crf_quality.text_buffer(crf_quality.pa.array(texts))
+    x, size, first = crf_quality.line_features(data, offsets)
+    plain = [plain_lines(t) for t in texts]
+    assert np.diff(first).tolist() == [len(p) for p in plain]
+    assert size.tolist() == [n for p in plain for _, n in p]
+    assert np.allclose(x, [f for p in plain for f, _ in p])
+
+    model = crf_quality.train(texts, [k % 2 for k in range(len(texts))], steps=15)
+    got = {r.doc_id: r._score for r in crf_quality.score(brute.frame(spark, list(enumerate(texts))), model).collect()}
+    for k, lines in enumerate(plain):
+        if not lines:
+            assert got[k] == pytest.approx(model["share"])
+            continue
+        f = [(np.array(v) - model["mean"]) / model["scale"] for v, _ in lines]
+        zero, n = np.zeros_like(f[0]), len(f)
+        score = [np.concatenate([f[i], 0.5 * (f[i - 1] if i else zero), 0.5 * (f[i + 1] if i + 1 < n else zero), [1.0]]) @ model["weights"] for i in range(n)]
+        # sums over all labellings, one line after the other
+        ahead = [[0.0, score[0]]]
+        for i in range(1, n):
+            ahead.append([np.logaddexp(ahead[-1][0] + model["pair"][0, y], ahead[-1][1] + model["pair"][1, y]) + y * score[i] for y in (0, 1)])
+        back = [[0.0, 0.0]]
+        for i in range(n - 1, 0, -1):
+            back.append([np.logaddexp(model["pair"][y, 0] + back[-1][0], model["pair"][y, 1] + score[i] + back[-1][1]) for y in (0, 1)])
+        good = [1 / (1 + math.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, reversed(back), strict=True)]
+        assert got[k] == pytest.approx(sum(g * s for g, (_, s) in zip(good, lines, strict=True)) / sum(s for _, s in lines))
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("x" * 100), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(500, "y" * 5000), (501, None)], "doc_id long, text string"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    every = crf_quality.training_rows(docs, labels)
+    assert every.count() == sum(brute.crc(k, 3) != 1 for k in [*range(400), 500])
+    part = crf_quality.training_rows(docs, labels, max_bytes=12_000)
+    got = part.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    assert 6000 < got[0] < 18_000 and got[1] < 120
+    assert 20 < crf_quality.training_rows(docs, labels, max_docs=60).count() < 110
+
+
 def test_quality_of_odd_texts(spark):
     texts = ["Good words here.\nAnd more of them, as it goes."] * 20 + ["| a | b |\n!! XX $$$ %%%"] * 20
     model = crf_quality.train(texts, [1] * 20 + [0] * 20, steps=40)
@@ -167,6 +285,49 @@ def test_rates_are_those_of_plain_projected_steps(spark, weights):
     assert end < (1e-9 if weights[0] < 0.5 else 0.5) * heights[0]
 
 
+def test_posteriors_equal_plain_naive_bayes(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice([" ", "\t", "\r\n", "\x0b"]).join(rng.choice("ABCDEFGHIJ"[3 * (k % 3) :]) + rng.choice("xy") for _ in range(rng.randrange(30)))) for k in range(60)]
+    labels = [(k, "abc"[k % 3]) for k in range(0, 60, 2)]
+    docs, table = brute.frame(spark, [*rows, (60, None), (61, "zz  zz")]), spark.createDataFrame(labels, "doc_id long, domain string")
+    got = {r.doc_id: r for r in mixing.mix_domains(docs, table, {"a": 0.3, "b": 0.3, "c": 0.4}, buckets=1 << 40).collect()}
+    own = {d: [w for k, x in labels if x == d for w in rows[k][1].lower().split()] for d in "abc"}
+    vocabulary = {w for ws in own.values() for w in ws}
+    n = {d: sum(x == d for _, x in labels) for d in "abc"}
+    for k, text in [*rows, (60, ""), (61, "zz  zz")]:
+        words = text.lower().split()
+        score = [math.log((n[d] + 1) / (30 + 3)) + sum(math.log((own[d].count(w) + 0.5) / (len(own[d]) + 0.5 * len(vocabulary))) for w in words if w in vocabulary) for d in "abc"]
+        odds = [math.exp(s - max(score)) for s in score]
+        assert got[k].n_tokens == len(words)
+        assert [got[k].p_a, got[k].p_b, got[k].p_c] == pytest.approx([o / sum(odds) for o in odds], abs=1e-9)
+
+
+@pytest.mark.parametrize("weights", [[0.2, 0.5, 0.3], [0.95, 0.03, 0.02], [1.0, 0.0, 0.0]])
+def test_rates_are_as_near_as_an_independent_solver_comes(spark, weights):
+    """Coordinate descent, one rate after the other, on the same least squares."""
+    x = np.random.default_rng(11).random((40, 3)) ** 3 * 20
+    steps = mixing.solve(spark.createDataFrame([tuple(map(float, r)) for r in x], "x0 double, x1 double, x2 double"), weights)
+    target, metric = np.array(weights) * x.sum(), np.linalg.pinv(x.T @ x)
+    rate, total = np.ones(len(x)), x.sum(0)
+    for _ in range(4000):
+        for i, row in enumerate(x):
+            new = max(0.0, rate[i] - row @ metric @ (total - target) / (row @ metric @ row))
+            total, rate[i] = total + (new - rate[i]) * row, new
+    height = lambda v: (v - target) @ metric @ (v - target)
+    begun = height(x.sum(0))
+    assert height(steps.reached) <= height(total) + 0.02 * begun
+    assert steps.distance == pytest.approx(np.abs(steps.reached - target).max() / target.sum())
+    if height(total) < 1e-12 * begun:
+        assert steps.distance < 1e-5
+
+
+def test_registered_mixing_meets_its_targets(spark, caplog):
+    got = QUERIES["op1_mixing"](spark, "/root/testdata/sf0.01")
+    total = got.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in mixing.TARGETS]).first()
+    for d, share in mixing.TARGETS.items():
+        assert total[d] == pytest.approx(share * total.n, rel=1e-3)
+
+
 def test_mixing_of_nothing(spark):
     labels = spark.createDataFrame([], "doc_id long, domain string")
     assert mixing.mix_domains(brute.frame(spark, []), labels, {"a": 1.0}).count() == 0

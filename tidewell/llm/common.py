@@ -8,12 +8,14 @@ fingerprints taken from a running sum, so no Python loop runs over words or byte
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.sources.store import stored
 
@@ -197,7 +199,12 @@ def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
         finally:
             released()
 
-    return df.mapInArrow(run, schema)
+    if all(re.fullmatch(r"\w+", c) for c in df.columns):
+        return df.mapInArrow(run, schema)
+    # Spark looks columns up by name there, and takes dots and quotes in it for syntax
+    safe = {c: fresh(df.columns, f"_odd{k}") for k, c in enumerate(df.columns) if not re.fullmatch(r"\w+", c)}
+    inner = T.StructType([T.StructField(safe.get(f.name, f.name), f.dataType) for f in schema.fields])
+    return df.toDF(*(safe.get(c, c) for c in df.columns)).mapInArrow(run, inner).toDF(*schema.fieldNames())
 
 
 def in_parts(function: Callable, limit: int | None = None) -> Callable:

@@ -1,7 +1,7 @@
 """Language identification: word-first backoff.
 
 Training counts, per language, words and the character n-grams (1 to 4, word edges count as
-a character) of distinct words.  A known word scores by its log frequency in each language;
+a character) of the distinct words.  A known word scores by its log frequency in each language;
 a word never seen falls back to its 4-grams, then 3-grams, 2-grams and single characters,
 until one length holds an n-gram that is known, and scores by their mean.  Scores are
 normalised over the languages and summed over all words of the text.
@@ -41,9 +41,10 @@ def letters() -> np.ndarray:
 class Words:
     """Lower-cased words of a chunk of texts, named by fingerprints."""
 
-    def __init__(self, texts: list[str], is_letter: np.ndarray) -> None:
-        low = [t.lower() for t in texts]
-        code = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    def __init__(self, texts: list[str], is_letter: np.ndarray, lowered: bool = False) -> None:
+        low = texts if lowered else [t.lower() for t in texts]
+        self.whole = "\n" + "\n".join(low) + "\n"
+        code = np.frombuffer(self.whole.encode("utf-32-le", "replace"), np.uint32)
         inside = is_letter[np.minimum(code, 65535)]
         beyond = np.flatnonzero(code > 65535)
         if len(beyond):
@@ -60,6 +61,9 @@ class Words:
         with np.errstate(over="ignore"):
             return mix(span(self.sums, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
+    def strings(self, words: np.ndarray) -> list[str]:
+        return [self.whole[s:e] for s, e in zip(self.starts[words].tolist(), self.ends[words].tolist(), strict=True)]
+
     def grams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(which of `words`, name) of each character n-gram; from two characters on a word has
         an edge on either side."""
@@ -71,7 +75,7 @@ class Words:
 
 
 def _counted(batches):
-    """(language, length of the n-gram or 0 for words, name, count) of each batch."""
+    """(language, word, count) of each chunk."""
     is_letter = letters()
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
@@ -83,15 +87,25 @@ def _counted(batches):
             lang = number[a + words.doc]
             for k, name in enumerate(known):
                 own = np.flatnonzero(lang == k)
-                if not len(own):
-                    continue
-                values, at, count = np.unique(words.names[own], return_index=True, return_counts=True)
-                parts = [(0, values, count)]
-                for n in range(1, LONGEST + 1):
-                    _, grams = words.grams(own[at], n)
-                    parts.append((n, *np.unique(grams, return_counts=True)))
-                for n, v, c in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), pa.string()), pa.array(np.full(len(v), n, np.int32)), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "name", "c"])
+                _, at, count = np.unique(words.names[own], return_index=True, return_counts=True)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(words.strings(own[at]), pa.string()), pa.array(count.astype(np.int64))], names=["lang", "word", "c"])
+
+
+def _grams(batches):
+    """(language, length of the n-gram or 0 for words, name, count) of distinct words with counts."""
+    is_letter = letters()
+    for batch in batches:
+        langs, count = np.array(batch.column("lang").to_pylist(), object), batch.column("c").to_numpy()
+        words = Words(batch.column("word").to_pylist(), is_letter, lowered=True)
+        for name in sorted(set(langs.tolist())):
+            own = np.flatnonzero(langs == name)
+            parts = [(0, words.names[own], count[own])]
+            for n in range(1, LONGEST + 1):
+                _, grams = words.grams(own, n)
+                parts.append((n, *np.unique(grams, return_counts=True)))
+            for n, v, c in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), pa.string()), pa.array(np.full(len(v), n, np.int32)), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "name", "c"])
 
 
 def cut(sizes, most: int) -> tuple[int, int, int]:
@@ -111,7 +125,8 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
     total = rows.count()
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_docs / total))
-    counted = in_arrow(rows, in_parts(_counted), "lang string, n int, name long, c long").groupBy("n", "name", "lang").agg(F.sum("c").alias("c"))
+    words = in_arrow(rows, in_parts(_counted), "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+    counted = in_arrow(words, _grams, "lang string, n int, name long, c long").groupBy("n", "name", "lang").agg(F.sum("c").alias("c"))
     counted = checkpointed(counted)
     sizes = counted.groupBy("lang", "c", "n").agg(F.count("*").alias("rows")).toArrow().to_pandas()
     langs = sorted(sizes["lang"].unique())
