@@ -1,16 +1,22 @@
 """Tables written to the shared folder: derived once, read by all that follows.
 
-The folder is the one every executor sees, `spark.checkpoint.dir`.  There is no fallback to a
-machine's own disk: executors would write where nobody else reads.  What is put there is
+The folder is the one every executor sees, `spark.checkpoint.dir`.  Only a local session, whose
+executor is the driver itself, gets one of its own where that is unset; on a cluster executors
+would write where nobody else reads, so it must be named there.  What is put in the folder is
 deleted when the application ends, or by `drop`.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the session names it."""
@@ -20,7 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _own:
+        _own[own] = tempfile.mkdtemp(prefix="tidewell-")
+    return _own[own]
 
 
 def _path(spark: SparkSession, folder: str):
