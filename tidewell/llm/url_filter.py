@@ -12,7 +12,8 @@ been counted and are at most `max_broadcast` rows.
 
 Cases: at equal ts a removal counts last; repeated entries count once; entries that lack a
 field are ignored; an entry never removed is valid for ever; captures without url, host or
-time match nothing; repeated captures are evaluated each by itself; an empty list blocks nothing.
+time match nothing; repeated captures are evaluated each by itself; an empty list blocks nothing;
+columns of captures and entries beside those named here, whatever they are called, are not read.
 """
 
 from __future__ import annotations
