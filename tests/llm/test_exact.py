@@ -88,11 +88,18 @@ def test_copies_without_id_are_documents(spark):
     assert sorted(got) == sorted([first[:2], (words, words), (words, words), (90, 0), (90, 0), (1, 0), (1, 0)])
 
 
+def test_ranked_strings_double():
+    assert suffix_dedup.widths(200, 32, 16) == [128, 64, 16, 1]  # 73, 137, 185 and 200 bytes
+    assert suffix_dedup.widths(24, 4, 3) == [12, 6, 3, 1]
+    assert suffix_dedup.widths(50, 30, 16) == [16, 1]
+
+
 def test_suffix_dedup_of_parts(spark):
     rng = random.Random(9)
     rows = [(k, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 90)))) for k in range(40)]
-    out = suffix_dedup.dedup_substrings(brute.frame(spark, rows), length=12, gram=4, block=3)
-    assert {r._d: (r.n_bytes, r.n_removed, len(r.starts), r.kept_sha256) for r in out.collect()} == brute.substrings(rows, 12)
+    for length in (12, 24):
+        out = suffix_dedup.dedup_substrings(brute.frame(spark, rows), length=length, gram=4, block=3)
+        assert {r._d: (r.n_bytes, r.n_removed, len(r.starts), r.kept_sha256) for r in out.collect()} == brute.substrings(rows, length)
 
 
 @pytest.mark.parametrize(("heavy", "extra"), [(5000, False), (2, True)])

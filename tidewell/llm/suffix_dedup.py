@@ -3,15 +3,17 @@
 Sorting every suffix of a corpus moves many times its text.  Here only the suffixes at
 minimiser positions are ranked (about one byte in eighty), which loses nothing: every
 200-byte window holds such a position, chosen by its content, so two equal windows hold it
-at the same offset.  Around each such position the ranked prefix grows in rounds:
+at the same offset.  Around each such position the ranked string doubles from round to round,
+to 64 and 128 bytes at least, until it is the 200 of a window:
 
 1. the 32-byte gram at the position; unique grams leave, they cannot be repeated;
 2. the text of the whole run of windows around it; runs that stand elsewhere are past the
    threshold and done;
-3. blocks of 16 windows: Spark sorts pairs (rank of the text all windows of the block
-   share, rank of the text they cover together) with the position.  A position whose second
-   rank is repeated is done, one whose first rank is unique leaves, the rest is ranked anew
-   (with one of those that are done, to compare with);
+3. 128 windows, which share 73 bytes around the position, are a block, then 64 windows, which
+   share 137, then 16, which share 185.  Spark sorts pairs (rank of the text all windows of the
+   block share, rank of the text they cover together) with the position.  A position whose
+   second rank is repeated is past the threshold and done, one whose first rank is unique
+   leaves, the rest is ranked anew (with one of those that are done, to compare with);
 4. single windows: the 200 bytes themselves.
 
 A rank is a 128-bit name of the string, so ranking needs no count of smaller strings.  The
@@ -257,12 +259,23 @@ def extended(base: DataFrame, more: str) -> T.StructType:
     return T.StructType([f for f in base.schema.fields if f.name != "text"] + T.StructType.fromDDL(more).fields)
 
 
+def widths(length: int, gram: int, block: int) -> list[int]:
+    """Windows of a block in each round: the most that share twice the gram, four times and so on, at
+    last `block` windows and single ones.  Blocks are cut in halves, so a window is in one block
+    of each round and its position never meets itself."""
+    out, shared = [], 2 * gram
+    while (most := length - shared + 1) >= 2 * block:
+        out.append(block << ((most // block).bit_length() - 1))
+        shared *= 2
+    return [*out, block, 1]
+
+
 def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """`_d`, `_t`, `_u`, `items`: byte spans (low, high) of each document that other positions repeat."""
     columns = base.columns  # all of them, so that every round reads the same exchange
     need = repeated_grams(docs, length, gram, words=False)
     rows = in_arrow(base.join(need, KEY).select(*columns, "grams", "heavy"), in_parts(_run_rows(length, gram)), ROWS)
-    for width in (block, 1):
+    for width in widths(length, gram, block):
         items = by_document(ranked(rows, length))
         rows = in_arrow(base.join(items, KEY).select(*columns, "items"), in_parts(_block_rows(length, gram, width)), ROWS)
     return by_document(ranked(rows, length, last=True))
