@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import chain
-from tidewell.sources import checkpoint, generator, messages, miner, spool
+from tidewell.sources import checkpoint, generator, messages, miner, spool, store
 from tidewell.sources.rpc import ChainSource, Client, Page, fetched
 from tidewell.streaming import jdbc, sinks
 
@@ -104,6 +105,52 @@ def test_rpc_batch_and_stream(spark, server, tmp_path):
         spark.read.format("chain_rpc").options(url=url, page=2001).load().count()
 
 
+def test_heights_already_produced_are_skipped():
+    """A server may answer from an earlier height, or repeat one."""
+
+    class Server:
+        def blocks(self, start, end):
+            return {"blocks": [{"header": {"number": n, "timestamp": 10 * n}, "hash": f"h{k}"} for k, n in enumerate([1, 2, 3, 3, 2, 4, 5, 6])]}
+
+    got = [r[:3] for r in fetched(Server(), Page(3, 5))]
+    assert got == [(3, 30, "h2"), (4, 40, "h5"), (5, 50, "h6")]
+    with pytest.raises(RuntimeError, match="height 7"):
+        list(fetched(Server(), Page(3, 8)))
+
+
+def test_stored_tables_and_the_shared_folder(spark, tmp_path):
+    df = spark.range(10).select("id", (F.col("id") * 2).alias("b"))
+    table = store.stored(df, str(tmp_path / "t"))
+    assert table.dtypes == df.dtypes and sorted(map(tuple, table.collect())) == sorted(map(tuple, df.collect()))
+    at = store.scratch(spark, "kind")
+    assert at.startswith(store.shared_dir(spark)) and at != store.scratch(spark, "kind")
+    store.stored(df, at)
+    store.drop(spark, at)
+    assert not os.path.exists(at.removeprefix("file:"))
+
+    class Context:
+        applicationId, _jsc = "app-1", spark.sparkContext._jsc
+
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf = {}
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        own = store.shared_dir(Session("local[4]"))
+        assert own == store.shared_dir(Session("local"))
+        for cluster in ("local-cluster[2,1,1024]", "yarn", "spark://h:7077"):
+            with pytest.raises(RuntimeError, match="checkpoint.dir"):
+                store.shared_dir(Session(cluster))
+
+
 def test_envelopes_and_upserts(spark, tmp_path):
     rows = spark.createDataFrame([(0, 5, 1, True), (0, 5, 1, False), (1, 9, 2, True)], "win_idx int, head long, tail long, open_win boolean")
     sent = sinks.as_messages(sinks.envelope(rows.limit(1), "win_tick", rows.columns, now_ms=F.lit(7)))

@@ -67,7 +67,7 @@ def fetched(client: Client, page: Page) -> Iterator[tuple]:
         header = b["header"]
         if header["number"] < expected:
             continue
-        if header["number"] > expected:
+        if header["number"] > expected or expected > page.end:
             break
         txs = b.get("txs") or []
         yield (expected, header.get("timestamp", 0), b.get("hash"), header.get("parent_hash"), len(txs), json.dumps(txs))
