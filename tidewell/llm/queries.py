@@ -133,7 +133,94 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+#: SQL for the operators it can express.  Classifiers, fitted rates and archives are tested
+#: against plain Python, as is every case the tables do not hold (null and repeated ids).
 ORACLE: dict[str, str] = {
+    "op2_decontaminate": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select coalesce(cast(item_id as varchar), 'null') as item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null
+), phrases as (
+  select distinct item, least(len(w), 10) as size, array_to_string(w[i:i + 9], ' ') as s
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)
+), sizes as (
+  select distinct size from phrases
+), hits as (
+  select doc_id, i, size, item
+  from (select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as s
+        from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d, sizes))
+  join phrases using (size, s)
+), covered as (
+  select doc_id, count(distinct i + j) as n_hit from hits, range(10) r(j) where j < size group by doc_id
+), items as (
+  select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as s from hits group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+""",
+    "op3_jaccard": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)
+), named as (
+  select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as name from shingles group by doc_id
+), classes as (
+  select name, min(doc_id) as c, any_value(n) as n from named group by name
+), own as (
+  select c, n, s from classes join shingles on doc_id = c
+), links as (
+  select a.c as a, b.c as b from own a join own b on a.s = b.s and a.c < b.c
+  group by a.c, b.c, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach as (
+  select c as a, c as b from classes
+  union select reach.a, e.b from reach join (select a, b from links union all select b, a from links) e on reach.b = e.a
+), roots as (
+  select a as c, min(b) as root from reach group by a
+)
+select d.doc_id, cast(coalesce(named.n, 0) as bigint) as n_shingles, coalesce(root, d.doc_id) as component_id
+from d left join named using (doc_id) left join classes using (name) left join roots using (c)
+""",
+    "op6_superkmers": r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as name from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)
+), later as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by name order by doc_id, i) as place from windows) where place > 1
+), gone as (
+  select distinct doc_id, i + j as nth from later, range(20) r(j)
+), kept as (
+  select doc_id, count(*) as n, string_agg(x, ' ' order by nth) as s
+  from (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as nth from d) anti join gone using (doc_id, nth) group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join kept using (doc_id)
+""",
+    "op10_suffix_dedup": r"""
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), bytes as (
+  select doc_id, i, substr(h, 2 * i - 1, 2) as x, case when 2 * i + 398 <= length(h) then md5_number(substr(h, 2 * i - 1, 400)) end as name
+  from (select doc_id, h, unnest(range(1, length(h) // 2 + 1)) as i from d)
+), counted as (
+  select doc_id, i, x, name is not null and count(*) over (partition by name) > 1 as again from bytes
+), marked as (
+  select doc_id, i, x, coalesce(max(again) over (partition by doc_id order by i rows between 199 preceding and current row), false) as gone from counted
+), runs as (
+  select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as begins from marked
+), sums as (
+  select doc_id, count(*) as n, count(*) filter (gone) as n_gone, count(*) filter (begins) as n_runs, string_agg(x, '' order by i) filter (not gone) as kept from runs group by doc_id
+)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_bytes, cast(coalesce(n_gone, 0) as bigint) as n_removed, cast(coalesce(n_runs, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join sums using (doc_id)
+""",
     "op7_url_filter": r"""
 with p as (
   select page_id, url, 1704067200 + (page_id * 7919) % 31536000 as fetched_at,
