@@ -44,10 +44,11 @@ def clean(flat: DataFrame, drop_bad_address: bool = True, drop_no_token: bool =
 def numbered(seen: DataFrame, name: str) -> DataFrame:
     """`name`, `id`: dense ids of distinct names by their least `first`.
 
-    The names and their first sight are written once: numbering reads them twice.
+    The names' first sight is written, as numbering reads it twice, and so are the ids: a table of
+    known size, which joins broadcast while it is small.
     """
     first = stored(seen.groupBy(name).agg(F.min("first").alias("first")))
-    return with_prefix(first, "first", {"id": F.lit(1)}, day=RANGE).select(name, "id", "first")
+    return stored(with_prefix(first, "first", {"id": F.lit(1)}, day=RANGE).select(name, "id"))
 
 
 def address_ids(flat: DataFrame, drop_bad_address: bool = True) -> DataFrame:
@@ -55,7 +56,7 @@ def address_ids(flat: DataFrame, drop_bad_address: bool = True) -> DataFrame:
     c = clean(flat, drop_bad_address=False)
     shown = F.when(F.col("src").isNotNull(), F.col("dst")) if drop_bad_address else F.col("dst")
     ends = F.array(F.struct(F.col("src").alias("addr"), (F.col("idx") * 2).alias("first")), F.struct(shown.alias("addr"), (F.col("idx") * 2 + 1).alias("first")))
-    return numbered(c.select(F.inline(ends)).where("addr is not null"), "addr").select("addr", "id")
+    return numbered(c.select(F.inline(ends)).where("addr is not null"), "addr")
 
 
 def token_ids(flat: DataFrame, drop_bad_address: bool = True) -> DataFrame:
