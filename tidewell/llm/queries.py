@@ -201,6 +201,17 @@ with d as (
 )
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256
 from d left join kept using (doc_id)
+""",
+    "op8_warc": """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as least from pages
+), digits as (
+  select *, list_transform(range(32), lambda k: (cast('0x' || substr(h, cast(k // 4 * 5 + 1 as integer), 5) as bigint) >> cast(15 - k % 4 * 5 as integer)) & 31) as v from p
+)
+select page_id, cast(n as bigint) as payload_bytes,
+       array_to_string(list_transform(v, lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(k + 1 as integer), 1)), '') as payload_digest,
+       case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to
+from digits
 """,
     "op10_suffix_dedup": r"""
 with d as (

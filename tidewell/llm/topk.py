@@ -5,8 +5,8 @@ split by a hash into chunks of about `CHUNK` vectors, so equal lengths never mak
 chunk.  Queries go in blocks.
 
 1. Every query meets one chunk of the longest vectors; its k-th score there is a floor.
-2. Levels follow from long to short, each round twice as many as all before it, and the floors
-   rise between rounds.  A chunk is sent to a query's block only if |query| * (longest of the
+2. Levels follow from long to short, four at first, then three times as many as all before, and
+   the floors rise between rounds.  A chunk is sent to a query's block only if |query| * (longest of the
    level) reaches the floor.  In the task the local cosine threshold, floor / (|query| *
    longest), chooses the pruning: if it is high, coordinate pruning (a candidate's share on the
    query's strongest coordinates must lie in the interval the threshold allows), else length
@@ -184,7 +184,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, chun
     now = checkpointed(met(seeds, longest.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))))
     at = 0
     while at < len(levels):
-        part = levels[at : at + max(1, 2 * at)]
+        part = levels[at : at + max(4, 3 * at)]
         at += len(part)
         own = [x[0] for x in part]
         floor = now.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(lowest).alias("floor"))
