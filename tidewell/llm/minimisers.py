@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, byte_symbols, chunks, in_arrow, in_parts, keyed, mix, not_space, ragged, running, sliding_min, span, text_buffer, word_names, word_spans
+from .common import KEY, byte_symbols, checkpointed, chunks, in_arrow, in_parts, keyed, mix, not_space, ragged, running, sliding_min, span, text_buffer, word_names, word_spans
 
 #: Grams seen more often than this take the path that never gathers a gram's runs in one task.
 HEAVY = 5000
@@ -76,11 +76,13 @@ def repeated_grams(docs: DataFrame, length: int, gram: int, words: bool, heavy:
     """`_d`, `_t`, `_u`, `grams` and `heavy`: the names of each document's grams that stand in more
     than one run of the corpus, those over `heavy` runs apart."""
     rows = in_arrow(keyed(docs), in_parts(_gram_rows(length, gram, words)), "_d long, _t long, _u long, gram long, n int")
-    often = rows.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram", (F.col("all") > heavy).alias("hot"))
+    # written, so that the join can be split at a gram of very many documents, or broadcast if small
+    often = checkpointed(rows.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram", (F.col("all") > heavy).alias("hot")))
     found = rows.select(*KEY, "gram").join(often, "gram")
+    # sets, as copies without id share a key: a document's grams, however often its rows come
     return found.groupBy(*KEY).agg(
-        F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("grams"),
-        F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("heavy"),
+        F.collect_set(F.when(~F.col("hot"), F.col("gram"))).alias("grams"),
+        F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("heavy"),
     )
 
 
