@@ -123,6 +123,12 @@ def test_first_seen_ids_with_bad_addresses(spark):
     flat = spark.createDataFrame([(i, 0, s, r, t, 1) for i, s, r, t in rows], "idx long, ts long, sender string, receiver string, token string, amount long")
     assert {r.addr: r.id for r in dictionary.address_ids(flat).collect()} == {a: 1, c: 2, b: 3}
     assert {r.tok: r.id for r in dictionary.token_ids(flat).collect()} == {"t": 1}
+    for keep in (True, False):  # one pass for both kinds gives the same ids
+        both = dictionary.dictionaries(flat, keep)
+        assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, dictionary.address_ids(flat, keep).collect()))
+        assert sorted(map(tuple, both[1].collect())) == sorted(map(tuple, dictionary.token_ids(flat, keep).collect()))
+    assert {r.tok: r.id for r in dictionary.token_ids(flat, False).collect()} == {"T": 1, "t": 2}
+    assert {r.addr: r.id for r in dictionary.address_ids(flat, False).collect()} == {a: 1, b: 2, c: 3}
     e = dictionary.encoded(flat, dictionary.address_ids(flat), dictionary.token_ids(flat)).orderBy("idx").collect()
     assert [(r.idx, r.from_id, r.to_id, r.token_id) for r in e] == [(2, 2, 3, 0), (3, 3, 3, 1)]
 

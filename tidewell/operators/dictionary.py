@@ -41,28 +41,43 @@ def clean(flat: DataFrame, drop_bad_address: bool = True, drop_no_token: bool =
     return out.where("tok is not null") if drop_no_token else out
 
 
-def numbered(seen: DataFrame, name: str) -> DataFrame:
-    """`name`, `id`: dense ids of distinct names by their least `first`.
+ADDRESS, TOKEN = 0, 1
 
-    The names' first sight is written, as numbering reads it twice, and so are the ids: a table of
-    known size, which joins broadcast while it is small.
+
+def _numbered(flat: DataFrame, kinds: tuple[int, ...], drop_bad_address: bool) -> DataFrame:
+    """`kind`, `name`, `id`: dense ids of the names of each kind, by first sight.
+
+    The sender is seen before the receiver; a bad sender hides the receiver, and a bad address
+    the token, unless such transfers are kept.  The names' first sight is written, as numbering
+    reads it twice, and so are the ids: a table of known size, which joins broadcast while small.
     """
-    first = stored(seen.groupBy(name).agg(F.min("first").alias("first")))
-    return stored(with_prefix(first, "first", {"id": F.lit(1)}, day=RANGE).select(name, "id"))
+    c = clean(flat, drop_bad_address=False)
+    src, dst, tok = F.col("src"), F.col("dst"), F.col("tok")
+    if drop_bad_address:
+        dst, tok = F.when(src.isNotNull(), dst), F.when(src.isNotNull() & dst.isNotNull(), tok)
+    seen = {ADDRESS: [(src, 0), (dst, 1)], TOKEN: [(tok, 0)]}
+    names = F.array(*[F.struct(F.lit(k).alias("kind"), name.alias("name"), (F.col("idx") * 2 + at).alias("first")) for k in kinds for name, at in seen[k]])
+    first = stored(c.select(F.inline(names)).where("name is not null").groupBy("kind", "name").agg(F.min("first").alias("first")))
+    # a name's number among its kind; numbers of the other kinds at the same place do not count
+    ids = with_prefix(first, "first", {f"id{k}": F.when(F.col("kind") == k, 1).otherwise(0) for k in kinds}, day=RANGE)
+    own = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"id{k}")) for k in kinds])
+    return stored(ids.select("kind", "name", own.alias("id")))
+
+
+def dictionaries(flat: DataFrame, drop_bad_address: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both dictionaries from one pass: (`addr`, `id`) and (`tok`, `id`)."""
+    ids = _numbered(flat, (ADDRESS, TOKEN), drop_bad_address)
+    return ids.where(F.col("kind") == ADDRESS).select(F.col("name").alias("addr"), "id"), ids.where(F.col("kind") == TOKEN).select(F.col("name").alias("tok"), F.col("id").cast("int").alias("id"))
 
 
 def address_ids(flat: DataFrame, drop_bad_address: bool = True) -> DataFrame:
-    """`addr`, `id`.  The sender is seen before the receiver; a bad sender hides the receiver."""
-    c = clean(flat, drop_bad_address=False)
-    shown = F.when(F.col("src").isNotNull(), F.col("dst")) if drop_bad_address else F.col("dst")
-    ends = F.array(F.struct(F.col("src").alias("addr"), (F.col("idx") * 2).alias("first")), F.struct(shown.alias("addr"), (F.col("idx") * 2 + 1).alias("first")))
-    return numbered(c.select(F.inline(ends)).where("addr is not null"), "addr")
+    """`addr`, `id`."""
+    return _numbered(flat, (ADDRESS,), drop_bad_address).select(F.col("name").alias("addr"), "id")
 
 
 def token_ids(flat: DataFrame, drop_bad_address: bool = True) -> DataFrame:
     """`tok`, `id`; an empty token has no id (0 in events)."""
-    c = clean(flat, drop_bad_address).where("tok is not null").select("tok", F.col("idx").alias("first"))
-    return numbered(c, "tok").select("tok", F.col("id").cast("int").alias("id"))
+    return _numbered(flat, (TOKEN,), drop_bad_address).select(F.col("name").alias("tok"), F.col("id").cast("int").alias("id"))
 
 
 def encoded(flat: DataFrame, addresses: DataFrame, tokens: DataFrame, drop_bad_address: bool = True, drop_no_token: bool = False) -> DataFrame:

@@ -91,9 +91,21 @@ def _flat(spark: SparkSession, d: str) -> DataFrame:
     return dictionary.flatten(_blocks(spark, d), fixture.transfers(spark, d))
 
 
+def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks and encoded events; blocks and flattened transfers are written once."""
+    blocks = stored(_blocks(spark, d))
+    flat = stored(dictionary.flatten(blocks, fixture.transfers(spark, d)))
+    return blocks, dictionary.encoded(flat, *dictionary.dictionaries(flat))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    flat = stored(_flat(spark, d))
-    return dictionary.encoded(flat, dictionary.address_ids(flat), dictionary.token_ids(flat))
+    return _chain(spark, d)[1]
+
+
+def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ticks and encoded events."""
+    blocks, events = _chain(spark, d)
+    return windows.ticks(blocks, CADENCE), events
 
 
 def _ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -348,7 +360,7 @@ def encoded_events(spark, d):
 @query("select idx, '0x' || src as sender, '0x' || dst as receiver, tok as token from tx")
 def decoded_events(spark, d):
     flat = stored(_flat(spark, d))
-    a, t = dictionary.address_ids(flat), dictionary.token_ids(flat)
+    a, t = dictionary.dictionaries(flat)
     return dictionary.decoded(dictionary.encoded(flat, a, t), a, t).select("idx", "sender", "receiver", "token")
 
 
@@ -502,22 +514,22 @@ def ticks_upsert(spark, d):
 
 @query("select cast(win_idx as integer) as win_idx, head, tail, count(distinct (from_id, to_id)) as n_edges, count(*) as n_tx from wev group by all")
 def window_edges_at_ticks(spark, d):
-    return graph.edge_counts(_ticks(spark, d), _events(spark, d))
+    return graph.edge_counts(*_windows(spark, d))
 
 
 @query("select cast(win_idx as integer) as win_idx, head, from_id, to_id, list(idx order by idx) as evidence from wev group by 1, 2, 3, 4")
 def edge_evidence(spark, d):
-    return graph.evidence(_ticks(spark, d), _events(spark, d))
+    return graph.evidence(*_windows(spark, d))
 
 
 @query("select cast(win_idx as integer) as win_idx, head, from_id as node, list_sort(list(distinct to_id)) as neighbours from wev group by 1, 2, 3")
 def adjacency(spark, d):
-    return graph.adjacency(_ticks(spark, d), _events(spark, d))
+    return graph.adjacency(*_windows(spark, d))
 
 
 @query("select cast(win_idx as integer) as win_idx, head, to_id as node, list_sort(list(distinct from_id)) as neighbours from wev group by 1, 2, 3")
 def reverse_adjacency(spark, d):
-    return graph.adjacency(_ticks(spark, d), _events(spark, d), reverse=True)
+    return graph.adjacency(*_windows(spark, d), reverse=True)
 
 
 DEGREES = ", deg as (select win_idx, head, node, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree from (select win_idx, head, from_id as node, 1 as o, 0 as i from wev union all select win_idx, head, to_id, 0, 1 from wev) group by 1, 2, 3)"
@@ -525,12 +537,12 @@ DEGREES = ", deg as (select win_idx, head, node, cast(sum(o) as bigint) as out_d
 
 @query(DEGREES + " select cast(win_idx as integer) as win_idx, head, node, out_degree, in_degree from deg")
 def window_degrees(spark, d):
-    return graph.degrees(_ticks(spark, d), _events(spark, d))
+    return graph.degrees(*_windows(spark, d))
 
 
 @query(DEGREES + ", r as (select *, row_number() over (partition by win_idx, head order by out_degree desc, node) as rank from deg where out_degree > 0) select cast(win_idx as integer) as win_idx, head, cast(rank as integer) as rank, node, out_degree from r where rank <= 5")
 def top_out_degree(spark, d):
-    return graph.top_out_degree(_ticks(spark, d), _events(spark, d))
+    return graph.top_out_degree(*_windows(spark, d))
 
 
 @query("""
@@ -541,7 +553,8 @@ def top_out_degree(spark, d):
 , run as (select t, sum(sum(v)) over (order by t) as n from marks group by t)
 select blocks.ts, cast(n as bigint) as n_edges from blocks join run on t = blocks.ts""")
 def active_edges(spark, d):
-    return graph.active_edges(_events(spark, d), _blocks(spark, d), 3600)
+    blocks, events = _chain(spark, d)
+    return graph.active_edges(events, blocks, 3600)
 
 
 @query("""
