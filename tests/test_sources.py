@@ -51,6 +51,48 @@ def test_messages_round_trip(spark, made):
     assert sorted(tuple(r) for r in messages.first_seen(raw).collect()) == [(0, 3), (1, 9)]
 
 
+class Recorded:
+    """Stands for a session's or a table's reader or writer and keeps the calls."""
+
+    def __init__(self):
+        self.calls, self.columns = [], ["key", "value", "timestamp"]
+
+    def __getattr__(self, name):
+        if name in ("readStream", "writeStream"):
+            return self
+
+        def call(*args, **named):
+            self.calls.append((name, args, named))
+            return self
+
+        return call
+
+    def of(self, name):
+        return next((a or n) for k, a, n in self.calls if k == name)
+
+
+def test_kafka_readers_and_writers(spark):
+    read = messages.replay_kafka(Recorded(), "h:9092", "blocks", now=1_700_000_000, group="g")
+    assert read.of("format") == ("kafka",) and read.calls[-1][0] == "load"
+    want = {"kafka.bootstrap.servers": "h:9092", "subscribe": "blocks", "startingTimestamp": "1699913600000", "kafka.group.id": "g", "maxOffsetsPerTrigger": "8192"}
+    assert want.items() <= read.of("options").items()
+    written = messages.write_kafka(Recorded(), "h:9092", "out", "/ck")
+    assert written.of("format") == ("kafka",) and written.of("option") == ("checkpointLocation", "/ck")
+    assert written.of("options")["topic"] == "out" and written.of("options")["kafka.enable.idempotence"] == "true"
+    assert len(written.of("select")) == 2
+
+
+def test_watching_messages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"partition": 1, "offset": 7, "value": "seen here"}\n')
+    q = messages.watch(messages.read_files(spark, str(tmp_path / "in"))).option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        assert q.lastProgress["numInputRows"] <= 1 and q.exception() is None
+    finally:
+        q.stop()
+
+
 @pytest.fixture(scope="module")
 def server(made):
     blocks = {r.number: json.loads(r.value) for r in made.select("number", F.to_json(F.struct("header", "hash", "txs")).alias("value")).collect()}

@@ -35,6 +35,24 @@ def read_kafka(spark: SparkSession, **options) -> DataFrame:
     return spark.readStream.format("kafka").options(**kafka_options(**options)).load()
 
 
+def replay_kafka(spark: SparkSession, servers: str, topic: str, now: int, seconds: int = REPLAY_SECONDS, **more) -> DataFrame:
+    """A stream that begins `seconds` before `now`: a message's time is its block's."""
+    return read_kafka(spark, servers=servers, topic=topic, since_ms=max(now - seconds, 0) * 1000, **more)
+
+
+def write_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str):
+    """A writer, not started, of `key` (if there), `value` and `timestamp`-ordered messages to a
+    topic; what is acknowledged is in the checkpoint, so a restart goes on from there."""
+    columns = [F.col(c).cast("string").alias(c) for c in ("key", "value") if c in messages.columns]
+    return messages.select(*columns).writeStream.format("kafka").options(**producer_options(servers, topic)).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def watch(messages: DataFrame, rows: int = 20):
+    """A writer, not started, that prints messages as they come: place and text."""
+    shown = messages.select(*[c for c in ("partition", "offset") if c in messages.columns], F.col("value").cast("string").alias("value"))
+    return shown.writeStream.format("console").option("truncate", "false").option("numRows", rows).outputMode("append")
+
+
 def read_files(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A stream of JSON lines with `partition`, `offset` and `value`."""
     return spark.readStream.schema("partition int, offset long, value string").option("maxFilesPerTrigger", files_per_batch).json(path)
