@@ -89,8 +89,8 @@ def test_langid_equals_plain_backoff(spark):
     texts = [None, "", "😀 7", *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(200)), *(t for _, t, _ in spoken(5, 20))]
     got = {r.doc_id: (r._lang, r._score) for r in langid.identify(brute.frame(spark, list(enumerate(texts))), model).collect()}
     for k, (lang, score) in enumerate(plain_backoff(rows, texts)):
-        assert got[k][1] == pytest.approx(score, abs=1e-9), texts[k]
-        assert got[k][0] == lang or score < 0.5 + 1e-9, texts[k]
+        assert got[k][1] == pytest.approx(score, abs=1e-5), texts[k]
+        assert got[k][0] == lang or score < 0.5 + 1e-5, texts[k]
 
 
 def test_langid_of_a_small_language(spark):

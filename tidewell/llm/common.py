@@ -21,7 +21,7 @@ from tidewell.sources.store import stored
 
 NULL_ID = -(2**63)
 KEY = ["_d", "_t", "_u"]
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 

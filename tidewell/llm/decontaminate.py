@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import checkpointed, chunks, covered, fresh, from_rest, in_arrow, in_parts, lower_ascii, ragged, released, rest_of, text_buffer, word_names, word_spans
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE_EVERY = 8
 MAX_BENCHMARK_BYTES = 32 << 20
 

@@ -146,7 +146,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
         names, at = np.unique(kept["name"][part].view(np.uint64), return_inverse=True)
         count = np.zeros((len(names), len(langs)))
         np.add.at(count, (at, kept["k"][part]), kept["c"][part])
-        model["tables"].append((names, relative_scores(count)))
+        model["tables"].append((names, relative_scores(count).astype(np.float32)))
     del kept
     released()
     return model
