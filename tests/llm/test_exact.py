@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewell.llm import jaccard, minimisers, suffix_dedup, superkmers
+from tidewell.llm import common, jaccard, minimisers, suffix_dedup, superkmers
 from tidewell.llm.common import sliding_min
 from tidewell.llm.components import components
 from tidewell.llm.decontaminate import FMIndex, decontaminate, decontaminated
@@ -139,6 +139,85 @@ def test_jaccard(spark, n, num, chunk):
     assert dict(got) == brute.groups(ROWS, n, num)
 
 
+def joined_by(rows):
+    """The partition of nodes that rows (key, node) make."""
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for key, node in rows:
+        up[find(("key", key))] = find(("node", node))
+    groups = {}
+    for _, node in rows:
+        groups.setdefault(find(("node", node)), set()).add(node)
+    return sorted(map(sorted, groups.values()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=40))
+def test_combined_keys_join_the_same_nodes(rows):
+    key, node = jaccard.combined(*(np.array(x, np.int64) for x in zip(*rows, strict=True)))
+    got = list(zip(key.tolist(), node.tolist(), strict=True))
+    assert joined_by(got) == joined_by(rows)
+    assert all(sum(k == own for k, _ in got) <= 1 for own in range(13))
+
+
+def similar(s, t, num, den):
+    return den * len(s & t) >= num * len(s | t)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 60), st.integers(1, 8))
+def test_trees_join_what_is_similar(seed, n, kinds):
+    rng = random.Random(seed)
+    bases = [rng.sample(range(300), rng.randrange(1, 25)) for _ in range(kinds)]
+    sets = []
+    for _ in range(n):
+        own = set(rng.choice(bases))
+        for _ in range(rng.randrange(3)):
+            own.add(rng.randrange(300))
+            own.discard(rng.choice(sorted(own)))
+        sets.append(own or {1})
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    cut = n // 2
+    for sides in (((0, n),), ((0, cut), (cut, n))):
+        trees = [jaccard.SignatureTree(arrays[a:b], list(range(a, b)), 4) for a, b in sides if b > a]
+        forest = jaccard.Forest(n)
+        found = jaccard.dual_traversal(trees[0], trees[-1], forest, 8, 10)
+        if len(trees) == 2:
+            for t in trees:
+                found += jaccard.dual_traversal(t, t, forest, 8, 10)
+        assert all(similar(sets[a], sets[b], 8, 10) for a, b in found)
+        want = jaccard.Forest(n)
+        for a in range(n):
+            for b in range(a):
+                if similar(sets[a], sets[b], 8, 10):
+                    want.join(a, b)
+        assert [forest.find(k) for k in range(n)] == [want.find(k) for k in range(n)]
+
+
+def test_arrow_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(60).select(F.repeat(F.lit("x"), 300_000).alias("text"), F.lit("y").alias("a.b")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield common.pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    try:
+        for limit, rows in ((64 << 20, 14), (600_000, 2)):
+            spark.conf.set(name, str(limit))
+            got = [r.n for r in common.in_arrow(docs.select("text"), sizes, "n long").collect()]
+            assert sum(got) == 60 and max(got) <= rows
+            assert int(spark.conf.get(name).rstrip("b")) == min(limit, common.BATCH_BYTES)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_jaccard_of_short_sets(spark):
     """Few shingles, many of them common: most sets fall back to keys of all parts."""
     rng = random.Random(2)

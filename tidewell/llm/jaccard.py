@@ -208,7 +208,7 @@ def combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     lead = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
     on = lead != node
     if not on.any():
-        return key, node
+        return key[head], node[head]
     ids, root = closed(lead[on], node[on])
     own = (mix(root.view(np.uint64) ^ np.uint64(0xA24BAED4963EE407)) ^ mix(ids.max(initial=0).view(np.uint64) + np.uint64(len(ids)))).view(np.int64)
     return np.r_[key[head], own], np.r_[node[head], ids]
