@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import crf_quality
 from .common import KEY, id_column
 from .decontaminate import decontaminate
+from .filter_audit import audit
 from .jaccard import component_ids
 from .langid import fit as fit_langid
 from .langid import identify, training_rows
@@ -120,6 +121,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_column(), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_crf_quality": op9_crf_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: SQL for the operators it can express.  Classifiers, fitted rates and archives are tested
@@ -280,5 +286,36 @@ with e as (
   select query_id, cast(row_number() over (partition by r order by score desc, vec_id nulls last) as integer) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 20
+""",
+    "op12_filter_audit": r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), told as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id
+), facts as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+         || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end
+         || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+         || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as failed
+  from d left join told using (doc_id)
+), letters as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), orders as (
+  select a.x || b.x || c.x || e.x || f.x as filter_order from letters a, letters b, letters c, letters e, letters f
+  where len(list_distinct([a.x, b.x, c.x, e.x, f.x])) = 5
+), cells as (
+  select part, failed, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from facts group by all
+), long as (
+  select *, filter_order[step] as own, contains(failed, own) as fails, len(list_filter(range(1, step), lambda k: contains(failed, filter_order[k]))) > 0 as gone
+  from cells, orders, range(1, 6) s(step)
+), counted as (
+  select part, filter_order, cast(step as integer) as step, own,
+         cast(coalesce(sum(n) filter (not gone and not fails), 0) as bigint) as kept, cast(coalesce(sum(n) filter (not gone and fails), 0) as bigint) as removed,
+         cast(coalesce(sum(n) filter (gone and fails), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (failed = own), 0) as bigint) as unique_fails,
+         cast(coalesce(sum(good) filter (not gone and fails), 0) as bigint) as good_lost, cast(coalesce(sum(toxic) filter (not gone and fails), 0) as bigint) as toxic_lost
+  from long group by part, filter_order, step, own
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from counted
 """,
 }
