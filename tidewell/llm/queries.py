@@ -15,6 +15,7 @@ from .jaccard import component_ids
 from .langid import fit as fit_langid
 from .langid import identify, training_rows
 from .mixing import TARGETS, label_domains, mix_domains
+from .simhash import component_ids as simhash_ids
 from .suffix_dedup import dedup_substrings
 from .superkmers import dedup_windows
 from .topk import top_k
@@ -125,6 +126,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, distance=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
@@ -137,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_crf_quality": op9_crf_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_simhash": op13_simhash,
 }
 
 #: SQL for the operators it can express.  Classifiers, fitted rates and archives are tested
@@ -317,5 +323,67 @@ with d as (
   from long group by part, filter_order, step, own
 )
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from counted
+""",
+    # XXH64 (seed 42) of every distinct shingle in 128-bit numbers: its bytes as numbers of eight (lanes),
+    # the four running sums of 32-byte stripes, the lanes after them, then bytes and the final mix
+    "op13_simhash": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select doc_id, array_to_string(w[i:i + 2], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)
+), k as (
+  select 18446744073709551616::uhugeint as m, 11400714785074694791::uhugeint as p1, 14029467366897019727::uhugeint as p2, 1609587929392839161::uhugeint as p3,
+         9650029242287828579::uhugeint as p4, 2870177450012600261::uhugeint as p5, 42::uhugeint as seed
+), spelt as (
+  select s, n, list_transform(range(n), lambda i: ('0x' || substr(h, cast(2 * i + 1 as integer), 2))::uhugeint) as b from (select s, strlen(s) as n, hex(encode(s)) as h from (select distinct s from shingles))
+), lanes as (
+  select s, n, b, n // 32 * 4 as striped, n // 8 as whole,
+         list_transform(range(n // 8), lambda j: b[8 * j + 1] + b[8 * j + 2] * 256 + b[8 * j + 3] * 65536 + b[8 * j + 4] * 16777216
+           + (b[8 * j + 5] + b[8 * j + 6] * 256 + b[8 * j + 7] * 65536 + b[8 * j + 8] * 16777216) * 4294967296) as l
+  from spelt
+), stripes as (
+  select s, n, b, striped, whole, l,
+         list_transform([(seed + p1 + p2) % m, (seed + p2) % m, seed, (m + seed - p1) % m], lambda v0, j: list_reduce(
+           list_filter(l[1:striped], lambda x, i: i % 4 = j % 4),
+           lambda acc, x: ((((acc + x * p2 % m) % m * 2147483648) % m + (acc + x * p2 % m) % m // 8589934592) * p1) % m, v0)) as v
+  from lanes, k
+), merged as (
+  select s, n, b, striped, whole, l, case when n < 32 then (seed + p5) % m else list_reduce(v,
+           lambda acc, x: (xor(acc, (((x * p2 % m * 2147483648) % m + x * p2 % m // 8589934592) * p1) % m) * p1 + p4) % m,
+           (v[1] * 2 % m + v[1] // 9223372036854775808 + v[2] * 128 % m + v[2] // 144115188075855872 + v[3] * 4096 % m + v[3] // 4503599627370496 + v[4] * 262144 % m + v[4] // 70368744177664) % m) end as h
+  from stripes, k
+), eights as (
+  select s, n, b, whole, list_reduce(l[striped + 1:],
+           lambda acc, x: ((xor(acc, (((x * p2 % m * 2147483648) % m + x * p2 % m // 8589934592) * p1) % m) * 134217728 % m
+                            + xor(acc, (((x * p2 % m * 2147483648) % m + x * p2 % m // 8589934592) * p1) % m) // 137438953472) * p1 + p4) % m, (h + cast(n as uhugeint)) % m) as h
+  from merged, k
+), fours as (
+  select s, n, b, whole * 8 + case when n - whole * 8 >= 4 then 4 else 0 end as done, case when n - whole * 8 < 4 then h else
+           (xor(h, f * p1 % m) * 8388608 % m + xor(h, f * p1 % m) // 2199023255552) * p2 % m + p3 end % m as h
+  from (select *, case when n - whole * 8 >= 4 then b[whole * 8 + 1] + b[whole * 8 + 2] * 256 + b[whole * 8 + 3] * 65536 + b[whole * 8 + 4] * 16777216 end as f from eights), k
+), ones as (
+  select s, list_reduce(b[done + 1:], lambda acc, x: (xor(acc, x * p5 % m) * 2048 % m + xor(acc, x * p5 % m) // 9007199254740992) * p1 % m, h) as h from fours, k
+), mixed as (
+  select s, xor(h, h // 8589934592) * p2 % m as h from ones, k
+), again as (
+  select s, xor(h, h // 536870912) * p3 % m as h from mixed, k
+), hashed as (
+  select s, cast(xor(h, h // 4294967296) as ubigint) as h from again
+), bits as (
+  select doc_id, bit, 2 * sum(h >> cast(bit as ubigint) & 1) > count(*) as one
+  from shingles join hashed using (s), range(64) r(bit) group by doc_id, bit
+), prints as (
+  select d.doc_id, coalesce(f, 0::ubigint) as f
+  from d left join (select doc_id, bit_or(case when one then 1::ubigint << cast(bit as ubigint) else 0::ubigint end) as f from bits group by doc_id) using (doc_id)
+), classes as (
+  select f, min(doc_id) as c from prints group by f
+), links as (
+  select a.f as a, b.f as b from classes a join classes b on a.f <> b.f and bit_count(xor(a.f, b.f)) <= 2
+), reach as (
+  select f as a, f as b from classes union select reach.a, links.b from reach join links on reach.b = links.a
+), roots as (
+  select a as f, min(c) as component_id from reach join classes on f = b group by a
+)
+select doc_id, lower(lpad(hex(f), 16, '0')) as fingerprint, component_id from prints join roots using (f)
 """,
 }
