@@ -21,6 +21,7 @@ from .superkmers import dedup_windows
 from .topk import top_k
 from .url_filter import filter_urls, host_of
 from .warc import round_trip
+from .whiten import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +123,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_column(), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long holds is null (the operator has it as a decimal)."""
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
@@ -141,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_crf_quality": op9_crf_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
     "op13_simhash": op13_simhash,
 }
