@@ -5,7 +5,7 @@ repetition inside the line and of earlier lines, and the same of the line before
 Neighbouring labels are tied by a 2 x 2 transition table.  Training maximises the labels'
 conditional likelihood (the lines of a labelled document carry its label) on about `max_docs`
 labelled rows and `max_bytes` of text at most, chosen by a hash of the id; both bounds are
-parameters, and a text of more than a hundredth of `max_bytes` teaches nothing.  Scoring runs the
+parameters, and no text is left out for its length (but one longer than all of `max_bytes`).  Scoring runs the
 forward-backward recursions over every line of the whole text and takes the mean marginal
 of `good`, weighted by the lines' lengths.
 
@@ -170,21 +170,31 @@ def train(texts, labels: list[int], steps: int = STEPS) -> dict:
     return {"mean": mean, "scale": scale, "weights": weights, "pair": pair, "share": min(max(share, 0.0), 1.0)}
 
 
+#: Lots that labelled texts are drawn by; a lot is taken whole or not at all.
+LOTS = 1 << 14
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """`text` and `quality` of labelled documents that may teach (crc32 of the id leaves another
     remainder than 1): about `max_docs` labels, which bounds what is broadcast, and of their rows
-    (an id may be repeated) a share that holds about `max_bytes` of text, both chosen by a hash.
-    Of several labels of an id the lowest counts."""
+    (an id may be repeated) as many as `max_bytes` of text hold, both chosen by a hash, whatever
+    their length; only a text that is longer than that bound by itself cannot teach.  Of several
+    labels of an id the lowest counts."""
     own = labels.select(F.col("doc_id").cast("long").alias("_l"), F.col("quality").cast("int").alias("quality"))
     own = own.where("_l is not null and quality in (0, 1)").where(F.crc32(F.col("_l").cast("string")) % 3 != 1).groupBy("_l").agg(F.min("quality").alias("quality"))
     total = own.count()
     if total > max_docs:
         own = own.where(F.pmod(F.xxhash64("_l"), F.lit(1 << 30)) < int((1 << 30) * max_docs / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = texts.join(F.broadcast(own), F.col("doc_id") == F.col("_l")).where(F.octet_length("text") <= max_bytes // 100)
-    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:
-        found = found.where(F.pmod(F.xxhash64("_l", "text"), F.lit(1 << 30)) < int((1 << 30) * max_bytes / size))
+    found = texts.join(F.broadcast(own), F.col("doc_id") == F.col("_l")).withColumn("_k", F.pmod(F.xxhash64("_l", "text"), F.lit(LOTS)))
+    held = found.groupBy("_k").agg(F.sum(F.octet_length("text").cast("long")).alias("size")).collect()  # LOTS small rows at most
+    taken, size = [], 0
+    for k, more in sorted((r["_k"], r["size"]) for r in held):
+        if size + more <= max_bytes:
+            taken.append(k)
+            size += more
+    if len(taken) < len(held):
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], "_k long")), "_k", "left_semi")
     return found.select("text", "quality")
 
 

@@ -15,7 +15,8 @@ chunk.  Queries go in blocks.
    merged; ties go to the smaller id.
 
 Components are floor(64 * x).  Bounds carry a slack against rounding, products do not: they
-are computed in doubles while all sums stay below 2**53, in Python integers beyond.
+are computed in doubles while all sums stay below 2**53, in whole numbers beyond; one that no
+64-bit score can hold raises an error rather than a wrong rank.
 
 Cases: vectors that are null or hold null or non-finite components take no part; every other row
 is a candidate, rows without id too (they come last in ties) and rows that repeat an id, with
@@ -67,7 +68,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
     if most < 2**63:
         return a @ b.T
-    return np.clip((a.astype(object) @ b.astype(object).T).astype(object), -(2**63), 2**63 - 1).astype(np.int64)
+    exact = a.astype(object) @ b.astype(object).T
+    if exact.size and not -(2**63) <= exact.min() <= exact.max() < 2**63:
+        raise OverflowError("an inner product that no 64-bit score can hold")
+    return exact.astype(np.int64)
 
 
 def best(q_own, q, floors, c_own, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,12 +7,14 @@ is evaluated against the intervals that hold its fetch time (from inclusive, to
 
 The as-of join is an equi-join on (key, time bucket, salt): intervals are repeated for the
 buckets they touch and for every salt, captures take the salt of their own hash, so a hot
-host is dealt over `buckets * salts` keys.  The intervals are broadcast only if they have
+host is dealt over `buckets * salts` keys.  Spells are cut to the captures' time, and buckets
+widened where that time is long, so entries and captures of any date are few rows.  The intervals are broadcast only if they have
 been counted and are at most `max_broadcast` rows.
 
 Cases: at equal ts a removal counts last; repeated entries count once; entries that lack a
 field are ignored; an entry never removed is valid for ever; captures without url, host or
-time match nothing; repeated captures are evaluated each by itself; an empty list blocks nothing;
+time match nothing; repeated captures are evaluated each by itself; an empty list blocks nothing,
+and no captures give no rows; very long urls are matched whole;
 columns of captures and entries beside those named here, whatever they are called, are not read.
 """
 
@@ -26,6 +28,13 @@ REST = r"^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 BUCKET = 30 * 86_400
 SALTS = 16
 MAX_BROADCAST = 50_000
+#: Buckets over the captures' whole time; wider ones than asked for are taken beyond.
+MAX_BUCKETS = 4096
+
+
+def place(ts: Column, bucket: int) -> Column:
+    """The bucket of a time; whole numbers, as a double is not exact for far times."""
+    return F.floor((ts - F.pmod(ts, F.lit(bucket))) / bucket)
 
 
 def host_of(url: Column) -> Column:
@@ -68,12 +77,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, bucket: int = BUCKET, s
         spells = F.broadcast(spells)
         on: list[str] = ["rule"]
     else:
-        last = c.agg(F.max("fetched_at")).first()[0] or 0
-        until = F.least(F.coalesce(F.col("until"), F.lit(last + 1)), F.lit(last + 1))
-        spells = spells.where(F.col("since") <= last)
-        spells = spells.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("since") / bucket), F.floor(until / bucket))))
+        # only the captures' own time counts, and a spell is in at most MAX_BUCKETS buckets
+        first, last = (x or 0 for x in c.agg(F.min("fetched_at"), F.max("fetched_at")).first())
+        bucket = max(bucket, -(-(last - first + 1) // MAX_BUCKETS))
+        spells = spells.where((F.col("since") <= last) & (F.col("until").isNull() | (F.col("until") > first)))
+        since, until = F.greatest("since", F.lit(first)), F.least(F.coalesce("until", F.lit(last)), F.lit(last))
+        spells = spells.withColumn("bucket", F.explode(F.sequence(place(since, bucket), place(until, bucket))))
         spells = spells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys = keys.withColumn("bucket", F.floor(F.col("fetched_at") / bucket)).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        keys = keys.withColumn("bucket", place(F.col("fetched_at"), bucket)).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
         on = ["rule", "bucket", "salt"]
     valid = (F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     hits = keys.join(spells, on).where(valid).groupBy("page_id", "url", "fetched_at").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
