@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import chain, dictionary, graph
 
@@ -162,3 +163,18 @@ def test_strong_components_of_long_paths(spark):
     got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"))
     assert {r.node: r.component for r in got.collect()} == {k: k for k in range(61)} | {1000 + k: 1000 for k in range(30)} | {7777: 7777}
     assert graph.strong_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_append_keeps_the_first_of_a_height(spark):
+    old = spark.createDataFrame([(1, 10), (2, 20)], "number long, ts long")
+    new = spark.createDataFrame([(2, 21, 1), (3, 31, 3), (3, 30, 2), (3, 31, 4)], "number long, ts long, offset long")
+    assert sorted(map(tuple, chain.append(old, new).collect())) == [(1, 10), (2, 20), (3, 30)]
+    assert sorted(map(tuple, chain.append(old, new.drop("offset")).collect())) == [(1, 10), (2, 20), (3, 30)]
+    late = new.withColumn("offset", -F.col("offset"))
+    assert sorted(map(tuple, chain.append(old, late).collect())) == [(1, 10), (2, 20), (3, 31)]
+    assert [tuple(r) for r in chain.gap_events(old, new, 5).collect()] == [(30, 3)]
+
+
+def test_warm_up_is_a_range(spark):
+    plan = chain.warm_up(table(spark, [5]), 400_000_000, 31_536_000 * 10, 1)
+    assert plan.agg(F.count("*")).first()[0] == 315_360_000 - 1

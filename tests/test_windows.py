@@ -85,6 +85,33 @@ def test_batch_equals_fold_from_any_height_and_with_holes(spark, steps, start, h
     assert gate(df, widths).first().open_at == (min(t[0] for t in want) if want else None)
 
 
+uneven = st.lists(st.tuples(st.integers(-3, 4), st.integers(0, 3), st.integers(-2, 3)), min_size=1, max_size=50)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(uneven)
+def test_batch_equals_fold_with_equal_times_steps_back_and_replays(spark, steps):
+    """steps: (time, transfers, height) against the block before; a height of 0 or less repeats one."""
+    ts, number, rows = 90_000, 20, []
+    for offset, (gap, n, up) in enumerate(steps):
+        ts, number = ts + gap * 300, max(1, number + up)
+        rows.append((3 * offset, number, ts, n))
+    widths, cadence = (60, 500, 1500), (1, 2, 3)
+    fold, every, want = WindowFold(widths, cadence), WindowFold(widths, cadence), []
+    bounds = []
+    for _, height, t, n in rows:
+        want += fold.step(height, t, n)
+        bounds += every.move(height, t, n)
+    df = spark.createDataFrame(rows, "offset long, number long, ts long, n_tx long").repartition(3)
+    assert sorted(map(tuple, moves(df, widths).select("number", "win_idx", "head", "tail", "open_win").collect())) == sorted(bounds)
+    assert sorted(map(tuple, ticks(df, cadence, widths).collect())) == sorted(want)
+
+
+def test_of_repeated_heights_without_offsets_the_earliest_counts(spark):
+    df = spark.createDataFrame([(1, 10, 1), (2, 30, 5), (2, 20, 1), (2, 20, 1)], "number long, ts long, n_tx long")
+    assert [(r.number, r.head) for r in moves(df, (60,)).orderBy("number").collect()] == [(1, 1), (2, 2)]
+
+
 def test_window_is_closed_and_gate_needs_a_lost_block(spark):
     rows = [(0, 0), (60, 2), (121, 1)]
     got = {(r.number, r.win_idx): r.tail for r in moves(table(spark, rows), (60,)).collect()}

@@ -157,16 +157,26 @@ def replay_since(blocks: DataFrame, now: int, seconds: int = 86_400) -> DataFram
     return blocks.where(F.col("ts") >= now - seconds)
 
 
+def _unseen(blocks: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """The first row of `new` for each height that `blocks` does not hold: first by `offset` if there
+    is one, else the least row (by time, then the other columns)."""
+    given = [c for c in ("offset", "ts") if c in new.columns]
+    rank = F.struct(*given, *[c for c in columns if c not in given])
+    first = new.groupBy("number").agg(F.min_by(F.struct(*columns), rank).alias("_b")).select("_b.*")
+    return first.join(blocks.select("number"), "number", "left_anti").select(*columns)
+
+
 def append(blocks: DataFrame, new: DataFrame) -> DataFrame:
-    """`blocks` and those of `new` whose height is not there yet; of replays the first stays."""
-    return blocks.unionByName(new.join(blocks.select("number"), "number", "left_anti").select(*blocks.columns))
+    """`blocks` and those of `new` whose height is not there yet; of a height that comes several times,
+    in `new` too, the first stays."""
+    return blocks.unionByName(_unseen(blocks, new, blocks.columns))
 
 
 def gap_events(blocks: DataFrame, new: DataFrame, gap_seconds: int) -> DataFrame:
     """`end_ts`, `number` of the gaps that appending `new` adds to the index: appended blocks more
     than `gap_seconds` after the block one height below, which may be old or new.  With a rule of
     0 or less there is no index; the first height ends no gap."""
-    added = new.join(blocks.select("number"), "number", "left_anti").select("number", "ts")
+    added = _unseen(blocks, new, ["number", "ts"])
     before = blocks.select("number", "ts").unionByName(added).select((F.col("number") + 1).alias("number"), F.col("ts").alias("prev_ts"))
     far = added.join(before, "number").where((F.col("number") > 1) & (F.col("ts") - F.col("prev_ts") > gap_seconds))
     return far.where(F.lit(gap_seconds > 0)).select(F.col("ts").alias("end_ts"), "number")
@@ -187,10 +197,11 @@ def linked(blocks: DataFrame) -> DataFrame:
 
 
 def warm_up(blocks: DataFrame, now: int, backfill: int, step: int) -> DataFrame:
-    """`number`, `ts` of the blocks a warm-up adds: from the later of head + step and now - backfill."""
-    top = blocks.agg(F.coalesce(F.max("number"), F.lit(0)).alias("hn"), F.max_by("ts", "number").alias("hts"))
-    floor = max(now - backfill, 0)
-    first = F.coalesce(F.greatest(F.col("hts") + step, F.lit(floor)), F.lit(floor)).cast("long")
-    n = F.greatest(F.ceil((F.lit(now - step) - first) / step), F.lit(0))
-    k = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: i < n))
-    return top.select("hn", first.alias("first"), k.alias("k")).select((F.col("hn") + 1 + F.col("k")).alias("number"), (F.col("first") + F.col("k") * step).alias("ts"))
+    """`number`, `ts` of the blocks a warm-up adds: from the later of head + step and now - backfill,
+    while a step further is before `now`.  The head is read first, so that the schedule is a
+    distributed range."""
+    top, last = blocks.agg(F.max("number"), F.max_by("ts", "number")).first()
+    first = max(now - backfill, 0, *([last + step] if last is not None else []))
+    n = max(-(-(now - step - first) // step), 0)
+    k = F.col("id")
+    return blocks.sparkSession.range(n).select((k + ((top or 0) + 1)).alias("number"), (k * step + first).alias("ts"))

@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
-def with_prefix(df: DataFrame, order: str, sums: dict[str, Column], day: int = DAY) -> DataFrame:
-    """`df` with running sums (inclusive, as long) of the given columns in the order of `order`.
+def with_prefix(df: DataFrame, order: str, sums: dict[str, Column], day: int = DAY, maxes: dict[str, Column] | None = None) -> DataFrame:
+    """`df` with running sums (inclusive, as long) and running maxima of the given columns in the
+    order of `order`.
 
     order: a column of distinct whole numbers.
     """
-    keyed = df.withColumn("_day", F.floor(F.col(order) / day)).withColumns({f"_v_{n}": c.cast("long") for n, c in sums.items()})
-    totals = keyed.groupBy("_day").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    maxes = maxes or {}
+    keyed = df.withColumn("_day", F.floor(F.col(order) / day)).withColumns({f"_v_{n}": c.cast("long") for n, c in (sums | maxes).items()})
+    totals = keyed.groupBy("_day").agg(*[(F.max if n in maxes else F.sum)(f"_v_{n}").alias(f"_t_{n}") for n in sums | maxes])
     before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_day", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    totals = totals.select("_day", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.max(f"_t_{n}").over(before).alias(f"_b_{n}") for n in maxes])
     within = Window.partitionBy("_day").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.join(totals, "_day").withColumns({n: (F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(within)).cast("long") for n in sums})
-    return out.drop("_day", *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums])
+    added = {n: (F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(within)).cast("long") for n in sums}
+    added |= {n: F.greatest(F.col(f"_b_{n}"), F.max(f"_v_{n}").over(within)) for n in maxes}
+    out = keyed.join(totals, "_day").withColumns(added)
+    return out.drop("_day", *[f"_v_{n}" for n in added], *[f"_b_{n}" for n in added])
 
 
 def trailing(df: DataFrame, order: str, frames: dict[str, tuple[str, int]]) -> DataFrame:

@@ -262,6 +262,16 @@ def gap_seek(spark, d):
     return chain.seek_gap(index.union(stale), stored(chain.append(old, new)), 1_706_400_000, 700)
 
 
+@query(HALVES + " select number, ts + case when number <= half then 0 when number % 4 = 1 then 300 else number % 5 * 200 end as ts from blocks, h")
+def append_repeats(spark, d):
+    """Every height of the batch comes three times in it; the first by offset stays."""
+    old, new = _halves(spark, d)
+    copies = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k * 300).alias("late")) for k in range(3)]))
+    sent = new.select("number", "ts", copies.alias("c")).select("number", F.when(F.col("number") % 4 == 1, F.col("ts") - F.col("number") % 5 * 200 + F.col("c.late")).otherwise(F.col("ts") + F.col("c.late")).alias("ts"), "c.k")
+    offset = F.when(F.col("number") % 4 == 1, F.col("number") + F.abs(F.col("k") - 1) * 1_000_000).otherwise(F.col("number") + F.col("k") * 1_000_000)
+    return chain.append(old, sent.select("number", "ts", offset.alias("offset")))
+
+
 @query("select number from blocks where number % 10 = 0")
 def broken_links(spark, d):
     """Heights whose parent hash is not that of the block before; every tenth is made wrong."""
@@ -492,6 +502,38 @@ def window_moves_replay(spark, d):
     return windows.moves(_replayed(spark, d)).drop("ts", "at")
 
 
+UNEVEN = """
+, ub as (select number, ts - case when number % 7 = 0 then 4000 when number % 7 = 1 then 600 else 0 end as ts, n_tx from blocks)
+, ur as (select number, max(ts) over (order by number) as latest, cast(sum(n_tx) over (order by number) as bigint) as head, n_tx, first(ts) over (order by number) as begin from ub)
+, umv as (select number, head, latest > begin + 86400 as open_win,
+  min(head - n_tx) over (order by latest range between 60 preceding and current row) as t0, min(head - n_tx) over (order by latest range between 300 preceding and current row) as t1,
+  min(head - n_tx) over (order by latest range between 3600 preceding and current row) as t2, min(head - n_tx) over (order by latest range between 86400 preceding and current row) as t3 from ur)
+, umoves as (select number, 0 as win_idx, head, t0 as tail, open_win from umv union all select number, 1, head, t1, open_win from umv
+  union all select number, 2, head, t2, open_win from umv union all select number, 3, head, t3, open_win from umv)
+"""
+
+
+def _uneven(spark: SparkSession, d: str) -> DataFrame:
+    """The chain as a topic may hold it: times step back or are equal, and every fifth height comes
+    again two blocks later with another time and more transfers."""
+    step = F.when(F.col("number") % 7 == 0, 4000).when(F.col("number") % 7 == 1, 600).otherwise(0)
+    sent = stored(_blocks(spark, d)).select((F.col("number") * 10).alias("offset"), "number", (F.col("ts") - step).alias("ts"), "n_tx")
+    again = sent.where("number % 5 = 0").select((F.col("offset") + 25).alias("offset"), "number", (F.col("ts") + 700).alias("ts"), (F.col("n_tx") + 3).alias("n_tx"))
+    return stored(sent.union(again))
+
+
+@query(UNEVEN + " select number, cast(win_idx as integer) as win_idx, head, tail, open_win from umoves")
+def window_moves_uneven(spark, d):
+    return windows.moves(_uneven(spark, d)).drop("ts", "at")
+
+
+@query(UNEVEN + """ select number, cast(win_idx as integer) as win_idx, head, tail, open_win from
+ (select *, row_number() over (partition by win_idx order by number) as place from umoves where open_win)
+ where place % case win_idx when 0 then 5 when 1 then 20 when 2 then 100 else 500 end = 0""")
+def win_ticks_uneven(spark, d):
+    return windows.ticks(_uneven(spark, d), CADENCE)
+
+
 @query("""select number, 'win_tick' as type, '{"win_idx":' || win_idx || ',"head":' || head || ',"tail":' || tail || ',"open_win":' || open_win || '}' as data from ticks""")
 def tick_envelope(spark, d):
     return sinks.envelope(_ticks(spark, d), "win_tick", ["win_idx", "head", "tail", "open_win"], keep=["number"])

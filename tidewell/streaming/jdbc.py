@@ -116,5 +116,6 @@ class _Closing:
 
 
 def upsert_into(table: JdbcTicks) -> Callable[[DataFrame, int], None]:
-    """For `writeStream.foreachBatch`."""
-    return lambda batch, _: table.upsert(batch)
+    """For `writeStream.foreachBatch`.  Of rows of one key the one of the highest block `number` counts,
+    if the batch has that column."""
+    return lambda batch, _: table.upsert(batch, "number" if "number" in batch.columns else None)

@@ -116,10 +116,11 @@ class TickTable:
 
 
 def upsert_into(table: TickTable, compact_every: int = 100) -> Callable[[DataFrame, int], None]:
-    """For `writeStream.foreachBatch`."""
+    """For `writeStream.foreachBatch`.  Of rows of one key the one of the highest block `number` counts,
+    if the batch has that column."""
 
     def run(batch: DataFrame, number: int) -> None:
-        table.upsert(batch, number)
+        table.upsert(batch, number, "number" if "number" in batch.columns else None)
         if number % compact_every == compact_every - 1:
             table.compact()
 
