@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.plans.prefix import with_prefix
 from tidewell.plans.windows import gate, moves, ticks
+from tidewell.streaming.order import Buffer, in_height_order
 from tidewell.streaming.ticks import WindowFold, live_ticks
 
 
@@ -162,3 +164,110 @@ def test_stream_equals_batch_for_any_split(spark, tmp_path, parts):
         q.stop()
     got = sorted(tuple(r) for r in spark.table(name).collect())
     assert got == sorted(tuple(r) for r in ticks(table(spark, rows), cadence, widths).collect())
+
+
+chain_ops = st.lists(st.one_of(st.tuples(st.integers(-2, 6), st.integers(0, 3)), st.integers(0, 12)), min_size=1, max_size=80)
+
+
+@settings(max_examples=150, deadline=None)
+@given(chain_ops, st.integers(1, 9))
+def test_a_cut_chain_equals_a_fresh_run(ops, every):
+    """ops: a block (time step, transfers), or how many of the last blocks are cut."""
+    widths, cadence = (60, 500, 1500), (1, 2, 3)
+    fold, chain_, sent = WindowFold(widths, cadence, undo=100), [], []
+    for k, op in enumerate(ops):
+        if isinstance(op, tuple):
+            chain_.append((len(chain_) + 1, 90_000 + 100 * len(chain_) + op[0] * 50, op[1]))
+            sent += fold.step(*chain_[-1])
+        else:
+            chain_ = chain_[: max(0, len(chain_) - op)]
+            fold.truncate(len(chain_))
+            sent = [t for t in sent if t[0] <= len(chain_)]
+        if k % every == 0:
+            fold.prune()
+    fresh, want = WindowFold(widths, cadence), []
+    for block in chain_:
+        want += fresh.step(*block)
+    assert sent == want
+    assert (fold.head, fold.last, fold.moves, fold.tails) == (fresh.head, fresh.last, fresh.moves, fresh.tails)
+
+
+def test_a_truncation_that_goes_too_far_is_refused():
+    fold = WindowFold((60,), (1,), undo=3)
+    for k in range(1, 30):
+        fold.step(k, 100 * k, 1)
+        fold.prune()
+    assert not fold.truncate(29)
+    assert fold.truncate(26)
+    with pytest.raises(ValueError, match="new run"):
+        fold.truncate(5)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.permutations(range(1, 13)), st.sets(st.integers(1, 12), max_size=3), st.integers(1, 5))
+def test_buffer_gives_heights_in_order(heights, missing, size):
+    held, out = {}, []
+    buffer = Buffer(held, 1)
+    heights = [h for h in heights if h not in missing]
+    for at in range(0, len(heights), size):
+        for h in heights[at : at + size]:
+            buffer.add(h, 10 * h, 1)
+            buffer.add(h, 99, 9)  # the first counts
+        out += buffer.ready()
+    hole = min(missing, default=13)
+    assert out == [(h, h, 10 * h, 1) for h in range(1, hole)]
+    while held:
+        buffer.skip()
+        out += buffer.ready()
+    assert [r[1] for r in out] == sorted(heights)
+
+
+def stream_of(spark, at, parts, schema):
+    at.mkdir()
+    for p, rows in enumerate(parts):
+        (at / f"{p}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(at / f"{p}.json", (1_700_000_000 + 10 * p,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(at))
+
+
+def until(spark, df, name, at, enough, seconds=90):
+    """Rows of the query, which is stopped as soon as there are enough."""
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(at)).trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + seconds
+        while time.time() < end and q.isActive and spark.table(name).count() < enough:
+            time.sleep(0.5)
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return sorted(map(tuple, spark.table(name).collect()))
+
+
+def test_four_partitions_give_the_ticks_of_one(spark, tmp_path):
+    rng, ts, rows = random.Random(3), 0, []
+    for _ in range(100):
+        ts += rng.randrange(1, 90)
+        rows.append((ts, rng.randrange(4)))
+    widths, cadence = (60, 600), (2, 5)
+    sent = [{"partition": k % 4, "offset": k // 4, "number": k + 1, "ts": t, "n_tx": n} for k, (t, n) in enumerate(rows)]
+    parts = [[], [], [], [], []]
+    for k, r in enumerate(sent):  # a partition's blocks stay in order, but partitions run ahead of each other
+        parts[min(4, k // 25 + (r["partition"] % 2))].append(r)
+    for p in parts:
+        rng.shuffle(p)
+    schema = "partition int, offset long, number long, ts long, n_tx long"
+    want = sorted(map(tuple, ticks(table(spark, rows), cadence, widths).collect()))
+    got = until(spark, live_ticks(in_height_order(stream_of(spark, tmp_path / "in", parts, schema), wait=600), widths, cadence), "ordered", tmp_path / "ck", len(want))
+    assert got == want
+    # without the buffer a second partition is refused
+    q = live_ticks(stream_of(spark, tmp_path / "in2", parts, schema), widths, cadence).writeStream.format("memory").queryName("refused").option("checkpointLocation", str(tmp_path / "ck2")).start()
+    with pytest.raises(Exception, match="in_height_order"):
+        q.processAllAvailable()
+
+
+def test_a_height_that_never_comes_is_given_up(spark, tmp_path):
+    rows = [{"partition": k % 2, "offset": k // 2, "number": k, "ts": 10 * k, "n_tx": 1} for k in range(5, 30) if k not in (5, 9, 20, 21)]
+    df = in_height_order(stream_of(spark, tmp_path / "in", [rows[:9], rows[9:]], "partition int, offset long, number long, ts long, n_tx long"), start=None, wait=1)
+    got = until(spark, df, "given_up", tmp_path / "ck", len(rows))
+    assert [r[1] for r in got] == [r["number"] for r in rows]

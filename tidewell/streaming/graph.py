@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.plans.windows import WIDTHS
+from tidewell.streaming.state import Entries
 
 SHARDS = 8
 #: Indexes whose transfers are one entry of the state.
@@ -43,38 +44,6 @@ class Move(NamedTuple):
     open_win: bool
 
 
-class Entries:
-    """Entries of one map of the state: read when first asked for, written back by `flush`.
-
-    state: a MapState, or None to keep all in memory.
-    """
-
-    def __init__(self, state: Any = None) -> None:
-        self.state = state
-        self.known: dict[tuple, tuple | None] = {}
-        self.changed: set[tuple] = set()
-
-    def get(self, *key: int) -> tuple | None:
-        if key not in self.known:
-            self.known[key] = self.state.getValue(key) if self.state is not None else None
-        return self.known[key]
-
-    def put(self, key: tuple, value: tuple | None) -> None:
-        self.known[key] = value
-        self.changed.add(key)
-
-    def flush(self) -> None:
-        if self.state is None:
-            return
-        for key in self.changed:
-            value = self.known[key]
-            if value is not None:
-                self.state.updateValue(key, value)
-            elif self.state.containsKey(key):
-                self.state.removeKey(key)
-        self.changed.clear()
-
-
 class RankTree:
     """Senders by out-degree, the first by (most, smallest id), as a tree of maxima over their places.
 
