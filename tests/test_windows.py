@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidewell.plans.prefix import with_prefix
 from tidewell.plans.windows import gate, moves, ticks
 from tidewell.streaming.order import Buffer, in_height_order
-from tidewell.streaming.ticks import WindowFold, live_ticks
+from tidewell.streaming import sinks
+from tidewell.streaming.ticks import WindowFold, live_changes, live_ticks
 
 
 def table(spark, rows):
@@ -271,3 +272,38 @@ def test_a_height_that_never_comes_is_given_up(spark, tmp_path):
     df = in_height_order(stream_of(spark, tmp_path / "in", [rows[:9], rows[9:]], "partition int, offset long, number long, ts long, n_tx long"), start=None, wait=1)
     got = until(spark, df, "given_up", tmp_path / "ck", len(rows))
     assert [r[1] for r in got] == [r["number"] for r in rows]
+
+
+def test_a_table_follows_a_cut_chain(spark, tmp_path):
+    """Truncate, append other blocks: the table of the run equals a fresh run of the final chain, and
+    keeps the rows of another run."""
+    rng = random.Random(9)
+    chain_, sent, ops = [], [], [30, -7, 12, -40, 25, -3, -1, 20]
+    for op in ops:
+        if op > 0:
+            for _ in range(op):
+                chain_.append((len(chain_) + 1, (chain_[-1][1] if chain_ else 90_000) + rng.randrange(1, 90), rng.randrange(4)))
+                sent.append({"offset": len(sent), "kind": "block", "number": chain_[-1][0], "ts": chain_[-1][1], "n_tx": chain_[-1][2]})
+        else:
+            chain_ = chain_[: max(0, len(chain_) + op)]
+            sent.append({"offset": len(sent), "kind": "truncate", "number": len(chain_)})
+    widths, cadence = (60, 300), (1, 3)
+    out = {run: sinks.TickTable(spark, str(tmp_path / "table"), run) for run in "ab"}
+    schema = "offset long, kind string, number long, ts long, n_tx long"
+    parts = [sent[k : k + 17] for k in range(0, len(sent), 17)]
+    for run in ("a", "b"):
+        df = live_changes(stream_of(spark, tmp_path / run, parts if run == "b" else [sent[:30]], schema), run, widths, cadence, undo=60)
+        q = df.writeStream.foreachBatch(sinks.upsert_into(out[run], compact_every=3)).option("checkpointLocation", str(tmp_path / f"ck{run}")).outputMode("append").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    fold, want = WindowFold(widths, cadence), []
+    for block in chain_:
+        want += fold.step(*block)
+    got = sorted((r.number, r.win_idx, r.head, r.tail, r.open_win) for r in out["b"].rows().collect())
+    assert got == sorted({t[1:4]: t for t in sorted(want)}.values())  # blocks without transfers share a key
+    fold, want = WindowFold(widths, cadence), []
+    for r in sent[:30]:
+        want += fold.step(r["number"], r["ts"], r["n_tx"])
+    assert sorted(r.number for r in out["a"].rows().collect()) == sorted(t[0] for t in {t[1:4]: t for t in sorted(want)}.values())

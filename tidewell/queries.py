@@ -534,6 +534,49 @@ def win_ticks_uneven(spark, d):
     return windows.ticks(_uneven(spark, d), CADENCE)
 
 
+RECUT = """
+, cb as (select number, ts, case when number > (select max(number) * 2 // 3 from blocks) then n_tx + number % 3 else n_tx end as n_tx
+  from blocks where number <= (select max(number) * 9 // 10 from blocks))
+, cr as (select number, ts, cast(sum(n_tx) over (order by number) as bigint) as head, n_tx from cb)
+, cmv as (select number, head, min(number) over (order by ts range between 86400 preceding and current row) > 1 as open_win,
+  min(head - n_tx) over (order by ts range between 60 preceding and current row) as t0, min(head - n_tx) over (order by ts range between 300 preceding and current row) as t1,
+  min(head - n_tx) over (order by ts range between 3600 preceding and current row) as t2, min(head - n_tx) over (order by ts range between 86400 preceding and current row) as t3 from cr)
+, cmoves as (select number, 0 as win_idx, head, t0 as tail, open_win from cmv union all select number, 1, head, t1, open_win from cmv
+  union all select number, 2, head, t2, open_win from cmv union all select number, 3, head, t3, open_win from cmv)
+, cticks as (select number, cast(win_idx as integer) as win_idx, head, tail, open_win from
+ (select *, row_number() over (partition by win_idx order by number) as place from cmoves where open_win)
+ where place % case win_idx when 0 then 5 when 1 then 20 when 2 then 100 else 500 end = 0)
+"""
+
+
+def _recut(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ticks of the chain, and of the chain that is cut at two thirds and goes on with other blocks."""
+    blocks = stored(_blocks(spark, d).select("number", "ts", "n_tx"))
+    top = blocks.agg(F.max("number")).first()[0]
+    cut = chain.truncate_after(blocks, top * 2 // 3)
+    other = blocks.where(f"number > {top * 2 // 3} and number <= {top * 9 // 10}").withColumn("n_tx", F.col("n_tx") + F.col("number") % 3)
+    return stored(windows.ticks(blocks, CADENCE)), stored(windows.ticks(chain.append(cut, other), CADENCE))
+
+
+TICK_KEY = ["win_idx", "head", "tail"]
+
+
+@query(RECUT + """ select coalesce(c.win_idx, t.win_idx) as win_idx, coalesce(c.head, t.head) as head, coalesce(c.tail, t.tail) as tail,
+ case when c.number is null then 'delete' else 'insert' end as op, coalesce(c.number, t.number) as number
+ from (select cast(win_idx as integer) as win_idx, head, tail, number from ticks) t full join cticks c on t.win_idx = c.win_idx and t.head = c.head and t.tail = c.tail
+ where t.number is null or c.number is null or t.number <> c.number""")
+def tick_changes(spark, d):
+    """What a truncation and other blocks change in the table of ticks."""
+    return sinks.differences(*_recut(spark, d), TICK_KEY).select(*TICK_KEY, "op", "number")
+
+
+@query(RECUT + " select * from cticks")
+def ticks_after_truncation(spark, d):
+    """The table of the old chain with those changes equals a fresh run."""
+    old, new = _recut(spark, d)
+    return sinks.applied(old, stored(sinks.differences(old, new, TICK_KEY)), TICK_KEY)
+
+
 @query("""select number, 'win_tick' as type, '{"win_idx":' || win_idx || ',"head":' || head || ',"tail":' || tail || ',"open_win":' || open_win || '}' as data from ticks""")
 def tick_envelope(spark, d):
     return sinks.envelope(_ticks(spark, d), "win_tick", ["win_idx", "head", "tail", "open_win"], keep=["number"])

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.plans.windows import CADENCE, DEFAULT_EVERY, WIDTHS
+from tidewell.streaming.sinks import INSERT, TRUNCATE
 from tidewell.streaming.state import Entries
 
 OUT = "number long, win_idx int, head long, tail long, open_win boolean"
-INSERT, TRUNCATE = "insert", "truncate"
 CHANGES = f"run_id string, seq long, op string, {OUT}"
 #: Blocks that a truncation can take back.
 UNDO = 1000
