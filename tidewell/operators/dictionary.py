@@ -44,12 +44,11 @@ def clean(flat: DataFrame, drop_bad_address: bool = True, drop_no_token: bool =
 ADDRESS, TOKEN = 0, 1
 
 
-def _numbered(flat: DataFrame, kinds: tuple[int, ...], drop_bad_address: bool) -> DataFrame:
-    """`kind`, `name`, `id`: dense ids of the names of each kind, by first sight.
+def first_sight(flat: DataFrame, kinds: tuple[int, ...] = (ADDRESS, TOKEN), drop_bad_address: bool = True) -> DataFrame:
+    """`kind`, `name`, `first`: the place at which each name is first seen.
 
     The sender is seen before the receiver; a bad sender hides the receiver, and a bad address
-    the token, unless such transfers are kept.  The names' first sight is written, as numbering
-    reads it twice, and so are the ids: a table of known size, which joins broadcast while small.
+    the token, unless such transfers are kept.
     """
     c = clean(flat, drop_bad_address=False)
     src, dst, tok = F.col("src"), F.col("dst"), F.col("tok")
@@ -57,11 +56,22 @@ def _numbered(flat: DataFrame, kinds: tuple[int, ...], drop_bad_address: bool) -
         dst, tok = F.when(src.isNotNull(), dst), F.when(src.isNotNull() & dst.isNotNull(), tok)
     seen = {ADDRESS: [(src, 0), (dst, 1)], TOKEN: [(tok, 0)]}
     names = F.array(*[F.struct(F.lit(k).alias("kind"), name.alias("name"), (F.col("idx") * 2 + at).alias("first")) for k in kinds for name, at in seen[k]])
-    first = stored(c.select(F.inline(names)).where("name is not null").groupBy("kind", "name").agg(F.min("first").alias("first")))
+    return c.select(F.inline(names)).where("name is not null").groupBy("kind", "name").agg(F.min("first").alias("first"))
+
+
+def numbered(first: DataFrame, kinds: tuple[int, ...] = (ADDRESS, TOKEN)) -> DataFrame:
+    """`kind`, `name`, `id`: dense ids from 1 of the names of each kind, by first sight (a table that is
+    read twice)."""
     # a name's number among its kind; numbers of the other kinds at the same place do not count
     ids = with_prefix(first, "first", {f"id{k}": F.when(F.col("kind") == k, 1).otherwise(0) for k in kinds}, day=RANGE)
     own = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"id{k}")) for k in kinds])
-    return stored(ids.select("kind", "name", own.alias("id")))
+    return ids.select("kind", "name", own.alias("id"))
+
+
+def _numbered(flat: DataFrame, kinds: tuple[int, ...], drop_bad_address: bool) -> DataFrame:
+    """Ids of whole tables.  The names' first sight is written, as numbering reads it twice, and so are
+    the ids: a table of known size, which joins broadcast while small."""
+    return stored(numbered(stored(first_sight(flat, kinds, drop_bad_address)), kinds))
 
 
 def dictionaries(flat: DataFrame, drop_bad_address: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -24,12 +24,12 @@ DEFAULT_EVERY = 200
 
 
 def in_order(blocks: DataFrame) -> DataFrame:
-    """`number`, `ts`, `n_tx` of the blocks that count: a row for each height, replays left out."""
+    """`number`, `ts`, `n_tx` (and `offset`) of the blocks that count: a row for each height, replays left out."""
     if "offset" not in blocks.columns:
         return blocks.groupBy("number").agg(F.min(F.struct("ts", "n_tx")).alias("b")).select("number", "b.ts", "b.n_tx")
     known = with_prefix(blocks.select("offset", "number", "ts", "n_tx"), "offset", {}, maxes={"top": F.col("number")})
     # a new highest height is the first offset that has it
-    return known.where("number = top").groupBy("number").agg(F.min(F.struct("offset", "ts", "n_tx")).alias("b")).select("number", "b.ts", "b.n_tx")
+    return known.where("number = top").groupBy("number").agg(F.min(F.struct("offset", "ts", "n_tx")).alias("b")).select("number", "b.ts", "b.n_tx", "b.offset")
 
 
 def indexed(blocks: DataFrame) -> DataFrame:

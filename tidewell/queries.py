@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tidewell.functions import encoding as E
 from tidewell.operators import chain, dictionary, graph
 from tidewell.plans import windows
-from tidewell.sources import fixture, generator, messages
-from tidewell.sources.store import stored
+from tidewell.sources import fixture, generator, messages, offsets
+from tidewell.sources.store import scratch, stored
 from tidewell.streaming import sinks
+from tidewell.streaming.ids import EventLog
 
 CADENCE = (5, 20, 100, 500)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -713,6 +714,55 @@ def offset_base(spark, d):
     return messages.block_rows(messages.decode(sent, base)).select("number", "ts", "n_tx")
 
 
+def _sent(spark: SparkSession, d: str, partitions: int) -> DataFrame:
+    """Every block as a JSON message of one of several partitions, as a topic holds them."""
+    flat = stored(_flat(spark, d))
+    body = F.struct(F.col("sender").alias("from"), F.col("receiver").alias("to"), "token", "amount", F.col("ts").alias("timestamp"))
+    tx = F.struct(F.lit("").alias("hash"), body.alias("tx_body"), F.col("number").alias("block_num"))
+    listed = flat.groupBy("number", "ts").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", tx.alias("tx")))), lambda x: x["tx"]).alias("txs"))
+    header = F.struct("number", F.lit("").alias("parent_hash"), F.col("ts").alias("timestamp"), F.lit("").alias("tx_root"))
+    value = F.to_json(F.struct(header.alias("header"), F.lit("").alias("hash"), "txs"))
+    return stored(listed.select((F.col("number") % partitions).cast("int").alias("partition"), F.floor(F.col("number") / partitions).alias("offset"), value.alias("value")))
+
+
+@query("select cast(number % 4 as integer) as partition, min(number // 4) as offset from blocks where ts >= (select max(ts) - 86400 from blocks) group by 1")
+def replay_offsets(spark, d):
+    """Where a replay of the last day begins in each of four partitions, by the index of block times."""
+    index = stored(offsets.time_index(messages.block_rows(messages.decode(_sent(spark, d, 4)))))
+    return offsets.starting_offsets(index, index.agg(F.max("ts")).first()[0] - 86_400)
+
+
+@query("select number, ts, n_tx from blocks where ts >= (select max(ts) - 86400 from blocks)")
+def replay_by_index(spark, d):
+    """The blocks of the last day, read from the offsets that the index names."""
+    sent = _sent(spark, d, 4)
+    index = stored(offsets.time_index(messages.block_rows(messages.decode(sent))))
+    starts = offsets.starting_offsets(index, index.agg(F.max("ts")).first()[0] - 86_400)
+    return messages.block_rows(messages.decode(offsets.from_offsets(sent, starts))).select("number", "ts", "n_tx")
+
+
+def _logged(spark: SparkSession, d: str) -> EventLog:
+    """The chain's messages, encoded in five batches of a stream, some blocks twice."""
+    blocks = stored(messages.block_rows(messages.decode(_sent(spark, d, 1))))
+    top = blocks.agg(F.max("number")).first()[0]
+    log = EventLog(spark, scratch(spark, "events"))
+    for k in range(5):
+        log.append(blocks.where(f"number > {top * k // 5} - 3 and number <= {top * (k + 1) // 5}"), k)
+    return log
+
+
+@query("select * from enc")
+def encoded_in_batches(spark, d):
+    return _logged(spark, d).events()
+
+
+@query("select a as addr, id from addr union all select tok, id from toks")
+def ids_in_batches(spark, d):
+    """Address and token ids that five batches give, each going on from the one before."""
+    addresses, tokens = _logged(spark, d).dictionaries()
+    return addresses.union(tokens.select("tok", F.col("id").cast("long")))
+
+
 @query("select idx, tok from tx where idx % 4 <> 0")
 def token_filter(spark, d):
     """Transfers without a token are dropped on request: blank ones and missing ones."""
