@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.plans.prefix import with_prefix
+from tidewell.plans.prefix import previous, with_prefix
+from tidewell.plans.windows import WIDTHS
 from tidewell.sources.store import drop, scratch, stored
 
 SPAN = 256
+#: Indexes, or tick numbers, that are summed in one task.
+STRETCH = 1 << 20
+_WINDOWS = range(len(WIDTHS))
 
 
 def window_events(ticks: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame:
@@ -19,10 +23,52 @@ def window_events(ticks: DataFrame, events: DataFrame, span: int = SPAN) -> Data
     return t.join(e, "_b").where("idx >= tail and idx < head").drop("_b")
 
 
+def _tick_numbers(ticks: DataFrame) -> DataFrame:
+    """`win_idx`, `head`, `tail`, `j`: the ticks of each window, numbered from 1.  Heads and tails never
+    fall, so their sum orders a window's ticks; those that are equal in both are one."""
+    own = ticks.select("win_idx", "head", "tail").where("head > tail").distinct().withColumn("s", F.col("head") + F.col("tail"))
+    flags = {f"j{k}": F.col(f"f{k}") for k in _WINDOWS}
+    line = own.groupBy("s").agg(*[F.max((F.col("win_idx") == k).cast("int")).alias(f"f{k}") for k in _WINDOWS])
+    counted = with_prefix(line, "s", flags, day=STRETCH)
+    each = F.array(*[F.struct(F.lit(k).cast("int").alias("win_idx"), F.col(f"j{k}").alias("j")) for k in _WINDOWS])
+    return own.join(counted.select("s", F.inline(each)), ["win_idx", "s"]).select("win_idx", "head", "tail", "j")
+
+
+def _passed(ticks: DataFrame, events: DataFrame) -> DataFrame:
+    """`idx`, `from_id`, `to_id`, and for each window k `h<k>` and `t<k>`: how many of its ticks have their head,
+    their tail, at or below idx.  So the ticks that hold a transfer are h + 1 to t."""
+    names = [f"{c}{k}" for k in _WINDOWS for c in "ht"]
+    ends = F.array(F.struct(F.col("head").alias("idx"), F.lit("h").alias("c")), F.struct(F.col("tail").alias("idx"), F.lit("t").alias("c")))
+    marks = ticks.select("win_idx", F.inline(ends)).select("idx", *[((F.col("c") == n[0]) & (F.col("win_idx") == int(n[1:]))).cast("int").alias(n) for n in names])
+    rows = marks.union(events.select("idx", *[F.lit(0) for _ in names]))
+    steps = with_prefix(rows.groupBy("idx").agg(*[F.sum(n).alias(f"_{n}") for n in names]), "idx", {n: F.col(f"_{n}") for n in names}, day=STRETCH)
+    return events.select("idx", "from_id", "to_id").join(steps.select("idx", *names), "idx")
+
+
 def edge_counts(ticks: DataFrame, events: DataFrame) -> DataFrame:
-    """`win_idx`, `head`, `tail`, `n_edges` (distinct), `n_tx` at each tick."""
-    pairs = window_events(ticks, events).groupBy("win_idx", "head", "tail", "from_id", "to_id").agg(F.count("*").alias("c"))
-    return pairs.groupBy("win_idx", "head", "tail").agg(F.count("*").alias("n_edges"), F.sum("c").alias("n_tx"))
+    """`win_idx`, `head`, `tail`, `n_edges` (distinct), `n_tx` at each tick that has transfers.
+
+    A transfer stands for its edge in the ticks that hold it but not the edge's transfer before: a
+    run of ticks, found from the counts of ticks passed by the two, so every transfer gives two marks a
+    window and the counts are their running sums.  Nothing is spread over the ticks.  ticks: of
+    `windows.ticks` or `moves`, whose heads and tails never fall.
+    """
+    numbers = stored(_tick_numbers(ticks))
+    seen = previous(_passed(numbers, events), ["from_id", "to_id"], "idx", [f"t{k}" for k in _WINDOWS])
+    spans = []
+    for k in _WINDOWS:
+        first, last = F.col(f"h{k}") + 1, F.col(f"t{k}")
+        lone = F.greatest(first, F.coalesce(F.col(f"prev_t{k}"), F.lit(0)) + 1)
+        spans += [F.struct(F.lit(k).alias("w"), j.alias("j"), F.lit(e).alias("e"), F.lit(n).alias("n"), ok.alias("ok")) for j, e, n, ok in (
+            (first, 0, 1, first <= last), (last + 1, 0, -1, first <= last), (lone, 1, 0, lone <= last), (last + 1, -1, 0, lone <= last))]
+    marks = seen.select(F.inline(F.array(*spans))).where("ok")
+    sums = [f"{c}{k}" for k in _WINDOWS for c in "en"]
+    line = marks.groupBy("j").agg(*[F.sum(F.when(F.col("w") == int(n[1:]), F.col(n[0])).otherwise(0)).alias(f"_{n}") for n in sums])
+    # every tick has a place in the line, with or without a mark
+    line = line.unionByName(numbers.select("j").distinct(), allowMissingColumns=True).groupBy("j").agg(*[F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(f"_{n}") for n in sums])
+    run = with_prefix(stored(line), "j", {n: F.col(f"_{n}") for n in sums}, day=STRETCH)
+    each = F.array(*[F.struct(F.lit(k).cast("int").alias("win_idx"), F.col(f"e{k}").alias("n_edges"), F.col(f"n{k}").alias("n_tx")) for k in _WINDOWS])
+    return numbers.join(run.select("j", F.inline(each)), ["win_idx", "j"]).where("n_tx > 0").select("win_idx", "head", "tail", "n_edges", "n_tx")
 
 
 def evidence(ticks: DataFrame, events: DataFrame) -> DataFrame:
@@ -37,10 +83,25 @@ def adjacency(ticks: DataFrame, events: DataFrame, reverse: bool = False) -> Dat
 
 
 def degrees(ticks: DataFrame, events: DataFrame) -> DataFrame:
-    """`win_idx`, `head`, `node`, `out_degree`, `in_degree`, counted by transfer."""
-    w = window_events(ticks, events)
-    ends = F.explode(F.array(F.struct(F.col("from_id").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
-    return w.select("win_idx", "head", ends.alias("x")).groupBy("win_idx", "head", "x.node").agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
+    """`win_idx`, `head`, `node`, `out_degree`, `in_degree`, counted by transfer.
+
+    A node's degrees change at the ticks where one of its transfers comes or goes; between them they
+    are the same.  Changes are summed by tick before they are shuffled, and only the result has a row for each tick.
+    """
+    numbers = stored(_tick_numbers(ticks))
+    marks = []
+    for k in _WINDOWS:
+        first, last = F.col(f"h{k}") + 1, F.col(f"t{k}")
+        for j, v in ((first, 1), (last + 1, -1)):
+            marks += [F.struct(F.lit(k).cast("int").alias("win_idx"), F.col(c).alias("node"), j.alias("j"), F.lit(v * o).alias("o"), F.lit(v * i).alias("i"), (first <= last).alias("ok")) for c, o, i in (("from_id", 1, 0), ("to_id", 0, 1))]
+    change = _passed(numbers, events).select(F.inline(F.array(*marks))).where("ok").groupBy("win_idx", "node", "j").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    line = Window.partitionBy("win_idx", "node").orderBy("j")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    held = change.withColumns({"out_degree": F.sum("o").over(so_far), "in_degree": F.sum("i").over(so_far), "until": F.lead("j").over(line)})
+    held = held.where("out_degree > 0 or in_degree > 0")
+    each = held.select("win_idx", F.explode(F.sequence(F.col("j"), F.col("until") - 1)).alias("j"), "node", "out_degree", "in_degree")
+    heads = numbers.select("win_idx", "j", "head")
+    return each.join(heads, ["win_idx", "j"]).select("win_idx", "head", "node", "out_degree", "in_degree")
 
 
 def top_out_degree(ticks: DataFrame, events: DataFrame, n: int = 5) -> DataFrame:
@@ -50,6 +111,28 @@ def top_out_degree(ticks: DataFrame, events: DataFrame, n: int = 5) -> DataFrame
     return d.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("win_idx", "head", F.col("rank").cast("int").alias("rank"), "node", "out_degree")
 
 
+def sender_sessions(events: DataFrame, gap: int) -> DataFrame:
+    """`from_id`, `start`, `end`, `n_tx`, `amount`: a sender's transfers that follow each other within
+    `gap` seconds; `end` is `gap` after the last.
+
+    Sessions are made by sender and day, then those that meet at midnight are merged, so a sender of a
+    third of all transfers is dealt by days and its days' sessions only come together.
+    """
+    t, half = F.timestamp_seconds("ts"), F.floor(F.col("ts") / 86_400)
+    parts = events.groupBy("from_id", half.alias("day"), F.session_window(t, f"{gap} seconds").alias("w")).agg(F.count("*").alias("n_tx"), F.sum("amount").alias("amount"))
+    parts = parts.select("from_id", F.unix_seconds("w.start").alias("start"), F.unix_seconds("w.end").alias("end"), "n_tx", "amount")
+    line = Window.partitionBy("from_id").orderBy("start")
+    fresh = F.coalesce(F.col("start") > F.lag("end").over(line), F.lit(True))  # parts of a sender do not overlap
+    named = parts.withColumn("fresh", fresh.cast("int")).withColumn("k", F.sum("fresh").over(line))
+    return named.groupBy("from_id", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_tx").alias("n_tx"), F.sum("amount").alias("amount")).drop("k")
+
+
+def sender_windows(events: DataFrame, width: int) -> DataFrame:
+    """`from_id`, `start`, `n_tx`, `amount` of each sender in tumbling windows of `width` seconds."""
+    w = F.window(F.timestamp_seconds("ts"), f"{width} seconds")
+    return events.groupBy("from_id", w.alias("w")).agg(F.count("*").alias("n_tx"), F.sum("amount").alias("amount")).select("from_id", F.unix_seconds("w.start").alias("start"), "n_tx", "amount")
+
+
 def active_edges(events: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
     """`ts`, `n_edges`: distinct edges in the trailing window of each block, without a self-join.
 

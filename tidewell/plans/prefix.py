@@ -43,3 +43,19 @@ def trailing(df: DataFrame, order: str, frames: dict[str, tuple[str, int]]) -> D
     by_day = Window.partitionBy("_day").orderBy(order)
     out = copies.withColumns({n: F.min(c).over(by_day.rangeBetween(-w, 0)) for n, (c, w) in frames.items()})
     return out.where("_day = _own").drop("_day", "_own")
+
+
+def previous(df: DataFrame, key: list[str], order: str, values: list[str], stretch: int = 1 << 22) -> DataFrame:
+    """`df` with `prev_<value>`, the values of the row before it in the order of `order` among rows of its
+    key (null: none).
+
+    A key with very many rows is dealt by stretches of the order; a stretch's first row takes the
+    values of the last stretch before it that has the key.
+    """
+    keyed = df.withColumn("_s", F.floor(F.col(order) / stretch))
+    last = keyed.groupBy(*key, "_s").agg(F.max_by(F.struct(*values), order).alias("_l"))
+    before = last.select(*key, "_s", F.lag("_l").over(Window.partitionBy(*key).orderBy("_s")).alias("_b")).where("_b is not null")
+    own = Window.partitionBy(*key, "_s").orderBy(order)
+    near = keyed.withColumn("_n", F.lag(F.struct(*values)).over(own)).join(before, [*key, "_s"], "left")
+    found = F.coalesce("_n", "_b")
+    return near.select(*df.columns, *[found[v].alias(f"prev_{v}") for v in values])

@@ -603,6 +603,20 @@ def window_edges_at_ticks(spark, d):
     return graph.edge_counts(*_windows(spark, d))
 
 
+@query("""
+, x as (select from_id, ts, amount, ts - lag(ts) over (partition by from_id order by ts, idx) as away, idx from enc)
+, s as (select from_id, ts, amount, sum(case when away is null or away > 14400 then 1 else 0 end) over (partition by from_id order by ts, idx) as k from x)
+select from_id, min(ts) as start, max(ts) + 14400 as "end", count(*) as n_tx, cast(sum(amount) as bigint) as amount from s group by from_id, k""")
+def sender_sessions(spark, d):
+    """Transfers of a sender that follow each other within four hours."""
+    return graph.sender_sessions(_events(spark, d), 14_400)
+
+
+@query("select from_id, ts // 7200 * 7200 as start, count(*) as n_tx, cast(sum(amount) as bigint) as amount from enc group by 1, 2")
+def sender_windows(spark, d):
+    return graph.sender_windows(_events(spark, d), 7200)
+
+
 @query("select cast(win_idx as integer) as win_idx, head, from_id, to_id, list(idx order by idx) as evidence from wev group by 1, 2, 3, 4")
 def edge_evidence(spark, d):
     return graph.evidence(*_windows(spark, d))
