@@ -27,7 +27,7 @@ class BatchLog:
             return {}
         names = [x.getPath().getName() for x in self._fs.listStatus(self._at(""))]
         found = [tuple(map(int, n.split("-")[1:])) for n in names if n.startswith("batch-")]
-        return {k: marks for k, *marks in sorted(found)}
+        return {k: tuple(marks) for k, *marks in sorted(found)}
 
     def folder(self, number: int) -> str:
         return f"{self.path}/batch-" + "-".join(map(str, (number, *self.batches()[number])))
