@@ -102,12 +102,25 @@ def test_langid_of_a_small_language(spark):
     assert model["langs"] == ["aa", "zz"]
     got = {r.doc_id: r._lang for r in langid.identify(brute.frame(spark, [(1, "wowo"), (2, "zuzuzu"), (3, big[0][1])]), model).collect()}
     assert got == {1: "zz", 2: "zz", 3: "aa"}
-    names, score = model["tables"][1]
-    assert len(names) == 8 + 4 and len(score) == 12
-    sizes = [len(names) for names, _ in model["tables"]]
+    assert len(model["tables"][1].names) == 8 + 4
+    sizes = [len(t.names) for t in model["tables"]]
     assert 300 <= sum(sizes) <= 400
 
 
+def test_langid_of_very_many_languages(spark):
+    """A dirty column: the model grows with its entries, not with their number times the languages."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some common words of all"), *[F.concat(F.lit("w"), F.translate(F.hex(F.xxhash64("id", F.lit(k))), "0123456789", "ghijklmnop")) for k in range(6)]).alias("text"))
+    labelled = docs.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 1000).cast("string")))
+    model = langid.fit(labelled, max_total=400_000)
+    assert len(model["langs"]) == 1000
+    size = sum(a.nbytes for t in model["tables"] for a in t)
+    assert size < 40_000_000, size
+    got = langid.identify(labelled.where("doc_id < 40"), model).collect()
+    assert sum(r.lang == r["_lang"] for r in got) >= 38
+    few = langid.fit(labelled, max_total=50_000)
+    assert sum(len(t.lang) for t in few["tables"]) < sum(len(t.lang) for t in model["tables"])
+
+
 def test_langid_of_signs_beyond_the_bmp(spark):
     """Emoji are no letters, U+10400 and U+20000 are."""
     model = langid.fit(spark.createDataFrame(spoken(), "doc_id long, text string, lang string"))

@@ -7,17 +7,23 @@ until one length holds an n-gram that is known, and scores by their mean.  Score
 normalised over the languages and summed over all words of the text.
 
 The model is fitted on at most about `max_docs` labelled rows, chosen by a hash.  Every language
-chooses about its `max_entries` most frequent words and n-grams, so a large one takes no place
-from a small one, and what one language chose is counted in all.  Both are parameters, and the
-model has at most `max_entries` rows for each language.
+chooses about its `max_entries` most frequent words and n-grams, but no more than an equal share of
+`max_total`, so a large one takes no place from a small one, and what one language chose is
+counted in all that have it.  All three are parameters.  The model is sparse: a language has an entry
+for a name only if it was counted there, and one number for all other names, so many languages
+(a dirty column) cost what they hold, not their square.
 
 Cases: null text and text without letters give `und` with score 0; a text whose characters
 are all unknown gets equal shares; rows with null lang teach nothing; without any training
-row all is `und`; repeated rows are scored alike; an empty table gives an empty result.
+row all is `und`; ties go to the language whose name comes first; repeated rows are scored alike; very
+long texts are scored whole, in the memory of one task; other columns are carried, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +36,9 @@ LONGEST = 4
 SMOOTH = 0.2
 MAX_DOCS = 20_000
 MAX_ENTRIES = 300_000
+MAX_TOTAL = 4_000_000
+#: Totals (document, language) that a task holds at once.
+TOTALS = 4_000_000
 UNKNOWN = "und"
 
 
@@ -119,7 +128,7 @@ def cut(sizes, most: int) -> tuple[int, int, int]:
     return 0, 0, 0
 
 
-def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_ENTRIES) -> dict:
+def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_ENTRIES, max_total: int = MAX_TOTAL) -> dict:
     """The model from rows of `text` and `lang`: at most about `max_docs` of them."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     total = rows.count()
@@ -131,8 +140,9 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
     sizes = counted.groupBy("lang", "c", "n").agg(F.count("*").alias("rows")).toArrow().to_pandas()
     langs = sorted(sizes["lang"].unique())
     if not langs:
-        return {"langs": [], "tables": [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1)}
-    cuts = labelled.sparkSession.createDataFrame([(x, k, *cut(sizes[sizes["lang"] == x], max_entries)) for k, x in enumerate(langs)], "lang string, k int, least long, longest int, share long")
+        return {"langs": [], "tables": []}
+    most = min(max_entries, max(1, max_total // len(langs)))
+    cuts = labelled.sparkSession.createDataFrame([(x, k, *cut(sizes[sizes["lang"] == x], most)) for k, x in enumerate(langs)], "lang string, k int, least long, longest int, share long")
     # of the rows at the cut a share goes on, chosen by a hash, so that no task sorts a language
     level = (F.col("c") == F.col("least")) & (F.col("n") == F.col("longest"))
     above = (F.col("c") > F.col("least")) | ((F.col("c") == F.col("least")) & (F.col("n") < F.col("longest")))
@@ -143,52 +153,92 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_entries: int = MAX_EN
     model: dict = {"langs": langs, "tables": []}
     for n in range(LONGEST + 1):
         part = kept["n"] == n
-        names, at = np.unique(kept["name"][part].view(np.uint64), return_inverse=True)
-        count = np.zeros((len(names), len(langs)))
-        np.add.at(count, (at, kept["k"][part]), kept["c"][part])
-        model["tables"].append((names, relative_scores(count).astype(np.float32)))
+        model["tables"].append(Table.of(kept["name"][part].view(np.uint64), kept["k"][part], kept["c"][part], len(langs)))
     del kept
     released()
     return model
 
 
-def relative_scores(count: np.ndarray) -> np.ndarray:
-    """Log frequency of each name (row) in each language, relative to the sum over the languages."""
-    if not len(count):
-        return count
-    score = np.log((count + SMOOTH) / (count.sum(0) + SMOOTH * len(count)))
-    top = score.max(1, keepdims=True)
-    return score - top - np.log(np.exp(score - top).sum(1, keepdims=True))
-
-
-def looked_up(table: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each name is known, and its row."""
-    have = table[0]
-    if not len(have):
-        return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
-    at = np.minimum(np.searchsorted(have, names), len(have) - 1)
-    return have[at] == names, at
-
-
-def word_scores(model: dict, words: Words, chosen: np.ndarray) -> np.ndarray:
-    """Normalised log scores (word, language) of the chosen words, by word or by backoff."""
-    scores = np.zeros((len(chosen), len(model["langs"])))
-    known, at = looked_up(model["tables"][0], words.names[chosen])
-    scores[known] = model["tables"][0][1][at[known]]
+class Table(NamedTuple):
+    """Names of one length with their scores: a language's score for a name is `base[language]`, and
+    `more` above it where the name was counted.  Scores are log frequencies; what is the same for all
+    languages changes no choice and is left out."""
+
+    names: np.ndarray  # sorted
+    at: np.ndarray  # where each name's entries begin, and their number
+    lang: np.ndarray
+    more: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def of(cls, names: np.ndarray, lang: np.ndarray, count: np.ndarray, n_langs: int) -> Table:
+        order = np.argsort(names, kind="stable")
+        found, first = np.unique(names[order], return_index=True)
+        sums = np.bincount(lang, weights=count, minlength=n_langs)
+        base = np.log(SMOOTH / (sums + SMOOTH * max(len(found), 1)))
+        return cls(found, np.append(first, len(names)), lang[order].astype(np.int32), np.log(count[order] / SMOOTH + 1).astype(np.float32), base)
+
+    def rows(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each name is known, and its place."""
+        if not len(self.names):
+            return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return self.names[at] == names, at
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many entries each of the names has, and where they are."""
+        size = self.at[at + 1] - self.at[at]
+        return size, ragged(self.at[at], size)
+
+
+class WordScores(NamedTuple):
+    """The chosen words' scores by word or by backoff: the table each was found in (-1: none), and
+    its entries from `start`, `size` of them."""
+
+    table: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+
+
+def word_scores(model: dict, words: Words, chosen: np.ndarray) -> WordScores:
+    table = np.full(len(chosen), -1)
+    parts: list[tuple] = []
+
+    def found(n: int, word: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+        own = model["tables"][n]
+        size, where = own.entries(at)
+        parts.append((np.repeat(word, size), own.lang[where], own.more[where] * np.repeat(weight, size)))
+        table[word] = n
+
+    known, at = model["tables"][0].rows(words.names[chosen])
+    found(0, np.flatnonzero(known), at[known], np.ones(int(known.sum())))
     left = np.flatnonzero(~known)
     for n in range(LONGEST, 0, -1):
         if not len(left):
             break
         which, grams = words.grams(chosen[left], n)
-        seen, at = looked_up(model["tables"][n], grams)
+        seen, at = model["tables"][n].rows(grams)
         which, at = which[seen], at[seen]
         count = np.bincount(which, minlength=len(left))
-        some = count > 0
-        for k in range(scores.shape[1]):
-            total = np.bincount(which, weights=model["tables"][n][1][at, k], minlength=len(left))
-            scores[left[some], k] = total[some] / count[some]
-        left = left[~some]
-    return scores
+        found(n, left[which], at, 1 / count[which])  # the mean over the known n-grams
+        left = left[count == 0]
+    word, lang, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(word, kind="stable")
+    size = np.bincount(word, minlength=len(chosen))
+    return WordScores(table, np.cumsum(size) - size, size, lang[order], more[order])
+
+
+def document_totals(model: dict, doc: np.ndarray, word: np.ndarray, scores: WordScores, n_docs: int) -> np.ndarray:
+    """Scores (document, language) of the words `word` of documents `doc`."""
+    n_langs = len(model["langs"])
+    size = scores.size[word]
+    at = ragged(scores.start[word], size)
+    total = np.bincount(np.repeat(doc, size) * n_langs + scores.lang[at], weights=scores.more[at], minlength=n_docs * n_langs).astype(float).reshape(n_docs, n_langs)
+    for n, own in enumerate(model["tables"]):
+        total += np.bincount(doc[scores.table[word] == n], minlength=n_docs)[:, None] * own.base
+    return total
 
 
 def _predicted(model_b, names: tuple[str, str]):
@@ -207,14 +257,19 @@ def _predicted(model_b, names: tuple[str, str]):
                     continue
                 _, at, back = np.unique(words.names, return_index=True, return_inverse=True)
                 scores = word_scores(model, words, at)
-                total = np.stack([np.bincount(words.doc, weights=scores[back, k], minlength=b - a) for k in range(len(langs))], 1)
-                some = np.bincount(words.doc, minlength=b - a) > 0
-                top = total.argmax(1)
-                with np.errstate(under="ignore"):
-                    odds = np.exp(total - total.max(1, keepdims=True))
-                part = odds.max(1) / odds.sum(1)
-                best += [langs[k] if s else UNKNOWN for k, s in zip(top.tolist(), some.tolist(), strict=True)]
-                share += np.where(some, part, 0.0).tolist()
+                step = max(1, TOTALS // len(langs))
+                for low in range(0, b - a, step):
+                    n = min(step, b - a - low)
+                    own = slice(*np.searchsorted(words.doc, [low, low + n]))
+                    doc = words.doc[own] - low
+                    total = document_totals(model, doc, back[own], scores, n)
+                    some = np.bincount(doc, minlength=n) > 0
+                    top = total.argmax(1)
+                    with np.errstate(under="ignore"):
+                        odds = np.exp(total - total.max(1, keepdims=True))
+                    part = odds.max(1) / odds.sum(1)
+                    best += [langs[k] if s else UNKNOWN for k, s in zip(top.tolist(), some.tolist(), strict=True)]
+                    share += np.where(some, part, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[*batch.schema.names, *names])
 
     return run

@@ -249,9 +249,17 @@ def by_document(items: DataFrame) -> DataFrame:
     return items.groupBy(*KEY).agg(F.collect_list(F.struct("place", "low", "high", "state")).alias("items"))
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """Documents by key, with the other columns in `_rest`; one exchange that all rounds read."""
-    return docs.select(*doc_key(), F.col("text").cast("string").alias("text"), *rest_of(docs, "doc_id", "text")).repartition(*KEY)
+def named(docs: DataFrame) -> DataFrame:
+    """Documents with their key, and the other columns in `_rest`."""
+    return docs.select(*doc_key(), F.col("text").cast("string").alias("text"), *rest_of(docs, "doc_id", "text"))
+
+
+def dealt(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Documents of at least `least` bytes by key, in one exchange that all rounds read; and the
+    shorter ones, which can lose nothing and stay where they are read: null and empty texts, whose
+    rows without id would all be one key, are no task of their own."""
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    return named(docs.where(size >= least)).repartition(*KEY), named(docs.where(size < least))
 
 
 def extended(base: DataFrame, more: str) -> T.StructType:
@@ -325,9 +333,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     """`_d`, `_t`, `_u` (the document's key), `_rest` (other columns, if any), `n_bytes`, `n_removed`,
     `kept_sha256`, `starts` and `ends` (maximal removed byte runs) and `_clean` (text without
     the characters that lie in them wholly) of every document."""
-    base = dealt(docs)
+    base, short = dealt(docs, length)
     spans = repeated_spans(docs, base, length, gram, block)
     found = base.join(spans, KEY, "left").select(*base.columns, "items", copies())
+    none = F.lit(None).cast(spans.schema["items"].dataType).alias("items")
+    found = found.union(short.select(*base.columns, none, F.lit(1).cast("long").alias("_copies")))
     return in_arrow(found, in_parts(_cut(length)), extended(base, "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string"))
 
 
