@@ -681,32 +681,33 @@ def _addressed(k: str) -> str:
     return f"'0x' || substr(sha256('{generator.stream_seed(42, 'addr')}:' || cast({k} as varchar)), 1, 40)"
 
 
-@query(f"""--alone
-with b as (select i + 1 as number, 1704067200 + i * 600 as ts from range(500) r(i)),
-t as (select number, ts, unnest(range(1, {_drawn('tx_count', 'number')} % 50 + 51)) as pos0 from b),
-p as (select number, ts, pos0 - 1 as pos from t),
-x as (select *, {_drawn('from', 'number', 'pos')} % 5000 as src, {_drawn('to', 'number', 'pos')} % 4999 as hop from p)
+@query(f"""
+, pool as (select count(*) as n from customer)
+, t as (select number, ts, unnest(range(1, {_drawn('tx_count', 'number')} % 50 + 51)) as pos0 from blocks)
+, p as (select number, ts, pos0 - 1 as pos from t)
+, x as (select *, {_drawn('from', 'number', 'pos')} % n as src, {_drawn('to', 'number', 'pos')} % (n - 1) as hop from p, pool)
 select number, ts, pos, {_addressed('src')} as sender,
-  {_addressed(f"case when {_drawn('choose', 'number', 'pos')} / 4503599627370496.0 < 0.1 then src else (src + 1 + hop) % 5000 end")} as receiver,
+  {_addressed(f"case when {_drawn('choose', 'number', 'pos')} / 4503599627370496.0 < 0.1 then src else (src + 1 + hop) % n end")} as receiver,
   'MOCK' as token, {_drawn('amount', 'number', 'pos')} % 1000 + 1 as amount, {_drawn('nonce', 'number', 'pos')} as nonce from x""")
 def synthetic_transfers(spark, d):
-    """Generated transfers of 500 blocks."""
-    blocks = generator.schedule(spark, 1_704_067_200, 500, 600)
-    return generator.transfers(blocks, 5000, seed=42)
+    """Generated transfers for every block of the chain, among as many addresses as there are customers."""
+    n = spark.read.parquet(f"{d}/customer.parquet").count()
+    return generator.transfers(_blocks(spark, d).select("number", "ts"), n, seed=42)
 
 
-@query(f"--alone\nselect i as k, {_addressed('i')} as addr from range(5000) r(i)")
+@query(f"--alone\nselect c_custkey as k, {_addressed('c_custkey')} as addr from customer")
 def synthetic_addresses(spark, d):
-    return generator.addresses(spark, 5000, seed=42)
+    """An address for every customer."""
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("k"), generator.address(42, k).alias("addr"))
 
 
-@query(f"""--alone
-with b as (select i + 1 as number, 1704067200 + i * 600 as ts from range(200) r(i))
-select number, ts, {_drawn('tx_count', 'number')} % 50 + 50 as n_tx from b""")
+@query(f"select number, ts, {_drawn('tx_count', 'number')} % 50 + 50 as n_tx from blocks")
 def synthetic_blocks(spark, d):
-    """Mined blocks as on the wire, by the count of transfers the header's root stands for."""
-    blocks = generator.schedule(spark, 1_704_067_200, 200, 600)
-    mined = generator.block_messages(blocks, generator.transfers(blocks, 5000, seed=42), seed=42)
+    """The chain's heights and times mined anew, as on the wire, by the count of transfers that a header's
+    root stands for."""
+    blocks = stored(_blocks(spark, d).select("number", "ts"))
+    mined = generator.block_messages(blocks, generator.transfers(blocks, spark.read.parquet(f"{d}/customer.parquet").count(), seed=42), seed=42)
     return mined.select("number", "ts", F.size("txs").cast("long").alias("n_tx"))
 
 
