@@ -224,13 +224,11 @@ def _kept(window: int):
 def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """`_d`, `_t`, `_u` (the document's key), `_rest` (other columns, if any), `n_words`, `n_removed`, `kept_sha256`,
     `starts` and `ends` (removed word runs) and `_kept` (kept words, one space between)."""
-    base, short = dealt(docs, 2 * window - 1)  # as many words of a byte each, and the spaces between
+    base = dealt(docs)
     need = repeated_grams(docs, window, gram, words=True)
     rows = in_arrow(base.join(need, KEY).select(*base.columns, "grams", "heavy"), in_parts(_packets(window, gram)), ROWS)
     buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "packed", *KEY, "first")
     marked = in_arrow(buckets, _bucket(window), "_d long, _t long, _u long, first int, last int")
     spans = marked.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     found = base.join(spans, KEY, "left").select(*base.columns, "spans", copy_number())
-    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    found = found.union(short.select(*base.columns, none, F.lit(1).cast("long").alias("_copies")))
     return in_arrow(found, in_parts(_kept(window)), extended(base, "n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _kept string"))
