@@ -12,6 +12,8 @@ from tidewell.sources.store import drop, scratch, stored
 SPAN = 256
 #: Indexes, or tick numbers, that are summed in one task.
 STRETCH = 1 << 20
+#: How many times over ticks may hold the transfers and still be met one by one.
+SPREAD = 2.0
 _WINDOWS = range(len(WIDTHS))
 
 
@@ -25,13 +27,11 @@ def window_events(ticks: DataFrame, events: DataFrame, span: int = SPAN) -> Data
 
 def _tick_numbers(ticks: DataFrame) -> DataFrame:
     """`win_idx`, `head`, `tail`, `j`: the ticks of each window, numbered from 1.  Heads and tails never
-    fall, so their sum orders a window's ticks; those that are equal in both are one."""
-    own = ticks.select("win_idx", "head", "tail").where("head > tail").distinct().withColumn("s", F.col("head") + F.col("tail"))
-    flags = {f"j{k}": F.col(f"f{k}") for k in _WINDOWS}
-    line = own.groupBy("s").agg(*[F.max((F.col("win_idx") == k).cast("int")).alias(f"f{k}") for k in _WINDOWS])
-    counted = with_prefix(line, "s", flags, day=STRETCH)
-    each = F.array(*[F.struct(F.lit(k).cast("int").alias("win_idx"), F.col(f"j{k}").alias("j")) for k in _WINDOWS])
-    return own.join(counted.select("s", F.inline(each)), ["win_idx", "s"]).select("win_idx", "head", "tail", "j")
+    fall, so their sum orders a window's ticks; those that are equal in both are one.  A window's
+    ticks, one for many blocks, are sorted in one task."""
+    own = ticks.select(F.col("win_idx").cast("int").alias("win_idx"), "head", "tail").where("head > tail").distinct()
+    line = Window.partitionBy("win_idx").orderBy(F.col("head") + F.col("tail"))
+    return stored(own.withColumn("j", F.row_number().over(line).cast("long")))
 
 
 def _passed(ticks: DataFrame, events: DataFrame) -> DataFrame:
@@ -39,36 +39,46 @@ def _passed(ticks: DataFrame, events: DataFrame) -> DataFrame:
     their tail, at or below idx.  So the ticks that hold a transfer are h + 1 to t."""
     names = [f"{c}{k}" for k in _WINDOWS for c in "ht"]
     ends = F.array(F.struct(F.col("head").alias("idx"), F.lit("h").alias("c")), F.struct(F.col("tail").alias("idx"), F.lit("t").alias("c")))
-    marks = ticks.select("win_idx", F.inline(ends)).select("idx", *[((F.col("c") == n[0]) & (F.col("win_idx") == int(n[1:]))).cast("int").alias(n) for n in names])
-    rows = marks.union(events.select("idx", *[F.lit(0) for _ in names]))
-    steps = with_prefix(rows.groupBy("idx").agg(*[F.sum(n).alias(f"_{n}") for n in names]), "idx", {n: F.col(f"_{n}") for n in names}, day=STRETCH)
-    return events.select("idx", "from_id", "to_id").join(steps.select("idx", *names), "idx")
+    none = F.lit(None).cast("long")
+    marks = ticks.select("win_idx", F.inline(ends)).select("idx", none.alias("from_id"), none.alias("to_id"), *[((F.col("c") == n[0]) & (F.col("win_idx") == int(n[1:]))).cast("int").alias(n) for n in names])
+    rows = marks.union(stored(events.select("idx", "from_id", "to_id")).select("*", *[F.lit(0) for _ in names]))
+    places = rows.groupBy("idx").agg(F.max("from_id").alias("from_id"), F.max("to_id").alias("to_id"), *[F.sum(n).alias(f"_{n}") for n in names])
+    steps = with_prefix(places, "idx", {n: F.col(f"_{n}") for n in names}, day=STRETCH)
+    return steps.where("from_id is not null").select("idx", "from_id", "to_id", *names)
 
 
-def edge_counts(ticks: DataFrame, events: DataFrame) -> DataFrame:
+def _overlap(numbers: DataFrame) -> float:
+    """How many times over the ticks' windows hold the transfers that they reach."""
+    held, first, last = numbers.agg(F.sum(F.col("head") - F.col("tail")), F.min("tail"), F.max("head")).first()
+    return held / (last - first) if held else 0.0
+
+
+def edge_counts(ticks: DataFrame, events: DataFrame, spread: float = SPREAD) -> DataFrame:
     """`win_idx`, `head`, `tail`, `n_edges` (distinct), `n_tx` at each tick that has transfers.
 
-    A transfer stands for its edge in the ticks that hold it but not the edge's transfer before: a
-    run of ticks, found from the counts of ticks passed by the two, so every transfer gives two marks a
-    window and the counts are their running sums.  Nothing is spread over the ticks.  ticks: of
-    `windows.ticks` or `moves`, whose heads and tails never fall.
+    Ticks whose windows overlap little (they hold the transfers at most `spread` times) meet them as
+    `window_events`.  Else nothing is spread over the ticks: a transfer stands for its edge in the
+    ticks that hold it but not the edge's transfer before, a run of ticks, found from the counts of
+    ticks passed by the two, so every transfer gives two marks a window and the counts are their
+    running sums.  Both are exact.  ticks: of `windows.ticks` or `moves`, whose heads and tails
+    never fall.
     """
-    numbers = stored(_tick_numbers(ticks))
-    seen = previous(_passed(numbers, events), ["from_id", "to_id"], "idx", [f"t{k}" for k in _WINDOWS])
+    numbers = _tick_numbers(ticks)
+    if _overlap(numbers) <= spread:
+        pairs = window_events(numbers, events).groupBy("win_idx", "head", "tail", "from_id", "to_id").agg(F.count("*").alias("c"))
+        return pairs.groupBy("win_idx", "head", "tail").agg(F.count("*").alias("n_edges"), F.sum("c").alias("n_tx"))
+    seen = previous(stored(_passed(numbers, events)), ["from_id", "to_id"], "idx", [f"t{k}" for k in _WINDOWS])
     spans = []
     for k in _WINDOWS:
         first, last = F.col(f"h{k}") + 1, F.col(f"t{k}")
         lone = F.greatest(first, F.coalesce(F.col(f"prev_t{k}"), F.lit(0)) + 1)
-        spans += [F.struct(F.lit(k).alias("w"), j.alias("j"), F.lit(e).alias("e"), F.lit(n).alias("n"), ok.alias("ok")) for j, e, n, ok in (
+        spans += [F.struct(F.lit(k).alias("win_idx"), j.alias("j"), F.lit(e).alias("e"), F.lit(n).alias("n"), ok.alias("ok")) for j, e, n, ok in (
             (first, 0, 1, first <= last), (last + 1, 0, -1, first <= last), (lone, 1, 0, lone <= last), (last + 1, -1, 0, lone <= last))]
-    marks = seen.select(F.inline(F.array(*spans))).where("ok")
-    sums = [f"{c}{k}" for k in _WINDOWS for c in "en"]
-    line = marks.groupBy("j").agg(*[F.sum(F.when(F.col("w") == int(n[1:]), F.col(n[0])).otherwise(0)).alias(f"_{n}") for n in sums])
-    # every tick has a place in the line, with or without a mark
-    line = line.unionByName(numbers.select("j").distinct(), allowMissingColumns=True).groupBy("j").agg(*[F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(f"_{n}") for n in sums])
-    run = with_prefix(stored(line), "j", {n: F.col(f"_{n}") for n in sums}, day=STRETCH)
-    each = F.array(*[F.struct(F.lit(k).cast("int").alias("win_idx"), F.col(f"e{k}").alias("n_edges"), F.col(f"n{k}").alias("n_tx")) for k in _WINDOWS])
-    return numbers.join(run.select("j", F.inline(each)), ["win_idx", "j"]).where("n_tx > 0").select("win_idx", "head", "tail", "n_edges", "n_tx")
+    marks = seen.select(F.inline(F.array(*spans))).where("ok").groupBy("win_idx", "j").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
+    so_far = Window.partitionBy("win_idx").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(so_far)
+    counted = numbers.join(marks, ["win_idx", "j"], "left").select("win_idx", "head", "tail", run("e").alias("n_edges"), run("n").alias("n_tx"))
+    return counted.where("n_tx > 0")
 
 
 def evidence(ticks: DataFrame, events: DataFrame) -> DataFrame:
@@ -82,13 +92,17 @@ def adjacency(ticks: DataFrame, events: DataFrame, reverse: bool = False) -> Dat
     return window_events(ticks, events).groupBy("win_idx", "head", F.col(node).alias("node")).agg(F.sort_array(F.collect_set(other)).alias("neighbours"))
 
 
-def degrees(ticks: DataFrame, events: DataFrame) -> DataFrame:
+def degrees(ticks: DataFrame, events: DataFrame, spread: float = SPREAD) -> DataFrame:
     """`win_idx`, `head`, `node`, `out_degree`, `in_degree`, counted by transfer.
 
-    A node's degrees change at the ticks where one of its transfers comes or goes; between them they
+    Ticks that overlap little are met as in `edge_counts`.  Else: a node's degrees change at the ticks where one of its transfers comes or goes; between them they
     are the same.  Changes are summed by tick before they are shuffled, and only the result has a row for each tick.
     """
-    numbers = stored(_tick_numbers(ticks))
+    numbers = _tick_numbers(ticks)
+    if _overlap(numbers) <= spread:
+        ends = F.array(F.struct(F.col("from_id").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        met = window_events(numbers, events).select("win_idx", "head", "tail", F.inline(ends))
+        return met.groupBy("win_idx", "head", "tail", "node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree")).drop("tail")
     marks = []
     for k in _WINDOWS:
         first, last = F.col(f"h{k}") + 1, F.col(f"t{k}")

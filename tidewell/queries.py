@@ -603,6 +603,15 @@ def window_edges_at_ticks(spark, d):
     return graph.edge_counts(*_windows(spark, d))
 
 
+@query("""
+select cast(win_idx as integer) as win_idx, head, tail, count(distinct (from_id, to_id)) as n_edges, count(*) as n_tx
+from (select distinct win_idx, head, tail from moves) m join enc on idx >= tail and idx < head group by all""")
+def window_edges_at_moves(spark, d):
+    """The windows at every block overlap many times over: counted, not spread."""
+    blocks, events = _chain(spark, d)
+    return graph.edge_counts(windows.moves(blocks), events)
+
+
 @query("""
 , x as (select from_id, ts, amount, ts - lag(ts) over (partition by from_id order by ts, idx) as away, idx from enc)
 , s as (select from_id, ts, amount, sum(case when away is null or away > 14400 then 1 else 0 end) over (partition by from_id order by ts, idx) as k from x)
