@@ -12,7 +12,8 @@ of `good`, weighted by the lines' lengths.
 Cases: null and empty texts (and texts of line breaks alone) score the share of good
 documents in training; with no labelled row, or labels of one kind only, the weights stay
 near zero and the score near that share; null labels teach nothing; repeated rows are scored alike; very
-long texts are scored whole, line by line; an empty table gives an empty result.
+long texts are scored whole, line by line; an empty table gives an empty result; a score of exactly 0.5
+counts as good; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ searched one after the other, with the spans so far kept beside each document.
 
 Cases: null or empty texts have no words and no hits; items without words match nothing;
 repeated items count once by item_id; a null item_id is named `null`; an empty benchmark
-marks nothing; an empty table gives an empty result; repeated rows each get their result.
+marks nothing; an empty table gives an empty result; repeated rows each get their result; ties: of
+equal phrases of several items every item is named; a very long text is searched whole, as a
+shard of its own; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations

@@ -27,7 +27,9 @@ are closed to components.
 Cases: a text of fewer words than a shingle is one shingle, the whole sequence; null and
 empty texts have none and link with nothing; repeated rows are one document; equal texts are
 linked; a null doc_id never names a component that has an id; an empty table gives an empty
-result.  Sets and shingles are named by 64-bit fingerprints.
+result; a similarity of exactly the threshold links; a very long text's set is held whole by a
+task; other columns are carried, whatever their names.  Sets and shingles are named by 64-bit
+fingerprints.
 """
 
 from __future__ import annotations

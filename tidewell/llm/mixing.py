@@ -20,7 +20,9 @@ come no nearer), or after `max_steps`; targets that are not met are warned of, w
 Cases: null and empty texts have no tokens and keep rate 1; documents without known words
 have the prior as posterior; rows with null or unknown labels teach nothing; without labels
 all domains are equally likely; repeated rows each have their rate, and count each; an empty
-table gives an empty result.
+table gives an empty result; no tie is broken, as all is sums; a very long text is split to words in the
+memory of one task; other columns are carried under their names, those made here get underscores
+before them where they would clash.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ the name of the longer string.
 Cases: null text is empty; texts under the length have no windows; a document may repeat
 its own strings; rows that repeat a doc_id with its text are one document (a position is
 not its own repetition) and each get the result; rows without doc_id are documents of
-their own, so copies among them are repetitions; an empty table gives an empty result;
+their own, so copies among them are repetitions; no tie is broken, as all equal strings go; a very
+long text is ranked whole, in the memory of one task; an empty table gives an empty result;
 other columns, whatever their names, are carried in `_rest`.
 """
 

@@ -13,7 +13,9 @@ there, and no group is gathered.  Copies within one batch are sent once.
 
 Cases: null and empty texts and texts of fewer words keep everything; a window may repeat
 in its own document; rows that repeat a doc_id with its text are one document and each get
-the result; rows without doc_id are documents of their own and come before all others; an empty table gives an empty result.
+the result; rows without doc_id are documents of their own and come before all others; an empty table gives an empty result; a very
+long text is cut to packets in the memory of one task; other columns, whatever their names, are
+carried in `_rest`.
 """
 
 from __future__ import annotations

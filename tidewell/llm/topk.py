@@ -22,7 +22,8 @@ Cases: vectors that are null or hold null or non-finite components take no part;
 is a candidate, rows without id too (they come last in ties) and rows that repeat an id, with
 the same vector or another; a query leaves out its own row only, and a query whose id is
 repeated is answered for each of its rows; shorter vectors are continued with zeros; fewer than
-k candidates are all returned; an empty table gives an empty result.
+k candidates are all returned; an empty table gives an empty result; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ Cases: null html is an empty payload; a null url has key `-`; pages without a `d
 are dated by their id; a null page_id is a response only if no equal payload has an id, and
 comes back as null; rows that repeat a page_id with its payload are records of their own and
 all of the type of that id; payloads under `min_revisit` bytes are always responses; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; a very long payload is one record, held by one task; other
+columns are not read.
 """
 
 from __future__ import annotations
