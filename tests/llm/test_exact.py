@@ -1,6 +1,7 @@
 """Operators with one right answer, against plain Python."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from tidewell.llm import common, jaccard, minimisers, suffix_dedup, superkmers
 from tidewell.llm.common import sliding_min
 from tidewell.llm.components import components
 from tidewell.llm.decontaminate import FMIndex, decontaminate, decontaminated
+from tidewell.sources.store import shared_dir
 
 ROWS = brute.corpus()
 
@@ -264,6 +266,33 @@ def test_decontaminate(spark, limit, extra):
     assert dict(got) == brute.contamination(ROWS, ITEMS)
 
 
+def test_benchmark_in_many_slices(spark):
+    """Slices write their hits alone, and what they wrote is gone; the spans are those of one slice."""
+    words = [f"w{k}" for k in range(400)]
+    items = spark.createDataFrame([(k, " ".join(words[5 * k : 5 * k + 14])) for k in range(70)], "item_id long, text string")
+    texts = [" ".join(words[7 * k : 7 * k + 40]) for k in range(40)] + ["no word of theirs " * 9000] * 5 + [None] * 9
+    docs = spark.createDataFrame([(k % 50, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    columns = ("doc_id", "text", "_starts", "_ends", "_items", "_n_words", "_n_hit", "_clean")
+    rows = lambda **o: sorted((tuple(r[c] for c in columns) for r in decontaminate(docs, items, **o).collect()), key=repr)
+    folder = Path(shared_dir(spark))
+    files = lambda: {p for p in folder.rglob("*.parquet")}
+    before = files()
+    got = rows(max_benchmark_bytes=150)
+    left = files() - before
+    assert got == rows()
+    assert sum(r[6] for r in got) > 1000 and len(got) == len(texts)
+    assert not [p for p in left if "slices-" in str(p)]
+    assert sum(p.stat().st_size for p in left) < 40_000  # the spans; the texts are 800 KB
+
+
+@pytest.mark.parametrize("least", [39, 200])
+def test_rows_without_id_and_text_are_dealt(spark, least):
+    """They are no key of their own, while copies long enough for a result keep one."""
+    rows = spark.range(0, 4000, 1, 40).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 4 == 0, "x" * (least - 1)).when(F.col("id") % 4 == 1, "y" * least).when(F.col("id") % 4 == 2, "").alias("text"))
+    got = {(r.text or "")[:1]: (r.keys, r.rows) for r in suffix_dedup.dealt(rows, least).groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count_distinct("_d", "_t", "_u").alias("keys"), F.count("*").alias("rows")).collect()}
+    assert got == {"x": (40, 1000), "y": (1, 1000), "": (40, 2000)}
+
+
 def test_decontaminated_cuts_the_spans(spark):
     items = spark.createDataFrame([(1, "B c")], "item_id long, text string")
     df = brute.frame(spark, [(1, "a, b; C d"), (2, "b-d"), (3, None)], extra=True)

@@ -407,6 +407,7 @@ def test_topk_of_few(spark):
 
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "RUN_ROWS", 8)
+    monkeypatch.setattr(warc, "PLAN_ROWS", 16)
     rng = random.Random(1)
     rows = [(k, f"http://H{rng.randrange(5)}.example.com:80/p/{rng.randrange(9)}?q=é", "x" * rng.randrange(40)) for k in range(150)]
     rows += [(200, None, "lone"), (201, "http://[bad", None), (202, "", ""), (None, "http://a/b c\r\nd", "lone"), (None, "x", "only here"), (203, "y", "Ü" * 300_000), (7, rows[7][1], rows[7][2])]
@@ -447,6 +448,25 @@ def test_archives_round_trip(spark, monkeypatch):
     assert referred and referred <= dated
 
 
+def test_a_pass_is_planned_in_parts(spark, monkeypatch):
+    """Groups and ranges keep their bounds however many parts the keys are counted in."""
+    runs = spark.createDataFrame([(f"run{k}",) for k in range(50)], "run string")
+    key = lambda k: (f"u{k % 7}", k, 0, k, "f", k)
+    rows = [(f"run{k % 50}", f"f{k % 50}", k // 50, 1, key(k), key(k)) for k in range(400)]
+    index = spark.createDataFrame(rows, warc.INDEX)
+    want = None
+    for most in (1 << 16, 16):
+        monkeypatch.setattr(warc, "PLAN_ROWS", most)
+        groups = {r.run: r.group for r in warc.grouped(runs, 50, 4).collect()}
+        sizes = [list(groups.values()).count(g) for g in sorted(set(groups.values()))]
+        assert len(groups) == 50 and sizes == [4] * 12 + [2]
+        work = warc.ranges(index, 64, 50, 400).orderBy("r").collect()
+        got = [(r.r, r.low, r.high, sorted((b.file, b.k) for b in r.batches)) for r in work]
+        assert want is None or got == want
+        want = got
+    assert sum(len(b) for *_, b in want) == 400 and len(want) == 7
+
+
 def test_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r.page_id: r.refers_to for r in warc.round_trip(pages, min_revisit=3).collect()}

@@ -8,8 +8,11 @@ by backward search.  Occurrences are located by walking to the nearest sampled s
 the word spans found are merged.  Nothing is shuffled; a document never leaves its task.
 
 Phrases travel to the tasks by broadcast only while the benchmark's text is at most
-`max_benchmark_bytes`; a larger benchmark is cut into slices below that bound, which are
-searched one after the other, with the spans so far kept beside each document.
+`max_benchmark_bytes`; a larger benchmark is cut into slices below that bound.  Each slice reads
+the texts and writes the spans it found alone, by the text's 128-bit name; the spans of all
+slices are put together, the slices' tables go, and one join brings them back to the documents.
+The corpus itself is never written; where the spans are too many to be broadcast it passes one
+exchange, whatever the number of slices.
 
 Cases: null or empty texts have no words and no hits; items without words match nothing;
 repeated items count once by item_id; a null item_id is named `null`; an empty benchmark
@@ -21,13 +24,17 @@ shard of its own; other columns are carried, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.sources.store import drop, scratch
+
 from .common import checkpointed, chunks, covered, fresh, from_rest, in_arrow, in_parts, lower_ascii, ragged, released, rest_of, text_buffer, word_names, word_spans
 
 WINDOW = 10
@@ -225,14 +232,13 @@ def occurrences(names: np.ndarray, first: np.ndarray, found: dict) -> tuple[np.n
 
 
 def _searched(found_b, shard_bytes: int):
-    """A mapInArrow function: adds one slice's word spans and items to each document's."""
+    """A mapInArrow function: adds one slice's word spans and items to each document."""
 
     def run(batches):
         found, table, flags = found_b.value, lower_ascii(), word_bytes()
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             data = table[data] if len(data) else data
-            had = [batch.column(c).to_pylist() for c in ("_starts", "_ends", "_items")]
             out: list[list] = [[], [], []]
             for a, b in chunks(offsets, shard_bytes):
                 off = offsets[a : b + 1] - offsets[a]
@@ -249,16 +255,11 @@ def _searched(found_b, shard_bytes: int):
                 order = np.argsort(doc, kind="stable")
                 cut, cut_i = np.searchsorted(doc[order], np.arange(b - a + 1)), np.searchsorted(pair[:, 0], np.arange(b - a + 1))
                 for k in range(b - a):
-                    s0, e0, i0 = (h[a + k] or [] for h in had)
                     own = order[cut[k] : cut[k + 1]]
-                    if len(own):
-                        base = off[k]
-                        x, y = covered(np.r_[np.array(s0, np.int64), s[own] - base], np.r_[np.array(e0, np.int64), e[own] - base])
-                        s0, e0 = x.tolist(), y.tolist()
-                        i0 = i0 + [found["labels"][j] for j in pair[cut_i[k] : cut_i[k + 1], 1]]
-                    out[0].append(s0)
-                    out[1].append(e0)
-                    out[2].append(i0)
+                    x, y = covered(s[own] - off[k], e[own] - off[k])
+                    out[0].append(x.tolist())
+                    out[1].append(y.tolist())
+                    out[2].append([found["labels"][j] for j in pair[cut_i[k] : cut_i[k + 1], 1]])
             kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
             columns = {c: batch.column(c) for c in batch.schema.names}
             columns |= {c: pa.array(v, k) for c, v, k in zip(("_starts", "_ends", "_items"), out, kinds, strict=True)}
@@ -267,6 +268,13 @@ def _searched(found_b, shard_bytes: int):
     return run
 
 
+def _hit_texts(batches):
+    """Of what a slice found: the names of the texts that are hit, their spans and items."""
+    for batch in batches:
+        hit = pa.compute.greater(pa.compute.list_value_length(batch.column("_items")), 0)
+        yield batch.filter(hit).select(FOUND)
+
+
 def _finished(batches):
     """Counts words and merges spans; `_clean` is the text without its hit spans."""
     table, flags = lower_ascii(), word_bytes()
@@ -274,7 +282,11 @@ def _finished(batches):
         data, offsets = text_buffer(batch.column("text"))
         texts = batch.column("text").to_pylist()
         words, hits, clean = [], [], []
-        begin, stop = batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist()
+        begin, stop = [], []
+        for x, y in zip(batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist(), strict=True):
+            x, y = covered(np.array(x or [], np.int64), np.array(y or [], np.int64))  # those of several slices may overlap
+            begin.append(x.tolist())
+            stop.append(y.tolist())
         for a, b in chunks(offsets):
             off = offsets[a : b + 1] - offsets[a]
             starts, ends, first = word_spans(table[data[offsets[a] : offsets[b]]], off, flags)
@@ -294,6 +306,8 @@ def _finished(batches):
         items = [sorted(set(x or [])) for x in batch.column("_items").to_pylist()]
         columns = {c: batch.column(c) for c in batch.schema.names}
         columns |= {
+            "_starts": pa.array(begin, pa.list_(pa.int64())),
+            "_ends": pa.array(stop, pa.list_(pa.int64())),
             "_items": pa.array(items, pa.list_(pa.string())),
             "_n_words": pa.array(words, pa.int64()),
             "_n_hit": pa.array(hits, pa.int64()),
@@ -305,6 +319,7 @@ def _finished(batches):
 
 SPANS = "_starts array<long>, _ends array<long>, _items array<string>"
 COUNTS = "_n_words long, _n_hit long, _clean string, _items_sha256 string"
+FOUND = ["_t", "_u", "_starts", "_ends", "_items"]
 NEW = ("_starts", "_ends", "_items", "_n_words", "_n_hit", "_clean", "_items_sha256")
 
 
@@ -314,20 +329,33 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchm
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = max(1, -(-total // max_benchmark_bytes))
-    spans = T.StructType.fromDDL(SPANS).fields
-    df = docs.select(F.col("text").cast("string").alias("text"), *rest_of(docs, "text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in spans))
+    df = docs.select(F.col("text").cast("string").alias("text"), *rest_of(docs, "text"))
+    counted = T.StructType.fromDDL(COUNTS).fields
 
-    def searched(k: int):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
-        held = spark.sparkContext.broadcast(phrases(part.toArrow(), window))
+    def held(part: DataFrame):
+        made = spark.sparkContext.broadcast(phrases(part.toArrow(), window))
         released()
-        return _searched(held, shard_bytes)
-
-    for k in range(slices - 1):
-        df = checkpointed(in_arrow(df, in_parts(searched(k)), df.schema))
-    last = searched(slices - 1)
-    # the last search and the merging share one Python worker
-    return in_arrow(df, in_parts(lambda batches: _finished(last(batches))), T.StructType(df.schema.fields + T.StructType.fromDDL(COUNTS).fields))
+        return made
+
+    if slices == 1:
+        search = _searched(held(items), shard_bytes)
+        # the search and the merging share one Python worker
+        return in_arrow(df, in_parts(lambda batches: _finished(search(batches))), T.StructType(df.schema.fields + T.StructType.fromDDL(SPANS).fields + counted))
+    name = [F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(1), F.col("text")).alias("_u")]
+    own = scratch(spark, "slices")
+    texts, parts = df.where("text is not null").select(*name, "text"), []
+    for k in range(slices):
+        made = held(items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k))
+        search = _searched(made, shard_bytes)
+        hit = in_arrow(texts, in_parts(lambda batches, search=search: _hit_texts(search(batches))), f"_t long, _u long, {SPANS}")
+        # copies of a text are hit alike
+        parts.append(checkpointed(hit.groupBy("_t", "_u").agg(F.first(F.struct(*FOUND[2:])).alias("f")), own))
+        made.destroy()
+    lists = reduce(DataFrame.union, parts).groupBy("_t", "_u").agg(F.collect_list("f").alias("f"))
+    found = checkpointed(lists.select("_t", "_u", *[F.flatten(F.col("f").getField(c)).alias(c) for c in FOUND[2:]]))
+    drop(spark, own)
+    met = df.select("*", *name).join(found, ["_t", "_u"], "left").select(*df.columns, *FOUND[2:])
+    return in_arrow(met, in_parts(_finished), T.StructType(met.schema.fields + counted))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -250,9 +250,19 @@ def by_document(items: DataFrame) -> DataFrame:
     return items.groupBy(*KEY).agg(F.collect_list(F.struct("place", "low", "high", "state")).alias("items"))
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """Documents by key, with the other columns in `_rest`; one exchange that all rounds read."""
-    return docs.select(*doc_key(), F.col("text").cast("string").alias("text"), *rest_of(docs, "doc_id", "text")).repartition(*KEY)
+def dealt(docs: DataFrame, least: int) -> DataFrame:
+    """Documents by key, with the other columns in `_rest`; one exchange that all rounds read.
+
+    Rows without id whose text is null or under `least` bytes, too short for any result, would be
+    one key and one task, so their `_u` is the number of the partition they are read in.  That is
+    the same whenever the partition is read again, so a repeated task deals them alike.
+    """
+    d, t, u = doc_key()
+    text = F.col("text").cast("string")
+    loose = F.col("doc_id").cast("long").isNull() & (F.coalesce(F.octet_length(text), F.lit(0)) < least)
+    u = F.when(loose, F.xxhash64(F.spark_partition_id())).otherwise(u).alias("_u")
+    t = F.when(loose, F.lit(0).cast("long")).otherwise(t).alias("_t")
+    return docs.select(d, t, u, text.alias("text"), *rest_of(docs, "doc_id", "text")).repartition(*KEY)
 
 
 def extended(base: DataFrame, more: str) -> T.StructType:
@@ -326,7 +336,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     """`_d`, `_t`, `_u` (the document's key), `_rest` (other columns, if any), `n_bytes`, `n_removed`,
     `kept_sha256`, `starts` and `ends` (maximal removed byte runs) and `_clean` (text without
     the characters that lie in them wholly) of every document."""
-    base = dealt(docs)
+    base = dealt(docs, length)
     spans = repeated_spans(docs, base, length, gram, block)
     found = base.join(spans, KEY, "left").select(*base.columns, "items", copies())
     return in_arrow(found, in_parts(_cut(length)), extended(base, "n_bytes long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>, _clean string"))

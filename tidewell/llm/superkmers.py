@@ -226,7 +226,7 @@ def _kept(window: int):
 def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """`_d`, `_t`, `_u` (the document's key), `_rest` (other columns, if any), `n_words`, `n_removed`, `kept_sha256`,
     `starts` and `ends` (removed word runs) and `_kept` (kept words, one space between)."""
-    base = dealt(docs)
+    base = dealt(docs, 2 * window - 1)  # so many bytes have `window` words at least
     need = repeated_grams(docs, window, gram, words=True)
     rows = in_arrow(base.join(need, KEY).select(*base.columns, "grams", "heavy"), in_parts(_packets(window, gram)), ROWS)
     buckets = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "mark", "packed", *KEY, "first")

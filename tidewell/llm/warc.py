@@ -48,6 +48,8 @@ from .common import checkpointed, in_arrow
 ARCHIVE_BYTES = 32 << 20
 FAN_IN = 64
 RUN_ROWS = 1024
+#: Rows of the planning of a pass that a task orders.
+PLAN_ROWS = 1 << 16
 EPOCH = 1_704_067_200
 CAPTURE = "urlkey string, ts long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long"
 FIELDS = [x.split()[0] for x in CAPTURE.split(", ")]
@@ -343,16 +345,37 @@ def _merge_again(folder: str):
     return run
 
 
-def ranges(index: DataFrame, fan_in: int) -> DataFrame:
+def grouped(runs: DataFrame, n_runs: int, fan_in: int) -> DataFrame:
+    """`run` and its `group`, of at most `fan_in` runs.  Runs are numbered by cells of their hash, so
+    that one task sees the cells' totals alone."""
+    cells = runs.withColumn("cell", F.pmod(F.xxhash64("run"), F.lit(n_runs // PLAN_ROWS + 1)))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("cell").orderBy("run")) - 1
+    return cells.join(totals, "cell").select("run", F.floor(number / fan_in).alias("group"))
+
+
+def ranges(index: DataFrame, fan_in: int, n_runs: int, n_batches: int) -> DataFrame:
     """`group`, `r`, `low`, `high` (null: open), `batches`: the merges of one pass.  A group has at most
     `fan_in` runs, a range as many first keys; a range's batches are those and at most one of
-    each run that reaches into it from before."""
-    runs = index.select("run").distinct().withColumn("group", F.floor((F.row_number().over(Window.orderBy("run")) - 1) / fan_in))
+    each run that reaches into it from before.
+
+    First keys are counted along the order of all keys, in parts of that order: Spark deals the
+    keys by range, each part counts its own, and one task sees the parts' totals alone.
+    """
+    runs = grouped(index.select("run").distinct(), n_runs, fan_in)
     b = index.join(runs, "run").withColumn("id", F.struct("file", "k"))
     # first and last keys in one order; at equal keys the first come first
     ends = b.select("group", "id", F.explode(F.array(F.struct(F.col("head").alias("key"), F.lit(0).alias("last")), F.struct(F.col("tail").alias("key"), F.lit(1).alias("last")))).alias("e"))
-    so_far = Window.partitionBy("group").orderBy("e.key", "e.last", "id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ends.withColumn("r", F.floor((F.sum(1 - F.col("e.last")).over(so_far) - 1) / fan_in))
+    order = ("e.key", "e.last", "id")
+    # written with its part, as the bounds between parts come from a sample
+    ends = checkpointed(ends.repartitionByRange(2 * n_batches // PLAN_ROWS + 1, "group", *order).withColumn("part", F.spark_partition_id()))
+    totals = ends.groupBy("group", "part").agg(F.sum(1 - F.col("e.last")).alias("c"))
+    earlier = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("group", "part", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    so_far = Window.partitionBy("group", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    heads = F.col("before") + F.sum(1 - F.col("e.last")).over(so_far)
+    placed = ends.join(totals, ["group", "part"]).withColumn("r", F.floor((heads - 1) / fan_in))
     reach = placed.groupBy("group", "id").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
     lows = placed.where("e.last = 0").groupBy("group", "r").agg(F.min("e.key").alias("low"))
     lows = lows.withColumn("high", F.lead("low").over(Window.partitionBy("group").orderBy("r"))).withColumn("low", F.when(F.col("r") > 0, F.col("low")))
@@ -371,7 +394,7 @@ def read_archives(archives: DataFrame, folder: str, fan_in: int = FAN_IN) -> Dat
     index = checkpointed(in_arrow(files.repartition(min(count, 10_000)), _runs(folder), INDEX))
     while True:
         n_runs, n_batches = index.agg(F.count_distinct("run"), F.count("*")).first()
-        work = checkpointed(ranges(index, fan_in))
+        work = checkpointed(ranges(index, fan_in, n_runs, n_batches))
         tasks = max(1, min(10_000, n_batches // fan_in + 1))
         if n_runs <= fan_in:
             ordered = work.repartitionByRange(tasks, "r").sortWithinPartitions("r")
