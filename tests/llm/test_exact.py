@@ -309,3 +309,35 @@ def test_empty_tables(spark):
     assert jaccard.component_ids(none).count() == 0
     assert decontaminate(none, items).count() == 0
     assert decontaminate(brute.frame(spark, ROWS), items).agg(F.sum("_n_hit")).first()[0] == 0
+
+
+def keys_of(sets, heavy=None, num=8, den=10):
+    """The keys of each set."""
+    flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    flags = np.zeros(len(flat), bool) if heavy is None else np.isin(flat, heavy)
+    key, owner = jaccard.part_keys(flat, at, np.arange(len(sets)), flags, num, den)
+    return [set(key[owner == k].tolist()) for k in range(len(sets))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 900), st.floats(0, 1), st.sampled_from([(8, 10), (9, 10), (75, 100)]), st.sampled_from([0, 0.5, 0.95, 1]))
+def test_similar_sets_share_a_key(seed, size, share, ratio, hidden):
+    rng, (num, den) = np.random.default_rng(seed), ratio
+    pool = rng.integers(0, 2**64, 2 * size, np.uint64)
+    differ = size * (den - num) // num  # with the second set in the first, or each with some of its own
+    while (size - (own := int(share * differ))) * den < num * (size + differ - own):
+        differ -= 1
+    a, b = pool[:size], np.r_[pool[own:size], pool[size : size + differ - own]]
+    one, two = keys_of([a, b], pool[rng.random(len(pool)) < hidden], num, den)
+    assert one & two
+
+
+def test_sets_that_share_a_few_shingles_share_no_key():
+    # random words make long texts meet in single shingles; linked by them, most of a large corpus
+    # would be one candidate, whose sets are copied for every pair of chunks
+    rng = np.random.default_rng(5)
+    for size in (300, 520, 700):
+        common = rng.integers(0, 2**64, 20, np.uint64)
+        keys = keys_of([np.r_[common, rng.integers(0, 2**64, size - 20, np.uint64)] for _ in range(40)])
+        met = sum(bool(keys[i] & keys[j]) for i in range(40) for j in range(i))
+        assert met < 0.03 * 780

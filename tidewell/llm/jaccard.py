@@ -5,7 +5,10 @@ Documents with the same shingle set are one class from the start; classes are jo
 Bringing candidates together, exactly: two sets with similarity t or more differ in few
 shingles, at most H for a range of sizes.  A set's shingles are dealt to m > H parts by
 their hash, so such sets agree on a whole part that is not empty, and the fingerprint of
-each part is a key (a set writes keys for one or two ranges of sizes).  Shingles that a
+each part is a key (a set writes keys for one or two ranges of sizes).  Of its parts a set
+writes as many as shingles may differ and one more, those of most shingles first: of what two
+similar sets share the first in that order is among them in both, and a part of one shingle,
+which sets share by chance, is hardly ever written.  Shingles that a
 sample shows in many sets (`max_heavy` at most) are left out of the keys, since both sets
 leave out the same; a set that then has too few parts left also writes keys of all its
 shingles, and if its parts are too few even so, keys of the empty parts as well.  Sets that
@@ -87,6 +90,7 @@ def size_ranges(num: int, den: int, longest: int) -> tuple[np.ndarray, np.ndarra
         m = h + 1
         while h and m < 2 * h + 4 and m * (1 - math.exp(-low / m)) < h + 1 + math.sqrt(m * math.exp(-low / m)):
             m += max(1, m // 50)
+        m = max(m, 7 * (h + 1) // 5)  # so that the parts of one shingle, and none, are the rest
         lows.append(low)
         most.append(h)
         parts.append(m)
@@ -103,7 +107,7 @@ def part_keys(flat: np.ndarray, at: np.ndarray, use: np.ndarray, heavy: np.ndarr
     second = below != own
     which = np.r_[np.arange(len(use)), np.flatnonzero(second)]
     scheme = np.r_[own, below[second]]
-    m, h = parts[scheme], most[scheme]
+    m, h = parts[scheme], np.minimum(most[scheme], size[which] * (den - num) // num)
     base = np.concatenate([[0], np.cumsum(m)])
     out_key, out_set = [], []
     todo = np.ones(len(which), bool)
@@ -129,7 +133,7 @@ def part_keys(flat: np.ndarray, at: np.ndarray, use: np.ndarray, heavy: np.ndarr
             key = mix(acc + mix(((scheme[part_set].astype(np.uint64) << np.uint64(32)) | part_no.astype(np.uint64)) + np.uint64(spaces << 60)) + held.astype(np.uint64))
         some = np.add.reduceat((held > 0).astype(np.int64), base[:-1])
         few = todo & (some <= h)
-        write = (held > 0) & todo[part_set]
+        write = _largest(part_set, held, key, (held > 0) & todo[part_set], h)
         if not light:
             write |= few[part_set]
         out_key.append(key[write])
@@ -138,6 +142,17 @@ def part_keys(flat: np.ndarray, at: np.ndarray, use: np.ndarray, heavy: np.ndarr
     return np.concatenate(out_key), np.concatenate(out_set)
 
 
+def _largest(part_set: np.ndarray, held: np.ndarray, key: np.ndarray, of: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Flags the h + 1 parts of most shingles of each set, ties by key, among the parts `of`."""
+    at = np.flatnonzero(of)
+    at = at[np.lexsort((key[at], -held[at], part_set[at]))]
+    count = np.bincount(part_set[at], minlength=len(h))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    out = np.zeros(len(of), bool)
+    out[at[place <= h[part_set[at]]]] = True
+    return out
+
+
 def _sets_of(batch, n: int):
     """(first document, names, offsets) of each chunk of a batch."""
     data, offsets = text_buffer(batch.column("text"))
